@@ -5,11 +5,14 @@ together. A size-weighted sample of keys gives quantile boundaries; records are
 them, exact sizes of the ranges are measured, and overfull ranges, which one key may cause, are
 subdivided by doc_id quantiles of their own. Running sums inside the small ranges plus the ranges'
 offsets give each record its exact place in the whole order, hence its shard and slot, without ever
-sorting everything in one task.
+sorting everything in one task. Records over 1/64 of a shard, of which there are at most 64 a shard,
+are dealt first, largest to the emptiest shard; the ranges then fill what is left of each shard.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +40,32 @@ def shard_by_size(docs: DataFrame, *, shards: int = 16, ranges: int | None = Non
         docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), digest.alias("k")),
         "shards",
     )
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     totals = slim.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     total = totals["bytes"] or 0
     if not total:
         return slim.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    large = slim.filter(F.col("size") > total // (64 * shards)).orderBy(F.desc("size"), "k", "doc_id").collect()
+    used, held = [0] * shards, [0] * shards
+    dealt: list[str] = []
+    heap = [(0, s) for s in range(shards)]
+    for r in large:
+        _, s = heapq.heappop(heap)
+        dealt.append(f"({'null' if r['doc_id'] is None else r['doc_id']}, {r['size']}, {r['text_crc32']}, {s}, {held[s]})")
+        used[s], held[s] = used[s] + r["size"], held[s] + 1
+        heapq.heappush(heap, (used[s], s))
+    slim = slim.filter(F.col("size") <= total // (64 * shards))
+    left = total - sum(used)
+    ends = room_ends(used, left)
     # A record is drawn with a probability in proportion to its size, about 64 a range.
-    chance = F.col("size") * F.lit(64.0 * ranges / total)
+    chance = F.col("size") * F.lit(64.0 * ranges / max(1, left))
     drawn = slim.filter((F.xxhash64("doc_id", "k", "size").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))) < chance)
     at = [i / ranges for i in range(1, ranges)]
     found = drawn.agg(F.percentile_approx("k", at, 100 * ranges).alias("q")).first()["q"] if at else []
     splitters = sorted(set(found or []))
     ranged = slim.withColumn("range", range_of(F.col("k"), splitters))
     weights = ranged.groupBy("range").agg(F.sum("size").alias("w"))
-    fair = max(1, total // ranges)
+    fair = max(1, left // ranges)
     over = weights.filter(F.col("w") > 2 * fair).collect()
     if over:
         parts = {r["range"]: int(min(ranges, r["w"] // fair + 1)) for r in over}
@@ -73,7 +89,7 @@ def shard_by_size(docs: DataFrame, *, shards: int = 16, ranges: int | None = Non
         ranged = ranged.withColumn("part", F.lit(0)).withColumn("sub", F.lit(0))
     cell = ["range", "part", "sub"]
     sizes = sorted((tuple(r[c] for c in cell), r["w"], r["n"]) for r in ranged.groupBy(*cell).agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect())
-    rows, before, count = [], 0, 0
+    rows, before, count = ["(0, 0, 0, 0L, 0L)"] * (not sizes), 0, 0
     for (a, b, c), w, n in sizes:
         rows.append(f"({a}, {b}, {c}, {before}L, {count}L)")
         before, count = before + w, count + n
@@ -88,9 +104,28 @@ def shard_by_size(docs: DataFrame, *, shards: int = 16, ranges: int | None = Non
     group = Window.partitionBy(*cell, "k")
     limit = int(whole_group * total / shards)
     placed = placed.withColumn("group_bytes", F.sum("size").over(group)).withColumn("group_start", F.min("start").over(group))
-    whole = F.when(F.col("group_bytes") <= limit, F.col("group_start")).otherwise(F.col("start"))
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(whole.cast("decimal(38,0)") * shards / F.lit(total)).cast("int")))
+    whole = F.when(F.col("group_bytes") <= limit, F.col("group_start") + F.floor(F.col("group_bytes") / 2)).otherwise(F.col("start") + F.floor(F.col("size") / 2))
+    placed = placed.withColumn("shard", range_of(whole, ends[:-1]))
     placed = stage_table(placed.select("doc_id", "size", "text_crc32", "shard", "rank"), "shards")
     firsts = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
-    first = F.get(F.array(*[F.lit(firsts.get(s, 0)).cast("long") for s in range(shards)]), F.col("shard"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    first = F.get(F.array(*[F.lit(firsts.get(s, 0) - held[s]).cast("long") for s in range(shards)]), F.col("shard"))
+    out = placed.select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - first).alias("slot"))
+    if dealt:
+        rest = spark.sql(f"select cast(doc_id as bigint) as doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, shard, cast(slot as bigint) as slot from values {', '.join(dealt)} as t(doc_id, size, text_crc32, shard, slot)")
+        out = out.unionByName(rest)
+    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(*columns)
+
+
+def room_ends(used: list[int], left: int) -> list[int]:
+    """Where each shard's share of the left bytes ends, so that all shards come as near one level as they can."""
+    low, high = 0, max(used, default=0) + left + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(max(0, mid - u) for u in used) <= left else (low, mid)
+    rooms = [max(0, low - u) for u in used]
+    spare, n = left - sum(rooms), len(used)
+    out, at = [], 0
+    for i, r in enumerate(rooms):
+        at += r + spare * (i + 1) // n - spare * i // n
+        out.append(at)
+    return out
