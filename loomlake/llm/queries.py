@@ -35,12 +35,25 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(documents(spark, sf_dir), vocabulary())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm.toxicity import score_documents, train
+
+    docs = documents(spark, sf_dir)
+    return score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm.packing import pack_documents
 
     return pack_documents(documents(spark, sf_dir), vocabulary())
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm.embeddings import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm.chat import format_conversations, probe_rows
 
@@ -49,7 +62,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op3_sharding, op6_bpe_automaton, op8_packing, op10_chat_formatting)
+    f.__name__: f for f in (op2_document_fingerprints, op3_sharding, op6_bpe_automaton, op7_toxicity, op8_packing, op9_near_vectors, op10_chat_formatting)
 }
 
 ORACLES: dict[str, str] = {
