@@ -17,6 +17,12 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(documents(spark, sf_dir))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm.fingerprint import compare_edited
 
@@ -68,7 +74,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op3_sharding, op5_hidden_markov, op6_bpe_automaton, op7_toxicity, op8_packing, op9_near_vectors, op10_chat_formatting)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_document_fingerprints, op3_sharding, op5_hidden_markov, op6_bpe_automaton, op7_toxicity, op8_packing, op9_near_vectors, op10_chat_formatting)
 }
 
 ORACLES: dict[str, str] = {
