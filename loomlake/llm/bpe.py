@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 # Fixed value: the pre-split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 NEVER = 1 << 60
 
 
@@ -38,6 +39,16 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class WordCache(dict):
+    """Words and their paths. A full cache forgets, but for the words that came first in their thousands."""
+
+    def trim(self) -> None:
+        if len(self) > CACHE_WORDS:
+            keep = list(self.items())[: CACHE_WORDS // 4]
+            self.clear()
+            self.update(keep)
+
+
 class MergeAutomaton:
     def __init__(self, spec: str) -> None:
         """spec: the JSON text of a tokenizers file with a ByteLevel BPE model."""
@@ -47,7 +58,11 @@ class MergeAutomaton:
         vocab = data["model"]["vocab"]
         self.labels: dict[int, bytes] = {i: spell(s) for s, i in vocab.items()}
         self.ids: dict[bytes, int] = {b: i for i, b in self.labels.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        #: The longest token by its first three bytes; all others have two bytes at most.
+        self.reach: dict[bytes, int] = {}
+        for b in self.ids:
+            if len(b) > 2:
+                self.reach[b[:3]] = max(self.reach.get(b[:3], 0), len(b))
         self.born: dict[int, int] = {i: -1 for i in self.labels}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
@@ -63,8 +78,9 @@ class MergeAutomaton:
         self.special = {x["content"]: x["id"] for x in data.get("added_tokens", [])}
         self.special_at = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.table: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, str] = {}
-        self.packed: dict[str, bytes] = {}
+        #: Paths of words that were read before; half of a full cache goes, the older part of what isn't kept.
+        self.words: dict[str, str] = WordCache()
+        self.packed: dict[str, bytes] = WordCache()
         self.split = regex.compile(PATTERN).findall
         self.text_labels = {str(i): b for i, b in self.labels.items()} | {str(i): s.encode() for s, i in self.special.items()}
 
@@ -90,63 +106,69 @@ class MergeAutomaton:
     def arc(self, x: int, y: int) -> bool:
         found = self.table.get((x, y))
         if found is None:
-            if len(self.table) > 4 * CACHE_WORDS:
+            if len(self.table) > 1_000_000:
                 self.table.clear()
             found = self.table[x, y] = self._after(x, y, NEVER)
         return found
 
     def _longest(self, word: bytes, at: int) -> int:
-        for end in range(min(len(word), at + self.longest), at, -1):
-            i = self.ids.get(word[at:end])
+        find = self.ids.get
+        for end in range(min(len(word), at + self.reach.get(word[at : at + 3], 2)), at, -1):
+            i = find(word[at:end])
             if i is not None:
                 return i
         raise ValueError(f"byte {word[at]} has no token")
 
     def path(self, word: bytes) -> list[int]:
         """The labels of the only legal path that spells word."""
-        whole = self.ids.get(word)
-        n, at, out, dead = len(word), 0, [], set()
-        labels, arc = self.labels, self.arc
+        token = self.ids.get(word)
+        if token is not None:
+            return [token]
+        n, at, last, out, dead = len(word), 0, -1, [], set()
         if not n:
             return out
-        token = whole if whole is not None else self._longest(word, 0)
+        labels, table, shorter, longest = self.labels, self.table, self.shorter, self._longest
+        token = longest(word, 0)
         while True:
-            last = out[-1] if out else -1
             while token >= 0:
                 end = at + len(labels[token])
-                if end not in dead and (last < 0 or arc(last, token)):
-                    break
-                token = self.shorter[token]
+                if end not in dead:
+                    if last < 0:
+                        break
+                    open_ = table.get((last, token))
+                    if open_ or (open_ is None and self.arc(last, token)):
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = self._longest(word, at)
+                at, last = end, token
+                token = longest(word, at)
             else:
                 dead.add(at)
                 token = out.pop()
                 at -= len(labels[token])
-                token = self.shorter[token]
-
-    def _word(self, word: str) -> str:
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        found = self.words[word] = ",".join(map(str, self.path(word.encode("utf-8", "surrogatepass"))))
-        return found
+                last = out[-1] if out else -1
+                token = shorter[token]
 
     def _plain(self, text: str) -> str:
         words = self.split(text)
+        known = self.words
         try:
-            return ",".join(map(self.words.__getitem__, words))
+            return ",".join(map(known.__getitem__, words))
         except KeyError:
-            known, make = self.words, self._word
-            return ",".join([known.get(w) or make(w) for w in words])
+            path = self.path
+            for w in words:
+                if w not in known:
+                    known[w] = ",".join(map(str, path(w.encode("utf-8", "surrogatepass"))))
+            return ",".join(map(known.__getitem__, words))
 
     def encode(self, text: str | None) -> str:
         """Decimal ids joined by commas; the strings of added tokens in a text are those tokens."""
         if not text:
             return ""
+        self.words.trim()
         if not self.special_at or not self.special_at.search(text):
             return self._plain(text)
         out, at = [], 0
@@ -159,18 +181,18 @@ class MergeAutomaton:
         """The ids of encode() as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
+        self.packed.trim()
         if self.special_at and self.special_at.search(text):
             return np.array(self.encode(text).split(","), np.uint32).astype("<u4").tobytes()
         words = self.split(text)
+        known = self.packed
         try:
-            return b"".join(map(self.packed.__getitem__, words))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
-            known = self.packed
-            if len(known) >= CACHE_WORDS:
-                known.clear()
+            path = self.path
             for w in words:
                 if w not in known:
-                    known[w] = np.array(self.path(w.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+                    known[w] = array("I", path(w.encode("utf-8", "surrogatepass"))).tobytes()
             return b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: str) -> str:
