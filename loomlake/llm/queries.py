@@ -35,6 +35,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm.suffix import dedup_report
+
+    return dedup_report(documents(spark, sf_dir))
+
+
 def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm.hmm import score_documents
 
@@ -74,7 +80,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_document_fingerprints, op3_sharding, op5_hidden_markov, op6_bpe_automaton, op7_toxicity, op8_packing, op9_near_vectors, op10_chat_formatting)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_document_fingerprints, op3_sharding, op4_suffix_dedup, op5_hidden_markov, op6_bpe_automaton, op7_toxicity, op8_packing, op9_near_vectors, op10_chat_formatting)
 }
 
 ORACLES: dict[str, str] = {
