@@ -1,10 +1,359 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries over the driver's tables, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomlake.functions import scalars as X
+from loomlake.functions import vocabulary as V
+from loomlake.operators import assemble, calibration, cost, hashdup, prompts, quality, shards, spatial
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their labels: quality and toxic are null where there is none."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+
+
+GATED = """select d.doc_id, d.lang, d.n_chars, l.quality, l.toxic, case when l.doc_id is null then null else coalesce(l.quality, 1) = 1 and coalesce(l.toxic, 0) = 0 end as gate
+  from documents d left join labels l using (doc_id)"""
+
+
+def gated(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("known"))
+    rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(labels, "doc_id", "left")
+    return rows.withColumn("gate", F.when(F.col("known"), (F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)))
+
+
+@query(f"""with g as ({GATED}) select coalesce(nullif(lang, ''), 'unknown') as stratum, count(*) as n,
+  round(cast(count(*) filter (gate) as double) / count(*), 4) as gate_pass_rate,
+  round(avg(n_chars::double), 4) as n_chars_mean, round(avg(quality::double), 4) as quality_mean from g group by 1""")
+def by_stratum(spark: SparkSession, d: str) -> DataFrame:
+    return quality.by_stratum(gated(spark, d), "lang", "gate", ["n_chars", "quality"])
+
+
+@query(f"""with g as ({GATED}) select coalesce(nullif(lang, ''), 'unknown') as stratum, count(*) as n, count(*) filter (gate) as passed,
+  count(*) filter (not gate) as failed, count(*) filter (gate is null) as unknown, round(avg(n_chars::double), 4) as n_chars_mean from g group by rollup(1)""")
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality_report(gated(spark, d), "lang", "gate", ["n_chars"])
+
+
+@query("""with m as (select 'events_value' as metric, value::double as v from events union all select 'n_chars', n_chars::double from documents)
+  select metric, count(v) as n, round(avg(v), 4) as mean, round(quantile_cont(v, 0.1), 4) as p10, round(quantile_cont(v, 0.5), 4) as p50,
+  round(quantile_cont(v, 0.9), 4) as p90, round(min(v), 4) as min, round(max(v), 4) as max from m group by 1""")
+def quality_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return quality.distribution(table(spark, d, "events").select(F.col("value").alias("events_value")), ["events_value"]).unionByName(quality.distribution(table(spark, d, "documents"), ["n_chars"]))
+
+
+@query("""with x as (select d.doc_id, l.quality * 0.3::double as clip, (d.n_chars % 100) / 10.0::double as aes, (d.n_chars % 7) / 10.0::double as faith,
+    case when l.toxic is null then null else 0.1::double + l.toxic * (d.n_chars % 10) / 10.0::double end as nsfw from documents d left join labels l using (doc_id)),
+  r as (select doc_id, list_filter([case when doc_id % 50 = 0 then 'duplicate' end, case when clip < 0.22 then 'low_clip' end, case when aes < 4.5 then 'low_aesthetic' end,
+    case when faith < 0.3 then 'low_faithfulness' end, case when nsfw > 0.5 then 'nsfw' end, case when nsfw >= 0.85 then 'release_blocked' end], lambda s: s is not null) as reasons from x)
+  select doc_id, array_to_string(reasons, ',') as gate_reasons, len(reasons) = 0 as passed_gate from r""")
+def quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    nsfw = F.when(F.col("toxic").isNotNull(), F.lit(0.1) + F.col("toxic") * (F.col("n_chars") % 10) / F.lit(10.0))
+    blocked = quality.safety(nsfw)["release_blocked"]
+    reasons = quality.gate_reasons(F.col("quality") * F.lit(0.3), (F.col("n_chars") % 100) / F.lit(10.0), (F.col("n_chars") % 7) / F.lit(10.0), nsfw, blocked, F.col("doc_id") % 50 == 0)
+    return judged(spark, d).select("doc_id", F.array_join(reasons, ",").alias("gate_reasons"), quality.passed(reasons).alias("passed_gate"))
+
+
+@query("""select doc_id, case when p is null then 'unknown' when p >= 0.85 then 'blocked' when p >= 0.5 then 'review' else 'ok' end as nsfw_label,
+  coalesce(p >= 0.85, false) as release_blocked, coalesce(p >= 0.5 and p < 0.85, false) as needs_review
+  from (select d.doc_id, (l.toxic * (d.n_chars % 11)) / 10.0::double as p from documents d left join labels l using (doc_id))""")
+def safety_label(spark: SparkSession, d: str) -> DataFrame:
+    s = quality.safety((F.col("toxic") * (F.col("n_chars") % 11)) / F.lit(10.0))
+    return judged(spark, d).select("doc_id", s["nsfw_label"].alias("nsfw_label"), s["release_blocked"].alias("release_blocked"), s["needs_review"].alias("needs_review"))
+
+
+SPLIT = "(('0x' || substr(sha256('7:' || doc_id::varchar), 1, 12))::bigint % 1000000) / 1e6::double"
+SPLIT_NAME = f"case when {SPLIT} < 0.8::double then 'train' when {SPLIT} < 0.8::double + 0.1::double then 'val' else 'test' end"
+
+
+@query(f"select doc_id, {SPLIT} as fraction, {SPLIT_NAME} as split from documents")
+def split_assign(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("doc_id").cast("string")
+    return table(spark, d, "documents").select("doc_id", X.split_fraction(key, 7).alias("fraction"), X.assign_split(key, seed=7).alias("split"))
+
+
+@query(f"select s.split, count(d.split) as n from (values ('train'), ('val'), ('test')) s(split) left join (select {SPLIT_NAME} as split from documents) d on s.split = d.split group by 1")
+def split_counts(spark: SparkSession, d: str) -> DataFrame:
+    return quality.split_counts(split_assign(spark, d), "split")
+
+
+@query("select doc_id, ('0x' || substr(sha256('render:' || doc_id::varchar), 1, 8))::bigint as seed from documents")
+def derive_seed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.derive_seed(F.col("doc_id").cast("string")).alias("seed"))
+
+
+@query("""select o.o_orderkey as id, count(*) as n_items, round(sum(l.l_extendedprice)::double, 2) as price, min(o.o_orderpriority) as priority
+  from orders o join lineitem l on o.o_orderkey = l.l_orderkey group by 1""")
+def assemble_join(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_extendedprice")
+    return o.join(line, "id").groupBy("id").agg(F.count("*").alias("n_items"), F.round(F.sum("l_extendedprice").cast("double"), 2).alias("price"), F.min("o_orderpriority").alias("priority"))
+
+
+@query("""select u.conv_id, u.turn, length(u.text) as asked, length(a.text) as said from conversations u join conversations a
+  on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'""")
+def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    users = c.filter("role = 'user'").select("conv_id", "turn", F.length("text").cast("long").alias("asked"))
+    replies = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").cast("long").alias("said"))
+    return users.join(replies, ["conv_id", "turn"])
+
+
+@query("select doc_id, lang from documents where exists (select 1 from labels where labels.doc_id = documents.doc_id)")
+def image_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("select l_orderkey, count(*) as n from lineitem where not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'F') group by 1")
+def fk_check(spark: SparkSession, d: str) -> DataFrame:
+    final = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return table(spark, d, "lineitem").select("l_orderkey").join(final, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+SUBJECTS = [("small", "size"), ("small ring", "thing"), ("red", "colour"), ("red w", "widget"), ("blue", "colour"), ("large", "size"), ("green", "colour")]
+SUBJECT_SQL = ", ".join(f"('{s}', '{g}')" for s, g in SUBJECTS)
+
+
+@query(f"""with s(subject, stratum) as (values {SUBJECT_SQL}), b as (select p_partkey, arg_max(stratum, length(subject)) as stratum from part join s on starts_with(lower(p_name), subject) group by 1)
+  select p.p_partkey, p.p_name, coalesce(b.stratum, 'unknown') as stratum from part p left join b using (p_partkey)""")
+def stratum_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
+    subjects = spark.createDataFrame(SUBJECTS, "subject string, stratum string")
+    return assemble.prompt_stratum(table(spark, d, "part").select("p_partkey", "p_name"), subjects, prompt="p_name").select("p_partkey", "p_name", "stratum")
+
+
+BOX = """list_value(least(abs(e[{0}]), 0.9)::double, least(abs(e[{1}]), 0.9)::double, least(abs(e[{0}]), 0.9)::double + 0.05 + abs(e[{2}])::double, least(abs(e[{1}]), 0.9)::double + 0.05 + abs(e[{3}])::double)"""
+IOU_SQL = "case when w <= 0 or h <= 0 then 0.0 else w * h / ((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - w * h) end"
+
+
+def box(e: str, i: int) -> object:
+    at = lambda k: F.abs(F.get(F.col(e), F.lit(k)).cast("double"))
+    x, y = F.least(at(i), F.lit(0.9)), F.least(at(i + 1), F.lit(0.9))
+    return F.array(x, y, x + 0.05 + at(i + 2), y + 0.05 + at(i + 3))
+
+
+def box_sql(i: int) -> str:
+    at = lambda k: f"abs(embedding[{i + 1 + k}]::double)"
+    x, y = f"least({at(0)}, 0.9::double)", f"least({at(1)}, 0.9::double)"
+    return f"[{x}, {y}, {x} + 0.05::double + {at(2)}, {y} + 0.05::double + {at(3)}]"
+
+
+@query(f"""with b as (select vec_id, {box_sql(0)} as a, {box_sql(4)} as b from embeddings),
+  o as (select *, greatest(0.0::double, least(a[3], b[3]) - greatest(a[1], b[1])) as w, greatest(0.0::double, least(a[4], b[4]) - greatest(a[2], b[2])) as h from b)
+  select vec_id, round({IOU_SQL}, 6) as iou from o""")
+def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.round(X.iou(box("embedding", 0), box("embedding", 4)), 6).alias("iou"))
+
+
+@query()
+def layout_faithfulness(spark: SparkSession, d: str) -> DataFrame:
+    """Three entities against four detections made from each vector; tests hold it against a loop."""
+    thing = lambda name, i: F.struct(F.lit(name).alias("label"), box("embedding", i).alias("bbox"))
+    seen = lambda name, i: F.struct(F.lit(name).alias("label"), box("embedding", i).alias("bbox"), F.lit(0.5).alias("score"))
+    e = F.array(thing("cat", 0), thing("big_dog", 8), thing("cat", 16))
+    t = F.array(seen("cat", 4), seen("dog", 12), seen("Cat", 20), seen("tree", 24))
+    f = spatial.faithfulness(spatial.greedy_matches(e, t))
+    return table(spark, d, "embeddings").select("vec_id", *[f[c].alias(c) for c in ("score", "detection_coverage", "mean_iou", "n_entities", "n_detected", "n_matched")])
+
+
+def sign_hash(e: str) -> object:
+    return X.bits_to_long(F.transform(F.col(e), lambda x: x > 0))
+
+
+def hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", sign_hash("embedding").alias("hash"))
+
+
+@query("""with h as (select vec_id, [x > 0 for x in embedding] as s from embeddings)
+  select a.vec_id as a, b.vec_id as b, list_sum([case when x then 1 else 0 end for x in list_transform(list_zip(a.s, b.s), lambda p: p[1] <> p[2])])::int as distance
+  from h a join h b on a.vec_id < b.vec_id where list_sum([case when x then 1 else 0 end for x in list_transform(list_zip(a.s, b.s), lambda p: p[1] <> p[2])]) <= 18""")
+def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return hashdup.hamming_pairs(hashes(spark, d), threshold=18, pos="vec_id")
+
+
+@query()
+def near_dup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy keep-first at distance 20; tests hold it against the greedy loop."""
+    return hashdup.keep_first(hashes(spark, d), threshold=20, pos="vec_id").select("vec_id", "is_duplicate")
+
+
+@query()
+def dct_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Hash of the DCT of each vector; tests hold it against numpy."""
+    return table(spark, d, "embeddings").select("vec_id", X.dct_hash(F.col("embedding").cast("array<double>")).alias("hash"))
+
+
+@query("""with p as (select 'n_chars' as metric, d.n_chars::double as x, l.quality::double as y from documents d join labels l using (doc_id) where l.quality is not null),
+  r as (select metric, rank() over (partition by metric order by x) + (count(*) over (partition by metric, x) - 1) / 2.0 as rx, rank() over (partition by metric order by y) + (count(*) over (partition by metric, y) - 1) / 2.0 as ry from p)
+  select metric, count(*) as n, round(corr(rx, ry), 4) as spearman from r group by 1""")
+def spearman(spark: SparkSession, d: str) -> DataFrame:
+    rows = judged(spark, d).filter("quality is not null")
+    return calibration.spearman(calibration.long_pairs(rows, ["n_chars"], "quality"))
+
+
+@query("""with p as (select d.n_chars::double as x, l.quality::double as y from documents d join labels l using (doc_id) where l.quality is not null),
+  c as (select x, sum(count(*)) over (order by x desc) as taken, sum(sum(y)) over (order by x desc) as hits from p group by x),
+  f as (select x, hits / taken as p, hits / (select sum(y) from p) as r, 2 * hits / (taken + (select sum(y) from p)) as f1 from c)
+  select 'n_chars' as metric, x as threshold, round(p, 4) as precision, round(r, 4) as recall, round(f1, 4) as f1 from f order by f1 desc, x limit 1""")
+def suggest_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return calibration.suggest_threshold(calibration.long_pairs(judged(spark, d).filter("quality is not null"), ["n_chars"], "quality"))
+
+
+GPU_OF = {"click": "a100", "view": "H100", "purchase": "l40s", "error": "t4", "signup": "A100_40GB"}
+RATES_SQL = ", ".join(f"('{k}', {V.GPU_RATES[V.GPU_ALIASES.get(g.upper().replace('_', '-'), g.upper().replace('_', '-'))]}::double)" for k, g in GPU_OF.items())
+
+
+def run_ledger(spark: SparkSession, d: str) -> DataFrame:
+    gpu = F.coalesce(X.lookup(GPU_OF, F.col("event_type")), F.lit("unknown"))
+    return table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.col("value").alias("seconds"), gpu.alias("gpu"))
+
+
+@query(f"""with r(kind, rate) as (values {RATES_SQL}) select e.event_type as kind, count(*) as n, round(sum(e.value * r.rate), 6) as cost_usd,
+  round(sum(e.value * 0.125 * 0.0000131::double + 2 * e.value * 0.00000222::double + coalesce(e.value * r.rate, 0)), 6) as real_cost_usd from events e left join r on e.event_type = r.kind group by 1""")
+def rate_join_cost(spark: SparkSession, d: str) -> DataFrame:
+    rows = cost.with_rate(run_ledger(spark, d), "gpu")
+    gpu = F.when(X.normal_gpu(F.col("gpu")).isNotNull(), F.col("gpu"))
+    real = X.container_cost(gpu, F.col("seconds"), F.lit(0.0), F.lit(2.0))["real_cost_usd"]
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum(F.col("seconds") * F.col("rate_usd_per_s")), 6).alias("cost_usd"), F.round(F.sum(real), 6).alias("real_cost_usd"))
+
+
+def stage_of(i: str) -> object:
+    return F.get(F.array(*[F.lit(s) for s in V.STAGES]), (F.col(i) % 7).cast("int"))
+
+
+@query(f"""with f as (select list_extract({V.STAGES!r}, (event_id % 7)::int + 1) as stage, value as compute_s, event_id % 90 as tok, value * 0.000583::double as usd, (event_id % 13 = 0)::int as retries from events),
+  s as (select unnest(range(6)) as ord) select s.ord::int as ord, list_extract({V.STAGES!r}, s.ord::int + 1) as stage, 'N' || (s.ord + 1) as label, round(coalesce(avg(compute_s), 0), 6) as compute_s_mean,
+  round(coalesce(quantile_cont(compute_s, 0.5), 0), 6) as compute_s_p50, round(coalesce(quantile_cont(compute_s, 0.9), 0), 6) as compute_s_p90, round(coalesce(avg(tok), 0), 6) as output_tokens_mean,
+  round(coalesce(avg(usd), 0), 8) as cost_mean, round(coalesce(sum(usd), 0), 6) as cost_total, coalesce(sum(retries), 0)::bigint as retries from s left join f on f.stage = list_extract({V.STAGES!r}, s.ord::int + 1) group by s.ord""")
+def stage_costs(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "events").select(
+        stage_of("event_id").alias("stage"), F.col("value").alias("compute_s"), (F.col("event_id") % 90).alias("output_tokens"), (F.col("value") * 0.000583).alias("projected_cost_usd"), (F.col("event_id") % 13 == 0).cast("int").alias("retries")
+    )
+    digits = {"cost_mean": 8}
+    out = cost.stage_costs(facts)
+    return out.select("ord", "stage", "label", *[F.round(c, digits.get(c, 6)).alias(c) for c in out.columns[3:9]], "retries")
+
+
+@query("""with t as (select user_id, sum(value) as s, sum(value * 0.000694::double) as usd from events group by 1)
+  select count(*) as n, round(avg(s), 6) as e2e_s_mean, round(quantile_cont(s, 0.5), 6) as e2e_s_p50, round(quantile_cont(s, 0.9), 6) as e2e_s_p90, round(quantile_cont(s, 0.99), 6) as e2e_s_p99,
+  round(avg(usd), 8) as e2e_usd_mean, round(sum(usd), 6) as e2e_usd_total, round(avg(usd) * 1000, 5) as projected_1k, round(avg(usd) * 1000000, 2) as projected_1m from t""")
+def report_latency(spark: SparkSession, d: str) -> DataFrame:
+    sums = table(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("reasoning_s"), F.sum(F.col("value") * 0.000694).alias("reasoning_usd"))
+    zeros = {c: F.lit(0.0) for c in ("render_s", "render_usd")} | {c: F.lit(0).cast("long") for c in ("retries", "output_tokens")} | {c: F.lit(False) for c in ("has_render", "has_image")} | {"created_at": F.lit(None).cast("string")}
+    digits = {"e2e_usd_mean": 8, "projected_1k": 5, "projected_1m": 2}
+    names = ["e2e_s_mean", "e2e_s_p50", "e2e_s_p90", "e2e_s_p99", "e2e_usd_mean", "e2e_usd_total", "projected_1k", "projected_1m"]
+    return cost.cost_summary(sums.withColumns(zeros)).select("n", *[F.round(c, digits.get(c, 6)).alias(c) for c in names])
+
+
+@query("select event_type as kind, count(*) as n_runs, round(sum(value), 4) as total_cost_usd, round(sum(value * 16), 4) as total_real_cost_est_usd from events group by rollup(1)")
+def ledger_summary(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("value").alias("total_cost_usd"), (F.col("value") * 16).alias("real_cost_est_usd"))
+    return cost.ledger_summary(runs).select("kind", "n_runs", *[F.round(c, 4).alias(c) for c in ("total_cost_usd", "total_real_cost_est_usd")])
+
+
+@query("""with c as (select distinct r.r_name as genre, n.n_name || ' ' || p.p_name as prompt from region r join nation n on n.n_regionkey = r.r_regionkey join (select distinct p_name from part) p on true),
+  d as (select *, row_number() over (partition by genre order by sha256('3:' || genre || ':' || prompt), prompt) as round from c)
+  select round::int as round, genre, prompt from d order by round, genre limit 100""")
+def round_robin_prompts(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("genre"))
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_name").alias("subject"))
+    subjects = r.join(n, "r_regionkey").select("genre", "subject")
+    contexts = r.select("genre").crossJoin(table(spark, d, "part").select(F.col("p_name").alias("context")).distinct())
+    return prompts.round_robin(prompts.combinations(subjects, contexts), 100, seed=3)
+
+
+@query("select doc_id, row_number() over (order by doc_id) - 1 as row, format('shard-{:05d}.tar', (row_number() over (order by doc_id) - 1) // 64) as shard from documents")
+def shard_index(spark: SparkSession, d: str) -> DataFrame:
+    return shards.with_shards(table(spark, d, "documents").select("doc_id"), "doc_id", 64).select("doc_id", F.col("row").cast("long").alias("row"), "shard")
+
+
+@query("""select conv_id, count(*) as n, to_json(list({'role': role, 'content': text} order by turn)) as messages from conversations group by 1""")
+def chat_examples(spark: SparkSession, d: str) -> DataFrame:
+    one = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("x"))
+    return rows.select("conv_id", "n", F.to_json(F.transform("x", lambda t: t["m"]), {"ignoreNullFields": "false"}).alias("messages"))
+
+
+@query("select conv_id, string_agg(upper(role) || '_' || length(text), ' ' order by turn) as completion from conversations group by 1")
+def token_targets(spark: SparkSession, d: str) -> DataFrame:
+    token = F.struct("turn", F.concat_ws("_", F.upper("role"), F.length("text").cast("string")).alias("t"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(token)).alias("x"))
+    return rows.select("conv_id", F.array_join(F.transform("x", lambda t: t["t"]), " ").alias("completion"))
+
+
+SLUG = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@query(f"""select p_partkey, 'MAT:' || {SLUG.format('p_name')} || ':' || {SLUG.format('p_brand')} as material, 'LENS_' || replace(upper({SLUG.format('p_brand')}), '-', '') as lens,
+  case when (p_size % 10) / 10.0 < 1/3 then 'left' when (p_size % 10) / 10.0 > 2/3 then 'right' else 'center' end as col from part""")
+def slug_tokens(spark: SparkSession, d: str) -> DataFrame:
+    x = (F.col("p_size") % 10) / F.lit(10.0)
+    return table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit("MAT:"), X.slug(F.col("p_name")), F.lit(":"), X.slug(F.col("p_brand"))).alias("material"), X.lens_label(F.col("p_brand")).alias("lens"),
+        X.cell(x, F.lit(0.5), x, F.lit(0.5)).alias("col"),
+    )
+
+
+@query("""select p_partkey, concat_ws('. ', p_name || ' in ' || p_brand, 'composition: 35mm lens, subject scale ' || case when p_size % 10 = 0 then '0' else '0.' || (p_size % 10) end || case when p_size % 2 = 0 then ', rule of thirds' else '' end,
+  case when p_size > 25 then 'featuring ' || p_type end, 'highly detailed, cinematic') as prompt from part""")
+def render_prompt(spark: SparkSession, d: str) -> DataFrame:
+    scale = X.short_number((F.col("p_size") % 10) / F.lit(10.0))
+    traits = F.concat(F.array(F.lit("35mm lens"), F.concat(F.lit("subject scale "), scale)), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("rule of thirds"))).otherwise(F.array().cast("array<string>")))
+    parts = [F.concat(F.col("p_name"), F.lit(" in "), F.col("p_brand")), F.concat(F.lit("composition: "), F.array_join(traits, ", ")), F.when(F.col("p_size") > 25, F.concat(F.lit("featuring "), F.col("p_type"))), F.lit("highly detailed, cinematic")]
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_compact(F.array(*parts)), ". ").alias("prompt"))
+
+
+@query("""select event_id, (props::json->>'k')::bigint as k, (props::json->>'k')::bigint between 0 and 50 as valid from events""")
+def json_validate(spark: SparkSession, d: str) -> DataFrame:
+    k = F.try_variant_get(X.json_of(F.col("props")), "$.k", "long")
+    return table(spark, d, "events").select("event_id", k.alias("k"), k.between(0, 50).alias("valid"))
+
+
+@query("""with k as (select doc_id, row_number() over (partition by lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) order by doc_id) as r, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as t from documents)
+  select doc_id from k where r = 1 and t <> ''""")
+def keep_first_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.lower(X.stripped(F.col("text"))), 256).alias("h"), (X.stripped(F.col("text")) != "").alias("some"))
+    return docs.filter("some").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query("select event_type as value, count(*) as n from events where event_type is not null group by 1")
+def histogram(spark: SparkSession, d: str) -> DataFrame:
+    return cost.histogram(table(spark, d, "events"), "event_type")
+
+
+@query("""with c as (select e.embedding as a, lead(e.embedding) over (order by vec_id) as b, vec_id from embeddings e)
+  select vec_id, round(list_cosine_similarity(a::double[], b::double[]), 6) as cosine from c where b is not null""")
+def cosine_next(spark: SparkSession, d: str) -> DataFrame:
+    e = shards.numbered(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a")), "vec_id")
+    return e.join(e.select((F.col("row") - 1).alias("row"), F.col("a").alias("b")), "row").select("vec_id", F.round(X.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
+@query(f"""with g as ({GATED}) select count(*) as n, count(*) filter (gate) as passed, count(*) filter (not gate) as failed, count(*) filter (gate is null) as unknown,
+  round(avg(quality::double), 4) as clip_score_mean, round(avg(case when n_chars > 1000 then n_chars / 100.0 end), 4) as aesthetic_mean,
+  count(*) filter (doc_id % 9 = 0) as n_duplicates, count(*) filter (toxic = 1) as n_release_blocked from g""")
+def pack_summary(spark: SparkSession, d: str) -> DataFrame:
+    q = F.struct(F.col("quality").cast("double").alias("clip_score"), F.when(F.col("n_chars") > 1000, F.col("n_chars") / F.lit(100.0)).alias("aesthetic"), F.col("gate").alias("passed_gate"))
+    s = F.struct((F.col("doc_id") % 9 == 0).alias("is_duplicate"), (F.col("toxic") == 1).alias("release_blocked"))
+    return quality.pack_summary(gated(spark, d).select(F.struct(q.alias("quality"), s.alias("safety")).alias("dataset")), ["clip_score", "aesthetic"])
