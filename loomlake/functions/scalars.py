@@ -146,14 +146,14 @@ def fixed(c: Column, digits: int, missing: str = "-") -> Column:
 
 def dct(values: Column, n: int) -> Column:
     """DCT-II, not normalised, of an array of n numbers."""
-    rows = [F.array(*[F.lit(math.cos((i + 0.5) * k * math.pi / n)) for i in range(n)]) for k in range(n)]
-    dot = lambda row: F.aggregate(F.zip_with(values, row, lambda x, c: x * c), F.lit(0.0), lambda t, x: t + x)
-    return F.array(*[dot(row) for row in rows])
+    wave = lambda k: F.aggregate(F.transform(values, lambda x, i: x * F.cos((i + 0.5) * k * F.lit(math.pi / n))), F.lit(0.0), lambda t, x: t + x)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), wave)
 
 
 def bits_to_long(flags: Column, n: int = 64) -> Column:
     """Bit i of the result is flags[i]."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0).cast("long"), lambda t, i: t.bitwiseOR(F.when(F.get(flags, i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    bits = F.transform(flags, lambda f, i: F.when(f & (i < n), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda t, b: t.bitwiseOR(b))
 
 
 def average_hash(pixels: Column, n: int = 64) -> Column:
@@ -163,9 +163,10 @@ def average_hash(pixels: Column, n: int = 64) -> Column:
 
 def dct_hash(values: Column, n: int = 64) -> Column:
     """Sign hash of the DCT coefficients of one vector against the median of those after the first."""
-    found = dct(values, n)
-    middle = F.get(F.array_sort(F.slice(found, 2, n - 1)), F.lit((n - 1) // 2))
-    return bits_to_long(F.transform(found, lambda x: x > middle), n)
+    above = lambda found: F.transform(found, lambda x: x > F.get(F.array_sort(F.slice(found, 2, n - 1)), F.lit((n - 1) // 2)))
+    # A fold over one item names the coefficients, so that they are worked out once.
+    flags = F.aggregate(F.array(dct(values, n)), F.array().cast("array<boolean>"), lambda _, found: above(found))
+    return bits_to_long(flags, n)
 
 
 def cosine(a: Column, b: Column) -> Column:

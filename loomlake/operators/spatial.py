@@ -30,12 +30,18 @@ def greedy_matches(entities: Column, detections: Column, iou_threshold: float =
 
     def step(state: Column, e: Column) -> Column:
         same = F.filter(places, lambda d: F.coalesce(labels_match(e["label"], d["label"]), F.lit(False)))
-        free = F.filter(same, lambda d: ~F.array_contains(state["used"], d["i"]))
-        none = F.struct(F.lit(0.0).alias("iou"), F.lit(-1).alias("i"))
-        best = F.aggregate(free, none, lambda b, d: F.when(iou(e["bbox"], d["bbox"]) > b["iou"], F.struct(iou(e["bbox"], d["bbox"]).alias("iou"), d["i"].alias("i"))).otherwise(b))
-        hit = (best["i"] >= 0) & (best["iou"] >= iou_threshold)
-        row = F.struct(e["label"].alias("id"), (F.size(same) > 0).alias("detected"), hit.alias("matched"), F.round(best["iou"], 4).alias("iou"))
-        return F.struct(F.when(hit, F.array_append(state["used"], best["i"])).otherwise(state["used"]).alias("used"), F.array_append(state["out"], row).alias("out"))
+        free = F.filter(same, lambda d: ~F.array_contains(state["used"], d["i"].cast("int")))
+        kind = "struct<iou:double,i:int>"
+        scored = F.transform(free, lambda d: F.struct(iou(e["bbox"], d["bbox"]).alias("iou"), d["i"].cast("int").alias("i")))
+        best = F.aggregate(scored, F.struct(F.lit(0.0).alias("iou"), F.lit(-1).alias("i")).cast(kind), lambda b, d: F.when(d["iou"] > b["iou"], d).otherwise(b))
+
+        def settle(now: Column, b: Column) -> Column:
+            hit = (b["i"] >= 0) & (b["iou"] >= iou_threshold)
+            row = F.struct(e["label"].alias("id"), (F.size(same) > 0).alias("detected"), hit.alias("matched"), F.round(b["iou"], 4).alias("iou"))
+            return F.struct(F.when(hit, F.array_append(now["used"], b["i"])).otherwise(now["used"]).alias("used"), F.array_append(now["out"], row).alias("out"))
+
+        # A fold over one item names the best overlap.
+        return F.aggregate(F.array(best), state, settle)
 
     return F.aggregate(entities, start, step)["out"]
 

@@ -174,8 +174,8 @@ def layout_faithfulness(spark: SparkSession, d: str) -> DataFrame:
     seen = lambda name, i: F.struct(F.lit(name).alias("label"), box("embedding", i).alias("bbox"), F.lit(0.5).alias("score"))
     e = F.array(thing("cat", 0), thing("big_dog", 8), thing("cat", 16))
     t = F.array(seen("cat", 4), seen("dog", 12), seen("Cat", 20), seen("tree", 24))
-    f = spatial.faithfulness(spatial.greedy_matches(e, t))
-    return table(spark, d, "embeddings").select("vec_id", *[f[c].alias(c) for c in ("score", "detection_coverage", "mean_iou", "n_entities", "n_detected", "n_matched")])
+    rows = table(spark, d, "embeddings").select("vec_id", spatial.greedy_matches(e, t).alias("m")).select("vec_id", spatial.faithfulness(F.col("m")).alias("f"))
+    return rows.select("vec_id", *[F.col("f")[c].alias(c) for c in ("score", "detection_coverage", "mean_iou", "n_entities", "n_detected", "n_matched")])
 
 
 def sign_hash(e: str) -> object:
