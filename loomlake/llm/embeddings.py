@@ -159,7 +159,7 @@ def near_vectors(table: DataFrame, *, cosine: float = 0.98, blocks: int = 4, axe
                     continue
                 own, w = ids[a:b], n[a:b]
                 counts = np.bincount(i, w[j], b - a) + np.bincount(j, w[i], b - a)
-                roots = np.array(local_roots(b - a, i.tolist(), j.tolist()))
+                roots = local_roots(b - a, i, j)
                 some = np.flatnonzero(counts)
                 out[0].append(own[some])
                 out[1].append(own[roots[some]])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,18 +48,25 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def local_roots(n: int, a: list[int], b: list[int]) -> list[int]:
+def link(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the items of each pair in a forest that holds every item's root; roots stay the least items."""
+    a, b = root[a], root[b]
+    while True:
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+        a, b = root[a], root[b]
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index that each of n items reaches by the given links."""
-    root = list(range(n))
-    for x, y in zip(a, b, strict=True):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        while root[y] != y:
-            root[y] = root[root[y]]
-            y = root[y]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    for i in range(n):
-        root[i] = root[root[i]]
+    root = np.arange(n)
+    link(root, np.asarray(a, np.int64), np.asarray(b, np.int64))
     return root

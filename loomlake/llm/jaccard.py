@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm.common import byte_table, mix, stage_table
-from loomlake.llm.graph import components, local_roots
+from loomlake.llm.graph import components, link, local_roots
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
@@ -240,13 +240,14 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, t
             ids, sub = whole.column(4).to_numpy(), whole.column(3).to_numpy()
             sig = np.frombuffer(b"".join(whole.column(5).to_pylist()), np.uint16).reshape(-1, HASHES)
             width = np.diff(bounds)
-            left: list[np.ndarray] = []
-            right: list[np.ndarray] = []
+            names, node = np.unique(ids, return_inverse=True)
+            root, linked = np.arange(len(names)), np.zeros(len(names), bool)
 
             def tested(i: np.ndarray, j: np.ndarray) -> None:
                 i, j = pruned(sig, i, j, least)
-                left.append(i)
-                right.append(j)
+                i, j = node[i], node[j]
+                linked[i] = linked[j] = True
+                link(root, i, j)
 
             # Groups of equal size up to 32 are paired at once.
             for w in np.unique(width[(width > 1) & (width <= 32)]):
@@ -259,14 +260,8 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, t
                 i, j = across(sub[lo:hi], keys[1][lo], keys[2][lo])
                 for at in range(0, len(i), 1 << 16):
                     tested(i[at : at + (1 << 16)] + lo, j[at : at + (1 << 16)] + lo)
-            if left:
-                i, j = np.concatenate(left), np.concatenate(right)
-                used, flat = np.unique(np.r_[i, j], return_inverse=True)
-                names, node = np.unique(ids[used], return_inverse=True)
-                ends = node[flat]
-                roots = np.array(local_roots(len(names), ends[: len(i)].tolist(), ends[len(i) :].tolist()), np.int64)
-                if len(names):
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[roots])], names=["u", "v"])
+            if linked.any():
+                yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[root[linked]])], names=["u", "v"])
 
         yield from each_group(batches, 3, make)
 
@@ -305,7 +300,7 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, t
                 some = np.flatnonzero(links.any(axis=1))
                 if not len(some):
                     continue
-                roots = np.array(local_roots(len(fresh), a.tolist(), b.tolist()))
+                roots = local_roots(len(fresh), a, b)
                 out[0].append(ids[fresh[some]])
                 out[1].append(ids[fresh[roots[some]]])
                 out[2].append((links @ copies[fresh])[some])
