@@ -57,7 +57,7 @@ def count_words(texts: DataFrame, classes: int) -> DataFrame:
             for t in batch.column(0):
                 seen.update(words_of(t.as_py()))
                 seen[END] += 1
-                if len(seen) > 400_000:
+                if len(seen) > 120_000:
                     yield out()
         yield out()
 
@@ -102,8 +102,8 @@ class Hmm:
         first, size = begin[of] + nth * RUN, np.minimum(RUN, lengths[of] - nth * RUN)
         order = np.argsort(-size, kind="stable")
         padded = np.append(symbols.astype(np.int64), pad)
-        for at in range(0, len(order), 1024):
-            some = order[at : at + 1024]
+        for at in range(0, len(order), 512):
+            some = order[at : at + 512]
             n, top = len(some), int(size[some[0]])
             steps = np.arange(top)[:, None]
             live = steps < size[some][None, :]
@@ -210,8 +210,8 @@ def baum_welch(texts: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(n, k)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                shared.value.expect(*unpacked(batch.column(0).slice(at, 2000)), counts)
+            for at in range(0, batch.num_rows, 500):
+                shared.value.expect(*unpacked(batch.column(0).slice(at, 500)), counts)
         some = np.flatnonzero(counts.emit.any(axis=1))
         keys = np.concatenate([some, np.arange(n, n + k + 1)])
         values = np.vstack([counts.emit[some], counts.move, counts.start])
@@ -277,7 +277,8 @@ def score_documents(docs: DataFrame, *, states: int = 8, words: int = 40_000, cl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(shared.value.forward(*unpacked(batch.column(6))))], names=["row", "doc_id", "held_out", "n_tokens", "base", "known", "path"])
+            path = np.concatenate([shared.value.forward(*unpacked(batch.column(6).slice(at, 1000))) for at in range(0, max(1, batch.num_rows), 1000)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(path)], names=["row", "doc_id", "held_out", "n_tokens", "base", "known", "path"])
 
     scored = coded.select("row", "doc_id", "held_out", "n_tokens", "base", "known", "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, path double")
     size = spark.createDataFrame([(b, *by_class.get(b, (0, 0))) for b in range(classes)], "class int, total long, kinds long")
