@@ -110,7 +110,7 @@ def rules() -> dict[str, Column]:
         "layout_relations": truth(F.size(relations) >= 1),
         "entity_kind": truth(F.forall(entities, lambda e: one_of(e["kind"], V.ENTITY_KINDS) & text_ok(e["id"]))),
         "entity_box": truth(F.forall(entities, lambda e: box_valid(e["bbox"]))),
-        "entity_full_frame": truth(F.forall(entities, lambda e: (e["kind"] == "background") | (box_area(e["bbox"]) < 0.98))),
+        "entity_full_frame": truth(F.forall(entities, lambda e: (e["kind"] == "background") | ~box_valid(e["bbox"]) | (box_area(e["bbox"]) < 0.98))),
         "entity_ids": truth(unique_ids(ids)),
         "relation_predicate": truth(F.forall(relations, lambda r: one_of(normal_predicate(r["predicate"]), V.PREDICATES))),
         "relation_ends": truth(F.size(unknown_ends(ends, ids)) == 0),
