@@ -10,18 +10,19 @@ document has, drop out, and the threshold ends the rounds. Three sorted rounds d
    the string does. Positions whose sampled substring stays within one document are unique and end here;
 3. the last doubling, for the positions that are left: pairs of ranks at p and p + L/2.
 
-Every round shuffles fixed-size rows and reads its sorted runs in a stream: the first document of a run
-is the earliest. Nothing is gathered by key, so a string that very many documents share costs no memory.
+Every round is a shuffle of position rank pairs that are sorted in their partitions; of the rows of one
+rank only those of its least document are kept back. A string that very many documents share costs no
+memory, and the memory of a task grows with the distinct ranks it gets, which hashing keeps even.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm.common import byte_table, drop_table, free_shuffles, mix, ranges, stage_table
@@ -29,8 +30,9 @@ from loomlake.llm.common import byte_table, drop_table, free_shuffles, mix, rang
 GEAR = byte_table(4, np.uint32)
 TABLE = byte_table(5)
 BASE = 0xDA942042E4DD58B5
-CHUNK_BITS = 6
-SLICE = 2 << 20
+CHUNK_BITS = 5
+LONGEST = 4095  # window starts that one row may stand for
+SLICE = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -75,57 +77,130 @@ class Strings:
         return np.flatnonzero(cut[: len(h)])
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int, shared: bool, out: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Read rows sorted by `keys` columns and then the document, in runs of equal keys.
+Columns = list[np.ndarray]
+SPAN = {"doc": np.int64, "th": np.int32, "at": np.int64}
 
-    shared: rows of all runs with several documents; else only rows that a document before theirs precedes.
+
+def placed(doc: np.ndarray, th: np.ndarray, row: int, owner: np.ndarray, begin: np.ndarray, count: np.ndarray) -> Columns:
+    """doc, th and at: the first of `count` window starts, and 12 bits for how many they are."""
+    return [doc[row + owner], th[row + owner], begin << 12 | count]
+
+
+def packed(cols: Columns) -> bytes:
+    """Columns byte plane by byte plane, so that equal high bytes stand together for the shuffle's compression."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in cols)
+
+
+def unpacked(data: bytes, n: int, kinds: list[type]) -> Columns:
+    out, at = [], 0
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+def partition_keys(spark: SparkSession, tasks: int) -> np.ndarray:
+    """For each of so many hash partitions a number that goes there."""
+    ids, need = F.col("id").cast("int"), 16
+    while True:
+        rows = spark.range(need * tasks).groupBy(F.pmod(F.hash(ids), F.lit(tasks)).alias("p")).agg(F.min(ids).alias("k")).collect()
+        if len(rows) == tasks:
+            return np.array([k for _, k in sorted((r["p"], r["k"]) for r in rows)], np.int32)
+        need *= 2
+
+
+def dealt(parts: Iterator[Columns], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Deal rows out by their first key: one row (bucket, n, rows) for what a bucket gets of some megabytes of text."""
+    held: list[Columns] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        bucket = ((cols[0] >> np.uint64(8)) % np.uint64(len(buckets))).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cols, bucket = [c[order] for c in cols], bucket[order]
+        at = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+        pieces = [packed([c[a:b] for c in cols]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(buckets[bucket[at[:-1]]]), pa.array(np.diff(at).astype(np.int32)), pa.array(pieces, pa.binary())], names=["bucket", "n", "rows"])
+
+    for cols in parts:
+        if len(cols[0]):
+            held.append(cols)
+            size += len(cols[0])
+            if size > 1 << 19:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+class Runs:
+    """Rows in groups of equal keys, read in any order; least tells the smallest document of a group so far.
+
+    shared: the rows of all groups with several documents are wanted; else only those that a smaller document
+    precedes. What is certain goes out when the rows are sorted; kept back are rows whose document is the
+    least of its group so far, so a string that very many documents have takes little memory.
     """
-    key, doc0, open_, pending = None, 0, False, []
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        cols, doc = [batch.column(c).to_numpy() for c in range(keys)], batch.column(keys).to_numpy()
+
+    def __init__(self, keys: int, shared: bool) -> None:
+        self.keys, self.shared, self.rows, self.size, self.out = keys, shared, [], 0, None
+
+    def add(self, cols: Columns) -> Iterator[Columns]:
+        self.rows.append([*cols, np.zeros(len(cols[0]), bool)])
+        self.size += len(cols[0])
+        if self.size > 1_000_000:
+            yield from self.sort()
+
+    def sort(self) -> Iterator[Columns]:
+        if not self.size:
+            return
+        cols = [np.concatenate(c) for c in zip(*self.rows, strict=True)]
+        order = np.argsort(cols[0], kind="stable") if self.keys == 1 else np.lexsort(cols[: self.keys][::-1])
+        cols = [c[order] for c in cols]
+        n = len(order)
         new = np.zeros(n, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        goes_on = key is not None and all(c[0] == k for c, k in zip(cols, key, strict=True))
         new[0] = True
-        at = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        first = doc[at].copy()
-        if goes_on:
-            first[0] = doc0
-        above = doc > first[run]
-        keep = above
-        kept = batch.select(out) if hasattr(batch, "select") else batch
-        if shared:
-            multi = np.logical_or.reduceat(above, at)
-            if goes_on and open_:
-                multi[0] = True
-            if goes_on and multi[0]:
-                yield from pending
-                pending = []
-            elif not goes_on or len(at) > 1:
-                pending = []
-            keep = multi[run]
-            open_ = bool(multi[-1])
-            if not open_:
-                pending = [*pending, kept.slice(int(at[-1]))] if len(at) == 1 and goes_on else [kept.slice(int(at[-1]))]
-            else:
-                pending = []
-        if keep.any():
-            yield pa.RecordBatch.from_arrays(kept.filter(pa.array(keep)).columns, names=names)
-        key, doc0 = [c[-1] for c in cols], int(first[-1])
-
-
-def sorted_runs(rows: DataFrame, keys: list[str], shared: bool, out: list[str], parts: int) -> DataFrame:
-    """Sort rows (keys, doc, ...) by keys and document within hash partitions of the keys, and read their runs."""
-    at = [rows.columns.index(c) for c in out]
-    order = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "doc")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (rows.schema[c] for c in out))
-    n = len(keys)
-    return order.mapInArrow(lambda batches: runs(batches, n, shared, at, out), schema)
+        for c in cols[: self.keys]:
+            new[1:] |= c[1:] != c[:-1]
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        doc, gone = cols[self.keys], cols[-1]
+        least = np.minimum.reduceat(doc, at)
+        if self.shared:
+            # gone marks a row that went out, left behind to tell that its group is shared.
+            many = ((least != np.maximum.reduceat(doc, at)) | np.logical_or.reduceat(gone, at))[group]
+            go, keep = many & ~gone, ~many | new
+            cols[-1] = many
+        else:
+            go = doc > least[group]
+            keep = ~go
+        self.rows = [[c[keep] for c in cols]]
+        self.size = int(keep.sum())
+        if go.any():
+            yield [c[go] for c in cols[self.keys : -1]]
+
+
+def ranked(parts: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[Columns]], kinds: list[type], shared: bool, tasks: int) -> DataFrame:
+    """One round: make gives columns (keys, doc, th, at) of the texts; rows (doc, th, at) of the groups come out.
+
+    Rows travel packed, some thousands in one, as Spark spends more on a small row than its sorting takes.
+    """
+    keys, buckets = len(kinds), partition_keys(parts.sparkSession, tasks)
+    kinds = [*kinds, *SPAN.values()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Runs(keys, shared)
+        batch_of = lambda cols: pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list(SPAN))
+        for batch in batches:
+            for n, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for cols in found.add(unpacked(data.as_py(), n, kinds)):
+                    yield batch_of(cols)
+        for cols in found.sort():
+            yield batch_of(cols)
+
+    rows = parts.mapInArrow(lambda b: dealt(make(b), buckets), "bucket int, n int, rows binary")
+    return rows.repartition(tasks, "bucket").mapInArrow(read, "doc long, th int, at long")
 
 
 def sliced(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -154,30 +229,30 @@ def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (doc, th, text) with the lists of what spans (doc, th, begin, stop) has of each."""
-    lists = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("begin", "stop")).alias("s")).select("doc", "th", F.col("s.begin").alias("begins"), F.col("s.stop").alias("stops"))
-    return docs.join(lists, ["doc", "th"], "left").select("doc", "th", "text", "begins", "stops")
+    """docs (doc, th, text) with the list of what spans (doc, th, at) has of each."""
+    lists = spans.groupBy("doc", "th").agg(F.collect_list("at").alias("spans"))
+    return docs.join(lists, ["doc", "th"], "left").select("doc", "th", "text", "spans")
 
 
-def listed(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = batch.column(3)[row], batch.column(4)[row]
-    if not a.is_valid:
+def listed(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and stops of a list of packed spans."""
+    if not spans.is_valid:
         z = np.zeros(0, np.int64)
         return z, z
-    return np.asarray(a.values, np.int64), np.asarray(b.values, np.int64)
+    at = np.asarray(spans.values, np.int64)
+    return at >> 12, (at >> 12) + (at & 4095)
 
 
 def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc, th, begin, stop): ranges of starts of `length`-byte strings that a document with a smaller id has too.
+    """(doc, th, at): ranges of starts, as placed() packs them, of `length`-byte strings that a document with a smaller id has too.
 
     docs: doc (not null), th (a hash of the text) and text.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     depth = (length + 1) // 2
     window = length - depth + 1
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
         for batch in batches:
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, texts in sliced(batch, 2):
@@ -191,18 +266,20 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
                 stop = np.minimum(after, limit - length + 1)
                 some = stop > begin
                 begin, after, stop, owner, limit = begin[some], after[some], stop[some], owner[some], limit[some]
+                if len(begin) and (stop - begin).max() > LONGEST:
+                    parts = -(-(stop - begin) // LONGEST)
+                    back = np.repeat(np.arange(len(begin)), parts)
+                    nth = np.arange(len(back)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    owner, limit, last, end = owner[back], limit[back], stop[back], after[back]
+                    begin = begin[back] + LONGEST * nth
+                    stop, after = np.minimum(begin + LONGEST, last), np.minimum(begin + LONGEST, end)
                 end = np.minimum(after + length - 1, limit)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.hash(begin, end).view(np.int64)), pa.array(doc[row + owner]), pa.array(th[row + owner]), pa.array((begin - s.first[owner]).astype(np.int32)), pa.array((stop - s.first[owner]).astype(np.int32))],
-                    names=["h", "doc", "th", "begin", "stop"],
-                )
-
-    span = ["doc", "th", "begin", "stop"]
-    rows = docs.mapInArrow(stretches, "h long, doc long, th int, begin int, stop int")
-    whole = stage_table(sorted_runs(rows, ["h"], False, span, 2 * parts), "stretches")
+                yield [s.hash(begin, end), *placed(doc, th, row, owner, begin - s.first[owner], stop - begin)]
+
+    whole = stage_table(ranked(docs, stretches, [np.uint64], False, tasks), "stretches")
     free_shuffles(spark)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
         for batch in batches:
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, texts in sliced(batch, 2):
@@ -221,7 +298,7 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
                 chief = (low[:n] & np.uint64((1 << 24) - 1)).astype(np.int64)
                 live = s.stop[:n] - np.arange(n) >= length
                 for i in range(len(texts)):
-                    a, b = listed(batch, row + i)
+                    a, b = listed(batch.column(3)[row + i])
                     for x, y in zip(*merged(a, b), strict=True):
                         live[s.first[i] + x : s.first[i] + y] = False
                 new = np.r_[True, chief[1:] != chief[:-1]] | ~live
@@ -231,21 +308,18 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
                 some = live[at]
                 at, stop = at[some], stop[some]
                 owner = np.searchsorted(s.first + s.sizes, at, "right")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[chief[at]].view(np.int64)), pa.array(doc[row + owner]), pa.array(th[row + owner]), pa.array((at - s.first[owner]).astype(np.int32)), pa.array((stop - s.first[owner]).astype(np.int32))],
-                    names=["h", "doc", "th", "begin", "stop"],
-                )
+                # 48 bits of a name do, as the next round tells apart what they confuse.
+                yield [name[chief[at]] >> np.uint64(16), *placed(doc, th, row, owner, at - s.first[owner], stop - at)]
 
-    rows = with_spans(docs, whole).mapInArrow(sampled, "h long, doc long, th int, begin int, stop int")
-    left = stage_table(sorted_runs(rows, ["h"], True, span, 2 * parts), "samples")
+    left = stage_table(ranked(with_spans(docs, whole), sampled, [np.uint64], True, tasks), "samples")
     free_shuffles(spark)
 
-    def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
         for batch in batches:
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, texts in sliced(batch, 2):
                 s = Strings(texts)
-                spans = [merged(*listed(batch, row + i)) for i in range(len(texts))]
+                spans = [merged(*listed(batch.column(3)[row + i])) for i in range(len(texts))]
                 owner = np.repeat(np.arange(len(texts)), [len(a) for a, _ in spans])
                 if not len(owner):
                     continue
@@ -253,21 +327,24 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
                 at = ranges(begin + s.first[owner], stop - begin)
                 owner = np.repeat(owner, stop - begin)
                 later = at + length - depth
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.hash(at, at + depth).view(np.int64)), pa.array(s.hash(later, later + depth).view(np.int64)), pa.array(doc[row + owner]), pa.array(th[row + owner]), pa.array((at - s.first[owner]).astype(np.int32))],
-                    names=["r", "r2", "doc", "th", "begin"],
-                )
+                second = (s.hash(later, later + depth) >> np.uint64(32)).astype(np.uint32)
+                yield [s.hash(at, at + depth), second, *placed(doc, th, row, owner, at - s.first[owner], np.ones(len(at), np.int64))]
 
-    rows = with_spans(docs, left).filter("begins is not null").mapInArrow(doubled, "r long, r2 long, doc long, th int, begin int")
-    found = stage_table(sorted_runs(rows, ["r", "r2"], False, ["doc", "th", "begin"], 2 * parts), "pairs")
+    pairs = stage_table(ranked(with_spans(docs, left).filter("spans is not null"), doubled, [np.uint64, np.uint32], False, tasks), "pairs")
     free_shuffles(spark)
     drop_table(left)
-    return whole.unionByName(found.withColumn("stop", F.col("begin") + 1))
+    return whole.unionByName(pairs)
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, th and text of the rows whose text can hold a match or must be reported; th tells texts of one id apart."""
-    return docs.select(F.col(key).alias("doc"), F.hash(text).alias("th"), F.col(text).alias("text"))
+def text_key(docs: DataFrame) -> Column:
+    """A hash that tells different texts of one doc_id apart, where there are any; else 0."""
+    found = docs.select("doc_id", F.hash("text").alias("th"))
+    twice = found.groupBy("doc_id").agg((F.min("th") != F.max("th")).alias("twice")).filter("twice")
+    return F.lit(0) if twice.isEmpty() else F.hash("text")
+
+
+def keyed(docs: DataFrame, th: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("doc"), th.alias("th"), F.col("text").alias("text"))
 
 
 def covered(begin: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +359,7 @@ def dedup_report(docs: DataFrame, *, length: int = 50) -> DataFrame:
     doc_id. Texts are judged as they are read, not by what is left of them. A null text is empty.
     Rows with one doc_id don't count against each other; rows with a null doc_id keep everything.
     """
-    rows = keyed(docs.select("doc_id", "text"))
+    rows = keyed(docs, text_key(docs))
     spans = repeated_windows(rows.filter("doc is not null"), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +367,7 @@ def dedup_report(docs: DataFrame, *, length: int = 50) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for i in range(batch.num_rows):
                 data = (batch.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass")
-                begin, stop = covered(*listed(batch, i), length)
+                begin, stop = covered(*listed(batch.column(3)[i]), length)
                 sha, at = hashlib.sha256(), 0
                 for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
                     sha.update(data[at:a])
@@ -308,13 +385,12 @@ def drop_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
 
     All columns stay; n_chars, where there is one, is counted anew. Null texts stay null.
     """
-    rows = keyed(docs.select("doc_id", "text"))
-    spans = repeated_windows(rows.filter("doc is not null"), length)
-    lists = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("begin", "stop")).alias("s"))
-    lists = lists.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("s.begin").alias("_begins"), F.col("s.stop").alias("_stops"))
-    met = docs.join(lists, (docs["doc_id"] == lists["_doc"]) & (F.hash(docs["text"]) == lists["_th"]), "left")
+    th = text_key(docs)
+    spans = repeated_windows(keyed(docs, th).filter("doc is not null"), length)
+    lists = spans.groupBy("doc", "th").agg(F.collect_list("at").alias("_spans")).withColumnsRenamed({"doc": "_doc", "th": "_th"})
     names, at = docs.columns, docs.columns.index("text")
-    met = met.select(F.lit(0).alias("_a"), F.lit(0).alias("_b"), docs["text"].alias("_text"), "_begins", "_stops", *(docs[c] for c in names))
+    met = docs.withColumn("_key", th).join(lists, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_th")), "left")
+    met = met.select("_spans", *names)
     count = names.index("n_chars") if "n_chars" in names else None
     schema = docs.schema
 
@@ -322,8 +398,8 @@ def drop_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
         for batch in batches:
             texts: list[str | None] = []
             for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py()
-                begin, stop = covered(*listed(batch, i), length)
+                text = batch.column(at + 1)[i].as_py()
+                begin, stop = covered(*listed(batch.column(0)[i]), length)
                 if text is not None and len(begin):
                     data, kept, last = text.encode("utf-8", "surrogatepass"), [], 0
                     for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
@@ -335,7 +411,7 @@ def drop_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
                         last = b
                     text = b"".join([*kept, data[last:]]).decode("utf-8", "surrogatepass")
                 texts.append(text)
-            cols = list(batch.columns[5:])
+            cols = list(batch.columns[1:])
             cols[at] = pa.array(texts, pa.string())
             if count is not None:
                 cols[count] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols[count].type)
