@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +14,17 @@ from pyspark.sql import functions as F
 from loomlake.functions.scalars import hamming
 
 
+@cache
+def local_folder() -> str:
+    """Where no shared folder is set, as in tests: one of this process, gone when it ends."""
+    path = tempfile.mkdtemp(prefix="loomlake-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def cut_lineage(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Write df into the shared checkpoint folder and read it back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomlake-')}"
-    path = f"{base}/loomlake-hash-{uuid.uuid4().hex}"
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or local_folder()}/loomlake-hash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
