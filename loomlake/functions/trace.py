@@ -211,10 +211,10 @@ def stage_prompt(stage: str, instruction: str, schema: str) -> Column:
     prior = F.array_compact(F.array(*[F.when(F.col(s).isNotNull(), F.concat(F.lit(f"- {V.STAGE_LABELS[s]} {s}: "), compact_prior(s))) for s in before])) if before else F.array().cast("array<string>")
     return F.concat_ws(
         "\n\n",
-        F.concat(F.lit("ORIGINAL PROMPT:\n"), F.col("prompt")),
-        F.when(F.size(prior) > 0, F.concat(F.lit("DECISIONS SO FAR:\n"), F.array_join(prior, "\n"))),
+        F.concat(F.lit("Prompt:\n"), F.col("prompt")),
+        F.when(F.size(prior) > 0, F.concat(F.lit("Decided so far:\n"), F.array_join(prior, "\n"))),
         F.lit(instruction),
-        F.lit(f"Respond with a single JSON object that validates against this JSON Schema:\n{schema}"),
+        F.lit(f"Answer with one JSON object that fits this JSON Schema:\n{schema}"),
     )
 
 

@@ -65,6 +65,6 @@ MEMORY_RATE = 0.00000222
 LEAST_CORES = 0.125
 
 # Gate limits and safety levels.
-GATE = {"min_clip": 0.22, "min_aesthetic": 4.5, "min_faithfulness": 0.3, "max_nsfw": 0.5}
+GATE = {"clip_min": 0.22, "aesthetic_min": 4.5, "faithfulness_min": 0.3, "nsfw_max": 0.5}
 NSFW_BLOCKED, NSFW_REVIEW = 0.85, 0.5
 METRICS = ["clip_score", "aesthetic", "image_reward", "faithfulness", "detection_coverage"]

@@ -38,17 +38,20 @@ def prompt_stratum(prompts: DataFrame, subjects: DataFrame, *, prompt: str = "pr
 def assemble(records: DataFrame, traces: DataFrame, *, license_name: str, code_version: str) -> DataFrame:
     """Join render records to their traces by id; records without a trace go, repeated ones stay.
 
-    The render's prompt becomes the enriched prompt and its seed replaces the trace's, null or not. The
+    The render's prompt, images and, where it has them, final images replace the trace's, and so does its
+    seed, null or not. The
     dataset block is written anew, without split, safety and quality.
     """
-    r = records.select("id", F.col("prompt").alias("_prompt"), F.col("seed").alias("_seed"), F.col("telemetry").alias("_telemetry"), F.col("images").alias("_images"))
+    taken = {"prompt": "_prompt", "seed": "_seed", "telemetry": "_telemetry", "images": "_images"}
+    finals = [c for c in ("final_image", "final_images") if c in records.columns]
+    r = records.select("id", *[F.col(c).alias(n) for c, n in taken.items()], *[F.col(c).alias(f"_{c}") for c in finals])
     met = r.join(traces, "id")
     block = traces.schema["dataset"].dataType.simpleString()
     fresh = F.from_json(F.to_json(F.struct(F.lit(license_name).alias("license"), F.lit(code_version).alias("code_version"))), block)
     return met.withColumns({
-        "enriched_prompt": F.coalesce("_prompt", "enriched_prompt"), "images": F.col("_images"), "render": render_telemetry(F.col("_telemetry"), keep_missing=True),
-        "meta": F.col("meta").withField("seed", F.col("_seed")), "dataset": fresh,
-    }).drop("_prompt", "_seed", "_telemetry", "_images")
+        "enriched_prompt": F.col("_prompt"), "images": F.col("_images"), "render": render_telemetry(F.col("_telemetry"), keep_missing=True),
+        "meta": F.col("meta").withField("seed", F.col("_seed")), "dataset": fresh, **{c: F.col(f"_{c}") for c in finals},
+    }).drop(*taken.values(), *[f"_{c}" for c in finals])
 
 
 def existing_images(records: DataFrame, files: DataFrame) -> DataFrame:

@@ -15,10 +15,11 @@ def nsfw_label(p: Column) -> Column:
 def safety(p: Column) -> Column:
     """Safety block of a record from its NSFW probability; blocked only by the label."""
     kind = nsfw_label(p)
+    # The names of the checks that are made and of those that are still to come.
+    made, pending = ["nsfw"], ["csam_hash", "pii_scan"]
     return F.struct(
-        p.alias("nsfw"), kind.alias("nsfw_label"), (kind == "blocked").alias("release_blocked"), (kind == "review").alias("needs_review"),
-        F.when(p.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit("nsfw"))).alias("checks_applied"),
-        F.array(*[F.lit(x) for x in ("face", "pii", "watermark")]).alias("checks_pending"),
+        p.alias("nsfw"), kind.alias("nsfw_label"), (kind == "blocked").alias("release_blocked"), kind.isin("review", "blocked").alias("needs_review"),
+        F.array(*[F.lit(x) for x in made]).alias("checks_applied"), F.array(*[F.lit(x) for x in pending]).alias("checks_pending"),
     )
 
 
@@ -29,8 +30,8 @@ def gate_reasons(clip: Column, aesthetic: Column, faithfulness: Column, nsfw: Co
     if unknown:
         raise ValueError(f"no such limits: {sorted(unknown)}")
     tests = [
-        (duplicate, "duplicate"), (clip < t["min_clip"], "low_clip"), (aesthetic < t["min_aesthetic"], "low_aesthetic"),
-        (faithfulness < t["min_faithfulness"], "low_faithfulness"), (nsfw > t["max_nsfw"], "nsfw"), (blocked, "release_blocked"),
+        (duplicate, "duplicate"), (clip < t["clip_min"], "low_clip"), (aesthetic < t["aesthetic_min"], "low_aesthetic"),
+        (faithfulness < t["faithfulness_min"], "low_faithfulness"), (nsfw > t["nsfw_max"], "nsfw"), (blocked, "release_blocked"),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in tests]))
 

@@ -49,7 +49,7 @@ def greedy_matches(entities: Column, detections: Column, iou_threshold: float =
 def faithfulness(matches: Column) -> Column:
     """Score, coverage, mean overlap and counts from greedy_matches; null scores without entities.
 
-    The mean is over detected entities and their overlaps as already rounded.
+    The mean is over detected entities and their overlaps as already rounded, 0 if there are none.
     """
     n = F.size(matches)
     count = lambda f: F.size(F.filter(matches, f))
@@ -57,6 +57,6 @@ def faithfulness(matches: Column) -> Column:
     share = lambda c: F.round(F.try_divide(c.cast("double"), n.cast("double")), 4)
     return F.struct(
         share(count(lambda m: m["matched"])).alias("score"), share(count(lambda m: m["detected"])).alias("detection_coverage"),
-        F.round(F.try_divide(F.aggregate(found, F.lit(0.0), lambda t, x: t + x), F.size(found).cast("double")), 4).alias("mean_iou"),
+        F.when(n > 0, F.coalesce(F.round(F.try_divide(F.aggregate(found, F.lit(0.0), lambda t, x: t + x), F.size(found).cast("double")), 4), F.lit(0.0))).alias("mean_iou"),
         n.alias("n_entities"), count(lambda m: m["detected"]).alias("n_detected"), count(lambda m: m["matched"]).alias("n_matched"), matches.alias("per_entity"),
     )

@@ -78,7 +78,7 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select doc_id, case when p is null then 'unknown' when p >= 0.85 then 'blocked' when p >= 0.5 then 'review' else 'ok' end as nsfw_label,
-  coalesce(p >= 0.85, false) as release_blocked, coalesce(p >= 0.5 and p < 0.85, false) as needs_review
+  coalesce(p >= 0.85, false) as release_blocked, coalesce(p >= 0.5, false) as needs_review
   from (select d.doc_id, (l.toxic * (d.n_chars % 11)) / 10.0::double as p from documents d left join labels l using (doc_id))""")
 def safety_label(spark: SparkSession, d: str) -> DataFrame:
     s = quality.safety((F.col("toxic") * (F.col("n_chars") % 11)) / F.lit(10.0))

@@ -61,7 +61,7 @@ def test_json_of(spark, text, ok):
 
 def test_gate_order_and_nulls(spark):
     none = F.lit(None).cast("double")
-    r = one(spark, quality.gate_reasons(F.lit(0.1), F.lit(1.0), F.lit(0.1), F.lit(0.9), F.lit(True), F.lit(True)), quality.gate_reasons(none, none, none, none, F.lit(None).cast("boolean"), F.lit(None).cast("boolean")), quality.gate_reasons(F.lit(0.3), none, none, F.lit(0.5), F.lit(False), F.lit(False), min_clip=0.5))
+    r = one(spark, quality.gate_reasons(F.lit(0.1), F.lit(1.0), F.lit(0.1), F.lit(0.9), F.lit(True), F.lit(True)), quality.gate_reasons(none, none, none, none, F.lit(None).cast("boolean"), F.lit(None).cast("boolean")), quality.gate_reasons(F.lit(0.3), none, none, F.lit(0.5), F.lit(False), F.lit(False), clip_min=0.5))
     assert r[0] == ["duplicate", "low_clip", "low_aesthetic", "low_faithfulness", "nsfw", "release_blocked"] and r[1] == [] and r[2] == ["low_clip"]
 
 
