@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import crc_text, stage_table
+from loomlake.llm.common import crc_text, lean, stage_table
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = b""
@@ -61,7 +61,7 @@ def count_words(texts: DataFrame, classes: int) -> DataFrame:
                     yield out()
         yield out()
 
-    parts = texts.select("text").mapInArrow(run, "word binary, class int, c long")
+    parts = texts.select("text").mapInArrow(lean(run), "word binary, class int, c long")
     return parts.groupBy("word", "class").agg(F.sum("c").alias("c"))
 
 
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, top: dict[bytes, int], logs: list[float], classes: i
                     names=["row", "doc_id", "held_out", "n_tokens", "symbols", "base", "known", "rare", "times"],
                 )
 
-    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, base double, known long, rare array<binary>, times array<int>")
+    return docs.mapInArrow(lean(run), "row long, doc_id long, held_out boolean, n_tokens long, symbols binary, base double, known long, rare array<binary>, times array<int>")
 
 
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def baum_welch(texts: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
         values = np.vstack([counts.emit[some], counts.move, counts.start])
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(pa.array(values[:, i]) for i in range(k))], names=["symbol", *(f"s{i}" for i in range(k))])
 
-    parts = texts.select("symbols").mapInArrow(run, "symbol int, " + ", ".join(f"s{i} double" for i in range(k)))
+    parts = texts.select("symbols").mapInArrow(lean(run), "symbol int, " + ", ".join(f"s{i} double" for i in range(k)))
     rows = parts.groupBy("symbol").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k))).toArrow()
     at = np.asarray(rows.column(0))
     values = np.stack([np.asarray(rows.column(i + 1)) for i in range(k)], axis=1)
@@ -268,7 +268,8 @@ def score_documents(docs: DataFrame, *, states: int = 8, words: int = 40_000, cl
     logs[-1] = math.log10(ends + 0.1)
     coded = stage_table(encode(rows, top, logs.tolist(), classes), "symbols")
     learn = coded.filter("not held_out").select("symbols")
-    drawn = coded.filter("not held_out").select("row", "symbols", F.xxhash64("row").alias("h")).orderBy("h", "row").limit(sample).toArrow().column("symbols").combine_chunks()
+    picked = coded.filter("not held_out").select("row", F.xxhash64("row").alias("h")).orderBy("h", "row").limit(sample)
+    drawn = coded.select("row", "symbols").join(F.broadcast(picked), "row").orderBy("h", "row").toArrow().column("symbols").combine_chunks()
     drawn = pa.array([x[: 2 * 1024] for x in drawn.to_pylist()], pa.binary())  # of a sampled text its first tokens; only for the starting point
     model = first_model(*unpacked(drawn), share, states, first_rounds)
     for _ in range(rounds):
@@ -280,7 +281,7 @@ def score_documents(docs: DataFrame, *, states: int = 8, words: int = 40_000, cl
             path = np.concatenate([shared.value.forward(*unpacked(batch.column(6).slice(at, 1000))) for at in range(0, max(1, batch.num_rows), 1000)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(path)], names=["row", "doc_id", "held_out", "n_tokens", "base", "known", "path"])
 
-    scored = coded.select("row", "doc_id", "held_out", "n_tokens", "base", "known", "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, path double")
+    scored = coded.select("row", "doc_id", "held_out", "n_tokens", "base", "known", "symbols").mapInArrow(lean(run), "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, path double")
     size = spark.createDataFrame([(b, *by_class.get(b, (0, 0))) for b in range(classes)], "class int, total long, kinds long")
     parts = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = parts.join(rarer.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
