@@ -250,12 +250,19 @@ def score_documents(docs: DataFrame, *, states: int = 8, words: int = 40_000, cl
     scale = math.log10(n + 0.1 * (v + 1))
     real = vocabulary.filter(F.octet_length("word") > 0)
     ends = n - (real.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    frequent = [(bytes(r["word"]), r["c"]) for r in real.filter(F.col("c") >= LEAST).orderBy(F.desc("c"), "word").limit(words).collect()]
+    # Words are taken by bins of their counts, so that neither a sort nor ties send more than `words` of them to the driver.
+    binned = real.withColumn("bin", F.floor(F.log(F.col("c").cast("double")) * 64))
+    sizes = sorted(((r["bin"], r["k"]) for r in binned.filter(F.col("c") >= LEAST).groupBy("bin").agg(F.count("*").alias("k")).collect()), reverse=True)
+    cut, taken = None, 0
+    for at, k in sizes:
+        taken += k
+        if taken > words:
+            break
+        cut = at
+    often = F.lit(False) if cut is None else (F.col("bin") >= cut) & (F.col("c") >= LEAST)
+    frequent = sorted(((bytes(r["word"]), r["c"]) for r in binned.filter(often).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
     top = {w: i for i, (w, _) in enumerate(frequent)}
-    last, least = frequent[-1] if len(frequent) == words else (None, LEAST)
-    rarer = real.filter(F.col("c") < least)
-    if last is not None:
-        rarer = real.filter((F.col("c") < least) | ((F.col("c") == least) & (F.col("word") > F.lit(bytearray(last)))))
+    rarer = binned.filter(~often).drop("bin")
     by_class = {r["class"]: (r["c"], r["v"]) for r in rarer.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
     shares = np.zeros(len(top) + classes + 1)
     shares[: len(top)] = [c for _, c in frequent]
