@@ -37,7 +37,7 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     before = sign(now)
     if before[0]:
         for _ in range(most_rounds):
-            new = stage_table(star_step(star_step(now, True), False), "edges")
+            new = stage_table(star_step(star_step(now, True), False), "edges", before[0])
             drop_table(now)
             now, after = new, sign(new)
             if after == before:

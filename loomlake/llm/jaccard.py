@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import byte_table, mix, stage_table
+from loomlake.llm.common import byte_table, lean, mix, stage_table
 from loomlake.llm.graph import components, link, local_roots
 
 BANDS, ROWS = 24, 4
@@ -217,8 +217,8 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, t
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "cls", "n", "sig"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    signs = stage_table(rows.mapInArrow(signed, "doc_id long, cls binary, n int, sig binary"), "signatures")
-    nodes = signs.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    signs = stage_table(rows.mapInArrow(lean(signed), "doc_id long, cls binary, n int, sig binary"), "signatures")
+    nodes = signs.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = stage_table(nodes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +228,11 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, t
             value = mix((sig * factor).sum(axis=2, dtype=np.uint64) + (np.arange(BANDS, dtype=np.uint64) << np.uint64(40))[None, :])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(value.ravel().view(np.int64))], names=["id", "bucket"])
 
-    buckets = nodes.select("id", "sig").mapInArrow(banded, "id long, bucket long")
+    buckets = nodes.select("id", "sig").mapInArrow(lean(banded), "id long, bucket long")
     crowds = buckets.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     met = tile_pairs(buckets.join(crowds, "bucket"), "bucket", "m", 2 * TILE).join(nodes.select("id", "sig"), "id")
     group = ["bucket", "i", "j"]
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = met.select(*group, "sub", "id", "sig").repartition(parts, *group).sortWithinPartitions(*group)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,22 +253,24 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, t
             for w in np.unique(width[(width > 1) & (width <= 32)]):
                 some = bounds[:-1][(width == w) & (keys[1][bounds[:-1]] == keys[2][bounds[:-1]])]
                 a, b = np.triu_indices(w, 1)
-                for at in range(0, len(some), 4096):
-                    tested((some[at : at + 4096, None] + a).ravel(), (some[at : at + 4096, None] + b).ravel())
+                step = max(1, (1 << 15) // len(a))
+                for at in range(0, len(some), step):
+                    tested((some[at : at + step, None] + a).ravel(), (some[at : at + step, None] + b).ravel())
             for g in np.flatnonzero((width > 32) | ((width > 1) & (keys[1][bounds[:-1]] != keys[2][bounds[:-1]]))):
                 lo, hi = bounds[g], bounds[g + 1]
                 i, j = across(sub[lo:hi], keys[1][lo], keys[2][lo])
-                for at in range(0, len(i), 1 << 16):
-                    tested(i[at : at + (1 << 16)] + lo, j[at : at + (1 << 16)] + lo)
+                for at in range(0, len(i), 1 << 15):
+                    tested(i[at : at + (1 << 15)] + lo, j[at : at + (1 << 15)] + lo)
             if linked.any():
                 yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[root[linked]])], names=["u", "v"])
 
         yield from each_group(batches, 3, make)
 
-    near = components(met.mapInArrow(candidates, "u long, v long")).withColumnRenamed("node", "id")
-    near = stage_table(near, "candidates")
-    crowd = near.groupBy("root").agg(F.count("*").alias("m"))
-    picked = near.join(crowd, "root").join(nodes.select("id", "cls", "copy_id", "copies"), "id")
+    near = components(met.mapInArrow(lean(candidates), "u long, v long")).withColumnRenamed("node", "id")
+    known = near.join(nodes.select("id", "cls", "copy_id", "copies", "n"), "id")
+    # A tile has TILE documents and about a million shingles at most.
+    crowd = known.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") * TILE / (1 << 20))).alias("m"))
+    picked = known.join(crowd, "root")
     texts = rows.join(picked.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("root", "m", "id", "copies", "cls", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +282,7 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, t
                 made = pa.RecordBatch.from_arrays([*(part.column(c) for c in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "m", "id", "copies", "shingles"])
                 yield made.filter(keep)
 
-    sets = texts.mapInArrow(shingled, "root long, m long, id long, copies long, shingles binary")
+    sets = texts.mapInArrow(lean(shingled), "root long, m long, id long, copies long, shingles binary")
     group = ["root", "i", "j"]
     tiled = tile_pairs(sets, "root", "m", TILE).select(*group, "sub", "id", "copies", "shingles").repartition(parts, *group).sortWithinPartitions(*group, "id")
 
@@ -309,7 +311,7 @@ def jaccard_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, t
 
         yield from each_group(batches, 3, make)
 
-    found = stage_table(tiled.mapInArrow(verified, "u long, v long, found long"), "links")
+    found = stage_table(tiled.mapInArrow(lean(verified), "u long, v long, found long"), "links")
     counts = found.groupBy(F.col("u").alias("id")).agg(F.sum("found").alias("found"))
     roots = components(found.select("u", "v")).withColumnRenamed("node", "id")
     named = nodes.select("id", "cls", "copy_id", "copies").join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
