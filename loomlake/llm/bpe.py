@@ -27,11 +27,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from loomlake.llm.common import KEPT, lean
+
 # Fixed value: the pre-split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN = re.compile("[\x00-\x1b -~À-ÖØ-öø-ÿ]*").fullmatch
 LATIN_SPLIT = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+").findall
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 NEVER = 1 << 60
 
 
@@ -214,6 +216,7 @@ def automaton(spec: str) -> MergeAutomaton:
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = MergeAutomaton(spec)
+    KEPT["bpe"] = _BUILT.clear
     return _BUILT[key]
 
 
@@ -243,7 +246,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", te
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids string, decoded string")
+    return docs.select(key, text).mapInArrow(lean(run, "bpe"), f"{key} {kind}, n_tokens long, ids string, decoded string")
 
 
 def digest_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -265,4 +268,4 @@ def digest_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                 right.append(sha(auto.decode(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(counts, np.int64)), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
+import shutil
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='loomlake-')}"
+        path = tempfile.mkdtemp(prefix="loomlake-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        found = f"file://{path}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
     Written rows survive a lost executor, and partitions of the table are read in a fixed order.
+    rows: about how many there are, where they are short and known; then no more files are written than they need.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // 200_000))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(min(2000, int(before)) if int(before) > 0 else 2000))  # whole texts are large rows
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(size, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,34 +66,28 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column without copying: data, starts and ends; a null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    kind = np.int64 if wide else np.int32
-    n = len(column)
-    if n == 0:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint8), z, z
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    starts, ends = at[:-1], at[1:].copy()
-    if column.null_count:
-        gone = ~np.asarray(column.is_valid())
-        ends[gone] = starts[gone]
-    return raw, starts, ends
-
-
-def slices(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows with at most limit bytes each, or a single longer row."""
-    i, n = 0, len(starts)
-    while i < n:
-        j = int(np.searchsorted(ends, starts[i] + limit, "right")) if n else 0
-        j = max(i + 1, min(j, n))
-        yield i, j
-        i = j
+#: What operators keep in a worker from task to task, by name: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable:
+    """work, for workers that outlive their tasks: it drops what other operators keep, and at its end gives freed memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from loomlake.llm.common import KEPT as kept  # this worker's own; a global name would be a copy from the driver
+
+        for name in [n for n in kept if n != owner]:
+            kept.pop(name)()
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
 def padded(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import stage_table
+from loomlake.llm.common import lean, stage_table
 from loomlake.llm.graph import components, local_roots
 
 TILE = 2048
@@ -129,7 +129,7 @@ def near_vectors(table: DataFrame, *, cosine: float = 0.98, blocks: int = 4, axe
                     (block, cell, home, row), _ = grid_rows(vectors, part, limit, blocks, axes, width)
                     yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[row]), pa.array(np.asarray(batch.column(1))[row]), pa.array(np.full(len(row), dim, np.int32)), pa.array(block.astype(np.int32)), pa.array(cell), pa.array(home)], names=["id", "label", "dim", "block", "cell", "home"])
 
-    spots = nodes.select("id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>")).mapInArrow(cells, "id long, label long, dim int, block int, cell long, home boolean")
+    spots = nodes.select("id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>")).mapInArrow(lean(cells), "id long, label long, dim int, block int, cell long, home boolean")
     spots = stage_table(spots, "cells")
     key = ["label", "dim", "block", "cell"]
     crowds = spots.groupBy(*key).agg(F.count("*").alias("m"), F.count_if("home").alias("homes")).filter("m > 1 and homes > 0").withColumn("tiles", F.ceil(F.col("m") / tile).cast("int"))
@@ -184,7 +184,7 @@ def near_vectors(table: DataFrame, *, cosine: float = 0.98, blocks: int = 4, axe
         if held:
             yield from closed(pa.Table.from_batches(held))
 
-    found = stage_table(met.mapInArrow(links, "u long, v long, found long"), "links")
+    found = stage_table(met.mapInArrow(lean(links), "u long, v long, found long"), "links")
     counts = found.groupBy(F.col("u").alias("id")).agg(F.sum("found").alias("found"))
     roots = components(found.select("u", "v"))
     labelled = nodes.select("id", "least", "n", "label", "embedding").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

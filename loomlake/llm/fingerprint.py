@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import byte_table, mix, padded, ranges
+from loomlake.llm.common import byte_table, lean, mix, padded
 from loomlake.llm.native import range_of
 
 LEAST, NORMAL, MOST = 12, 32, 192
@@ -122,7 +122,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([spelled(x) for x in chunk_sets(texts)], pa.string())], names=[key, "fingerprint"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, fingerprint string")
+    return docs.select(key, text).mapInArrow(lean(run), f"{key} {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
 def with_next(docs: DataFrame, blocks: int) -> tuple[DataFrame, int]:
@@ -190,4 +190,4 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                     held, size = held[-1:], 0
         yield from made(held)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loomlake.llm.bpe import automaton, read_spec
+from loomlake.llm.common import lean
 
 Piece = tuple[int, int]
 
@@ -104,4 +105,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, sma
                 run_of, room = [], capacity if left >= capacity else (1 << left.bit_length() - 1 if left else 0)
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run, "bpe"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import byte_table, drop_table, free_shuffles, mix, ranges, stage_table
+from loomlake.llm.common import KEPT, byte_table, drop_table, free_shuffles, lean, mix, ranges, stage_table
 
 GEAR = byte_table(4, np.uint32)
 TABLE = byte_table(5)
@@ -42,6 +42,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, SLICE + (1 << 18)), np.uint64(base))
         have[0] = 1
         have = _POWERS[base] = np.cumprod(have, dtype=np.uint64)
+        KEPT["suffix"] = _POWERS.clear
     return have[:n]
 
 
@@ -129,7 +130,7 @@ def dealt(parts: Iterator[Columns], buckets: np.ndarray) -> Iterator[pa.RecordBa
         if len(cols[0]):
             held.append(cols)
             size += len(cols[0])
-            if size > 1 << 19:
+            if size > 1 << 18:
                 yield out()
                 held, size = [], 0
     if held:
@@ -145,12 +146,12 @@ class Runs:
     """
 
     def __init__(self, keys: int, shared: bool) -> None:
-        self.keys, self.shared, self.rows, self.size, self.out = keys, shared, [], 0, None
+        self.keys, self.shared, self.rows, self.size, self.limit = keys, shared, [], 0, 400_000
 
     def add(self, cols: Columns) -> Iterator[Columns]:
         self.rows.append([*cols, np.zeros(len(cols[0]), bool)])
         self.size += len(cols[0])
-        if self.size > 1_000_000:
+        if self.size > self.limit:
             yield from self.sort()
 
     def sort(self) -> Iterator[Columns]:
@@ -177,6 +178,7 @@ class Runs:
             keep = ~go
         self.rows = [[c[keep] for c in cols]]
         self.size = int(keep.sum())
+        self.limit = max(400_000, 2 * self.size)  # so that rows are sorted a few times only
         if go.any():
             yield [c[go] for c in cols[self.keys : -1]]
 
@@ -199,8 +201,8 @@ def ranked(parts: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator
         for cols in found.sort():
             yield batch_of(cols)
 
-    rows = parts.mapInArrow(lambda b: dealt(make(b), buckets), "bucket int, n int, rows binary")
-    return rows.repartition(tasks, "bucket").mapInArrow(read, "doc long, th int, at long")
+    rows = parts.mapInArrow(lean(lambda b: dealt(make(b), buckets), "suffix"), "bucket int, n int, rows binary")
+    return rows.repartition(tasks, "bucket").mapInArrow(lean(read, "suffix"), "doc long, th int, at long")
 
 
 def sliced(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -249,7 +251,7 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     docs: doc (not null), th (a hash of the text) and text.
     """
     spark = docs.sparkSession
-    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     depth = (length + 1) // 2
     window = length - depth + 1
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
@@ -377,7 +379,7 @@ def dedup_report(docs: DataFrame, *, length: int = 50) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(rows, spans).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(rows, spans).mapInArrow(lean(run, "suffix"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
@@ -417,4 +419,4 @@ def drop_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
                 cols[count] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(lean(run, "suffix"), schema)

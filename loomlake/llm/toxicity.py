@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import crc_text
+from loomlake.llm.common import crc_text, lean
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -160,7 +160,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     held = F.coalesce(crc_text("doc_id") % 5 == 0, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, F.col("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, worst_start long, worst_stop long, worst_score double, n_offending long")
+    return docs.select("doc_id", held, F.col("text")).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, worst_start long, worst_stop long, worst_score double, n_offending long")
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, limit: float = 0.5) -> DataFrame:
@@ -173,4 +173,4 @@ def drop_toxic(docs: DataFrame, model: Model, *, limit: float = 0.5) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t.as_py() or "")[0] < limit for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -48,7 +48,7 @@ def test_jaccard_matches_brute_force(spark):
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     count, root = Counter(x for p in links for x in p), closure(len(sets), links)
-    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, n long" .replace("n long", "n string") + ", root string")
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, n string, root string")
     got = {r["doc_id"]: r for r in jaccard.jaccard_classes(df).collect()}
     assert {i: (r["n_links"], r["class_id"], r["kept"]) for i, r in got.items()} == {i: (count[i], root[i], root[i] == i) for i in range(len(sets))}
     assert all(sets[r["copy_id"]] == sets[i] for i, r in got.items())
