@@ -14,23 +14,32 @@ from loomlake.llm.suffix import drop_repeats
 from loomlake.llm.toxicity import drop_toxic, train
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: fewer of them go to a worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or of their sentences doesn't call toxic."""
+    short_batches(spark)
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the least doc_id."""
+    short_batches(spark)
     return drop_near_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes and more that earlier documents have."""
+    short_batches(spark)
     return drop_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 1024 tokens."""
+    short_batches(spark)
     return pack_documents(docs, vocabulary())
 
 

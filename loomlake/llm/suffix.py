@@ -32,7 +32,7 @@ TABLE = byte_table(5)
 BASE = 0xDA942042E4DD58B5
 CHUNK_BITS = 5
 LONGEST = 4095  # window starts that one row may stand for
-SLICE = 1 << 20
+SLICE = 1 << 19
 _POWERS: dict[int, np.ndarray] = {}
 
 
