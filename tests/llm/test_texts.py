@@ -210,6 +210,20 @@ def test_chat_rows_with_gaps(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_long_conversations(spark):
+    """Over 20,000,000 characters in one turn, and over 128 MiB in one conversation, are beyond the JSON parser."""
+    few = spark.sql("select 1L as conv_id, 0L as turn, 'user' as role, repeat('ab', 10500000) as text union all select 1L, 1L, 'assistant', 'yes'")
+    many = spark.sql("select cast(null as long) as conv_id, id as turn, 'user' as role, repeat('x', 10000000) as text from range(14)")
+    out = {r["conv_id"]: r for r in chat.format_conversations(few).select("conv_id", "n_turns", "loss_chars", "formatted_chars", "turns_sha256").collect()}
+    said = hashlib.sha256(b"user\n" + b"ab" * 10_500_000 + b"\nassistant\nyes\n").hexdigest()
+    assert (out[1]["n_turns"], out[1]["loss_chars"], out[1]["turns_sha256"]) == (2, 3, said)
+    made = chat.gather_rows(many).select("layout", F.size("turns").alias("n"), F.expr("aggregate(turns, 0L, (a, t) -> a + length(t.text))").alias("chars")).first()
+    assert tuple(made) == ("rows", 14, 140_000_000)
+    payload = F.concat(F.lit('{"prompt": "'), F.expr("repeat('x', 21000000)"), F.lit('", "response": "y"}'))
+    with pytest.raises(Exception, match="too long to tell"):
+        chat.canonical_turns(spark.range(1).select(payload.alias("p")), "p").select(F.size("turns")).collect()
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op3_sharding", "op10_chat_formatting"):
         plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
