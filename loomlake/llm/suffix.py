@@ -33,6 +33,7 @@ BASE = 0xDA942042E4DD58B5
 CHUNK_BITS = 5
 LONGEST = 4095  # window starts that one row may stand for
 SLICE = 1 << 19
+PLACE = 24  # low bits of a rank that tell its position in a block
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -245,6 +246,29 @@ def listed(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return at >> 12, (at >> 12) + (at & 4095)
 
 
+def chiefs(name: np.ndarray, window: int) -> np.ndarray:
+    """For each `window` names from a position on, the position of the least one, by its upper bits; of equal ones the first.
+
+    Positions are packed below the names, counted within blocks that overlap, so that a text of any size has room.
+    """
+    n, place = len(name) - window + 1, np.uint64(PLACE)
+    block = (1 << PLACE) - window + 1
+    if block < 1:
+        raise ValueError("length is too large")
+    out = np.empty(n, np.int64)
+    for at in range(0, n, block):
+        part = name[at : at + block + window - 1]
+        low = (part >> place << place) | np.arange(len(part), dtype=np.uint64)
+        reach = 1
+        while 2 * reach <= window:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        if reach < window:
+            low = np.minimum(low[: len(low) - (window - reach)], low[window - reach :])
+        out[at : at + block] = (low & np.uint64((1 << PLACE) - 1)).astype(np.int64) + at
+    return out
+
+
 def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc, th, at): ranges of starts, as placed() packs them, of `length`-byte strings that a document with a smaller id has too.
 
@@ -290,14 +314,7 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
                 if n <= 0:
                     continue
                 name = s.fixed(depth)
-                low = (name >> np.uint64(24) << np.uint64(24)) | np.arange(len(name), dtype=np.uint64)
-                reach = 1
-                while 2 * reach <= window:
-                    low = np.minimum(low[:-reach], low[reach:])
-                    reach *= 2
-                if reach < window:
-                    low = np.minimum(low[: len(low) - (window - reach)], low[window - reach :])
-                chief = (low[:n] & np.uint64((1 << 24) - 1)).astype(np.int64)
+                chief = chiefs(name, window)
                 live = s.stop[:n] - np.arange(n) >= length
                 for i in range(len(texts)):
                     a, b = listed(batch.column(3)[row + i])

@@ -154,6 +154,31 @@ def test_suffix_matches_brute_force(spark):
     assert suffix.dedup_report(df.limit(0)).count() == 0
 
 
+def test_suffix_in_a_text_of_over_16_mib(spark):
+    rng = np.random.default_rng(9)
+    say = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    passages = [say(int(n)) for n in rng.integers(50, 81, 300)]
+    short = "".join(p + say(20) for p in passages)
+    head = say((1 << 24) - 5000)
+    long = head + "".join(say(40) + p for p in passages) + say(100)
+    df = spark.createDataFrame([(1, short), (2, long)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffix.dedup_report(df).collect()}
+    starts = {short[p : p + 50] for p in range(len(short) - 49)}
+    gone = np.zeros(len(long), bool)
+    for p in range(len(head) - 49, len(long) - 49):
+        if long[p : p + 50] in starts:
+            gone[p : p + 50] = True
+    assert got == {1: 0, 2: int(gone.sum())} and gone.sum() >= sum(map(len, passages))
+
+
+def test_chiefs_in_blocks(monkeypatch):
+    name = np.random.default_rng(4).integers(0, 1 << 64, 1000, np.uint64)
+    name[100:400] = name[100]
+    monkeypatch.setattr(suffix, "PLACE", 6)
+    want = [p + int(np.argmin(name[p : p + 26] >> np.uint64(6))) for p in range(975)]
+    assert suffix.chiefs(name, 26).tolist() == want
+
+
 @pytest.mark.parametrize("shared", [False, True])
 def test_runs_in_any_order(shared):
     rng = np.random.default_rng(2)
