@@ -77,6 +77,15 @@ def test_jaccard_empty_and_repeats(spark):
     assert sorted(r["doc_id"] for r in jaccard.drop_near_copies(df.filter("doc_id is not null")).collect()) == [1, 3]
 
 
+def test_near_copies_of_one_id(spark):
+    """Of rows with one doc_id only those go whose own text is a near copy."""
+    x, y = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [("s", 3, x), ("t", 5, x), ("u", 5, y), ("v", 5, None), ("w", 7, y), ("z", 8, x)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    left = jaccard.drop_near_copies(df)
+    assert left.columns == df.columns and sorted(tuple(r) for r in left.collect()) == [rows[0], rows[2], rows[3]]
+
+
 def test_posterior_never_drops_likely_pairs():
     least = jaccard.least_matches(0.8, 1e-6)
     rng = np.random.default_rng(0)
