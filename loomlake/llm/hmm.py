@@ -90,8 +90,47 @@ class Hmm:
             out[order[:live]] += np.log10(scale)
         return out
 
+    def bounds(self, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, nth: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each run the state it starts from, the forward state at its end (but for last runs) and the backward state there.
+
+        The product of a run's steps is a matrix; with these, states are carried from run to run of a text both ways.
+        """
+        k, runs = len(self.start), len(nth)
+        enter, ends, leave = np.repeat(self.start[None, :], runs, axis=0), np.zeros((runs, k)), np.ones((runs, k))
+        many = np.flatnonzero(pieces > 1)
+        if not len(many):
+            return enter, ends, leave
+        many = many[np.argsort(-size[many], kind="stable")]
+        emit = self.emit / self.emit.max(axis=1, keepdims=True)
+        whole = np.zeros((len(many), k, k))
+        where = np.zeros(runs, np.int64)
+        where[many] = np.arange(len(many))
+        for at in range(0, len(many), 512):
+            some = many[at : at + 512]
+            falling, m = -size[some], whole[at : at + 512]
+            m[:] = np.eye(k)[None] * emit[symbols[first[some]]][:, None, :]
+            for t in range(1, int(size[some[0]])):
+                n = int(np.searchsorted(falling, -t, "left"))
+                step = (m[:n].reshape(-1, k) @ self.move).reshape(n, k, k)
+                step *= emit[symbols[first[some[:n]] + t]][:, None, :]
+                if t % 8 == 0:
+                    step /= step.max(axis=(1, 2))[:, None, None]
+                m[:n] = step
+            m /= m.max(axis=(1, 2))[:, None, None]
+        after = many[nth[many] > 0]
+        after = after[np.argsort(nth[after], kind="stable")]
+        waves = np.split(after, np.flatnonzero(np.diff(nth[after])) + 1)
+        for r in waves:
+            v = np.einsum("ni,nij->nj", enter[r - 1], whole[where[r - 1]])
+            ends[r - 1] = v = v / v.sum(axis=1, keepdims=True)
+            enter[r] = v @ self.move
+        for r in reversed(waves):
+            v = np.einsum("nij,nj->ni", whole[where[r]], leave[r]) @ self.move.T
+            leave[r - 1] = v / v.max(axis=1, keepdims=True)
+        return enter, ends, leave
+
     def expect(self, symbols: np.ndarray, lengths: np.ndarray, counts: Counts) -> None:
-        """Add the expected counts of these sequences, taken in runs of RUN tokens."""
+        """Add the expected counts of these sequences. They are taken in runs of RUN tokens, with exact states at their bounds."""
         k = len(self.start)
         emit = np.vstack([self.emit, np.ones((1, k))]).astype(np.float32)
         pad, move = len(self.emit), self.move.astype(np.float32)
@@ -100,6 +139,7 @@ class Hmm:
         of = np.repeat(np.arange(len(lengths)), pieces)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first, size = begin[of] + nth * RUN, np.minimum(RUN, lengths[of] - nth * RUN)
+        enter, ends, leave = self.bounds(symbols, first, size, nth, pieces[of])
         order = np.argsort(-size, kind="stable")
         padded = np.append(symbols.astype(np.int64), pad)
         for at in range(0, len(order), 512):
@@ -111,15 +151,16 @@ class Hmm:
             e = emit[sym]
             alpha = np.empty((top, n, k), np.float32)
             scale = np.empty((top, n), np.float32)
-            a = np.where((nth[some] == 0)[:, None], self.start[None, :], 1 / k).astype(np.float32)
+            a = enter[some].astype(np.float32)
             for t in range(top):
                 a = (a @ move if t else a) * e[t]
                 scale[t] = s = a.sum(axis=1)
                 a = a / s[:, None]
                 alpha[t] = a
-            beta = np.ones((n, k), np.float32)
+            beta = leave[some].astype(np.float32)
+            beta /= (alpha[top - 1] * beta).sum(axis=1)[:, None]
             gamma = np.empty_like(alpha)
-            gamma[top - 1] = alpha[top - 1]
+            gamma[top - 1] = alpha[top - 1] * beta
             for t in range(top - 2, -1, -1):
                 e[t + 1] *= beta
                 e[t + 1] /= scale[t + 1][:, None]
@@ -128,7 +169,10 @@ class Hmm:
             if top > 1:
                 on = live[1:, :, None]
                 counts.move += self.move * ((alpha[:-1] * on).reshape(-1, k).T @ e[1:].reshape(-1, k))
-            counts.start += gamma[0][nth[some] == 0].sum(axis=0)
+            later = nth[some] > 0
+            if later.any():
+                counts.move += self.move * (ends[some[later] - 1].T @ (gamma[0][later] / enter[some[later]]))
+            counts.start += gamma[0][~later].sum(axis=0)
             flat, sizes = sym.ravel(), pad + 1
             for i in range(k):
                 counts.emit[:, i] += np.bincount(flat, gamma[:, :, i].ravel(), sizes)[:pad]

@@ -289,6 +289,31 @@ def test_hmm_recursions():
     assert alone.emit[4, 1] == pytest.approx(slope, rel=1e-3)
 
 
+def test_hmm_expects_over_runs():
+    """Expected counts of texts over several runs against the plain recursions over whole texts."""
+    rng = np.random.default_rng(8)
+    k, m = 3, 7
+    norm = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
+    model = hmm.Hmm(norm(rng.random(k), 0), norm(rng.random((k, k)) + 4 * np.eye(k), 1), norm(rng.random((m, k)), 0))
+    seqs = [rng.integers(0, m, n) for n in (300, 5, 128, 129, 256, 700, 1)]
+    got, want = hmm.Counts(m, k), hmm.Counts(m, k)
+    model.expect(np.concatenate(seqs), np.array([len(s) for s in seqs]), got)
+    for s in seqs:
+        a, b = [norm(model.start * model.emit[s[0]], 0)], [np.ones(k)]
+        for x in s[1:]:
+            a.append(norm(a[-1] @ model.move * model.emit[x], 0))
+        for x in s[:0:-1]:
+            b.insert(0, norm(model.move @ (model.emit[x] * b[0]), 0))
+        for t, x in enumerate(s):
+            want.emit[x] += norm(a[t] * b[t], 0)
+            if t:
+                both = a[t - 1][:, None] * model.move * (model.emit[x] * b[t])[None, :]
+                want.move += both / both.sum()
+        want.start += norm(a[0] * b[0], 0)
+    for x, y in ((got.emit, want.emit), (got.move, want.move), (got.start, want.start)):
+        np.testing.assert_allclose(x, y, rtol=1e-4)
+
+
 def test_hmm_scores(spark):
     import math
     import re
