@@ -7,7 +7,6 @@ import ctypes
 import gc
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,9 +17,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="loomlake-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         found = f"file://{path}"
@@ -28,42 +29,55 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Staged tables that are to go when the driver ends: folder and the session that wrote there.
+STAGED: dict[str, SparkSession] = {}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def delete_staged() -> None:
+    for path, spark in STAGED.items():
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended before; its tables then stay
+            return
+
+
 def stage_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
-    Written rows survive a lost executor, and partitions of the table are read in a fixed order.
+    Written rows survive a lost executor, and partitions of the table are read in a fixed order. Shuffle
+    files go as soon as the table is written; the table goes by drop_table or when the driver ends.
     rows: about how many there are, where they are short and known; then no more files are written than they need.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomlake/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/loomlake/{spark.sparkContext.applicationId}"
+    STAGED[folder] = spark
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // 200_000))
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(size)
-    spark.conf.set(size, str(min(2000, int(before)) if int(before) > 0 else 2000))  # whole texts are large rows
+    size, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = {k: spark.conf.get(k) for k in (size, clean)}
+    most = int(before[size])
+    spark.conf.set(size, str(min(2000, most) if most > 0 else 2000))  # whole texts are large rows
+    spark.conf.set(clean, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(size, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete what stage_table wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/loomlake/" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs before the next large one starts."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+            delete(df.sparkSession, path)
 
 
 #: What operators keep in a worker from task to task, by name: how to drop it.

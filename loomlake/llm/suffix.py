@@ -10,29 +10,41 @@ document has, drop out, and the threshold ends the rounds. Three sorted rounds d
    the string does. Positions whose sampled substring stays within one document are unique and end here;
 3. the last doubling, for the positions that are left: pairs of ranks at p and p + L/2.
 
-Every round is a shuffle of position rank pairs that are sorted in their partitions; of the rows of one
-rank only those of its least document are kept back. A string that very many documents share costs no
-memory, and the memory of a task grows with the distinct ranks it gets, which hashing keeps even.
+Ranks are names instead of dense numbers, so that no round needs a global renumbering or sends ranks back
+to the texts. Names that decide about bytes have 96 bits from two unlike hashes. Every round is a shuffle:
+rows are dealt out by the leading bits of their rank and packed, Spark sorts the packs by those bits within
+its partitions, and a worker sorts by the rest, one range of ranks at a time. Of the rows of one rank only
+those of its least document are kept back, so a string that very many documents share costs no memory.
+
+Texts are read once into compressed blocks of about half a megabyte. Rows name a block and a place in it,
+so ids, repeated rows and other columns of the table never matter to a round.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import KEPT, byte_table, drop_table, free_shuffles, lean, mix, ranges, stage_table
+from loomlake.llm.common import KEPT, byte_table, drop_table, lean, mix, ranges, stage_table
 
 GEAR = byte_table(4, np.uint32)
 TABLE = byte_table(5)
 BASE = 0xDA942042E4DD58B5
+OTHER = 0x8CB92BA72F3D8DD7
 CHUNK_BITS = 5
 LONGEST = 4095  # window starts that one row may stand for
 SLICE = 1 << 19
+ROWS = 4096  # most rows of a block
+SUB = 16  # most ranges of ranks that Spark sorts apart in a partition
+PIECE = 1 << 22  # a longer text is worked on in pieces that overlap
 PLACE = 24  # low bits of a rank that tell its position in a block
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -42,23 +54,24 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         have = np.full(max(n, SLICE + (1 << 18)), np.uint64(base))
         have[0] = 1
-        have = _POWERS[base] = np.cumprod(have, dtype=np.uint64)
-        KEPT["suffix"] = _POWERS.clear
+        have = np.cumprod(have, dtype=np.uint64)
+        if n <= 2 * SLICE:
+            _POWERS[base] = have
+            KEPT["suffix"] = _POWERS.clear
     return have[:n]
 
 
 class Strings:
     """Hashes of any substrings of several texts that lie one after another."""
 
-    def __init__(self, parts: list[bytes]) -> None:
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
-        n = len(self.data)
+    def __init__(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        self.data, self.sizes = data, sizes
+        self.first = np.cumsum(sizes) - sizes
+        n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(TABLE[self.data] * powers(BASE, n), out=self.sums[1:])
+        np.cumsum(TABLE[data] * powers(BASE, n), out=self.sums[1:])
         self.undo = powers(pow(BASE, -1, 1 << 64), n + 1)
-        self.stop = np.repeat(self.first + self.sizes, self.sizes)
+        self.stop = np.repeat(self.first + sizes, sizes)
 
     def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[begin]) * self.undo[begin] + (end - begin).astype(np.uint64))
@@ -68,6 +81,14 @@ class Strings:
         n = max(0, len(self.data) - k + 1)
         return mix((self.sums[k : k + n] - self.sums[:n]) * self.undo[:n])
 
+    def unlike(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """32 bits of another hash of strings of at least 8 bytes; its letters are mixes of 8 bytes, not bytes."""
+        n = len(self.data) - 7
+        eights = np.ndarray((n,), np.dtype("<u8"), self.data, strides=(1,))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(eights) * powers(OTHER, n), out=sums[1:])
+        return (mix((sums[end - 7] - sums[begin]) * powers(pow(OTHER, -1, 1 << 64), n + 1)[begin]) >> np.uint64(32)).astype(np.uint32)
+
     def chunk_starts(self) -> np.ndarray:
         """First bytes of chunks: those after a gear hash with zero bits on top, and each text's first."""
         h = GEAR[self.data]
@@ -80,12 +101,7 @@ class Strings:
 
 
 Columns = list[np.ndarray]
-SPAN = {"doc": np.int64, "th": np.int32, "at": np.int64}
-
-
-def placed(doc: np.ndarray, th: np.ndarray, row: int, owner: np.ndarray, begin: np.ndarray, count: np.ndarray) -> Columns:
-    """doc, th and at: the first of `count` window starts, and 12 bits for how many they are."""
-    return [doc[row + owner], th[row + owner], begin << 12 | count]
+SPAN = {"doc": np.int64, "block": np.int64, "at": np.int64}
 
 
 def packed(cols: Columns) -> bytes:
@@ -114,18 +130,21 @@ def partition_keys(spark: SparkSession, tasks: int) -> np.ndarray:
 
 
 def dealt(parts: Iterator[Columns], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Deal rows out by their first key: one row (bucket, n, rows) for what a bucket gets of some megabytes of text."""
+    """Deal rows out by their first key: one row (bucket, sub, n, rows) for what a range of ranks gets of some megabytes of text."""
     held: list[Columns] = []
     size = 0
+    subs = max(1, min(SUB, 4096 // len(buckets)))
+    cells = np.uint64(len(buckets) * subs)
 
     def out() -> pa.RecordBatch:
         cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        bucket = ((cols[0] >> np.uint64(8)) % np.uint64(len(buckets))).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cols, bucket = [c[order] for c in cols], bucket[order]
-        at = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+        cell = ((cols[0] >> np.uint64(32)) * cells >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cols, cell = [c[order] for c in cols], cell[order]
+        at = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
         pieces = [packed([c[a:b] for c in cols]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(buckets[bucket[at[:-1]]]), pa.array(np.diff(at).astype(np.int32)), pa.array(pieces, pa.binary())], names=["bucket", "n", "rows"])
+        some = cell[at[:-1]]
+        return pa.RecordBatch.from_arrays([pa.array(buckets[some // subs]), pa.array((some % subs).astype(np.int32)), pa.array(np.diff(at).astype(np.int32)), pa.array(pieces, pa.binary())], names=["bucket", "sub", "n", "rows"])
 
     for cols in parts:
         if len(cols[0]):
@@ -181,69 +200,140 @@ class Runs:
         self.size = int(keep.sum())
         self.limit = max(400_000, 2 * self.size)  # so that rows are sorted a few times only
         if go.any():
-            yield [c[go] for c in cols[self.keys : -1]]
+            yield [c[go] for c in cols[self.keys + 1 : -1]]
+
+
+def by_block(parts: Iterator[Columns]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, at) packed: one row a block for some hundred thousand of them."""
+    held: list[Columns] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        block, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(block, kind="stable")
+        block, at = block[order], at[order]
+        cut = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["block", "at"])
+
+    for cols in parts:
+        held.append(cols)
+        size += len(cols[0])
+        if size > 1 << 19:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
 
-def ranked(parts: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[Columns]], kinds: list[type], shared: bool, tasks: int) -> DataFrame:
-    """One round: make gives columns (keys, doc, th, at) of the texts; rows (doc, th, at) of the groups come out.
+def ranked(parts: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[Columns]], kinds: list[type], shared: bool) -> DataFrame:
+    """One round: make gives columns (keys, doc, block, at) of the texts; rows (block, at) of the groups come out, packed.
 
-    Rows travel packed, some thousands in one, as Spark spends more on a small row than its sorting takes.
+    Rows travel packed, some hundreds in one, as Spark spends more on a small row than its sorting takes.
     """
-    keys, buckets = len(kinds), partition_keys(parts.sparkSession, tasks)
+    spark = parts.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys, buckets = len(kinds), partition_keys(spark, tasks)
     kinds = [*kinds, *SPAN.values()]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Runs(keys, shared)
-        batch_of = lambda cols: pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list(SPAN))
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
+        found, now = Runs(keys, shared), None
         for batch in batches:
-            for n, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for cols in found.add(unpacked(data.as_py(), n, kinds)):
-                    yield batch_of(cols)
-        for cols in found.sort():
-            yield batch_of(cols)
-
-    rows = parts.mapInArrow(lean(lambda b: dealt(make(b), buckets), "suffix"), "bucket int, n int, rows binary")
-    return rows.repartition(tasks, "bucket").mapInArrow(lean(read, "suffix"), "doc long, th int, at long")
-
-
-def sliced(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """The column's texts in slices of about SLICE bytes, with the first row of each."""
-    held: list[bytes] = []
-    size = begin = 0
-    for i in range(batch.num_rows):
-        t = batch.column(column)[i].as_py()
-        held.append((t or "").encode("utf-8", "surrogatepass") if not isinstance(t, bytes) else t)
-        size += len(held[-1])
-        if size > SLICE:
-            yield begin, held
-            held, size, begin = [], 0, i + 1
-    if held:
-        yield begin, held
+            for sub, n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if sub != now:
+                    yield from found.sort()
+                    found, now = Runs(keys, shared), sub
+                yield from found.add(unpacked(data.as_py(), n, kinds))
+        yield from found.sort()
+
+    rows = parts.mapInArrow(lean(lambda b: dealt(make(b), buckets), "suffix"), "bucket int, sub int, n int, rows binary")
+    return rows.repartition(tasks, "bucket").sortWithinPartitions("sub").mapInArrow(lean(lambda b: by_block(groups(b)), "suffix"), "block long, at binary")
+
+
+def blocks(docs: DataFrame, most: int = SLICE) -> DataFrame:
+    """(block, data): the rows of docs in compressed blocks of about `most` bytes of text; a longer text is a block alone."""
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 32
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+            ends, at = np.cumsum(size), 0
+            while at < batch.num_rows:
+                stop = int(np.searchsorted(ends, ends[at] - size[at] + most, "right"))
+                stop = min(max(stop, at + 1), at + ROWS)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.slice(at, stop - at))
+                yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+                made, at = made + 1, stop
+
+    return docs.mapInArrow(lean(run, "suffix"), "block long, data binary")
+
 
+def unblocked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
-def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Intervals as maximal runs."""
-    if not len(begin):
-        return begin, stop
-    order = np.argsort(begin, kind="stable")
-    begin, stop = begin[order], np.maximum.accumulate(stop[order])
-    new = np.r_[True, begin[1:] > stop[:-1]]
-    return begin[new], stop[np.r_[new[1:], True]]
 
+def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Blocks with the list of what spans (block, at) has of each."""
+    lists = spans.groupBy("block").agg(F.collect_list("at").alias("spans"))
+    return texts.join(lists, "block", "left").select("block", "data", "spans")
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (doc, th, text) with the list of what spans (doc, th, at) has of each."""
-    lists = spans.groupBy("doc", "th").agg(F.collect_list("at").alias("spans"))
-    return docs.join(lists, ["doc", "th"], "left").select("doc", "th", "text", "spans")
 
+def listed(spans: list[bytes] | None) -> np.ndarray:
+    return np.frombuffer(b"".join(spans or ()), np.int64)
 
-def listed(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and stops of a list of packed spans."""
-    if not spans.is_valid:
-        z = np.zeros(0, np.int64)
-        return z, z
-    at = np.asarray(spans.values, np.int64)
-    return at >> 12, (at >> 12) + (at & 4095)
+
+class Block:
+    """One block's texts as bytes, one after another."""
+
+    def __init__(self, block: int, data: bytes, columns: tuple[int, int], spans: list[bytes] | None = None) -> None:
+        self.batch, self.block = unblocked(data), block
+        ids = self.batch.column(columns[0])
+        self.known = np.asarray(pc.is_valid(ids))
+        self.ids = np.asarray(pc.fill_null(ids.cast(pa.int64()), 0))
+        texts = pc.fill_null(self.batch.column(columns[1]), "")
+        self.sizes = np.asarray(pc.binary_length(texts), np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8)
+        self.spans, self.base = listed(spans), 0
+
+    def marked(self, more: int = 0) -> np.ndarray:
+        """Which positions the spans have, each of them longer by `more`."""
+        begin, n = self.spans >> 12, len(self.data)
+        step = np.bincount(begin, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(begin + (self.spans & 4095) + more, n), minlength=n + 1)[: n + 1]
+        return np.cumsum(step[:n], dtype=np.int32) > 0
+
+    def pieces(self, length: int, piece: int) -> Iterator[tuple[Block, np.ndarray]]:
+        """The block and what its spans mark; one of a long text in pieces that have each window of `length` bytes once."""
+        mark = self.marked()
+        if len(self.sizes) > 1 or len(self.data) <= 2 * piece:
+            yield self, mark
+            return
+        for at in range(0, len(self.data), piece):
+            part = copy(self)
+            part.base, part.data = at, self.data[at : at + piece + length - 1]
+            part.sizes = np.array([len(part.data)])
+            yield part, mark[at : at + piece + length - 1]
+
+    def rows(self, owner: np.ndarray, begin: np.ndarray, count: np.ndarray) -> Columns:
+        """doc, block and at: the first of `count` window starts, and 12 bits for how many they are."""
+        return [self.ids[owner], np.full(len(owner), self.block), begin + self.base << 12 | count]
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first + self.sizes, at, "right")
+
+
+def each_block(batches: Iterator[pa.RecordBatch], columns: tuple[int, int]) -> Iterator[Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Block(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), columns, batch.column(2)[i].as_py() if batch.num_columns > 2 else None)
+
+
+def each_piece(batches: Iterator[pa.RecordBatch], columns: tuple[int, int], length: int, piece: int) -> Iterator[tuple[Block, np.ndarray]]:
+    for b in each_block(batches, columns):
+        yield from b.pieces(length, piece)
 
 
 def chiefs(name: np.ndarray, window: int) -> np.ndarray:
@@ -269,171 +359,140 @@ def chiefs(name: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc, th, at): ranges of starts, as placed() packs them, of `length`-byte strings that a document with a smaller id has too.
+def repeated_windows(texts: DataFrame, columns: tuple[int, int], length: int = 50, piece: int = PIECE) -> DataFrame:
+    """(block, at): ranges of starts, as Block.rows packs them, of `length`-byte strings that a document with a smaller id has too.
 
-    docs: doc (not null), th (a hash of the text) and text.
+    texts: blocks. columns: where doc_id and text stand in them; rows without an id take no part.
     """
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if length < 8:
+        raise ValueError("length must be 8 at least")
     depth = (length + 1) // 2
     window = length - depth + 1
+
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
-        for batch in batches:
-            doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, texts in sliced(batch, 2):
-                s = Strings(texts)
-                if not len(s.data):
-                    continue
-                begin = s.chunk_starts()
-                owner = np.searchsorted(s.first + s.sizes, begin, "right")
-                limit = (s.first + s.sizes)[owner]
-                after = np.minimum(np.r_[begin[1:], len(s.data)], limit)
-                stop = np.minimum(after, limit - length + 1)
-                some = stop > begin
-                begin, after, stop, owner, limit = begin[some], after[some], stop[some], owner[some], limit[some]
-                if len(begin) and (stop - begin).max() > LONGEST:
-                    parts = -(-(stop - begin) // LONGEST)
-                    back = np.repeat(np.arange(len(begin)), parts)
-                    nth = np.arange(len(back)) - np.repeat(np.cumsum(parts) - parts, parts)
-                    owner, limit, last, end = owner[back], limit[back], stop[back], after[back]
-                    begin = begin[back] + LONGEST * nth
-                    stop, after = np.minimum(begin + LONGEST, last), np.minimum(begin + LONGEST, end)
-                end = np.minimum(after + length - 1, limit)
-                yield [s.hash(begin, end), *placed(doc, th, row, owner, begin - s.first[owner], stop - begin)]
-
-    whole = stage_table(ranked(docs, stretches, [np.uint64], False, tasks), "stretches")
-    free_shuffles(spark)
+        for b, _ in each_piece(batches, columns, length, piece):
+            if len(b.data) < length:
+                continue
+            s = Strings(b.data, b.sizes)
+            begin = s.chunk_starts()
+            owner = b.owner(begin)
+            limit = (b.first + b.sizes)[owner]
+            after = np.minimum(np.r_[begin[1:], len(b.data)], limit)
+            stop = np.minimum(after, limit - length + 1)
+            some = (stop > begin) & b.known[owner]
+            begin, after, stop, owner, limit = begin[some], after[some], stop[some], owner[some], limit[some]
+            if len(begin) and (stop - begin).max() > LONGEST:
+                parts = -(-(stop - begin) // LONGEST)
+                back = np.repeat(np.arange(len(begin)), parts)
+                nth = np.arange(len(back)) - np.repeat(np.cumsum(parts) - parts, parts)
+                owner, limit, last, end = owner[back], limit[back], stop[back], after[back]
+                begin = begin[back] + LONGEST * nth
+                stop, after = np.minimum(begin + LONGEST, last), np.minimum(begin + LONGEST, end)
+            end = np.minimum(after + length - 1, limit)
+            yield [s.hash(begin, end), s.unlike(begin, end), *b.rows(owner, begin, stop - begin)]
+
+    whole = stage_table(ranked(texts, stretches, [np.uint64, np.uint32], False), "stretches")
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
-        for batch in batches:
-            doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, texts in sliced(batch, 2):
-                s = Strings(texts)
-                n = len(s.data) - length + 1
-                if n <= 0:
-                    continue
-                name = s.fixed(depth)
-                chief = chiefs(name, window)
-                live = s.stop[:n] - np.arange(n) >= length
-                for i in range(len(texts)):
-                    a, b = listed(batch.column(3)[row + i])
-                    for x, y in zip(*merged(a, b), strict=True):
-                        live[s.first[i] + x : s.first[i] + y] = False
-                new = np.r_[True, chief[1:] != chief[:-1]] | ~live
-                new[1:] |= ~live[:-1]
-                at = np.flatnonzero(new)
-                stop = np.r_[at[1:], n]
-                some = live[at]
-                at, stop = at[some], stop[some]
-                owner = np.searchsorted(s.first + s.sizes, at, "right")
-                # 48 bits of a name do, as the next round tells apart what they confuse.
-                yield [name[chief[at]] >> np.uint64(16), *placed(doc, th, row, owner, at - s.first[owner], stop - at)]
-
-    left = stage_table(ranked(with_spans(docs, whole), sampled, [np.uint64], True, tasks), "samples")
-    free_shuffles(spark)
+        for b, settled in each_piece(batches, columns, length, piece):
+            n = len(b.data) - length + 1
+            if n <= 0:
+                continue
+            s = Strings(b.data, b.sizes)
+            name = s.fixed(depth)
+            chief = chiefs(name, window)
+            live = (s.stop[:n] - np.arange(n) >= length) & np.repeat(b.known, b.sizes)[:n] & ~settled[:n]
+            new = np.r_[True, chief[1:] != chief[:-1]] | ~live
+            new[1:] |= ~live[:-1]
+            at = np.flatnonzero(new)
+            stop = np.r_[at[1:], n]
+            some = live[at]
+            at, stop = at[some], stop[some]
+            # 48 bits of a name do, as the next round tells apart what they confuse.
+            yield [mix(name[chief[at]]) & ~np.uint64(0xFFFF), *b.rows(b.owner(at), at, stop - at)]
+
+    left = stage_table(ranked(with_spans(texts, whole), sampled, [np.uint64], True), "samples")
 
     def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
-        for batch in batches:
-            doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, texts in sliced(batch, 2):
-                s = Strings(texts)
-                spans = [merged(*listed(batch.column(3)[row + i])) for i in range(len(texts))]
-                owner = np.repeat(np.arange(len(texts)), [len(a) for a, _ in spans])
-                if not len(owner):
-                    continue
-                begin, stop = np.concatenate([a for a, _ in spans]), np.concatenate([b for _, b in spans])
-                at = ranges(begin + s.first[owner], stop - begin)
-                owner = np.repeat(owner, stop - begin)
-                later = at + length - depth
-                second = (s.hash(later, later + depth) >> np.uint64(32)).astype(np.uint32)
-                yield [s.hash(at, at + depth), second, *placed(doc, th, row, owner, at - s.first[owner], np.ones(len(at), np.int64))]
-
-    pairs = stage_table(ranked(with_spans(docs, left).filter("spans is not null"), doubled, [np.uint64, np.uint32], False, tasks), "pairs")
-    free_shuffles(spark)
+        for b, wanted in each_piece(batches, columns, length, piece):
+            at = np.flatnonzero(wanted[: max(0, len(b.data) - length + 1)])
+            if not len(at):
+                continue
+            s = Strings(b.data, b.sizes)
+            name = s.fixed(depth)
+            pair = mix(name[at] + mix(name[at + length - depth]))
+            yield [pair, s.unlike(at, at + length), *b.rows(b.owner(at), at, np.ones(len(at), np.int64))]
+
+    pairs = stage_table(ranked(with_spans(texts, left).filter("spans is not null"), doubled, [np.uint64, np.uint32], False), "pairs")
     drop_table(left)
     return whole.unionByName(pairs)
 
 
-def text_key(docs: DataFrame) -> Column:
-    """A hash that tells different texts of one doc_id apart, where there are any; else 0."""
-    found = docs.select("doc_id", F.hash("text").alias("th"))
-    twice = found.groupBy("doc_id").agg((F.min("th") != F.max("th")).alias("twice")).filter("twice")
-    return F.lit(0) if twice.isEmpty() else F.hash("text")
-
-
-def keyed(docs: DataFrame, th: Column) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("doc"), th.alias("th"), F.col("text").alias("text"))
-
-
-def covered(begin: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes that strings of `length` starting in the given ranges cover, as maximal runs."""
-    return merged(begin, stop + length - 1)
-
-
-def dedup_report(docs: DataFrame, *, length: int = 50) -> DataFrame:
+def dedup_report(docs: DataFrame, *, length: int = 50, size: int = SLICE, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, its text taken as UTF-8 bytes.
 
     A byte goes if a string of `length` bytes covers it that also starts in a document with a smaller
     doc_id. Texts are judged as they are read, not by what is left of them. A null text is empty.
     Rows with one doc_id don't count against each other; rows with a null doc_id keep everything.
+    An empty table gives no rows; other columns are not read. size: bytes of text in a block; piece: how
+    many bytes of a longer text are worked on at once.
     """
-    rows = keyed(docs, text_key(docs))
-    spans = repeated_windows(rows.filter("doc is not null"), length)
+    texts = stage_table(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size), "blocks")
+    spans = repeated_windows(texts, (0, 1), length, piece)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for i in range(batch.num_rows):
-                data = (batch.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass")
-                begin, stop = covered(*listed(batch.column(3)[i]), length)
-                sha, at = hashlib.sha256(), 0
-                for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
-                    sha.update(data[at:a])
-                    at = b
-                sha.update(data[at:])
-                for column, value in zip(out, (len(data), int((stop - begin).sum()), len(begin), sha.hexdigest()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return with_spans(rows, spans).mapInArrow(lean(run, "suffix"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        for b in each_block(batches, (0, 1)):
+            gone = b.marked(length - 1)
+            removed = np.concatenate([[0], np.cumsum(gone)])
+            first = gone.copy()
+            first[1:] &= ~gone[:-1]
+            first[b.first[b.sizes > 0]] = gone[b.first[b.sizes > 0]]
+            runs = np.concatenate([[0], np.cumsum(first)])
+            kept = b.data[~gone].tobytes()
+            stop = b.first + b.sizes
+            cut = np.r_[b.first, len(b.data)] - removed[np.r_[b.first, len(b.data)]]
+            sha = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b.batch.column(0), pa.array(b.sizes), pa.array(removed[stop] - removed[b.first]), pa.array(runs[stop] - runs[b.first]), pa.array(sha, pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
+
+    return with_spans(texts, spans).mapInArrow(lean(run, "suffix"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, *, length: int = 50) -> DataFrame:
     """docs with the repeated bytes of their texts removed, as far as they are whole code points.
 
-    All columns stay; n_chars, where there is one, is counted anew. Null texts stay null.
+    All columns stay, whatever their names; n_chars, where there is one, is counted anew. Null texts stay
+    null. Rows with one doc_id don't count against each other; rows with a null doc_id stay as they are.
+    An empty table gives no rows.
     """
-    th = text_key(docs)
-    spans = repeated_windows(keyed(docs, th).filter("doc is not null"), length)
-    lists = spans.groupBy("doc", "th").agg(F.collect_list("at").alias("_spans")).withColumnsRenamed({"doc": "_doc", "th": "_th"})
-    names, at = docs.columns, docs.columns.index("text")
-    met = docs.withColumn("_key", th).join(lists, (F.col("doc_id") == F.col("_doc")) & (F.col("_key") == F.col("_th")), "left")
-    met = met.select("_spans", *names)
+    names = docs.columns
+    columns = (names.index("doc_id"), names.index("text"))
     count = names.index("n_chars") if "n_chars" in names else None
-    schema = docs.schema
+    texts = stage_table(blocks(docs), "blocks")
+    spans = repeated_windows(texts, columns, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts: list[str | None] = []
-            for i in range(batch.num_rows):
-                text = batch.column(at + 1)[i].as_py()
-                begin, stop = covered(*listed(batch.column(0)[i]), length)
-                if text is not None and len(begin):
-                    data, kept, last = text.encode("utf-8", "surrogatepass"), [], 0
-                    for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
-                        while a < b and data[a] & 0xC0 == 0x80:
-                            a += 1
-                        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
-                            b -= 1
-                        kept.append(data[last:a])
-                        last = b
-                    text = b"".join([*kept, data[last:]]).decode("utf-8", "surrogatepass")
-                texts.append(text)
-            cols = list(batch.columns[1:])
-            cols[at] = pa.array(texts, pa.string())
+        for b in each_block(batches, columns):
+            if not len(b.spans):
+                yield b.batch
+                continue
+            gone = b.marked(length - 1)
+            # A code point goes if all its bytes go.
+            lead = b.data & 0xC0 != 0x80
+            lead[b.first[b.sizes > 0]] = True
+            points = np.flatnonzero(lead)
+            gone = np.repeat(np.logical_and.reduceat(gone, points), np.diff(np.r_[points, len(gone)]))
+            kept, places = b.data[~gone].tobytes(), np.r_[b.first, len(b.data)]
+            cut = (places - np.concatenate([[0], np.cumsum(gone)])[places]).tolist()
+            some = np.asarray(pc.is_valid(b.batch.column(columns[1]))).tolist()
+            cols = list(b.batch.columns)
+            left = [kept[x:y] if yes else None for x, y, yes in zip(cut[:-1], cut[1:], some, strict=True)]
+            cols[columns[1]] = pa.array(left, pa.binary()).cast(b.batch.schema.field(columns[1]).type, safe=False)
             if count is not None:
-                cols[count] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols[count].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                chars = np.diff(np.concatenate([[0], np.cumsum(lead & ~gone)])[places])
+                cols[count] = pa.array(chars, mask=~np.array(some, bool)).cast(cols[count].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.batch.schema)
 
-    return met.mapInArrow(lean(run, "suffix"), schema)
+    return with_spans(texts, spans).mapInArrow(lean(run, "suffix"), docs.schema)
