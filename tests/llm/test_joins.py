@@ -218,6 +218,6 @@ def test_runs_in_any_order(shared):
 
 
 def test_packing_of_columns():
-    cols = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.arange(5, dtype=np.int32) - 2]
-    back = suffix.unpacked(suffix.packed(cols), 5, [np.uint64, np.int32])
+    cols = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.arange(5, dtype=np.int32) - 2, np.array([-(1 << 63), (1 << 63) - 1, 0, -7, 7])]
+    back = suffix.unpacked(suffix.packed(cols), 5, [np.uint64, np.int32, np.int64])
     assert all((a == b).all() for a, b in zip(cols, back, strict=True))
