@@ -60,10 +60,11 @@ def stage_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // 200_000))
-    size, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = {k: spark.conf.get(k) for k in (size, clean)}
+    size, width, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = {k: spark.conf.get(k) for k in (size, width, clean)}
     most = int(before[size])
     spark.conf.set(size, str(min(2000, most) if most > 0 else 2000))  # whole texts are large rows
+    spark.conf.set(width, "16m")
     spark.conf.set(clean, "true")
     try:
         df.write.parquet(path)

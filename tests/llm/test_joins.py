@@ -102,8 +102,8 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_vectors_match_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,tile", [(0, 32), (1, 8), (2, 4096)])
+def test_vectors_match_brute_force(spark, seed, tile):
     rng = np.random.default_rng(seed)
     base = rng.standard_normal((40, 24))
     rows = []
@@ -117,7 +117,7 @@ def test_vectors_match_brute_force(spark, seed):
     unit = [np.array(r[1], np.float32).astype(float) for r in good]
     links = [(i, j) for i in range(len(good)) for j in range(i) if good[i][2] == good[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98 * np.linalg.norm(unit[i]) * np.linalg.norm(unit[j])]
     count, root = Counter(x for p in links for x in p), closure(len(good), links)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df, tile=32).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df, tile=tile).collect()}
     want = {r[0]: (count[at[r[0]]], good[root[at[r[0]]]][0], good[root[at[r[0]]]][0] == r[0]) if r[0] in at else (0, r[0], True) for r in rows}
     assert got == want and len(links) > 50
     assert near_vectors(df.limit(0)).count() == 0
@@ -221,3 +221,41 @@ def test_packing_of_columns():
     cols = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.arange(5, dtype=np.int32) - 2, np.array([-(1 << 63), (1 << 63) - 1, 0, -7, 7])]
     back = suffix.unpacked(suffix.packed(cols), 5, [np.uint64, np.int32, np.int64])
     assert all((a == b).all() for a, b in zip(cols, back, strict=True))
+
+
+def test_vectors_keep_labels_as_they_are(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 1.2), (2, v, 1.7), (3, v, 1.2)]
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+    names = [(1, v, "a"), (2, v, "b"), (3, v, "a"), (4, v, "")]
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(names, "vec_id long, embedding array<float>, label string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_vector_join_prunes():
+    """Comparisons over all blocks, of random vectors in one task: well below all pairs, and fewer than n to the power 1.5 more."""
+    from loomlake.llm import embeddings as E
+
+    done = []
+    for n in (1000, 4000):
+        x = np.random.default_rng(1).standard_normal((n, 64))
+        ids, one = np.arange(n), np.zeros(n, np.int64)
+        done.append(sum(E.join_group(k, (0, 0), one, one == 0, ids, x, 0.98, 0.04, 4)[2] for k in range(4)))
+    assert done[1] < 0.1 * 4000 * 3999 / 2 and done[1] < 8 * done[0]
+
+
+def test_leaves_hold_all_near_pairs():
+    from loomlake.llm import embeddings as E
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 8))
+    x[300:] = x[:300] + rng.standard_normal((300, 8)) * 0.1
+    tree, depth = E.split_tree(x[:200], 6), rng.integers(0, 2, 600) * 6
+    depth[300:] = depth[:300]
+    row, leaf, home = E.visits(x, tree, depth, 0.09)
+    assert sorted(row[home]) == list(range(600))
+    at = {int(r): int(w) for r, w in zip(row[home], leaf[home], strict=True)}
+    seen = set(zip(row.tolist(), leaf.tolist(), strict=True))
+    near = [(i, j) for i in range(600) for j in range(600) if depth[i] == depth[j] and ((x[i] - x[j]) ** 2).sum() <= 0.09]
+    assert len(near) > 700 and all((i, at[j]) in seen for i, j in near) and len(row) < 600 * 20
