@@ -1,13 +1,14 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
-Documents with equal shingle sets are one class and take part once. MinHash bands propose candidates;
-their MinHash values are then compared a few at a time, and a pair is dropped once the posterior
-probability that its similarity reaches the threshold is below a tolerance. What is left forms candidate
-components, and inside these all pairs are verified by exact intersections of their shingle sets.
-
-No pair ever becomes a row: a bucket or component sends on the links of a spanning forest and a count of
-links for each member. Crowded buckets and large components are divided into tiles, and each pair of
-tiles is a task of bounded size.
+Documents with equal shingle sets are one class and take part once. MinHash bands propose candidates, each
+pair in the first band that it shares. The pair's MinHash values are then compared a few at a time, and it
+is dropped once the posterior probability that its similarity reaches the threshold is below a tolerance.
+Only documents with a pair left send their shingle sets to the bucket in charge of it, where exactly the
+pairs that are left are verified by the intersections of their sets.
+
+No pair ever becomes a row: a bucket sends on the documents with pairs left, and after verification the
+links of a spanning forest and a count of links for each member. Crowded buckets are divided into tiles, and
+each pair of tiles is a task of bounded size.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from loomlake.llm.common import byte_table, lean, mix, stage_table
-from loomlake.llm.graph import components, link, local_roots
+from loomlake.llm.common import byte_table, lean, mix, ranges, stage_table
+from loomlake.llm.graph import components, local_roots
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP = 16
-TILE = 512
+TILE = 1024
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 TABLE = byte_table(3)
@@ -115,6 +116,18 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
+def charged(sig: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose first common band is the given one."""
+    bands = sig.view(np.uint64)  # ROWS values of 16 bits
+    at = np.broadcast_to(band, i.shape)
+    keep = bands[i, at] == bands[j, at]
+    i, j, at = i[keep], j[keep], at[keep]
+    for k in range(int(at.max(initial=0))):
+        keep = (bands[i, k] != bands[j, k]) | (at <= k)
+        i, j, at = i[keep], j[keep], at[keep]
+    return i, j
+
+
 def pruned(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """The candidate pairs that are still likely enough when all values have been compared."""
     hits = np.zeros(len(i), np.int32)
@@ -156,7 +169,7 @@ def each_group(batches: Iterator[pa.RecordBatch], keys: int, make: Callable[[lis
         yield from closed(pa.Table.from_batches(held))
 
 
-def tile_pairs(df: DataFrame, key: str, size: str, tile: int) -> DataFrame:
+def tile_pairs(df: DataFrame, size: str, tile: int) -> DataFrame:
     """Give each row of a group of `size` rows a tile, and repeat it for every pair of tiles that it is in."""
     df = df.withColumn("tiles", F.ceil(F.col(size) / tile).cast("int")).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -171,31 +184,48 @@ def across(sub: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a, len(b)), np.tile(b, len(a))
 
 
-def exact_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs have a Jaccard similarity of at least threshold, as a matrix."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(n), sizes)
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles the two sets of each pair share."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
     value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    rank = np.cumsum(shared) - 1
-    keep = shared[at]
-    column, row = rank[at[keep]], owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    both = np.zeros((n, n), np.float32)
-    width = max(256, (1 << 24) // max(1, n) // 4)
-    for lo in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        block = np.zeros((n, min(width, int(shared.sum()) - lo)), np.float32)
-        block[row[a:b], column[a:b] - lo] = 1
-        both += block @ block.T
-    union = sizes[:, None] + sizes[None, :] - both.astype(np.int64)
-    out = both.astype(np.int64) * 1_000_000 >= np.int64(round(threshold * 1_000_000)) * union
-    np.fill_diagonal(out, False)
+    keep = count[at] > 1
+    rank, row = (np.cumsum(count > 1) - 1)[at[keep]], np.repeat(np.arange(n), sizes)[keep]
+    kinds = max(1, int((count > 1).sum()))
+    out = np.zeros(len(i), np.int64)
+    if len(i) > 8 * n:
+        order = np.argsort(rank, kind="stable")
+        column, row = rank[order], row[order]
+        both = np.zeros((n, n), np.float32)
+        width = max(256, (1 << 24) // n // 4)
+        for lo in range(0, kinds, width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            block = np.zeros((n, min(width, kinds - lo)), np.float32)
+            block[row[a:b], column[a:b] - lo] = 1
+            both += block @ block.T
+        return both[i, j].astype(np.int64)
+    left = np.bincount(row, minlength=n)
+    first = np.cumsum(left) - left
+    ends = np.cumsum(left[i] + left[j])
+    at = 0
+    while at < len(i):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+        p, q, nth = i[at:stop], j[at:stop], np.arange(stop - at)
+        keys = np.concatenate([np.repeat(nth, left[x]) * kinds + rank[ranges(first[x], left[x])] for x in (p, q)])
+        keys.sort()
+        out[at:stop] = np.bincount(keys[1:][keys[1:] == keys[:-1]] // kinds, minlength=stop - at)
+        at = stop
     return out
 
 
+def exact(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs with a Jaccard similarity of at least threshold."""
+    if not len(i):
+        return i, j
+    sizes, both = np.array([len(s) for s in sets], np.int64), shared_counts(sets, i, j)
+    keep = both * 1_000_000 >= np.int64(round(threshold * 1_000_000)) * (sizes[i] + sizes[j] - both)
+    return i[keep], j[keep]
+
+
 def keyed_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, cls, copy_id, n_links, class_id, kept. cls is the key of the shingle set.
 
@@ -207,6 +237,9 @@ def keyed_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tol
     null doc_id are left out. Bands miss a pair of similarity 0.8 with probability 3e-6.
     """
     spark = docs.sparkSession
+    missed = (1 - threshold**ROWS) ** BANDS
+    if missed > 1e-5:
+        raise ValueError(f"{BANDS} bands of {ROWS} values miss a pair at this threshold with probability {missed:.1e}; it must be 0.79 at least")
     least = least_matches(threshold, tolerance)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,91 +259,91 @@ def keyed_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tol
         factor = mix(np.arange(ROWS, dtype=np.uint64) + np.uint64(11)) | np.uint64(1)
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            value = mix((sig * factor).sum(axis=2, dtype=np.uint64) + (np.arange(BANDS, dtype=np.uint64) << np.uint64(40))[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(value.ravel().view(np.int64))], names=["id", "bucket"])
+            value = mix((sig * factor).sum(axis=2, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))), pa.array(value.ravel().view(np.int64)), pa.array(np.repeat(batch.column(2).to_numpy(), BANDS))], names=["id", "band", "bucket", "n"])
 
-    buckets = nodes.select("id", "sig").mapInArrow(lean(banded), "id long, bucket long")
-    crowds = buckets.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    met = tile_pairs(buckets.join(crowds, "bucket"), "bucket", "m", 2 * TILE).join(nodes.select("id", "sig"), "id")
-    group = ["bucket", "i", "j"]
+    buckets = nodes.select("id", "sig", "n").mapInArrow(lean(banded), "id long, band int, bucket long, n int")
+    # A tile has TILE documents and about a million shingles at most.
+    crowds = buckets.groupBy("band", "bucket").agg(F.count("*").alias("docs"), F.greatest(F.count("*"), F.ceil(F.sum("n") * TILE / (1 << 20))).alias("m")).filter("docs > 1").drop("docs")
+    group = ["band", "bucket", "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = tile_pairs(buckets.join(crowds, ["band", "bucket"]), "m", TILE).join(nodes.select("id", "sig"), "id")
     met = met.select(*group, "sub", "id", "sig").repartition(parts, *group).sortWithinPartitions(*group)
 
+    def left_over(keys: list[np.ndarray], sub: np.ndarray, sig: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(lo, hi, i, j): of the groups from row lo to row hi the pairs that are left; groups of equal size up to 32 are taken together."""
+        width = np.diff(bounds)
+        same = keys[2][bounds[:-1]] == keys[3][bounds[:-1]]
+        for w in np.unique(width[(width > 1) & (width <= 32) & same]):
+            some = bounds[:-1][(width == w) & same]
+            a, b = np.triu_indices(w, 1)
+            step = max(1, (1 << 15) // len(a))
+            for at in range(0, len(some), step):
+                i, j = (some[at : at + step, None] + a).ravel(), (some[at : at + step, None] + b).ravel()
+                yield 0, len(sub), *pruned(sig, *charged(sig, i, j, keys[0][i]), least)
+        for g in np.flatnonzero((width > 32) | ((width > 1) & ~same)):
+            lo, hi = bounds[g], bounds[g + 1]
+            i, j = across(sub[lo:hi], keys[2][lo], keys[3][lo])
+            out = [pruned(sig, *charged(sig, i[at : at + (1 << 16)] + lo, j[at : at + (1 << 16)] + lo, keys[0][lo]), least) for at in range(0, len(i), 1 << 16)]
+            if out:
+                yield lo, hi, np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def signature_rows(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(keys: list[np.ndarray], whole: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ids, sub = whole.column(4).to_numpy(), whole.column(3).to_numpy()
-            sig = np.frombuffer(b"".join(whole.column(5).to_pylist()), np.uint16).reshape(-1, HASHES)
-            width = np.diff(bounds)
-            names, node = np.unique(ids, return_inverse=True)
-            root, linked = np.arange(len(names)), np.zeros(len(names), bool)
-
-            def tested(i: np.ndarray, j: np.ndarray) -> None:
-                i, j = pruned(sig, i, j, least)
-                i, j = node[i], node[j]
-                linked[i] = linked[j] = True
-                link(root, i, j)
-
-            # Groups of equal size up to 32 are paired at once.
-            for w in np.unique(width[(width > 1) & (width <= 32)]):
-                some = bounds[:-1][(width == w) & (keys[1][bounds[:-1]] == keys[2][bounds[:-1]])]
-                a, b = np.triu_indices(w, 1)
-                step = max(1, (1 << 15) // len(a))
-                for at in range(0, len(some), step):
-                    tested((some[at : at + step, None] + a).ravel(), (some[at : at + step, None] + b).ravel())
-            for g in np.flatnonzero((width > 32) | ((width > 1) & (keys[1][bounds[:-1]] != keys[2][bounds[:-1]]))):
-                lo, hi = bounds[g], bounds[g + 1]
-                i, j = across(sub[lo:hi], keys[1][lo], keys[2][lo])
-                for at in range(0, len(i), 1 << 15):
-                    tested(i[at : at + (1 << 15)] + lo, j[at : at + (1 << 15)] + lo)
-            if linked.any():
-                yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[root[linked]])], names=["u", "v"])
-
-        yield from each_group(batches, 3, make)
-
-    near = components(met.mapInArrow(lean(candidates), "u long, v long")).withColumnRenamed("node", "id")
-    known = near.join(nodes.select("id", "cls", "copy_id", "copies", "n"), "id")
-    # A tile has TILE documents and about a million shingles at most.
-    crowd = known.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") * TILE / (1 << 20))).alias("m"))
-    picked = known.join(crowd, "root")
-    texts = rows.join(picked.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("root", "m", "id", "copies", "cls", "text")
+            some = np.zeros(whole.num_rows, bool)
+            for _, _, i, j in left_over(keys, whole.column(4).to_numpy(), signature_rows(whole.column(6)), bounds):
+                some[i] = some[j] = True
+            if some.any():
+                yield from whole.select([0, 1, 2, 3, 4, 5]).filter(pa.array(some)).to_batches()
+
+        yield from each_group(batches, 4, make)
+
+    near = stage_table(met.mapInArrow(lean(candidates), "band int, bucket long, i int, j int, sub int, id long"), "candidates")
+    picked = near.select("id").distinct().join(nodes.select("id", "cls", F.col("copy_id").alias("doc_id"), "copies", "sig"), "id")
+    texts = rows.join(picked, "doc_id").select("id", "copies", "sig", "cls", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = shingle_sets(part.column(5).to_pylist(), size)
-                keep = pa.array([set_key(s) == c for s, c in zip(sets, part.column(4).to_pylist(), strict=True)], pa.bool_())
-                made = pa.RecordBatch.from_arrays([*(part.column(c) for c in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "m", "id", "copies", "shingles"])
+                sets = shingle_sets(part.column(4).to_pylist(), size)
+                keep = pa.array([set_key(s) == c for s, c in zip(sets, part.column(3).to_pylist(), strict=True)], pa.bool_())
+                made = pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "copies", "sig", "shingles"])
                 yield made.filter(keep)
 
-    sets = texts.mapInArrow(lean(shingled), "root long, m long, id long, copies long, shingles binary")
-    group = ["root", "i", "j"]
-    tiled = tile_pairs(sets, "root", "m", TILE).select(*group, "sub", "id", "copies", "shingles").repartition(parts, *group).sortWithinPartitions(*group, "id")
+    sets = stage_table(texts.mapInArrow(lean(shingled), "id long, copies long, sig binary, shingles binary"), "shingles")
+    tiled = near.join(sets, "id").select(*group, "sub", "id", "sig", "copies", "shingles").repartition(parts, *group).sortWithinPartitions(*group, "id")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(keys: list[np.ndarray], whole: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            # Repeated rows of a text gave its set more than once.
+            ids = whole.column(5).to_numpy()
+            fresh = np.r_[True, ids[1:] != ids[:-1]]
+            fresh[bounds[:-1]] = True
+            bounds = np.r_[0, np.cumsum(fresh)][bounds]
+            whole, keys = whole.filter(pa.array(fresh)), [k[fresh] for k in keys]
+            sub, ids, copies = whole.column(4).to_numpy(), whole.column(5).to_numpy(), whole.column(7).to_numpy()
             out: tuple[list, list, list] = ([], [], [])
-            ids, copies, sub = whole.column(4).to_numpy(), whole.column(5).to_numpy(), whole.column(3).to_numpy()
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                fresh = lo + np.flatnonzero(np.r_[True, ids[lo + 1 : hi] != ids[lo : hi - 1]])
-                if len(fresh) < 2:
-                    continue
-                lists = whole.column(6).take(pa.array(fresh)).to_pylist()
-                links = exact_links([np.frombuffer(b, np.uint64) for b in lists], threshold)
-                if keys[1][lo] != keys[2][lo]:
-                    links &= sub[fresh][:, None] != sub[fresh][None, :]
-                a, b = np.nonzero(np.triu(links))
-                some = np.flatnonzero(links.any(axis=1))
-                if not len(some):
+            for lo, hi, i, j in left_over(keys, sub, signature_rows(whole.column(6)), bounds):
+                used = np.unique(np.r_[i, j])
+                i, j = np.searchsorted(used, i), np.searchsorted(used, j)
+                lists = [np.frombuffer(b, np.uint64) for b in whole.column(8).take(pa.array(used)).to_pylist()]
+                i, j = exact(lists, i, j, threshold)
+                if not len(i):
                     continue
-                roots = local_roots(len(fresh), a, b)
-                out[0].append(ids[fresh[some]])
-                out[1].append(ids[fresh[roots[some]]])
-                out[2].append((links @ copies[fresh])[some])
+                w = copies[used]
+                counts = np.bincount(i, w[j], len(used)) + np.bincount(j, w[i], len(used))
+                roots, some = local_roots(len(used), i, j), np.flatnonzero(counts)
+                out[0].append(ids[used[some]])
+                out[1].append(ids[used[roots[some]]])
+                out[2].append(counts[some])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["u", "v", "found"])
 
-        yield from each_group(batches, 3, make)
+        yield from each_group(batches, 4, make)
 
     found = stage_table(tiled.mapInArrow(lean(verified), "u long, v long, found long"), "links")
     counts = found.groupBy(F.col("u").alias("id")).agg(F.sum("found").alias("found"))
