@@ -4,7 +4,8 @@ Symbols are the most frequent words, the end of a text, and classes of the other
 bytes. Hidden states are trained by Baum-Welch: each partition adds up its expected counts, Spark sums
 them by symbol, and the next round starts from the sums. A word that shares its symbol has the same
 probability within it in every state, so the likelihood of a text is the scaled forward recursion over
-its symbols, from start to end, times those shares.
+its symbols, from start to end, times those shares. Within a class a seen word has its discounted share, and
+what is left is divided evenly between as many unseen words as the class has seen ones, and one more.
 
 All counts are over the whole corpus. What reaches the driver is bounded by `words`, `classes` and
 `states`; counts of the rarer words stay in Spark and meet their texts in a join.
@@ -16,6 +17,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import crc_text, lean, stage_table
+from loomlake.llm.common import crc_text, lean, mix, stage_table
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = b""
@@ -275,23 +277,53 @@ def baum_welch(texts: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
     return counts.model(share)
 
 
-def score_documents(docs: DataFrame, *, states: int = 8, words: int = 40_000, classes: int = 2048, rounds: int = 3, sample: int = 1500, first_rounds: int = 15) -> DataFrame:
-    """Score every whole text; rows whose crc32(doc_id as text) mod 10 is 0 are not learned from.
-
-    words, classes: how many words have symbols of their own and into how many classes the others go.
-    rounds: Baum-Welch rounds over the whole corpus, started from a model of `sample` texts.
+def drawn_runs(texts: DataFrame, rate: float, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and lengths of runs of `length` tokens, each run of every text (row, symbols) drawn with probability `rate`."""
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text is
-    its end alone. Repeated rows are counted and scored each. A null doc_id is learned from. With nothing to
-    learn from, every symbol is equally likely. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, runs, parts = [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = text.as_py()
+                nth = np.arange(-(-len(data) // (2 * length)), dtype=np.uint64)
+                chance = (mix(mix(nth + np.uint64(1)) + np.uint64(row)) >> np.uint64(11)) / float(1 << 53)
+                for k in np.flatnonzero(chance < rate).tolist():
+                    rows.append(row)
+                    runs.append(k)
+                    parts.append(data[2 * length * k : 2 * length * (k + 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(runs, pa.int64()), pa.array(parts, pa.binary())], names=["row", "run", "symbols"])
+
+    found = texts.select("row", "symbols").mapInArrow(lean(run), "row long, run long, symbols binary").orderBy("row", "run").toArrow()
+    return unpacked(found.column(2))
+
+
+@dataclass
+class Trained:
+    """A model of a corpus: model over symbols; top: words with symbols of their own; sizes: tokens and kinds of each class's other words."""
+
+    model: Hmm
+    top: dict[bytes, int]
+    classes: int
+    sizes: dict[int, tuple[int, int]]
+    tokens: int
+    kinds: int
+    ends: int
+    rarer: DataFrame
+    coded: DataFrame
+
+
+def within(count: float, total: float, kinds: float) -> float:
+    """The share of a word in its class: seen `count` times of `total`, or unseen where that is 0."""
+    return (count - DISCOUNT if count else (DISCOUNT * kinds + 1) / (kinds + 1)) / (total + 1)
+
+
+def train(docs: DataFrame, *, states: int = 8, words: int = 40_000, classes: int = 2048, rounds: int = 3, sample: int = 3000, length: int = 512, first_rounds: int = 15) -> Trained:
+    """Learn from the rows of docs (doc_id, text) whose crc32(doc_id as text) mod 10 is not 0; see score_documents."""
     held = F.coalesce(crc_text("doc_id") % 10 == 0, F.lit(False)).alias("held_out")
     rows = docs.select("doc_id", held, "text")
     vocabulary = stage_table(count_words(rows.filter(~held).select("text"), classes), "words")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
-    scale = math.log10(n + 0.1 * (v + 1))
     real = vocabulary.filter(F.octet_length("word") > 0)
     ends = n - (real.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     # Words are taken by bins of their counts, so that neither a sort nor ties send more than `words` of them to the driver.
@@ -319,13 +351,28 @@ def score_documents(docs: DataFrame, *, states: int = 8, words: int = 40_000, cl
     logs[-1] = math.log10(ends + 0.1)
     coded = stage_table(encode(rows, top, logs.tolist(), classes), "symbols")
     learn = coded.filter("not held_out").select("symbols")
-    picked = coded.filter("not held_out").select("row", F.xxhash64("row").alias("h")).orderBy("h", "row").limit(sample)
-    drawn = coded.select("row", "symbols").join(F.broadcast(picked), "row").orderBy("h", "row").toArrow().column("symbols").combine_chunks()
-    drawn = pa.array([x[: 2 * 1024] for x in drawn.to_pylist()], pa.binary())  # of a sampled text its first tokens; only for the starting point
-    model = first_model(*unpacked(drawn), share, states, first_rounds)
+    model = first_model(*drawn_runs(coded.filter("not held_out"), min(1.0, sample * length / max(1, n)), length), share, states, first_rounds)
     for _ in range(rounds):
         model = baum_welch(learn, model, share)
-    shared = spark.sparkContext.broadcast(model)
+    return Trained(model, top, classes, by_class, n, v, ends, rarer, coded)
+
+
+def score_documents(docs: DataFrame, **options: int) -> DataFrame:
+    """Score every whole text; rows whose crc32(doc_id as text) mod 10 is 0 are not learned from.
+
+    Options, with their defaults in train: states; words and classes, how many words have symbols of their own
+    and into how many classes the others go; rounds, Baum-Welch rounds over the whole corpus. They start from
+    a model of about `sample` runs of `length` tokens, drawn from all runs of all texts, after first_rounds there.
+
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text is
+    its end alone. Repeated rows are counted and scored each. A null doc_id is learned from. With nothing to
+    learn from, every symbol is equally likely. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    known = train(docs, **options)
+    coded, classes, n, ends = known.coded, known.classes, known.tokens, known.ends
+    scale = math.log10(n + 0.1 * (known.kinds + 1))
+    shared = spark.sparkContext.broadcast(known.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,12 +380,12 @@ def score_documents(docs: DataFrame, *, states: int = 8, words: int = 40_000, cl
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(path)], names=["row", "doc_id", "held_out", "n_tokens", "base", "known", "path"])
 
     scored = coded.select("row", "doc_id", "held_out", "n_tokens", "base", "known", "symbols").mapInArrow(lean(run), "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, path double")
-    size = spark.createDataFrame([(b, *by_class.get(b, (0, 0))) for b in range(classes)], "class int, total long, kinds long")
+    size = spark.createDataFrame([(b, *known.sizes.get(b, (0, 0))) for b in range(classes)], "class int, total long, kinds long")
     parts = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    met = parts.join(rarer.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    met = parts.join(known.rarer.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     met = met.withColumn("class", F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(classes)).cast("int")).join(F.broadcast(size), "class")
-    within = F.when(F.col("c") > 0, F.col("c") - DISCOUNT).otherwise(DISCOUNT * F.col("kinds") + 1) / (F.col("total") + 1)
-    sums = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.1)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(within)).alias("rare_path"))
+    part = F.when(F.col("c") > 0, F.col("c") - DISCOUNT).otherwise((DISCOUNT * F.col("kinds") + 1) / (F.col("kinds") + 1)) / (F.col("total") + 1)
+    sums = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.1)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(part)).alias("rare_path"))
     out = scored.join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     # The end is known unless nothing was learned.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import crc_text, lean
+from loomlake.llm.common import crc_text, drop_table, lean, stage_table
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -70,81 +70,144 @@ class Scorer:
         return -math.expm1(-total), max(found, key=lambda x: x[2], default=None), sum(p >= 0.5 for *_, p in found)
 
 
-def fit(texts: list[str], labels: list[int], *, steps: int = 400, rate: float = 0.3, sparse: float = 2e-4, least: int = 3) -> Model:
-    """Learn weights by projected gradient steps on the likelihood of the document labels.
+#: A document for training: sentences without evidence, and how many sentences have each list of feature numbers.
+Bag = tuple[int, dict[tuple[int, ...], int]]
 
-    Only features in at least `least` positive documents that are twice as common there are kept; others
-    could get no weight. Without positive or negative documents the bias alone is learned.
+
+def bag_of(text: str, ids: dict[str, int]) -> Bag:
+    plain, found = 0, Counter()
+    for s in SENTENCE.findall(text):
+        hits = tuple(sorted(ids[f] for w in WORD.findall(s.lower()) for f in features(w) if f in ids))
+        if hits:
+            found[hits] += 1
+        else:
+            plain += 1
+    return plain, found
+
+
+def evident(text: str) -> set[str]:
+    """The features of a text."""
+    return {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+
+
+def fit(texts: list[str], labels: list[int], **options: float) -> Model:
+    """fit_bags over texts at hand."""
+    least = options.pop("least", 3)
+    seen = (Counter(), Counter())
+    for t, label in zip(texts, labels, strict=True):
+        seen[int(label)].update(evident(t))
+    pos, neg = sum(labels), len(labels) - sum(labels)
+    keep = sorted(f for f, k in seen[1].items() if neg and k >= least and k / pos > 2 * (seen[0][f] + 0.5) / neg)
+    ids = {f: i for i, f in enumerate(keep)}
+    return fit_bags([bag_of(t, ids) for t in texts], labels, keep, **options)
+
+
+def gradient(bags: tuple[np.ndarray, ...], y: np.ndarray, each: np.ndarray, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """Weighted log-likelihood of the labels under the noisy-or of the sentences, and its slopes by weights and bias.
+
+    bags: plain sentences by document; document and number of each sentence; then sentence and feature of each hit.
+    """
+    plain, doc, times, r, c = bags
+    n = len(y)
+    z = b + np.bincount(r, w[c], len(doc))
+    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    p0 = 1 / (1 + math.exp(-b))
+    total = np.bincount(doc, times * -np.log1p(-np.minimum(p, 1 - 1e-12)), n) + plain * -math.log1p(-p0)
+    total = np.maximum(total, 1e-12)
+    value = float((each * np.where(y == 1, np.log(-np.expm1(-total)), -total)).sum())
+    # d loglik / d total: positives exp(-t)/(1-exp(-t)), negatives -1; and d total / d z = p.
+    slope = np.clip(each * np.where(y == 1, np.exp(-total) / -np.expm1(-total), -1.0), -50, 50)
+    gz = slope[doc] * p * times
+    return value, np.bincount(c, gz[r], len(w)), float(gz.sum() + (slope * plain).sum() * p0)
+
+
+def arrays(bags: list[Bag]) -> tuple[np.ndarray, ...]:
+    plain = np.array([x for x, _ in bags], float)
+    doc = np.array([d for d, (_, found) in enumerate(bags) for _ in found], np.int64)
+    times = np.array([k for _, found in bags for k in found.values()], float)
+    hits = [h for _, found in bags for h in found]
+    r = np.repeat(np.arange(len(hits)), [len(h) for h in hits]).astype(np.int64)
+    return plain, doc, times, r, np.array([f for h in hits for f in h], np.int64)
+
+
+def fit_bags(bags: list[Bag], labels: list[int], keep: list[str], *, steps: int = 400, rate: float = 0.3, sparse: float = 2e-4) -> Model:
+    """Learn the weights of the features `keep` by projected gradient steps on the likelihood of the document labels.
+
+    Without positive or negative documents the bias alone is learned.
     """
     y = np.array(labels, float)
     n, pos = len(y), y.sum()
     if n == 0 or pos == 0 or pos == n:
         base = (pos + 0.5) / (n + 1)
-        p = 1 - (1 - base) ** (1 / max(1, np.mean([len(SENTENCE.findall(t)) for t in texts]) if texts else 1))
+        p = 1 - (1 - base) ** (1 / max(1, np.mean([plain + sum(found.values()) for plain, found in bags]) if n else 1))
         return Model(math.log(p / (1 - p)), {})
-    seen = (Counter(), Counter())
-    for t, label in zip(texts, labels, strict=True):
-        seen[int(label)].update({f for w in set(WORD.findall(t.lower())) for f in features(w)})
-    keep = sorted(f for f, k in seen[1].items() if k >= least and k / pos > 2 * (seen[0][f] + 0.5) / (n - pos))
-    ids = {f: i for i, f in enumerate(keep)}
-    sentence_doc: list[int] = []
-    rows: list[int] = []
-    cols: list[int] = []
-    plain = np.zeros(n)
-    for d, t in enumerate(texts):
-        for s in SENTENCE.findall(t):
-            hits = [ids[f] for w in WORD.findall(s.lower()) for f in features(w) if f in ids]
-            if hits:
-                rows += [len(sentence_doc)] * len(hits)
-                cols += hits
-                sentence_doc.append(d)
-            else:
-                plain[d] += 1
-    doc, r, c = np.array(sentence_doc, np.int64), np.array(rows, np.int64), np.array(cols, np.int64)
+    data = arrays(bags)
     w, b = np.zeros(len(keep)), -6.0
     # Both classes weigh the same, whatever their shares in the sample.
     each = np.where(y == 1, 0.5 / pos, 0.5 / (n - pos)) * n
     memory_w, memory_b = np.zeros(len(keep)), 0.0
     for _ in range(steps):
-        z = b + np.bincount(r, w[c], len(doc))
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        p0 = 1 / (1 + math.exp(-b))
-        lost = -np.log1p(-np.minimum(p, 1 - 1e-12))
-        total = np.bincount(doc, lost, n) + plain * -math.log1p(-p0)
-        total = np.maximum(total, 1e-12)
-        # d loglik / d total: positives exp(-t)/(1-exp(-t)), negatives -1; and d total / d z = p.
-        slope = each * np.where(y == 1, np.exp(-total) / -np.expm1(-total), -1.0)
-        gz = np.clip(slope, -50, 50)[doc] * p
-        gw = np.bincount(c, gz[r], len(keep)) / n - sparse
-        gb = (gz.sum() + (np.clip(slope, -50, 50) * plain).sum() * p0) / n
+        _, gw, gb = gradient(data, y, each, w, b)
+        gw, gb = gw / n - sparse, gb / n
         memory_w = 0.95 * memory_w + 0.05 * gw**2
         memory_b = 0.95 * memory_b + 0.05 * gb**2
         w = np.maximum(0, w + rate * gw / (np.sqrt(memory_w) + 1e-6) * 0.3)
         b = min(-3.0, b + rate * gb / (math.sqrt(memory_b) + 1e-6) * 0.1)
-    return Model(float(b), {f: float(w[i]) for f, i in ids.items() if w[i] > 1e-3})
+    return Model(float(b), {f: float(w[i]) for i, f in enumerate(keep) if w[i] > 1e-3})
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, least: int = 3, most: int = 50_000) -> Model:
     """Fit on a bounded sample of labelled rows: at most `sample` of each class, by a hash of doc_id.
 
     docs: doc_id, text. labels: doc_id, toxic. Rows held out, crc32(doc_id as text) mod 5 = 0, and null
-    labels are not used; of repeated labels of a document the highest counts.
+    labels are not used; of repeated labels of a document the highest counts, of its texts the least. Features
+    in at least `least` positive documents that are twice as common there are kept, at most `most` of them;
+    others could get no weight. Texts stay in Spark: the driver gets those features and, of each document,
+    how many sentences have which of them. A null text is empty; without labelled rows the bias alone is set.
     """
     mine = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_text("doc_id") % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for want in (0, 1):
         some = mine.filter((F.col("toxic") > 0) == bool(want)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows])
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = stage_table(chosen.groupBy("doc_id").agg((F.max("toxic") > 0).alias("y"), F.min("text").alias("text")), "labelled")
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                found: tuple[Counter, Counter] = (Counter(), Counter())
+                for y, t in zip(batch.column(0).slice(at, 200).to_pylist(), batch.column(1).slice(at, 200), strict=True):
+                    found[y].update(evident(t.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([*found[0], *found[1]], pa.string()), pa.array([*found[0].values(), *[0] * len(found[1])], pa.int64()), pa.array([*[0] * len(found[0]), *found[1].values()], pa.int64())], names=["feature", "neg", "pos"])
+
+    sizes = rows.agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")).first()
+    pos, neg = sizes["pos"], sizes["neg"]
+    keep: list[str] = []
+    if pos and neg:
+        counts = rows.select("y", "text").mapInArrow(lean(seen), "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+        apart = counts.filter((F.col("pos") >= least) & (F.col("pos") / pos > 2 * (F.col("neg") + 0.5) / neg))
+        keep = sorted(r["feature"] for r in apart.orderBy(F.desc("pos"), "feature").limit(most).collect())
+    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(keep)})
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                bags = [bag_of(t.as_py(), shared.value) for t in part.column(2)]
+                hits = pa.array([list(found) for _, found in bags], pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p for p, _ in bags], pa.int64()), hits, pa.array([list(found.values()) for _, found in bags], pa.list_(pa.int64()))], names=["doc_id", "y", "plain", "hits", "times"])
+
+    made = rows.select("doc_id", "y", "text").mapInArrow(lean(bagged), "doc_id long, y boolean, plain long, hits array<array<int>>, times array<long>").orderBy("doc_id").collect()
+    drop_table(rows)
+    return fit_bags([(r["plain"], {tuple(h): k for h, k in zip(r["hits"], r["times"], strict=True)}) for r in made], [int(r["y"]) for r in made], keep)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, then the worst sentence (start, stop, score) and how many offend.
 
-    A null or empty text has no sentences and score 0. Repeated rows each give a row. The model, of a
-    size bounded by the training sample, is broadcast.
+    A null or empty text has no sentences and score 0. Repeated rows each give a row, null ids too; an empty
+    table gives none. The model, of a size bounded by the training sample, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -164,7 +227,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, limit: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns kept, whose score is below limit."""
+    """The rows of docs, all columns kept, whose score is below limit; null and empty texts score 0 and stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

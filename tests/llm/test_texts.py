@@ -261,12 +261,41 @@ def test_toxicity(spark):
     assert toxicity.Scorer(one).score("z. y")[0] < 0.5
 
 
+def test_noisy_or_by_hand(spark):
+    """Scores and the slopes of the likelihood against the plain definition, one sentence after another."""
+    model = toxicity.Model(-2.0, {"bad": 1.5, "badl~": 0.5, "ugly": 2.0})
+    texts = ["bad day. fine. ugly bad bad!", "fine", "Badly. badly\nok", ""]
+    hits = {"bad": 1.5, "badly": 0.5, "ugly": 2.0}
+    sentence = lambda s: 1 / (1 + np.exp(2.0 - sum(hits.get(w, 0) for w in s.split())))
+    parts = [["bad day", "fine", "ugly bad bad"], ["fine"], ["badly", "badly", "ok"], []]
+    want = [1 - np.prod([1 - sentence(s) for s in p]) for p in parts]
+    assert [toxicity.Scorer(model).score(t)[0] for t in texts] == pytest.approx(want)
+    got = toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["score"] for r in got] == pytest.approx(want)
+    keep = ["bad", "ugly"]
+    bags = toxicity.arrays([toxicity.bag_of(t, {"bad": 0, "ugly": 1}) for t in texts[:3]])
+    y, each, w = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5]), np.array([0.7, 0.2])
+
+    def value(w, b):
+        m, out = toxicity.Scorer(toxicity.Model(b, dict(zip(keep, w, strict=True)))), 0.0
+        for t, label, e in zip(texts, y, each, strict=False):
+            p = m.score(t)[0]
+            out += e * np.log(p if label else 1 - p)
+        return out
+
+    at, gw, gb = toxicity.gradient(bags, y, each, w, -2.0)
+    eps = 1e-6
+    assert at == pytest.approx(value(w, -2.0)) and gb == pytest.approx((value(w, -2.0 + eps) - at) / eps, rel=1e-3)
+    assert gw == pytest.approx([(value(w + eps * np.eye(2)[k], -2.0) - at) / eps for k in range(2)], rel=1e-3)
+
+
 def likelihood(model, symbols):
     """The forward recursion without vectors."""
-    state = model.start * model.emit[symbols[0]]
+    state, out = model.start * model.emit[symbols[0]], 0.0
     for s in symbols[1:]:
+        out, state = out + np.log10(state.sum()), state / state.sum()
         state = (state @ model.move) * model.emit[s]
-    return np.log10(state.sum())
+    return out + np.log10(state.sum())
 
 
 def test_hmm_recursions():
@@ -326,12 +355,26 @@ def test_hmm_scores(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     seen = Counter(w for i, t in texts if not held(i) for w in tokens(t))
     n, v = sum(seen.values()), len(seen)
-    got = hmm.score_documents(docs, words=500, classes=64, states=4, rounds=2, sample=100, first_rounds=4).collect()
+    got = hmm.score_documents(docs, words=500, classes=64, states=4, rounds=2, sample=60, first_rounds=4).collect()
     want = sorted((i, held(i), len(tokens(t)), sum(seen[w] > 0 for w in tokens(t)), n, round(sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 5)) for i, t in texts)
     assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     assert all(r["score"] < 0 for r in got)
     out = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    known = hmm.train(docs, words=500, classes=64, states=4, rounds=2, sample=60, first_rounds=4)
+    scores = {}
+    for i, t in texts:
+        symbols, share = [], 0.0
+        for w in tokens(t)[:-1]:
+            b = w.encode("utf-8", "surrogatepass")
+            symbols.append(known.top.get(b, len(known.top) + zlib.crc32(b[-3:]) % 64))
+            if b not in known.top:
+                share += math.log10(hmm.within(seen[w], *known.sizes.get(zlib.crc32(b[-3:]) % 64, (0, 0))))
+        scores.setdefault(i, []).append(round(likelihood(known.model, [*symbols, len(known.top) + 64]) + share, 4))
+    assert {r["doc_id"]: 1 for r in got}.keys() == scores.keys()
+    assert all(min(abs(r["score"] - x) for x in scores[r["doc_id"]]) < 1e-3 for r in got)
+    for total, kinds in known.sizes.values():  # shares of a class sum to 1
+        assert total - hmm.DISCOUNT * kinds + (kinds + 1) * hmm.within(0, total, kinds) * (total + 1) == pytest.approx(total + 1)
     assert hmm.score_documents(docs.limit(0)).count() == 0
     alone = hmm.score_documents(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").filter("doc_id = 2")).first()
     assert alone["n_tokens"] == 1
