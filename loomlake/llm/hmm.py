@@ -29,7 +29,7 @@ from loomlake.llm.common import crc_text, lean, mix, stage_table
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = b""
-RUN = 128
+RUN = 256
 DISCOUNT = 0.75
 LEAST = 4  # rarer words have no symbol of their own
 
@@ -103,22 +103,26 @@ class Hmm:
         if not len(many):
             return enter, ends, leave
         many = many[np.argsort(-size[many], kind="stable")]
-        emit = self.emit / self.emit.max(axis=1, keepdims=True)
-        whole = np.zeros((len(many), k, k))
+        # States first, runs last, so that all runs are stepped at once.
+        emit, move = np.ascontiguousarray((self.emit / self.emit.max(axis=1, keepdims=True)).T, np.float32), np.ascontiguousarray(self.move.T, np.float32)
+        whole = np.zeros((len(many), k, k), np.float32)
         where = np.zeros(runs, np.int64)
         where[many] = np.arange(len(many))
         for at in range(0, len(many), 512):
             some = many[at : at + 512]
-            falling, m = -size[some], whole[at : at + 512]
-            m[:] = np.eye(k)[None] * emit[symbols[first[some]]][:, None, :]
+            falling, begin = -size[some], first[some]
+            m = np.eye(k, dtype=np.float32)[:, :, None] * emit[:, symbols[begin]][None]
             for t in range(1, int(size[some[0]])):
                 n = int(np.searchsorted(falling, -t, "left"))
-                step = (m[:n].reshape(-1, k) @ self.move).reshape(n, k, k)
-                step *= emit[symbols[first[some[:n]] + t]][:, None, :]
-                if t % 8 == 0:
-                    step /= step.max(axis=(1, 2))[:, None, None]
-                m[:n] = step
-            m /= m.max(axis=(1, 2))[:, None, None]
+                if n < m.shape[2]:
+                    whole[at + n : at + m.shape[2]] = m[:, :, n:].transpose(2, 0, 1)
+                    m = m[:, :, :n]
+                m = np.matmul(move, m)
+                m *= emit[:, symbols[begin[:n] + t]]
+                if t % 4 == 0:
+                    m /= m.max(axis=(0, 1))
+            whole[at : at + m.shape[2]] = m.transpose(2, 0, 1)
+        whole /= whole.max(axis=(1, 2))[:, None, None]
         after = many[nth[many] > 0]
         after = after[np.argsort(nth[after], kind="stable")]
         waves = np.split(after, np.flatnonzero(np.diff(nth[after])) + 1)
@@ -293,8 +297,8 @@ def drawn_runs(texts: DataFrame, rate: float, length: int) -> tuple[np.ndarray,
                     parts.append(data[2 * length * k : 2 * length * (k + 1)])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(runs, pa.int64()), pa.array(parts, pa.binary())], names=["row", "run", "symbols"])
 
-    found = texts.select("row", "symbols").mapInArrow(lean(run), "row long, run long, symbols binary").orderBy("row", "run").toArrow()
-    return unpacked(found.column(2))
+    found = texts.select("row", "symbols").mapInArrow(lean(run), "row long, run long, symbols binary").toArrow()
+    return unpacked(found.sort_by([("row", "ascending"), ("run", "ascending")]).column(2))
 
 
 @dataclass

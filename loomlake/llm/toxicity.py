@@ -198,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, least: int
                 hits = pa.array([list(found) for _, found in bags], pa.list_(pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p for p, _ in bags], pa.int64()), hits, pa.array([list(found.values()) for _, found in bags], pa.list_(pa.int64()))], names=["doc_id", "y", "plain", "hits", "times"])
 
-    made = rows.select("doc_id", "y", "text").mapInArrow(lean(bagged), "doc_id long, y boolean, plain long, hits array<array<int>>, times array<long>").orderBy("doc_id").collect()
+    made = rows.select("doc_id", "y", "text").mapInArrow(lean(bagged), "doc_id long, y boolean, plain long, hits array<array<int>>, times array<long>").collect()
+    made.sort(key=lambda row: row["doc_id"])
     drop_table(rows)
     return fit_bags([(r["plain"], {tuple(h): k for h, k in zip(r["hits"], r["times"], strict=True)}) for r in made], [int(r["y"]) for r in made], keep)
 
