@@ -44,6 +44,38 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def supported(data: dict) -> None:
+    """Raise unless a tokenizers file asks for nothing but what this module does."""
+    model, split = data["model"], data.get("pre_tokenizer") or {"type": "ByteLevel", "add_prefix_space": False}
+    wrong = [k for k in ("normalizer", "post_processor") if data.get(k)]
+    wrong += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["model type"] * (model.get("type", "BPE") != "BPE")
+    wrong += ["pre_tokenizer"] * (split["type"] != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True))
+    wrong += ["decoder"] * ((data.get("decoder") or {"type": "ByteLevel"})["type"] != "ByteLevel")
+    wrong += ["added_tokens"] * any(x.get(k) for x in data.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    if wrong:
+        raise ValueError(f"not supported in a vocabulary file: {', '.join(wrong)}")
+
+
+def gadget_rows(base: list[int], merges: list[tuple[int, int, int]]) -> dict[int, set[int]]:
+    """For the state behind each token the labels of its arcs, by one merge gadget after another; merges: (a, b, ab).
+
+    This is the whole automaton, for vocabularies whose square is small; MergeAutomaton.arc gives the same arcs one by one.
+    """
+    rows = {x: set(base) for x in base}
+    for a, b, ab in merges:
+        behind = set(rows[b])
+        if b in rows[a]:
+            if a in behind:
+                behind.add(ab)
+            for x, row in rows.items():
+                if a in row and not x == a == b:
+                    row.add(ab)
+            rows[a].discard(b)
+        rows[ab] = behind
+    return rows
+
+
 class WordCache(dict):
     """Words and their paths. A full cache forgets, but for the words that came first in their thousands."""
 
@@ -58,6 +90,7 @@ class MergeAutomaton:
     def __init__(self, spec: str) -> None:
         """spec: the JSON text of a tokenizers file with a ByteLevel BPE model."""
         data = json.loads(spec)
+        supported(data)
         byte_of = printable_bytes()
         spell = lambda s: bytes(byte_of[c] for c in s)
         vocab = data["model"]["vocab"]

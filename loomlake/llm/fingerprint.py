@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.llm.common import byte_table, lean, mix, padded
-from loomlake.llm.native import range_of
+from loomlake.llm.native import longs, range_of
 
 LEAST, NORMAL, MOST = 12, 32, 192
 STRICT_BITS, LOOSE_BITS = 7, 4
@@ -139,8 +139,8 @@ def with_next(docs: DataFrame, blocks: int) -> tuple[DataFrame, int]:
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}
     n = (order[-1] + 1) if order else 1
-    head = F.get(F.array(*[F.lit(heads.get(b)).cast("long") for b in range(n)]), F.col("block"))
-    prior = F.get(F.array(*[F.lit(before.get(b, 0)) for b in range(n)]), F.col("block"))
+    head = F.get(longs([heads.get(b, 0) for b in range(n)]), F.col("block"))
+    prior = F.get(longs([before.get(b, 0) for b in range(n)]), F.col("block")).cast("int")
     first = F.when(F.col("doc_id") == head, F.array(F.struct(F.col("block").alias("b"), F.lit(0).alias("tail")), F.struct(prior.alias("b"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("block").alias("b"), F.lit(0).alias("tail"))))
     return rows.select("doc_id", "text", F.explode(first).alias("x")).select(F.col("x.b").alias("block"), "x.tail", "doc_id", "text"), len(order)
 

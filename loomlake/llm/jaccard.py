@@ -14,11 +14,12 @@ each pair of tiles is a task of bounded size.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -227,7 +228,7 @@ def exact(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float
 
 
 def keyed_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, cls, copy_id, n_links, class_id, kept. cls is the key of the shingle set.
+    """One row a document: doc_id, cls, root, copy_id, n_links, class_id, kept. cls is the key of the shingle set, root that of its class.
 
     Texts link if the Jaccard similarity of their sets of `size`-word shingles is at least `threshold`
     (see shingle_sets for words and short texts). copy_id is the least doc_id with the same shingle set,
@@ -350,40 +351,42 @@ def keyed_classes(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, tol
     roots = components(found.select("u", "v")).withColumnRenamed("node", "id")
     named = nodes.select("id", "cls", "copy_id", "copies").join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     firsts = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(firsts, "root").select("cls", "copy_id", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), "class_id")
-    worded = signs.filter("n > 0").select("doc_id", "cls").join(named, "cls").select("doc_id", "cls", "copy_id", "n_links", "class_id")
-    bare = signs.filter("n = 0").select("doc_id", "cls", F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
+    named = named.join(firsts, "root").select("cls", "root", "copy_id", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), "class_id")
+    worded = signs.filter("n > 0").select("doc_id", "cls").join(named, "cls").select("doc_id", "cls", "root", "copy_id", "n_links", "class_id")
+    bare = signs.filter("n = 0").select("doc_id", "cls", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
     return worded.unionByName(bare).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
 def jaccard_classes(docs: DataFrame, **options: object) -> DataFrame:
     """One row a document: doc_id, copy_id, n_links, class_id, kept; see keyed_classes for what they mean and for options."""
-    return keyed_classes(docs, **options).drop("cls")
+    return keyed_classes(docs, **options).drop("cls", "root")
 
 
 def drop_near_copies(docs: DataFrame, **options: object) -> DataFrame:
-    """docs without those that another document of their class stands for; columns as they were.
+    """docs without those that another document of their class stands for; columns as they were, whatever their names.
 
-    The document with the least doc_id of each class stays; of repeated rows of that document one stays.
-    Rows with one doc_id and different texts are judged each by its own class.
+    One row of each class stays, one with its least doc_id. Rows with one doc_id and different texts are judged
+    each by its own class. Texts without words, null ones too, and rows with a null doc_id all stay. An empty
+    table gives no rows.
     """
-    found = stage_table(keyed_classes(docs, **options), "classes")
-    gone = found.filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    split = found.groupBy("doc_id").agg(F.count_if("kept").alias("k"), F.count("*").alias("n")).filter("k > 0 and k < n").select("doc_id")
-    if not split.isEmpty():
-        at, size = docs.columns.index(options.get("text", "text")), options.get("size", 5)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(0, batch.num_rows, 500):
-                    part = batch.slice(k, 500)
-                    keys = [set_key(s) for s in shingle_sets(part.column(at).to_pylist(), size)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=[*part.schema.names, "_cls"])
-
-        some = docs.join(split, "doc_id", "left_semi").select(*docs.columns)
-        some = some.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("_cls", BinaryType())]))
-        kept = found.filter("kept").select("doc_id", F.col("cls").alias("_cls"))
-        left = left.unionByName(some.join(kept, ["doc_id", "_cls"], "left_semi").select(*docs.columns))
-    twice = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1")
-    return left if twice.isEmpty() else left.dropDuplicates()
+    found = stage_table(keyed_classes(docs, **options).select("doc_id", "cls", "root", "kept"), "classes")
+    ids = found.groupBy("doc_id").agg(F.count_if("kept").alias("k"), F.count("*").alias("n"))
+    several = ids.filter("k > 0 and n > 1").select("doc_id")
+    left = docs.join(ids.filter("k = 0 or n > 1").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    if several.isEmpty():
+        return left
+    at, size = docs.columns.index(options.get("text", "text")), options.get("size", 5)
+    cls, root, nth = (f"{x}_{uuid.uuid4().hex}" for x in ("cls", "root", "nth"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                keys = [set_key(s) for s in shingle_sets(part.column(at).to_pylist(), size)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=[*part.schema.names, cls])
+
+    some = docs.join(several, "doc_id", "left_semi").select(*docs.columns).mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(cls, BinaryType())]))
+    stay = found.filter("kept").select("doc_id", F.col("cls").alias(cls), F.col("root").alias(root)).distinct()
+    order = Window.partitionBy("doc_id", root).orderBy(cls, F.xxhash64(options.get("text", "text")))
+    met = some.join(stay, ["doc_id", cls]).withColumn(nth, F.row_number().over(order)).filter(F.col(root).isNull() | (F.col(nth) == 1))
+    return left.unionByName(met.select(*docs.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +11,12 @@ def range_of(key: Column, splitters: list[int]) -> Column:
     """How many of the sorted splitters are at most key, by binary search in a literal array."""
     if not splitters:
         return F.lit(0)
-    table = F.array(*[F.lit(int(s)).cast("long") for s in splitters])
-    return search(key, table, len(splitters))
+    return search(key, longs(splitters), len(splitters))
+
+
+def longs(values: list[int]) -> Column:
+    """An array as one literal, so that a plan doesn't grow with its items."""
+    return F.lit(np.array(values, np.int64)) if values else F.array().cast("array<bigint>")
 
 
 def search(key: Column, table: Column, most: int) -> Column:

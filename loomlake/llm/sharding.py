@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.llm.common import stage_table
-from loomlake.llm.native import range_of, search
+from loomlake.llm.native import longs, range_of, search
 
 
 def shard_by_size(docs: DataFrame, *, shards: int = 16, ranges: int | None = None, whole_group: float = 0.002, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,10 +75,12 @@ def shard_by_size(docs: DataFrame, *, shards: int = 16, ranges: int | None = Non
         # Only one key may be cut by doc_id; ranges of several keys stay ordered by key first.
         mixed = [r["range"] for r in ranged.filter(F.col("range").isin(list(parts))).groupBy("range").agg((F.min("k") != F.max("k")).alias("mixed")).collect() if r["mixed"]]
         top = ranged.filter(F.col("range").isin(mixed)).groupBy("range", "k").agg(F.sum("size").alias("w")).filter(F.col("w") > fair).select("range", F.col("k").alias("hot"))
-        hot = {r["range"]: sorted(x["hot"] for x in top.collect() if x["range"] == r["range"]) for r in top.select("range").distinct().collect()} if mixed else {}
+        hot: dict[int, list[int]] = {}
+        for r in top.orderBy("range", "hot").collect() if mixed else []:  # at most two a range, as each is over half of one's share
+            hot.setdefault(r["range"], []).append(r["hot"])
         width = max([len(h) for h in hot.values()], default=0)
         if mixed:
-            table = F.create_map(*[x for r in mixed for x in (F.lit(r), F.array(*[F.lit(h) for h in hot.get(r, [])]).cast("array<long>"))])
+            table = F.create_map(*[x for r in mixed for x in (F.lit(r), longs(hot.get(r, [])))])
             keys = F.when(F.col("range").isin(mixed), table[F.col("range")])
             ups = search(F.col("k"), keys, max(1, width))
             same = F.coalesce(F.array_contains(keys, F.col("k")), F.lit(False))
@@ -108,7 +110,7 @@ def shard_by_size(docs: DataFrame, *, shards: int = 16, ranges: int | None = Non
     placed = placed.withColumn("shard", range_of(whole, ends[:-1]))
     placed = stage_table(placed.select("doc_id", "size", "text_crc32", "shard", "rank"), "shards")
     firsts = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
-    first = F.get(F.array(*[F.lit(firsts.get(s, 0) - held[s]).cast("long") for s in range(shards)]), F.col("shard"))
+    first = F.get(longs([firsts.get(s, 0) - held[s] for s in range(shards)]), F.col("shard"))
     out = placed.select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - first).alias("slot"))
     if dealt:
         rest = spark.sql(f"select cast(doc_id as bigint) as doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, shard, cast(slot as bigint) as slot from values {', '.join(dealt)} as t(doc_id, size, text_crc32, shard, slot)")

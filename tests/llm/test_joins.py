@@ -84,6 +84,13 @@ def test_near_copies_of_one_id(spark):
     df = spark.createDataFrame(rows, "source string, doc_id long, text string")
     left = jaccard.drop_near_copies(df)
     assert left.columns == df.columns and sorted(tuple(r) for r in left.collect()) == [rows[0], rows[2], rows[3]]
+    near = y.split()
+    near[3] = "other"
+    odd = [(1, y, {"a": 1}, 5), (1, " ".join(near), {"a": 2}, 6), (1, x, None, 7), (1, x, {"b": 3}, 8), (2, x, {}, 9), (None, x, {}, 1), (3, None, {}, 2), (3, "", {}, 3)]
+    got = jaccard.drop_near_copies(spark.createDataFrame(odd, "doc_id long, text string, cls map<string,int>, root int"))
+    out = sorted(r["root"] for r in got.collect())
+    assert got.columns == ["doc_id", "text", "cls", "root"] and out in ([1, 2, 3, a, b] for a in (5, 6) for b in (7, 8))
+    assert jaccard.drop_near_copies(df.limit(0)).count() == 0
 
 
 def test_posterior_never_drops_likely_pairs():

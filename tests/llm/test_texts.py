@@ -63,6 +63,31 @@ def test_small_automaton_by_gadgets():
             assert [auto.labels[i].decode() for i in auto.path("".join(word).encode())] == parts
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_arcs_equal_whole_gadget_construction(seed):
+    """Every arc of random vocabularies against the automaton that all gadgets, one after another, make."""
+    import json
+
+    rng = random.Random(seed)
+    chars = {b: c for c, b in bpe.printable_bytes().items()}
+    names, merges = [chars[b] for b in b"abc"], []
+    while len(merges) < 60:
+        rows = bpe.gadget_rows([0, 1, 2], merges)
+        a = rng.randrange(len(names))
+        b = rng.choice(sorted(rows[a]) or [0])
+        if b in rows[a] and names[a] + names[b] not in names:
+            merges.append((a, b, len(names)))
+            names.append(names[a] + names[b])
+    auto = bpe.MergeAutomaton(json.dumps({"model": {"vocab": {n: i for i, n in enumerate(names)}, "merges": [[names[a], names[b]] for a, b, _ in merges]}}))
+    rows = bpe.gadget_rows([0, 1, 2], merges)
+    assert all(auto.arc(x, y) == (y in rows[x]) for x in rows for y in rows)
+
+
+def test_other_vocabulary_files_are_refused():
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.MergeAutomaton(bpe.read_spec(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def test_bpe_query(spark, theirs):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(None, "a", "x"), (1, "", "x")], "doc_id long, text string, ids string")
     got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digest_documents(df, PATH).collect()}
@@ -124,6 +149,45 @@ def test_fingerprints(spark):
     assert alone["near_next"] == 1 and alone["n_chars"] == 8
 
 
+def plain_chunks(data):
+    """Boundaries, digests and lengths byte by byte."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    gear = [0 if b == 0 else mixed(((b + 1) * 0x9E3779B97F4A7C15 + 1) & mask) & 0xFFFFFFFF for b in range(256)]
+    words = [mixed(((b + 1) * 0x9E3779B97F4A7C15 + 2) & mask) for b in range(256)]
+    found, at = set(), 0
+    while at < len(data):
+        end = min(at + 192, len(data))
+        for stop in range(at + 12, end):
+            h = 0
+            for back in range(min(32, stop)):
+                h = h + (gear[data[stop - 1 - back]] << back) & 0xFFFFFFFF
+            if h >> 32 - (7 if stop < at + 32 else 4) == 0:
+                end = stop
+                break
+        value = sum(words[b] * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(data[at:end]))
+        found.add((mixed(value + (end - at) * 0xD6E8FEB86659FD93 & mask) >> 16, end - at))
+        at = end
+    return found
+
+
+def test_chunks_against_plain_definition():
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abc de\x00\xc3") for _ in range(n)) for n in (0, 1, 11, 12, 13, 31, 200, 1500, 3000)] + [b"z" * 700]
+    made = fingerprint.chunk_sets(texts)
+    plain = [plain_chunks(t) for t in texts]
+    assert [{(int(v) >> 16, int(v) & 0xFFFF) for v in x} for x in made] == plain
+    for i in (6, 7, 8):
+        for j in (6, 7, 8):
+            want = sum(n for d, n in plain[i] & plain[j]) / sum(n for _, n in plain[i])
+            assert fingerprint.containment(made[i], made[j]) == pytest.approx(want)
+
+
 def test_chunks_resist_shifts():
     rng = np.random.default_rng(3)
     data = bytes(rng.integers(97, 123, 20000, dtype=np.uint8))
@@ -202,6 +266,14 @@ def test_chat_layouts(spark):
     assert turns == [[("user", "a\n\nb"), ("assistant", "c")], [("system", "s"), ("user", "a"), ("assistant", "")]] and whole["schema_fingerprint"]
 
 
+def test_chat_names(spark):
+    df = spark.createDataFrame([('{"prompt": "a", "response": "b"}', 1, "s")], "p string, v int, shape string")
+    r = chat.canonical_turns(df, "p").first()
+    assert (r["v"], r["shape"], r["layout"], len(r["turns"])) == (1, "s", "prompt", 2)
+    with pytest.raises(ValueError, match="turns"):
+        chat.canonical_turns(df.withColumn("turns", F.lit(1)), "p")
+
+
 def test_chat_rows_with_gaps(spark):
     data = [(1, None, None, None), (1, 0, "assistant", None), (1, 0, "assistant", None), (2, 5, "user", ODD[5]), (None, 1, "user", "x")]
     out = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
