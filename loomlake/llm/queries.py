@@ -96,4 +96,38 @@ select conv_id, count(*)::bigint as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length(e) - 1 + 8 + 8 + 7)::bigint as formatted_chars
 from esc group by conv_id""",
+    # Shingles of five words as text; classes are what links reach.
+    "op1_ngram_jaccard": """
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') as words from documents where doc_id is not null),
+s as (select doc_id, unnest(list_distinct([array_to_string(words[i : i + 4], ' ') for i in range(1, greatest(1, len(words) - 4) + 1)])) as shingle from w where len(words) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+links as (select met.a, met.b, shared = x.n and shared = y.n as same from met join n x on x.doc_id = a join n y on y.doc_id = b where shared * 1000000 >= 800000 * (x.n + y.n - shared)),
+reach(a, b) as (select doc_id, doc_id from documents where doc_id is not null union select r.a, l.b from reach r join links l on r.b = l.a),
+classes as (select a as doc_id, min(b) as class_id from reach group by 1),
+counts as (select a as doc_id, count(*) as n_links, min(case when same then b end) as same from links group by 1)
+select c.doc_id, least(c.doc_id, coalesce(k.same, c.doc_id)) as copy_id, coalesce(k.n_links, 0) as n_links, c.class_id, c.class_id = c.doc_id as kept from classes c left join counts k using (doc_id)""",
+    # Strings of 50 bytes as hexadecimal text, cut from pieces of a thousand starts.
+    "op4_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+c as (select doc_id, 1000 * k as base, substr(h, 2000 * k + 1, 2098) as piece from (select doc_id, h, unnest(range(0, (greatest(n, 1) + 999) // 1000)) as k from d)),
+w as (select doc_id, base + p as pos, substr(piece, 2 * p + 1, 100) as s from (select doc_id, base, piece, unnest(range(0, least(1000, greatest(0, length(piece) // 2 - 49)))) as p from c)),
+f as (select s, min(doc_id) as least_id from w group by s having count(*) > 1),
+hit as (select w.doc_id, w.pos from w join f on w.s = f.s where f.least_id < w.doc_id),
+runs as (select doc_id, pos, sum(case when pos > prev + 50 or prev is null then 1 else 0 end) over (partition by doc_id order by pos) as nth from (select *, lag(pos) over (partition by doc_id order by pos) as prev from hit)),
+r as (select doc_id, nth, min(pos) as low, max(pos) + 50 as stop from runs group by 1, 2),
+e as (select *, coalesce(lag(stop) over (partition by doc_id order by nth), 0) as prev from r),
+k as (select e.doc_id, sum(stop - low)::bigint as removed, count(*) as spans, string_agg(substr(d.h, 2 * prev + 1, 2 * (low - prev)), '' order by nth) as head, max(stop) as tail from e join d on d.doc_id = e.doc_id group by 1)
+select d.doc_id, d.n::bigint as n_bytes, coalesce(k.removed, 0)::bigint as n_removed, coalesce(k.spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k.head, '') || substr(d.h, 2 * coalesce(k.tail, 0) + 1))) as kept_sha256
+from d left join k on d.doc_id = k.doc_id""",
+    "op9_near_vectors": """
+with recursive good as (
+  select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+links as (select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98::double),
+reach(a, b) as (select vec_id, vec_id from embeddings where vec_id is not null union select r.a, l.b from reach r join links l on r.b = l.a),
+roots as (select a as vec_id, min(b) as component_id from reach group by 1),
+counts as (select a as vec_id, count(*) as n_links from links group by 1)
+select r.vec_id, coalesce(n_links, 0) as n_links, component_id, component_id = r.vec_id as kept from roots r left join counts c on c.vec_id = r.vec_id""",
 }
