@@ -9,7 +9,7 @@ from loomlake.functions.scalars import stripped
 from loomlake.functions.trace import render_telemetry
 
 
-def prompt_stratum(prompts: DataFrame, subjects: DataFrame, *, prompt: str = "prompt", exact: DataFrame | None = None, widest: int = 64) -> DataFrame:
+def prompt_stratum(prompts: DataFrame, subjects: DataFrame, *, prompt: str = "prompt", exact: DataFrame | None = None) -> DataFrame:
     """Add stratum: that of an equal prompt, else of the longest subject that begins it, else 'unknown'.
 
     subjects: subject, stratum. exact: prompt, stratum. Instead of comparing every prompt with every
@@ -18,8 +18,6 @@ def prompt_stratum(prompts: DataFrame, subjects: DataFrame, *, prompt: str = "pr
     low = F.lower(F.col(prompt))
     table = subjects.groupBy(F.lower("subject").alias("_subject")).agg(F.min("stratum").alias("_stratum"))
     sizes = sorted(r["n"] for r in table.select(F.length("_subject").alias("n")).distinct().collect())
-    if len(sizes) > widest:
-        raise ValueError(f"subjects have {len(sizes)} different lengths; at most {widest} make join keys")
     out = prompts
     if sizes:
         keys = prompts.select(low.alias("_p")).distinct().select("_p", F.explode(F.array(*[F.when(F.length("_p") >= n, F.substring("_p", 1, n)) for n in sizes])).alias("_subject")).filter("_subject is not null")

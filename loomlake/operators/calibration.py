@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import stripped
+from loomlake.operators.shards import prefix_sums
 
 
 def long_pairs(df: DataFrame, metrics: list[str], label: str) -> DataFrame:
@@ -20,8 +21,8 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFra
     Rows are counted by value first, so the running sum sees one row a distinct value.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(*keys, value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
+    run = prefix_sums(counts, keys, [F.col(value)], {"_n": "_upto"})
+    return run.select(*keys, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
@@ -41,9 +42,8 @@ def spearman(pairs: DataFrame) -> DataFrame:
 def f1_curve(pairs: DataFrame) -> DataFrame:
     """For each metric and candidate threshold: precision, recall and F1 of x >= threshold against y = 1."""
     at = pairs.groupBy("metric", "x").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    down = Window.partitionBy("metric").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = pairs.groupBy("metric").agg(F.sum("y").alias("all_pos"), F.count("*").alias("all_n"))
-    run = at.select("metric", "x", F.sum("n").over(down).alias("taken"), F.sum("pos").over(down).alias("hits"))
+    run = prefix_sums(at, ["metric"], [F.desc("x")], {"n": "taken", "pos": "hits"})
     both = run.join(total, "metric").filter("all_pos > 0 and all_pos < all_n")
     p, r = F.col("hits") / F.col("taken"), F.col("hits") / F.col("all_pos")
     return both.select("metric", F.col("x").alias("threshold"), p.alias("precision"), r.alias("recall"), (2 * F.col("hits") / (F.col("taken") + F.col("all_pos"))).alias("f1"))

@@ -2,53 +2,69 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import hamming
+from loomlake.sources.staging import staged, unstage
 
 
-@cache
-def local_folder() -> str:
-    """Where no shared folder is set, as in tests: one of this process, gone when it ends."""
-    path = tempfile.mkdtemp(prefix="loomlake-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
+def band_edges(threshold: int, bits: int) -> list[int]:
+    """Bounds of so few bands that two hashes within threshold differ by at most two bits in one of them."""
+    bands = threshold // 3 + 1
+    return [bits * i // bands for i in range(bands + 1)]
 
 
-def cut_lineage(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Write df into the shared checkpoint folder and read it back."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or local_folder()}/loomlake-hash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def band_of(h: Column, low: int, high: int) -> Column:
+    return F.call_function("shiftrightunsigned", F.call_function("shiftleft", h, F.lit(64 - high)), F.lit(64 - high + low))
+
+
+def probes(h: Column, edges: list[int]) -> Column:
+    """Keys (band, flip, value) of a hash: each band as it is, flip -1, and with each of its bits flipped."""
+    keys = []
+    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = band_of(h, low, high)
+        flips = [F.struct(F.lit(i).alias("band"), F.lit(-1).alias("flip"), part.alias("value"))]
+        flips += [F.struct(F.lit(i).alias("band"), F.lit(k).alias("flip"), part.bitwiseXOR(F.lit((1 << k) - (1 << 64) * (k == 63))).alias("value")) for k in range(high - low)]
+        keys += flips
+    return F.array(*keys)
+
+
+def near_hashes(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
+    """(x, y): distinct hashes x < y of (h) that differ in at most threshold bits, each pair once.
+
+    Both sides flip at most one bit of a band, so hashes that are two bits apart in it meet. Of the keys on
+    which a pair meets one counts: in its first band with at most two bits, x flipping the lower of the two,
+    none where it is one bit, and neither flipping where the band is equal.
+    """
+    edges = band_edges(threshold, bits)
+    keyed = hashes.select("h", F.explode(probes(F.col("h"), edges)).alias("k")).select("h", "k.*")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    x, y = F.col("a.h"), F.col("b.h")
+    apart = [hamming(band_of(x, low, high), band_of(y, low, high)) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+    here = F.lit(False)
+    for i, d in enumerate(apart):
+        first = F.lit(True)
+        for e in apart[:i]:
+            first = first & (e > 2)
+        lone = F.when(d == 0, (F.col("a.flip") == -1) & (F.col("b.flip") == -1)).when(d == 1, F.col("a.flip") == -1).otherwise((F.col("a.flip") >= 0) & (F.col("a.flip") < F.col("b.flip")))
+        here = here | ((F.col("a.band") == i) & first & lone)
+    met = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (x < y) & (hamming(x, y) <= threshold)
+    return a.join(b, met).filter(here).select(x.alias("x"), y.alias("y"))
 
 
 def hamming_pairs(df: DataFrame, *, threshold: int, hash_col: str = "hash", pos: str = "pos", bits: int = 64) -> DataFrame:
-    """(a, b, distance) of all rows a before b whose hashes differ in at most threshold bits.
+    """(a, b, distance) of all rows a before b whose hashes differ in at most threshold bits; null hashes have none.
 
-    threshold + 1 disjoint bands of bits: two such hashes are equal in one band at least, so an equi-join
-    by band finds every pair, in the first band where they agree. Equal hashes are one node of that join.
+    Equal hashes are one node of the join; see near_hashes.
     """
-    bands = threshold + 1
     if not 0 <= threshold < bits:
         raise ValueError("threshold must be within the hash")
-    edges = [bits * i // bands for i in range(bands + 1)]
-    part = lambda h, i: F.call_function("shiftrightunsigned", F.call_function("shiftleft", h, F.lit(64 - edges[i + 1])), F.lit(64 - edges[i + 1] + edges[i]))
     rows = df.filter(F.col(hash_col).isNotNull()).select(F.col(pos).alias("pos"), F.col(hash_col).alias("h"))
-    nodes = rows.groupBy("h").agg(F.min("pos").alias("_first"))
-    split = nodes.select("h", F.posexplode(F.array(*[part(F.col("h"), i) for i in range(bands)])).alias("band", "value"))
-    a, b = split.alias("a"), split.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.h") < F.col("b.h")) & (hamming(F.col("a.h"), F.col("b.h")) <= threshold))
-    earlier = F.lit(False)
-    for i in range(bands):
-        earlier = earlier | ((F.lit(i) < F.col("a.band")) & (part(F.col("a.h"), i) == part(F.col("b.h"), i)))
-    near = met.filter(~earlier).select(F.col("a.h").alias("x"), F.col("b.h").alias("y"))
+    nodes = rows.select("h").distinct()
+    near = near_hashes(nodes, threshold, bits)
     both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(nodes.select(F.col("h").alias("x"), F.col("h").alias("y")))
     left = rows.select(F.col("pos").alias("a"), F.col("h").alias("x"))
     right = rows.select(F.col("pos").alias("b"), F.col("h").alias("y"))
@@ -62,23 +78,30 @@ def keep_first(df: DataFrame, *, threshold: int = 8, hash_col: str = "hash", pos
     whose earlier neighbours are all settled: one kept makes a duplicate, none keeps the row. Equal hashes
     are settled beforehand, the first row standing for all. A null hash is never a duplicate.
     """
-    spark = df.sparkSession
-    firsts = df.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(pos).alias("pos"))
-    pairs = cut_lineage(hamming_pairs(firsts, threshold=threshold, hash_col="h", pos="pos").select("a", "b"), spark)
-    open_, kept, gone = pairs, None, None
-    while not open_.isEmpty():
-        blocked = open_.select("b").distinct()
-        sure = open_.select(F.col("a").alias("pos")).distinct().join(blocked, F.col("pos") == F.col("b"), "left_anti")
-        dups = open_.join(sure, F.col("a") == F.col("pos"), "left_semi").select(F.col("b").alias("pos")).distinct()
-        dups = cut_lineage(dups, spark)
-        gone = dups if gone is None else gone.unionByName(dups)
-        settled = cut_lineage(sure, spark)
-        kept = settled if kept is None else kept.unionByName(settled)
-        rest = open_.join(dups, F.col("a") == F.col("pos"), "left_anti").join(dups, F.col("b") == F.col("pos"), "left_anti").join(settled, F.col("a") == F.col("pos"), "left_anti")
-        open_ = cut_lineage(rest, spark)
-    out = df.join(firsts.select(F.col("h").alias("_h"), F.col("pos").alias("_first")), F.col(hash_col) == F.col("_h"), "left")
-    if gone is None:
-        flag = F.lit(False)
-        return out.withColumn("is_duplicate", F.coalesce(F.col(pos) > F.col("_first"), flag)).drop("_h", "_first")
-    out = out.join(gone.select(F.col("pos").alias("_gone")).distinct(), F.col("_first") == F.col("_gone"), "left")
-    return out.withColumn("is_duplicate", F.coalesce(F.col(pos) > F.col("_first"), F.lit(False)) | F.col("_gone").isNotNull()).drop("_h", "_first", "_gone")
+    h, first, gone = (f"_{name}_{uuid.uuid4().hex}" for name in ("h", "first", "gone"))
+    firsts = df.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias(h)).agg(F.min(pos).alias(first))
+    near = hamming_pairs(firsts.select(F.col(h).alias("h"), F.col(first).alias("pos")), threshold=threshold, hash_col="h", pos="pos")
+    left = staged(near.select("a", "b"), "pairs")
+    found: list[DataFrame] = []
+    while not left.isEmpty():
+        sure = staged(left.select(F.col("a").alias("p")).distinct().join(left.select(F.col("b").alias("p")).distinct(), "p", "left_anti"), "sure")
+        dups = staged(left.join(sure, F.col("a") == F.col("p"), "left_semi").select(F.col("b").alias("p")).distinct(), "duplicates")
+        found.append(dups)
+        settled = sure.unionByName(dups)
+        rest = staged(left.join(settled, F.col("a") == F.col("p"), "left_anti").join(dups, F.col("b") == F.col("p"), "left_anti"), "pairs")
+        for table in (left, sure):
+            unstage(table)
+        left = rest
+    out = df.join(firsts, F.col(hash_col) == F.col(h), "left")
+    later = F.coalesce(F.col(pos) > F.col(first), F.lit(False))
+    if not found:
+        return out.withColumn("is_duplicate", later).select(*df.columns, "is_duplicate")
+    every = found[0]
+    for table in found[1:]:
+        every = every.unionByName(table)
+    if len(found) > 1:
+        every = staged(every, "duplicates")
+        for table in found:
+            unstage(table)
+    out = out.join(every.select(F.col("p").alias(gone)), F.col(first) == F.col(gone), "left")
+    return out.withColumn("is_duplicate", later | F.col(gone).isNotNull()).select(*df.columns, "is_duplicate")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import stripped
+from loomlake.sources.staging import staged
 
 
 def shuffle_key(seed: int, *columns: str) -> Column:
@@ -27,12 +28,19 @@ def round_robin(pool: DataFrame, n: int, *, seed: int = 0, genre: str = "genre",
     """(round, genre, prompt): one prompt a genre and round, in shuffled order, n at most.
 
     Prompts are compared without case and outer white space; of equal ones the first dealt stays, and the
-    round of another is not filled.
+    round of another is not filled. The first n rounds, which Spark finds without sorting a genre in one
+    task, are enough unless duplicates leave fewer than n prompts in them.
     """
-    dealt = pool.select(F.col(genre).alias("genre"), F.col(prompt).alias("prompt")).withColumn("round", F.row_number().over(Window.partitionBy("genre").orderBy(shuffle_key(seed, "genre", "prompt"), "prompt")))
-    key = F.lower(stripped(F.col("prompt")))
-    first = dealt.filter(key != "").groupBy(key.alias("_k")).agg(F.min(F.struct("round", "genre", "prompt")).alias("r")).select("r.*")
-    return first.orderBy("round", "genre").limit(max(0, n))
+    turn = F.row_number().over(Window.partitionBy("genre").orderBy(shuffle_key(seed, "genre", "prompt"), "prompt"))
+    dealt = pool.select(F.col(genre).alias("genre"), F.col(prompt).alias("prompt")).withColumn("round", turn)
+
+    def first(rows: DataFrame) -> DataFrame:
+        key = F.lower(stripped(F.col("prompt")))
+        least = rows.filter(key != "").groupBy(key.alias("_k")).agg(F.min(F.struct("round", "genre", "prompt")).alias("r"))
+        return least.select("r.*").orderBy("round", "genre").limit(max(0, n))
+
+    few = staged(first(dealt.filter(F.col("round") <= max(1, n))), "rounds")
+    return (few if few.count() >= n else first(dealt)).orderBy("round", "genre")
 
 
 def generate(curated: DataFrame, subjects: DataFrame, contexts: DataFrame, atmospheres: DataFrame, n: int, *, seed: int = 0) -> DataFrame:

@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.sources.staging import staged
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Add running sums over the rows of equal keys up to each row, without sorting a key's rows in one task.
+
+    sums: name of the new column by that of the summed one. Rows are range-partitioned by keys and order and
+    written; what comes before a range is then the sums of the ranges before it, of which there are few. Rows
+    that are equal by order must be told apart by it.
+    """
+    block, total = f"_block_{uuid.uuid4().hex}", {c: f"_before_{uuid.uuid4().hex}" for c in sums}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staged(df.repartitionByRange(parts, *keys, *order).withColumn(block, F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*keys, block).agg(*(F.sum(c).alias(c) for c in sums))
+    offsets = blocks.select(*keys, block, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(total[c]) for c in sums))
+    met = rows.alias("r").join(offsets.alias("o"), [*(F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys), F.col(f"r.{block}") == F.col(f"o.{block}")])
+    own = Window.partitionBy(*(F.col(f"r.{k}") for k in keys), F.col(f"r.{block}")).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return met.select(*(F.col(f"r.{c}") for c in df.columns), *((F.sum(F.col(f"r.{c}")).over(own) + F.col(total[c])).alias(name) for c, name in sums.items()))
+
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Add row, 0 for the first by order, without sorting everything in one task.
+    """Add row, 0 for the first by order, nulls first, without sorting everything in one task.
 
-    Rows are sorted in ranges of the order; a range's offset is the count of those before it.
+    Rows are written once; ties are numbered by a hash of their other columns.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = df.count()
-    # About a hundred keys a range, drawn by their hash, give the cuts.
-    share = min(1.0, 100 * parts / max(1, n))
-    drawn = df.filter(F.pmod(F.xxhash64(order), F.lit(1 << 30)) < int(share * (1 << 30))).select(order).filter(F.col(order).isNotNull())
-    keys = sorted(r[0] for r in drawn.collect()) if parts > 1 else []
-    cuts = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.when(F.col(order) > F.lit(c), 1).otherwise(0)
-    rows = df.withColumn("_b", F.coalesce(bucket, F.lit(0)))
-    counts = sorted((r["_b"], r["n"]) for r in rows.groupBy("_b").agg(F.count("*").alias("n")).collect())
-    at, offsets = 0, []
-    for b, n in counts:
-        offsets.append((b, at))
-        at += n
-    table = F.create_map(*[F.lit(x) for b, o in offsets or [(0, 0)] for x in (b, o)])
-    own = Window.partitionBy("_b").orderBy(order)
-    return rows.withColumn("row", table[F.col("_b")] + F.row_number().over(own) - 1).drop("_b")
+    one, tie = f"_one_{uuid.uuid4().hex}", f"_tie_{uuid.uuid4().hex}"
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = df.withColumn(one, F.lit(1)).withColumn(tie, F.xxhash64(*(F.col(f"`{c}`") for c in plain)))
+    out = prefix_sums(rows, [], [F.col(order), F.col(tie)], {one: "row"})
+    return out.withColumn("row", F.col("row") - 1).drop(one, tie)
 
 
 def with_shards(df: DataFrame, order: str, size: int = 256) -> DataFrame:

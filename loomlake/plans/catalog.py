@@ -188,15 +188,15 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with h as (select vec_id, [x > 0 for x in embedding] as s from embeddings)
   select a.vec_id as a, b.vec_id as b, list_sum([case when x then 1 else 0 end for x in list_transform(list_zip(a.s, b.s), lambda p: p[1] <> p[2])])::int as distance
-  from h a join h b on a.vec_id < b.vec_id where list_sum([case when x then 1 else 0 end for x in list_transform(list_zip(a.s, b.s), lambda p: p[1] <> p[2])]) <= 18""")
+  from h a join h b on a.vec_id < b.vec_id where list_sum([case when x then 1 else 0 end for x in list_transform(list_zip(a.s, b.s), lambda p: p[1] <> p[2])]) <= 8""")
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return hashdup.hamming_pairs(hashes(spark, d), threshold=18, pos="vec_id")
+    return hashdup.hamming_pairs(hashes(spark, d), threshold=8, pos="vec_id")
 
 
 @query()
 def near_dup_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy keep-first at distance 20; tests hold it against the greedy loop."""
-    return hashdup.keep_first(hashes(spark, d), threshold=20, pos="vec_id").select("vec_id", "is_duplicate")
+    """Greedy keep-first at the default distance."""
+    return hashdup.keep_first(hashes(spark, d), threshold=8, pos="vec_id").select("vec_id", "is_duplicate")
 
 
 @query()
