@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.functions import scalars as X
 from loomlake.functions import vocabulary as V
 from loomlake.operators import assemble, calibration, cost, hashdup, prompts, quality, shards, spatial
+from loomlake.plans.registry import ORACLES, QUERIES, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
@@ -105,14 +89,6 @@ def derive_seed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.derive_seed(F.col("doc_id").cast("string")).alias("seed"))
 
 
-@query("""select o.o_orderkey as id, count(*) as n_items, round(sum(l.l_extendedprice)::double, 2) as price, min(o.o_orderpriority) as priority
-  from orders o join lineitem l on o.o_orderkey = l.l_orderkey group by 1""")
-def assemble_join(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
-    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_extendedprice")
-    return o.join(line, "id").groupBy("id").agg(F.count("*").alias("n_items"), F.round(F.sum("l_extendedprice").cast("double"), 2).alias("price"), F.min("o_orderpriority").alias("priority"))
-
-
 @query("""select u.conv_id, u.turn, length(u.text) as asked, length(a.text) as said from conversations u join conversations a
   on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'""")
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -122,17 +98,6 @@ def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     return users.join(replies, ["conv_id", "turn"])
 
 
-@query("select doc_id, lang from documents where exists (select 1 from labels where labels.doc_id = documents.doc_id)")
-def image_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
-
-
-@query("select l_orderkey, count(*) as n from lineitem where not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'F') group by 1")
-def fk_check(spark: SparkSession, d: str) -> DataFrame:
-    final = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").select("l_orderkey").join(final, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
 SUBJECTS = [("small", "size"), ("small ring", "thing"), ("red", "colour"), ("red w", "widget"), ("blue", "colour"), ("large", "size"), ("green", "colour")]
 SUBJECT_SQL = ", ".join(f"('{s}', '{g}')" for s, g in SUBJECTS)
 
@@ -167,9 +132,21 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(X.iou(box("embedding", 0), box("embedding", 4)), 6).alias("iou"))
 
 
-@query()
+def overlap_sql(a: int, b: int) -> str:
+    """Overlap of the boxes at two places of a vector."""
+    w = f"greatest(0.0::double, least(({box_sql(a)})[3], ({box_sql(b)})[3]) - greatest(({box_sql(a)})[1], ({box_sql(b)})[1]))"
+    h = f"greatest(0.0::double, least(({box_sql(a)})[4], ({box_sql(b)})[4]) - greatest(({box_sql(a)})[2], ({box_sql(b)})[2]))"
+    size = lambda i: f"(({box_sql(i)})[3] - ({box_sql(i)})[1]) * (({box_sql(i)})[4] - ({box_sql(i)})[2])"
+    return f"case when {w} <= 0 or {h} <= 0 then 0.0::double else {w} * {h} / ({size(a)} + {size(b)} - {w} * {h}) end"
+
+
+# Of the two detections that a cat may take, the second cat gets what the first has left.
+@query(f"""with o as (select vec_id, {overlap_sql(0, 4)} as p1, {overlap_sql(0, 20)} as p3, {overlap_sql(8, 12)} as q, {overlap_sql(16, 4)} as r1, {overlap_sql(16, 20)} as r3 from embeddings),
+  u as (select *, greatest(p1, p3) as p, case when greatest(p1, p3) < 0.3 then 0 when p3 > p1 then 3 else 1 end as used from o),
+  v as (select vec_id, round(p, 4) as p, round(q, 4) as q, p >= 0.3 as mp, q >= 0.3 as mq, case used when 1 then r3 when 3 then r1 else greatest(r1, r3) end as r from u)
+  select vec_id, round((mp::int + mq::int + (r >= 0.3)::int) / 3.0::double, 4) as score, 1.0::double as detection_coverage, round((p + q + round(r, 4)) / 3.0::double, 4) as mean_iou, 3 as n_entities, 3 as n_detected, mp::int + mq::int + (r >= 0.3)::int as n_matched from v""")
 def layout_faithfulness(spark: SparkSession, d: str) -> DataFrame:
-    """Three entities against four detections made from each vector; tests hold it against a loop."""
+    """Three entities against four detections made from each vector."""
     thing = lambda name, i: F.struct(F.lit(name).alias("label"), box("embedding", i).alias("bbox"))
     seen = lambda name, i: F.struct(F.lit(name).alias("label"), box("embedding", i).alias("bbox"), F.lit(0.5).alias("score"))
     e = F.array(thing("cat", 0), thing("big_dog", 8), thing("cat", 16))
@@ -183,25 +160,40 @@ def sign_hash(e: str) -> object:
 
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", sign_hash("embedding").alias("hash"))
+    """Sign hashes of the vectors, and of each a variant with 0 to 11 bits changed under another id."""
+    first = table(spark, d, "embeddings").select("vec_id", sign_hash("embedding").alias("hash"))
+    mask = F.expr("shiftleft(shiftleft(1L, cast(vec_id % 12 as int)) - 1, cast(vec_id % 40 as int))")
+    return first.unionByName(first.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.col("hash").bitwiseXOR(mask).alias("hash")))
 
 
-@query("""with h as (select vec_id, [x > 0 for x in embedding] as s from embeddings)
-  select a.vec_id as a, b.vec_id as b, list_sum([case when x then 1 else 0 end for x in list_transform(list_zip(a.s, b.s), lambda p: p[1] <> p[2])])::int as distance
-  from h a join h b on a.vec_id < b.vec_id where list_sum([case when x then 1 else 0 end for x in list_transform(list_zip(a.s, b.s), lambda p: p[1] <> p[2])]) <= 8""")
+HASH_SQL = "list_sum(list_transform(range(64), lambda i: case when {0} then 1::hugeint << i::int else 0::hugeint end))"
+SIGNED_SQL = "(case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end)::bigint"
+
+
+HASHES_SQL = f"""f as (select vec_id, ({HASH_SQL.format('embedding[i + 1] > 0')})::ubigint as h from embeddings),
+  h as (select vec_id, h from f union all select vec_id + 1000000, xor(h, (((1::ubigint << (vec_id % 12)::ubigint) - 1) << (vec_id % 40)::ubigint)::ubigint) from f)"""
+
+
+@query(f"with {HASHES_SQL} select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h))::int as distance from h a join h b on a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 8")
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     return hashdup.hamming_pairs(hashes(spark, d), threshold=8, pos="vec_id")
 
 
-@query()
+@query(f"""with recursive {HASHES_SQL}, o as (select vec_id, h, row_number() over (order by vec_id) as n from h),
+  walk as (select 0::bigint as n, null::bigint as vec_id, false as dup, []::ubigint[] as kept union all
+    select n, vec_id, dup, case when dup then kept else list_append(kept, h) end from (select h.n, h.vec_id, h.h, w.kept, len(list_filter(w.kept, lambda k: bit_count(xor(k, h.h)) <= 8)) > 0 as dup from walk w join o h on h.n = w.n + 1))
+  select vec_id, dup as is_duplicate from walk where n > 0""")
 def near_dup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     """Greedy keep-first at the default distance."""
     return hashdup.keep_first(hashes(spark, d), threshold=8, pos="vec_id").select("vec_id", "is_duplicate")
 
 
-@query()
+@query(f"""with w as (select k, list(cos((i + 0.5::double) * k * pi() / 64) order by i) as w from range(64) a(k), range(64) b(i) group by k),
+  c as (select vec_id, list(list_dot_product(embedding::double[], w) order by k) as c from embeddings, w group by vec_id),
+  m as (select vec_id, c, list_sort(c[2:])[32] as m from c), b as (select vec_id, {HASH_SQL.format('c[i + 1] > m')} as h from m)
+  select vec_id, {SIGNED_SQL} as hash from b""")
 def dct_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Hash of the DCT of each vector; tests hold it against numpy."""
+    """Hash of the DCT of each vector."""
     return table(spark, d, "embeddings").select("vec_id", X.dct_hash(F.col("embedding").cast("array<double>")).alias("hash"))
 
 
@@ -289,20 +281,6 @@ def shard_index(spark: SparkSession, d: str) -> DataFrame:
     return shards.with_shards(table(spark, d, "documents").select("doc_id"), "doc_id", 64).select("doc_id", F.col("row").cast("long").alias("row"), "shard")
 
 
-@query("""select conv_id, count(*) as n, to_json(list({'role': role, 'content': text} order by turn)) as messages from conversations group by 1""")
-def chat_examples(spark: SparkSession, d: str) -> DataFrame:
-    one = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("x"))
-    return rows.select("conv_id", "n", F.to_json(F.transform("x", lambda t: t["m"]), {"ignoreNullFields": "false"}).alias("messages"))
-
-
-@query("select conv_id, string_agg(upper(role) || '_' || length(text), ' ' order by turn) as completion from conversations group by 1")
-def token_targets(spark: SparkSession, d: str) -> DataFrame:
-    token = F.struct("turn", F.concat_ws("_", F.upper("role"), F.length("text").cast("string")).alias("t"))
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(token)).alias("x"))
-    return rows.select("conv_id", F.array_join(F.transform("x", lambda t: t["t"]), " ").alias("completion"))
-
-
 SLUG = "trim(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
@@ -316,28 +294,12 @@ def slug_tokens(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""select p_partkey, concat_ws('. ', p_name || ' in ' || p_brand, 'composition: 35mm lens, subject scale ' || case when p_size % 10 = 0 then '0' else '0.' || (p_size % 10) end || case when p_size % 2 = 0 then ', rule of thirds' else '' end,
-  case when p_size > 25 then 'featuring ' || p_type end, 'highly detailed, cinematic') as prompt from part""")
-def render_prompt(spark: SparkSession, d: str) -> DataFrame:
-    scale = X.short_number((F.col("p_size") % 10) / F.lit(10.0))
-    traits = F.concat(F.array(F.lit("35mm lens"), F.concat(F.lit("subject scale "), scale)), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("rule of thirds"))).otherwise(F.array().cast("array<string>")))
-    parts = [F.concat(F.col("p_name"), F.lit(" in "), F.col("p_brand")), F.concat(F.lit("composition: "), F.array_join(traits, ", ")), F.when(F.col("p_size") > 25, F.concat(F.lit("featuring "), F.col("p_type"))), F.lit("highly detailed, cinematic")]
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_compact(F.array(*parts)), ". ").alias("prompt"))
-
-
 @query("""select event_id, (props::json->>'k')::bigint as k, (props::json->>'k')::bigint between 0 and 50 as valid from events""")
 def json_validate(spark: SparkSession, d: str) -> DataFrame:
     k = F.try_variant_get(X.json_of(F.col("props")), "$.k", "long")
     return table(spark, d, "events").select("event_id", k.alias("k"), k.between(0, 50).alias("valid"))
 
 
-@query("""with k as (select doc_id, row_number() over (partition by lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) order by doc_id) as r, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as t from documents)
-  select doc_id from k where r = 1 and t <> ''""")
-def keep_first_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.lower(X.stripped(F.col("text"))), 256).alias("h"), (X.stripped(F.col("text")) != "").alias("some"))
-    return docs.filter("some").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-
-
 @query("select event_type as value, count(*) as n from events where event_type is not null group by 1")
 def histogram(spark: SparkSession, d: str) -> DataFrame:
     return cost.histogram(table(spark, d, "events"), "event_type")
@@ -357,3 +319,6 @@ def pack_summary(spark: SparkSession, d: str) -> DataFrame:
     q = F.struct(F.col("quality").cast("double").alias("clip_score"), F.when(F.col("n_chars") > 1000, F.col("n_chars") / F.lit(100.0)).alias("aesthetic"), F.col("gate").alias("passed_gate"))
     s = F.struct((F.col("doc_id") % 9 == 0).alias("is_duplicate"), (F.col("toxic") == 1).alias("release_blocked"))
     return quality.pack_summary(gated(spark, d).select(F.struct(q.alias("quality"), s.alias("safety")).alias("dataset")), ["clip_score", "aesthetic"])
+
+
+from loomlake.plans import record_queries  # noqa: E402, F401  registers its queries
