@@ -1,46 +1,114 @@
-"""Command line: estimate costs, list and run queries, write reports."""
+"""Command line: every job of this engine, over files."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import sys
+import uuid
 
 from loomlake.operators.cost import estimate
 
 
-def main(argv: list[str] | None = None) -> int:
+def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="loomlake")
     sub = top.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("cost", help="cost of samples on a GPU")
-    c.add_argument("gpu")
+
+    def command(name: str, said: str, /, *places: str, **options: object) -> argparse.ArgumentParser:
+        p = sub.add_parser(name, help=said)
+        for place in places:
+            p.add_argument(place)
+        for option, default in options.items():
+            flag = f"--{option.replace('_', '-')}"
+            if default is False:
+                p.add_argument(flag, action="store_true")
+            else:
+                p.add_argument(flag, type=type(default) if default is not None else str, default=default)
+        return p
+
+    c = command("cost", "cost of samples on a GPU", "gpu", samples=1)
     c.add_argument("seconds", type=float)
-    c.add_argument("--samples", type=int, default=1)
-    q = sub.add_parser("query", help="run a registered query over a folder of tables")
+    q = command("query", "run a registered query over a folder of tables", out=None)
     q.add_argument("name", nargs="?")
     q.add_argument("tables", nargs="?")
-    q.add_argument("--out")
-    r = sub.add_parser("report", help="report on record files")
-    r.add_argument("records")
-    r.add_argument("folder")
-    args = top.parse_args(argv)
+    command("report", "report on record files", "records", "folder", runs=None, containers=None)
+    command("quality", "gate counts, distributions and strata of record files", "records")
+    command("plan", "make one record's decisions with a chat-completion server", "prompt", url="http://localhost:11434/v1", model="local", gpu="A100-80GB", retries=2, out="outputs")
+    command("assemble", "join render records to their traces", "records", "traces", "out", license="unknown", code_version=None)
+    command("pack", "archives, index, manifest and data card of record files", "records", "out", images=None, name="dataset", shard_size=256, only_passed=False)
+    command("export", "training examples of record files", "records", "out", format="chat", system="")
+    command("sheet", "a sheet for human labels", "records", "out", n=100, seed=0)
+    command("calibrate", "rank correlations and thresholds from a labelled sheet", "sheet")
+    return top
+
+
+def made_plan(args: argparse.Namespace) -> dict:
+    from loomlake.functions import vocabulary as V
+    from loomlake.plans import clients, produce
+
+    key = args.gpu.strip().upper().replace("_", "-")
+    rate = V.GPU_RATES[key if key in V.GPU_RATES else V.GPU_ALIASES[key]]
+    return {"id": uuid.uuid4().hex, **produce.plan(clients.HttpClient(args.url, args.model), args.prompt, retries=args.retries, rate=rate, gpu=args.gpu)}
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
     if args.command == "cost":
         print(f"{estimate(args.gpu, args.seconds, args.samples):.8f}")
         return 0
-    from loomlake.plans import catalog, report
+    from loomlake.plans import catalog, jobs, report
 
     if args.command == "query" and not args.name:
         print("\n".join(sorted(catalog.QUERIES)))
         return 0
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
-    from loomlake.sources.files import read_jsonl
+    from loomlake.functions import vocabulary as V
+    from loomlake.operators import calibration, prompts, quality
+    from loomlake.plans.clients import code_version
+    from loomlake.sources import files
+    from loomlake.streaming.ledger import RUN
 
+    if args.command == "plan":
+        record = made_plan(args)
+        print(json.dumps(record, indent=2, ensure_ascii=False))
+        print(report.trace_text(record), file=sys.stderr)
+        if args.out:
+            files.write_text(SparkSession.builder.getOrCreate(), f"{args.out}/{record['id']}.trace.json", json.dumps(record, indent=2, ensure_ascii=False))
+        return 0
     spark = SparkSession.builder.getOrCreate()
     if args.command == "query":
         df = catalog.QUERIES[args.name](spark, args.tables)
         df.write.mode("overwrite").parquet(args.out) if args.out else df.show()
-    else:
-        records = read_jsonl(spark, args.records)
-        print(report.write_bundle(report.build(records), records, args.folder))
+        return 0
+    if args.command == "calibrate":
+        rows = calibration.labelled(files.read_sheet(spark, args.sheet), V.METRICS)
+        print(report.calibration_text([r.asDict() for r in calibration.correlate(rows, V.METRICS, "human_good").orderBy("metric").collect()]))
+        return 0
+    if args.command == "assemble":
+        image = "array<struct<path:string,sha256:string,idx:int,width:int,height:int,seed:bigint>>"
+        kinds = f"id string, prompt string, final_image string, final_images array<string>, images {image}, meta struct<seed:bigint>, telemetry struct<render:struct<compute_s:double,rate_usd_per_s:double,cost_usd:double,projected_cost_usd:double,gpu:string>>"
+        found = files.read_jsonl(spark, args.records, kinds).select("*", "meta.seed", F.col("telemetry.render").alias("told")).drop("meta", "telemetry").withColumnRenamed("told", "telemetry")
+        subjects = spark.createDataFrame([], "subject string, stratum string")
+        print(jobs.assemble_dataset(found, files.read_documents(spark, args.traces), subjects, args.out, license_name=args.license, code_version=args.code_version or code_version()), "records")
+        return 0
+    records = files.read_jsonl(spark, args.records)
+    if args.command == "report":
+        runs = files.read_optional(spark, args.runs, f"{RUN}, model string, gpu string, n_items bigint, duration_s double") if args.runs else None
+        boxes = files.read_optional(spark, args.containers, "real_cost_usd double, gpu_cost_usd double, cpu_cost_usd double, mem_cost_usd double, billed_s double") if args.containers else None
+        print(report.write_bundle(report.build(records, runs, boxes), records, args.folder, runs))
+    elif args.command == "quality":
+        flat = records.select(F.col("dataset.stratum").alias("stratum"), F.col("dataset.quality.passed_gate").alias("gate"), *(F.col(f"dataset.quality.{m}").alias(m) for m in V.METRICS))
+        print(report.quality_text([r.asDict() for r in quality.quality_report(flat, "stratum", "gate", V.METRICS).collect()], [r.asDict() for r in quality.distribution(flat, V.METRICS).orderBy("metric").collect()]))
+    elif args.command == "pack":
+        made = jobs.pack(records, args.out, name=args.name, size=args.shard_size, only_passed=args.only_passed, images=files.image_contents(spark, args.images) if args.images else None)
+        print(f"{made['n_samples']} records in {len(made['shards'])} archives")
+    elif args.command == "export":
+        print(jobs.training_examples(records, args.out, form=args.format, system=args.system), "examples")
+    elif args.command == "sheet":
+        flat = records.select("id", "prompt", *(F.col(f"dataset.quality.{m}").alias(m) for m in V.METRICS))
+        files.write_csv(files.label_sheet(prompts.sample_rows(flat, args.n, args.seed, "id"), V.METRICS).coalesce(1), args.out)
     return 0
 
 

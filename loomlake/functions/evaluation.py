@@ -34,6 +34,35 @@ def image_references(record_id: Column, hashes: Column, width: Column, height: C
     return F.transform(hashes, lambda h, i: F.struct(F.concat(record_id, F.lit("_"), i.cast("string"), F.lit(".webp")).alias("path"), h.alias("sha256"), i.cast("int").alias("idx"), width.cast("int").alias("width"), height.cast("int").alias("height"), (seed + i).cast("long").alias("seed")))
 
 
+def cost_per_image(cost: Column, n: Column) -> Column:
+    """An image's part of a render's cost, to eight digits; 0 without images."""
+    return F.coalesce(F.round(F.try_divide(cost, n.cast("double")), 8), F.lit(0.0))
+
+
+def grey_pixels(content: Column, size: int = 32) -> Column:
+    """Image files decoded, made grey and resized to size x size, row by row; null where that fails.
+
+    Decoding needs Pillow on the executors; without it reading the column is an error.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(blobs: pd.Series) -> pd.Series:
+        import io
+
+        from PIL import Image
+
+        def one(blob: bytes | None) -> list[float] | None:
+            try:
+                image = Image.open(io.BytesIO(blob)).convert("L").resize((size, size), Image.Resampling.LANCZOS)
+                return [float(x) for x in image.getdata()]
+            except (OSError, TypeError, ValueError):
+                return None
+
+        return blobs.map(one)
+
+    return run(content)
+
+
 def final_images(images: Column, single: Column) -> Column:
     """The list of final images; where there is none, the single one."""
     return F.when(F.coalesce(F.size(images), F.lit(0)) > 0, images).when(single.isNotNull(), F.array(single)).otherwise(F.array().cast("array<string>"))

@@ -95,6 +95,11 @@ def normal_gpu(name: Column) -> Column:
     return F.coalesce(known, lookup(V.GPU_ALIASES, key), lookup(V.GPU_ALIASES, upper))
 
 
+def known_gpu_rate(name: Column, per: str = "second") -> Column:
+    """As gpu_rate, but an unknown GPU is an error when the row is read."""
+    return F.coalesce(gpu_rate(name, per), F.raise_error(F.concat(F.lit("unknown GPU: "), F.coalesce(name, F.lit("null")))).cast("double"))
+
+
 def scaled(rate: Column, per: str) -> Column:
     if per not in ("second", "hour"):
         raise ValueError(f"per must be second or hour, not {per!r}")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.functions import vocabulary as V
@@ -13,7 +15,8 @@ from loomlake.functions.evaluation import payload
 from loomlake.functions.scalars import assign_split, derive_seed
 from loomlake.functions.trace import chat_example, token_target, validate
 from loomlake.operators import assemble, hashdup, quality, shards
-from loomlake.plans.produce import produce
+from loomlake.plans import clients
+from loomlake.plans.produce import Client, Meter, plan, produce, tracked
 from loomlake.plans.report import datacard
 from loomlake.sources import files
 
@@ -40,7 +43,8 @@ def evaluate(records: DataFrame, make: Callable[[], Callable[[dict], dict]], fol
     kinds = {f.name: f.dataType for f in records.schema["dataset"].dataType.fields}
     q = F.struct(*[F.col(m) for m in V.METRICS])
     as_kind = lambda c, kind: F.from_json(F.to_json(c), kind)
-    rows = records.join(marked.select("id", q.alias("_q"), "nsfw", "is_duplicate", F.col("error").isNotNull().alias("_failed")), "id")
+    once = marked.groupBy("id").agg(F.min_by(F.struct(q.alias("_q"), F.col("nsfw"), F.col("is_duplicate"), F.col("error").isNotNull().alias("_failed")), "row").alias("_r")).select("id", "_r.*")
+    rows = records.join(once, "id")  # rows of one id are scored once each; the first of them stands for all
     rows = rows.withColumns({"_quality": as_kind(F.col("_q"), kinds["quality"]), "_safety": as_kind(quality.safety(F.col("nsfw")), kinds["safety"]), "_split": assign_split(F.col("prompt"), seed=seed)})
     return quality.merge_evaluation(rows, "_quality", "_safety", "_split", "is_duplicate", failed="_failed").select(*records.columns)
 
@@ -82,3 +86,28 @@ def training_examples(records: DataFrame, folder: str, *, form: str = "chat", sy
     made = valid.select(chat_example(system).alias("messages")) if form == "chat" else valid.select(token_target().alias("t")).select("t.*")
     files.write_jsonl(made, folder)
     return valid.count()
+
+
+def one_sample(prompt: str, client: Client, render: Callable[[str, str], dict], folder: str, spark: SparkSession, *, gpu: str | None = None, idle_s: float = 0.0, meter: Meter | None = None, **options: object) -> dict:
+    """Plan and render one prompt, write its record and ledger row, and compare the marginal with the real cost.
+
+    render(prompt, id) gives {"telemetry": ..., "images": [bytes, ...]}. Returns the record with cost: marginal_usd,
+    real_usd (a container's whole life) and real_to_marginal, None where nothing was spent.
+    """
+    key = hashlib.sha256(f"{time.time_ns()}:{prompt}".encode()).hexdigest()[:32]
+    meter = (meter or Meter(gpu, clients.cpu_core_seconds, clients.memory_peak_gib)).start()
+    ledger: list[dict] = []
+    with tracked(ledger.append, "pipeline", n_items=1, gpu=gpu) as run:
+        record = {"id": key, **plan(client, prompt, **options)}
+        made = render(prompt, key)
+        record["render"] = made.get("telemetry")
+        record["final_images"] = [f"{key}_{i}.webp" for i in range(len(made.get("images", [])))]
+        marginal = sum(t["projected_cost_usd"] for t in record["telemetry"].values()) + ((record["render"] or {}).get("projected_cost_usd") or 0.0)
+        run["total_cost_usd"] = marginal
+    real = meter.stop(idle_s)["real_cost_usd"]
+    record["cost"] = {"marginal_usd": marginal, "real_usd": real, "real_to_marginal": real / marginal if marginal else None}
+    for name, content in zip(record["final_images"], made.get("images", []), strict=True):
+        files.write_bytes(spark, f"{folder}/{name}", content)
+    files.write_text(spark, f"{folder}/{key}.full.json", json.dumps(record, indent=2, ensure_ascii=False))
+    files.write_text(spark, f"{folder}/runs/{key}.json", json.dumps(ledger[0]) + "\n")
+    return record

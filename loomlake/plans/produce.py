@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from loomlake.functions import vocabulary as V
+from loomlake.plans.checks import STAGES
 
 
 class Client(Protocol):
@@ -37,6 +38,31 @@ class ScriptedClient:
         return text, count(system + user), count(text)
 
 
+@dataclass
+class LocalClient:
+    """A model in this process: generate(system, user) gives the text and count(text) its tokens."""
+
+    generate: Callable[[str, str], str]
+    count: Callable[[str], int]
+
+    def complete(self, system: str, user: str, *, json_mode: bool = True) -> tuple[str, int, int]:
+        text = self.generate(system, user)
+        return text, self.count(f"{system}\n{user}"), self.count(text)
+
+
+def scored(score: Callable[[dict], float | None]) -> Callable[[dict], float | None]:
+    """A scorer whose errors are missing values; scores have four digits."""
+
+    def one(row: dict) -> float | None:
+        try:
+            found = score(row)
+            return None if found is None else round(float(found), 4)
+        except Exception:  # noqa: BLE001
+            return None
+
+    return one
+
+
 class StageFailed(RuntimeError):
     """A stage without a valid answer after all attempts."""
 
@@ -77,13 +103,13 @@ def run_stage(client: Client, system: str, user: str, check: Callable[[dict], di
     raise StageFailed(error)
 
 
-def plan(client: Client, prompt: str, checks: dict[str, Callable[[dict], dict]], *, system: str = "", ask: Callable[[str, str, dict], str] | None = None, **options: object) -> dict:
-    """All stages in order, each with the decisions before it."""
+def plan(client: Client, prompt: str, checks: dict[str, Callable[[dict], dict]] = STAGES, *, system: str = "", ask: Callable[[str, str, dict], str] | None = None, **options: object) -> dict:
+    """All stages in order, each with the decisions before it; checks: what an answer to each stage must be."""
     done: dict[str, dict] = {}
     told: dict[str, dict] = {}
     for stage in V.STAGES:
         user = ask(stage, prompt, done) if ask else f"{prompt}\n{json.dumps(done)}\n{stage}"
-        done[stage], told[stage] = run_stage(client, system, user, checks.get(stage, lambda x: x), **options)
+        done[stage], told[stage] = run_stage(client, system, user, checks[stage], **options)
     return {"prompt": prompt, **done, "telemetry": told}
 
 

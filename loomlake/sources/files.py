@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import stripped
 from loomlake.functions.trace import SCHEMA
+from loomlake.operators.shards import numbered
 
 
 def hadoop_path(spark: SparkSession, path: str) -> tuple[object, object]:
@@ -25,16 +26,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """One small file, in any store that Spark reaches."""
     fs, p = hadoop_path(spark, path)
     out = fs.create(p, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode("utf-8"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
     """JSON lines; blank lines are skipped, bad JSON and missing files are errors."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -51,11 +56,14 @@ def read_documents(spark: SparkSession, folder: str, schema: str = SCHEMA, patte
 
 
 def read_prompts(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(pos, prompt): non-blank lines, trimmed, in file order; the first `limit` of them."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), stripped(F.col("value")).alias("prompt")).filter("prompt <> ''")
-    if limit is not None:
-        lines = lines.orderBy("at").limit(max(0, limit))
-    return lines.select(F.col("at").alias("pos"), "prompt")
+    """(pos, prompt): non-blank lines, trimmed, in the order of file names and of their lines; the first `limit` of them.
+
+    Each file is one row until it is split, so that its lines have numbers of their own.
+    """
+    whole = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
+    lines = whole.select("file_path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "text")).select("file_path", "line", stripped(F.col("text")).alias("prompt")).filter("prompt <> ''")
+    rows = numbered(lines.withColumn("at", F.struct("file_path", "line")), "at").select(F.col("row").alias("pos"), "prompt")
+    return rows if limit is None else rows.filter(F.col("pos") < max(0, limit))
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -146,6 +154,34 @@ def export_shards(spark: SparkSession, folder: str, target: str) -> list[str]:
     return sorted(r["shard"] for r in spark.read.parquet(folder).select("shard", "content").mapInPandas(save, "shard string").collect())
 
 
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Write images (id, idx, content) as {id}_{idx}.webp, each by the task that has it, into a folder all machines share; (path, bytes) of each.
+
+    A file is complete or absent, and writing one again replaces it, so a task that is run again does no harm.
+    """
+
+    def save(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for part in rows:
+            names = [f"{i}_{k}.webp" for i, k in zip(part["id"], part["idx"], strict=True)]
+            for name, content in zip(names, part["content"], strict=True):
+                with open(f"{folder}/{name}.{os.getpid()}.part", "wb") as f:
+                    f.write(bytes(content))
+                os.replace(f.name, f"{folder}/{name}")
+            yield pd.DataFrame({"path": names, "bytes": [len(c) for c in part["content"]]})
+
+    return images.select("id", "idx", "content").mapInPandas(save, "path string, bytes long")
+
+
+def image_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, idx, content) of the images {id}_{idx}.webp of a folder."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*_*.webp").load(folder)
+    parts = [F.regexp_extract("path", r"([^/]+)_(\d+)\.webp$", k) for k in (1, 2)]
+    return read.select(parts[0].alias("id"), parts[1].cast("int").alias("idx"), "content").filter("id <> ''")
+
+
 def tail(df: DataFrame, order: str, n: int = 20) -> DataFrame:
     """The last n rows by order, in order."""
     return df.orderBy(F.desc(order)).limit(n).orderBy(order)

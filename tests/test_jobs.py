@@ -89,3 +89,88 @@ def test_readings(tmp_path):
     (tmp_path / "memory.peak").write_text(str(3 << 30))
     assert clients.cpu_core_seconds(str(tmp_path)) == 2.5 and clients.memory_peak_gib(str(tmp_path)) == 3
     assert clients.cpu_core_seconds(str(tmp_path / "none")) is None and clients.code_version(str(tmp_path / "none")) == "unknown"
+
+
+ANSWERS = {
+    "semantic_plan": {"subject": "a", "environment": "b", "camera": "c", "mood": "d", "dominant_elements": ["x"], "more": 1},
+    "layout": {"entities": [{"id": "e", "kind": "object", "bbox": ["0.1", 0, 0.5, 1]}], "relations": [{"subject": "e", "predicate": " In_Front", "object": "floor"}]},
+    "composition": {"lens": "35mm", "rule_of_thirds": "true", "subject_scale": "0.4", "leading_lines": 0, "symmetry": "No"},
+    "lighting": {"key_light": "k", "fill_light": "low", "rim_light": 1.0, "contrast": "high"},
+    "materials": {"materials": {"glass": "wet"}},
+    "color_script": {"primary_palette": ["#A1b2C3"], "temperature": " Cool", "saturation": "VIVID"},
+}
+
+
+def test_answers_are_read_leniently():
+    from loomlake.plans.checks import STAGES
+
+    got = {s: STAGES[s](a) for s, a in ANSWERS.items()}
+    assert got["layout"] == {"canvas": [1024, 1024], "entities": [{"id": "e", "kind": "object", "bbox": [0.1, 0.0, 0.5, 1.0], "z": 0}], "relations": [{"subject": "e", "predicate": "in_front_of", "object": "floor"}]}
+    assert got["composition"] == {"lens": "35mm", "rule_of_thirds": True, "subject_scale": 0.4, "leading_lines": False, "symmetry": False}
+    assert got["color_script"]["temperature"] == "cold" and got["color_script"]["saturation"] == "high" and got["lighting"]["rim_light"] is True and "more" not in got["semantic_plan"]
+
+
+@pytest.mark.parametrize(
+    "stage,change,said",
+    [
+        ("semantic_plan", {"mood": ""}, "mood"), ("semantic_plan", {"dominant_elements": []}, "1 or more"), ("composition", {"symmetry": "maybe"}, "true or false"), ("composition", {"subject_scale": 1.5}, "0 to 1"),
+        ("lighting", {"contrast": "High"}, "one of"), ("materials", {"materials": {"a": " "}}, "blank"), ("color_script", {"primary_palette": ["red"]}, "RRGGBB"), ("layout", {"canvas": [1, 2.5]}, "whole"),
+        ("layout", {"entities": [{"id": "e", "kind": "object", "bbox": [0, 0, 1, 1]}]}, "background"), ("layout", {"entities": [{"id": "e", "kind": "object", "bbox": [0.5, 0, 0.5, 1]}]}, "extent"),
+        ("layout", {"entities": [ANSWERS["layout"]["entities"][0]] * 2}, "repeat"), ("layout", {"relations": [{"subject": "e", "predicate": "on", "object": "ghost"}]}, "ghost"), ("layout", {"relations": [{"subject": "e", "predicate": "beside", "object": "e"}]}, "predicate"),
+    ],
+)
+def test_wrong_answers(stage, change, said):
+    from loomlake.plans.checks import STAGES
+
+    with pytest.raises(ValueError, match=said):
+        STAGES[stage](ANSWERS[stage] | change)
+
+
+def test_one_sample(spark, tmp_path):
+    from loomlake.plans.produce import LocalClient, Meter, scored
+
+    turns = iter([json.dumps(a) for a in ANSWERS.values()])
+    clock = iter([0.0, 10.0])
+    client = LocalClient(lambda system, user: next(turns), lambda text: len(text.split()))
+    got = jobs.one_sample("a lamp", client, lambda prompt, key: {"telemetry": {"projected_cost_usd": 0.5}, "images": [b"one", b"two"]}, str(tmp_path), spark, meter=Meter("T4", lambda: None, lambda: None, lambda: next(clock)), rate=0.001)
+    assert got["cost"]["marginal_usd"] >= 0.5 and got["cost"]["real_to_marginal"] == pytest.approx(got["cost"]["real_usd"] / got["cost"]["marginal_usd"])
+    assert (tmp_path / f"{got['id']}_1.webp").read_bytes() == b"two" and json.loads((tmp_path / f"{got['id']}.full.json").read_text())["lighting"]["rim_light"] is True
+    assert json.loads((tmp_path / "runs" / f"{got['id']}.json").read_text())["status"] == "ok"
+    assert scored(lambda row: 1 / row["x"])({"x": 3}) == 0.3333 and scored(lambda row: 1 / row["x"])({"x": 0}) is None
+
+
+def test_image_files_and_costs(spark, tmp_path):
+    from loomlake.functions import evaluation as E
+    from loomlake.functions import scalars as X
+
+    df = spark.createDataFrame([("r_1", 0, b"ab"), ("r_1", 1, b"c")], "id string, idx int, content binary")
+    assert sorted(tuple(r) for r in files.write_images(df, str(tmp_path / "im")).collect()) == [("r_1_0.webp", 2), ("r_1_1.webp", 1)]
+    assert sorted((r["id"], r["idx"], bytes(r["content"])) for r in files.image_contents(spark, str(tmp_path / "im")).collect()) == [("r_1", 0, b"ab"), ("r_1", 1, b"c")]
+    assert tuple(spark.range(1).select(E.cost_per_image(F.lit(1.0), F.lit(3)), E.cost_per_image(F.lit(1.0), F.lit(0)), X.known_gpu_rate(F.lit("t4"))).first()) == (0.33333333, 0.0, 0.000164)
+    with pytest.raises(Exception, match="unknown GPU"):
+        spark.range(1).select(X.known_gpu_rate(F.lit("abacus"))).collect()
+
+
+def test_commands(spark, frame, tmp_path, capsys):
+    from loomlake.cli import main
+
+    rows = str(tmp_path / "r.jsonl")
+    (tmp_path / "runs.jsonl").write_text('{"kind": "render", "started_at": "2024-01-02", "total_cost_usd": 1.5, "status": "ok"}\n{"kind": "plan", "started_at": "2024-01-01"}\n')
+    assert main(["report", rows, str(tmp_path / "rep"), "--runs", str(tmp_path / "runs.jsonl"), "--containers", str(tmp_path / "none.jsonl")]) == 0
+    at = capsys.readouterr().out.strip().splitlines()[-1]
+    lines = [x for f in (tmp_path / "rep").glob("*/runs.csv/*.csv") for x in f.read_text().splitlines()]
+    assert at and lines[0].startswith("started_at,kind,model") and lines[1].startswith("2024-01-01,plan") and lines[2].split(",")[5] == "1.5"
+    assert main(["quality", rows]) == 0 and "passed the gate" in capsys.readouterr().out
+    assert main(["export", rows, str(tmp_path / "ex")]) == 0 and "5 examples" in capsys.readouterr().out
+    assert main(["sheet", rows, str(tmp_path / "sheet"), "--n", "3"]) == 0
+    sheet = next((tmp_path / "sheet").glob("*.csv"))
+    lines = sheet.read_text().splitlines()
+    assert len(lines) == 4
+    done = tmp_path / "done.csv"
+    done.write_text("\n".join([lines[0], *(x[: x.rindex(",") + 1] + str(i % 2) for i, x in enumerate(lines[1:]))]))
+    assert main(["calibrate", str(done)]) == 0 and "clip_score" in capsys.readouterr().out
+    assert main(["pack", rows, str(tmp_path / "pk"), "--shard-size", "3"]) == 0 and "5 records in 2 archives" in capsys.readouterr().out
+    (tmp_path / "tr").mkdir()
+    (tmp_path / "tr" / "r0.trace.json").write_text(json.dumps(record(0)))
+    (tmp_path / "renders.jsonl").write_text(json.dumps({"id": "r0", "prompt": "new", "meta": {"seed": 4}, "telemetry": {"render": {"compute_s": 1.0, "cost_usd": 0.2}}, "images": []}) + "\n")
+    assert main(["assemble", str(tmp_path / "renders.jsonl"), str(tmp_path / "tr"), str(tmp_path / "ds"), "--license", "cc0"]) == 0 and "1 records" in capsys.readouterr().out

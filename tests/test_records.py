@@ -165,8 +165,10 @@ def test_stages_retry(spark):
     assert answer == {"v": 1} and info["retries"] == 1 and info["compute_s"] == 2 and info["last_error"] and "does not fit" in client.asked[1]
     with pytest.raises(produce.StageFailed):
         produce.run_stage(produce.ScriptedClient(["a", "b"]), "s", "u", check, retries=1)
-    whole = produce.plan(produce.ScriptedClient(['{"v": 1}'] * 6), "p", {})
+    whole = produce.plan(produce.ScriptedClient(['{"v": 1}'] * 6), "p", dict.fromkeys(V.STAGES, check))
     assert list(whole["telemetry"]) == V.STAGES
+    with pytest.raises(produce.StageFailed):
+        produce.plan(produce.ScriptedClient(['{"v": 1}'] * 3), "p")
 
 
 def test_producer_keeps_failed_rows(spark):
