@@ -321,4 +321,4 @@ def pack_summary(spark: SparkSession, d: str) -> DataFrame:
     return quality.pack_summary(gated(spark, d).select(F.struct(q.alias("quality"), s.alias("safety")).alias("dataset")), ["clip_score", "aesthetic"])
 
 
-from loomlake.plans import record_queries  # noqa: E402, F401  registers its queries
+from loomlake.plans import job_queries, record_queries  # noqa: E402, F401  register their queries
