@@ -266,3 +266,24 @@ def test_leaves_hold_all_near_pairs():
     seen = set(zip(row.tolist(), leaf.tolist(), strict=True))
     near = [(i, j) for i in range(600) for j in range(600) if depth[i] == depth[j] and ((x[i] - x[j]) ** 2).sum() <= 0.09]
     assert len(near) > 700 and all((i, at[j]) in seen for i, j in near) and len(row) < 600 * 20
+
+
+def test_texts_of_megabytes(spark):
+    """Two near copies of some 3 MB, and one text of 2 MB alone, in the near-copy, toxicity and fingerprint operators."""
+    from loomlake.llm import fingerprint, toxicity
+
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]
+    other = list(words)
+    for _ in range(2000):
+        other[rng.randrange(len(other))] = "changed"
+    texts = [" ".join(words), " ".join(other), "z. " * 700_000 + "you grobble. " + "z. " * 10]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.jaccard_classes(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
+    model = toxicity.Model(-20.0, {"grobble": 23.0})
+    scored = {r["doc_id"]: r for r in toxicity.score_documents(df, model).collect()}
+    assert scored[2]["predicted"] == 1 and "grobble" in texts[2][scored[2]["worst_start"] : scored[2]["worst_stop"]] and scored[0]["predicted"] == 0
+    assert [r["doc_id"] for r in toxicity.drop_toxic(df, model).orderBy("doc_id").collect()] == [0, 1]
+    prints = {r["doc_id"]: r for r in fingerprint.compare_edited(df).collect()}
+    assert prints[0]["near_next"] > 0.9 and prints[0]["n_chars"] == len(texts[0]) and prints[1]["near_next"] < 0.1

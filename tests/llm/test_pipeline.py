@@ -32,3 +32,18 @@ def test_stages_against_brute_force(spark):
     packed = cp.run(spark, folder).toPandas()
     assert set(packed.doc_id) == set(three) and (packed.groupby("sequence_id").length.sum() <= 1024).all()
     assert np.issubdtype(packed.ids_crc32.dtype, np.integer)
+
+
+def test_empty_table_and_odd_rows(spark, tmp_path):
+    """No documents at all; then nulls, empty and repeated rows, with columns whose names the stages might use."""
+    import corpus_pipeline as cp
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kinds).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path / "a")).count() == 0
+    rows = [(1, None, None, None, None), (2, "", "x", "y", 0), (3, "a b c d e f g", "x", "y", 13), (3, "a b c d e f g", "x", "y", 13), (4, "A b c d e f g", None, "y", 13), (None, "q", "x", "y", 1)]
+    spark.createDataFrame([(*r, 1, "s") for r in rows], f"{kinds}, block int, cls string").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    spark.createDataFrame([(3, 1, 0), (4, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    got = cp.run(spark, str(tmp_path / "b"))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == [(False, 1), (False, 2), (False, 3), (True, 0)]
