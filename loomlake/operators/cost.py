@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 from loomlake.functions import vocabulary as V
 from loomlake.functions.scalars import gpu_rate
 from loomlake.functions.trace import telemetry_sum
+from loomlake.operators.quantiles import quantiles
 
 
 def zero(c: object) -> object:
     return F.coalesce(c, F.lit(0.0))
 
 
-def pct(c: str, p: int) -> object:
-    """Interpolated percentile, 0 over nothing."""
-    return zero(F.percentile(c, F.lit(p / 100)))
-
-
 def stage_facts(records: DataFrame) -> DataFrame:
     """One row a record and stage of its telemetry."""
     return records.select("id", F.explode("telemetry").alias("stage", "t")).select("id", "stage", "t.*")
@@ -28,10 +24,10 @@ def stage_costs(facts: DataFrame) -> DataFrame:
     """Latency, tokens and cost of each stage in canonical order; a stage without rows has zeros."""
     names = facts.sparkSession.range(1).select(F.posexplode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(n).alias("label")) for s, n in V.STAGE_LABELS.items()])).alias("ord", "s")).select("ord", "s.*")
     found = facts.groupBy("stage").agg(
-        F.avg("compute_s").alias("compute_s_mean"), F.percentile("compute_s", F.lit(0.5)).alias("compute_s_p50"), F.percentile("compute_s", F.lit(0.9)).alias("compute_s_p90"),
-        F.avg("output_tokens").alias("output_tokens_mean"), F.avg("projected_cost_usd").alias("cost_mean"), F.sum("projected_cost_usd").alias("cost_total"),
+        F.avg("compute_s").alias("compute_s_mean"), F.avg("output_tokens").alias("output_tokens_mean"), F.avg("projected_cost_usd").alias("cost_mean"), F.sum("projected_cost_usd").alias("cost_total"),
         F.sum("retries").alias("retries"),
     )
+    found = found.join(quantiles(facts, "stage", "compute_s", {"compute_s_p50": 0.5, "compute_s_p90": 0.9}), "stage", "left")
     values = [zero(F.col(c)).alias(c) for c in ("compute_s_mean", "compute_s_p50", "compute_s_p90", "output_tokens_mean", "cost_mean", "cost_total")]
     return names.join(found, "stage", "left").select("ord", "stage", "label", *values, F.coalesce("retries", F.lit(0)).cast("long").alias("retries"))
 
@@ -52,15 +48,18 @@ def cost_summary(totals: DataFrame) -> DataFrame:
     """One row over record_totals: reasoning, render and end-to-end means and sums, latencies and projections."""
     t = totals.withColumn("e2e_s", F.col("reasoning_s") + F.col("render_s")).withColumn("e2e_usd", F.col("reasoning_usd") + F.col("render_usd"))
     mean = zero(F.avg("e2e_usd"))
-    return t.agg(
+    places = {f"e2e_s_p{p}": p / 100 for p in (50, 90, 99)}
+    found = t.agg(
         F.count("*").alias("n"), F.count_if("has_image").alias("n_with_image"), F.min("created_at").alias("date_from"), F.max("created_at").alias("date_to"),
         zero(F.avg("reasoning_s")).alias("reasoning_s_mean"), zero(F.avg("reasoning_usd")).alias("reasoning_usd_mean"), zero(F.sum("reasoning_usd")).alias("reasoning_usd_total"),
         F.count_if("has_render").alias("n_rendered"), zero(F.avg(F.when(F.col("has_render"), F.col("render_s")))).alias("render_s_mean"), zero(F.avg(F.when(F.col("has_render"), F.col("render_usd")))).alias("render_usd_mean"),
         zero(F.sum("render_usd")).alias("render_usd_total"), mean.alias("e2e_usd_mean"), zero(F.sum("e2e_usd")).alias("e2e_usd_total"),
         *[(mean * k).alias(f"projected_{n}") for n, k in (("1k", 1e3), ("10k", 1e4), ("100k", 1e5), ("1m", 1e6))],
-        zero(F.avg("e2e_s")).alias("e2e_s_mean"), *[pct("e2e_s", p).alias(f"e2e_s_p{p}") for p in (50, 90, 99)],
+        zero(F.avg("e2e_s")).alias("e2e_s_mean"),
         F.sum("output_tokens").alias("tokens_total"), F.sum("retries").alias("total_retries"), F.try_divide(F.count_if(F.col("retries") == 0).cast("double"), F.count("*").cast("double")).alias("first_try_valid_rate"),
     )
+    met = found.withColumn("_one", F.lit(0)).join(quantiles(t.withColumn("_one", F.lit(0)), "_one", "e2e_s", places), "_one", "left")
+    return met.select(*found.columns, *(zero(F.col(p)).alias(p) for p in places))
 
 
 def histogram(df: DataFrame, column: str, missing: str | None = None) -> DataFrame:
