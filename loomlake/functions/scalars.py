@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,7 +152,8 @@ def fixed(c: Column, digits: int, missing: str = "-") -> Column:
 
 def dct(values: Column, n: int) -> Column:
     """DCT-II, not normalised, of an array of n numbers."""
-    wave = lambda k: F.aggregate(F.transform(values, lambda x, i: x * F.cos((i + 0.5) * k * F.lit(math.pi / n))), F.lit(0.0), lambda t, x: t + x)
+    waves = F.lit(np.cos(np.outer(np.arange(n), np.arange(n) + 0.5) * (math.pi / n)).ravel())  # one literal, row by row
+    wave = lambda k: F.aggregate(F.zip_with(values, F.slice(waves, k * n + 1, F.lit(n)), lambda x, w: x * w), F.lit(0.0), lambda t, x: t + x)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), wave)
 
 
@@ -163,7 +165,9 @@ def bits_to_long(flags: Column, n: int = 64) -> Column:
 
 def average_hash(pixels: Column, n: int = 64) -> Column:
     mean = F.aggregate(pixels, F.lit(0.0), lambda t, x: t + x) / n
-    return bits_to_long(F.transform(pixels, lambda x: x >= mean), n)
+    # A fold over one item names the mean, so that it is worked out once.
+    flags = F.aggregate(F.array(mean), F.array().cast("array<boolean>"), lambda _, m: F.transform(pixels, lambda x: x >= m))
+    return bits_to_long(flags, n)
 
 
 def dct_hash(values: Column, n: int = 64) -> Column:

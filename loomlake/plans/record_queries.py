@@ -303,8 +303,8 @@ def render_arguments(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select event_id, round(case when value = 0 then 0 else (event_id % 90) / value end, 6) as per_s, format('{:.3f}', value) as fixed, bit_count(xor(event_id, user_id))::int as distance, 32 as same_bits from events""")
 def small_scalars(spark: SparkSession, d: str) -> DataFrame:
-    half = F.array(*[F.lit(float(i % 2)) for i in range(64)])
-    return table(spark, d, "events").select("event_id", F.round(X.tokens_per_s(F.col("event_id") % 90, F.col("value")), 6).alias("per_s"), X.fixed(F.col("value"), 3).alias("fixed"), X.hamming(F.col("event_id"), F.col("user_id")).alias("distance"), F.bit_count(X.average_hash(half)).alias("same_bits"))
+    half = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i + F.col("event_id")) % 2)
+    return table(spark, d, "events").select("event_id", F.round(X.tokens_per_s(F.col("event_id") % 90, F.col("value")), 6).alias("per_s"), X.fixed(F.col("value"), 3).alias("fixed"), X.hamming(F.col("event_id"), F.col("user_id")).alias("distance"), F.bit_count(X.average_hash(half.cast("array<double>"))).alias("same_bits"))
 
 
 @query(f"""with {REC} select id, p_name as subject, k % 4 as n_images, (s % 10) / 8.0::double as scale, k % 6 = 0 as no_image from rec""")
