@@ -137,6 +137,7 @@ def when_true(c: Column, text: str) -> Column:
 
 def visual_tokens() -> Column:
     """The record as a token sequence, stage by stage."""
+    # The tags of the tokens.
     plan, comp, light, colour = (F.col(s) for s in ("semantic_plan", "composition", "lighting", "color_script"))
     tag = lambda name, c: F.concat(F.lit(f"{name}:"), slug(c))
     return F.concat(
@@ -166,6 +167,7 @@ def relation_phrase(r: Column) -> Column:
 
 def render_prompt() -> Column:
     """The record as a prompt for a renderer: sentences joined by '. ', those without content left out."""
+    # The words around what the record says.
     plan, comp, light, colour = (F.col(s) for s in ("semantic_plan", "composition", "lighting", "color_script"))
     some = lambda items, text: F.when(F.size(items) > 0, text)
     traits = F.concat(
@@ -191,6 +193,7 @@ def render_prompt() -> Column:
 
 def compact_prior(stage: str) -> Column:
     """A stage's decisions in one line, without boxes; as JSON where one is missing."""
+    # The names before the decisions.
     c = F.col(stage)
     joined = lambda items: F.array_join(F.coalesce(items, F.array().cast("array<string>")), ", ")
     yes = lambda b: F.when(b, "True").otherwise("False")

@@ -29,7 +29,6 @@ PREDICATE_SYNONYMS = {
     "onto": "on",
     "inside_of": "inside",
     "partof": "part_of",
-    "part_of": "part_of",
 }
 PREDICATE_PHRASES = {
     "inside": "inside", "on": "on", "behind": "behind",
