@@ -20,7 +20,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,15 +77,7 @@ def gadget_rows(base: list[int], merges: list[tuple[int, int, int]]) -> dict[int
 
 
 class WordCache(dict):
-    """Words and their paths, found when they are first asked for. A full cache forgets, but for the words that came first in their thousands."""
-
-    def __init__(self, make: Callable[[str], object]) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str) -> object:
-        found = self[word] = self.make(word)
-        return found
+    """Words and their paths. A full cache forgets, but for the words that came first in their thousands."""
 
     def trim(self) -> None:
         if len(self) > CACHE_WORDS:
@@ -128,8 +120,8 @@ class MergeAutomaton:
         #: The transition table: for each state the arcs that were asked for.
         self.table: list[dict[int, bool]] = [{} for _ in range(top)]
         #: Paths of words that were read before; half of a full cache goes, the older part of what isn't kept.
-        self.words = WordCache(lambda w: ",".join(map(str, self.path(w.encode("utf-8", "surrogatepass")))))
-        self.packed = WordCache(lambda w: array("I", self.path(w.encode("utf-8", "surrogatepass"))).tobytes())
+        self.words: dict[str, str] = WordCache()
+        self.packed: dict[str, bytes] = WordCache()
         self.any_split = regex.compile(PATTERN).findall
         self.text_labels = {str(i): b for i, b in self.labels.items()} | {str(i): s.encode() for s, i in self.special.items()}
 
@@ -201,7 +193,16 @@ class MergeAutomaton:
         return LATIN_SPLIT(text) if LATIN(text) else self.any_split(text)
 
     def _plain(self, text: str) -> str:
-        return ",".join(map(self.words.__getitem__, self.split(text)))
+        words = self.split(text)
+        known = self.words
+        try:
+            return ",".join(map(known.__getitem__, words))
+        except KeyError:
+            path = self.path
+            for w in words:
+                if w not in known:
+                    known[w] = ",".join(map(str, path(w.encode("utf-8", "surrogatepass"))))
+            return ",".join(map(known.__getitem__, words))
 
     def encode(self, text: str | None) -> str:
         """Decimal ids joined by commas; the strings of added tokens in a text are those tokens."""
@@ -223,7 +224,16 @@ class MergeAutomaton:
         self.packed.trim()
         if self.special_at and self.special_at.search(text):
             return np.array(self.encode(text).split(","), np.uint32).astype("<u4").tobytes()
-        return b"".join(map(self.packed.__getitem__, self.split(text)))
+        words = self.split(text)
+        known = self.packed
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            path = self.path
+            for w in words:
+                if w not in known:
+                    known[w] = array("I", path(w.encode("utf-8", "surrogatepass"))).tobytes()
+            return b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: str) -> str:
         """The text that the arcs of these ids spell; bytes that are no UTF-8 become U+FFFD."""
