@@ -91,8 +91,11 @@ def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomlake.llm.common import KEPT as kept  # this worker's own; a global name would be a copy from the driver
 
-        for name in [n for n in kept if n != owner]:
+        others = [n for n in kept if n != owner]
+        for name in others:
             kept.pop(name)()
+        if others:
+            gc.collect()
         try:
             yield from work(batches)
         finally:
