@@ -30,6 +30,8 @@ from loomlake.llm.common import crc_text, lean, mix, stage_table
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = b""
 RUN = 256
+SLICE = 2_000_000  # tokens that are scored at once
+SCALED = 4  # forward states are scaled at each fourth token: four emissions are far from underflow
 DISCOUNT = 0.75
 LEAST = 4  # rarer words have no symbol of their own
 
@@ -74,22 +76,23 @@ class Hmm:
 
     def forward(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 likelihood of each sequence; symbols holds them one after another."""
-        n = len(lengths)
         order = np.argsort(-lengths, kind="stable")
-        begin = (np.cumsum(lengths) - lengths)[order]
-        left = lengths[order]
-        out = np.zeros(n)
-        if not n or not left[0]:
-            return out
-        falling = -left
-        state = np.repeat(self.start[None, :], n, axis=0)
-        for t in range(int(left[0])):
-            live = int(np.searchsorted(falling, -t, "left"))
-            state = state[:live]
-            state = (state @ self.move if t else state) * self.emit[symbols[begin[:live] + t]]
-            scale = state.sum(axis=1)
-            state /= scale[:, None]
-            out[order[:live]] += np.log10(scale)
+        at = (np.cumsum(lengths) - lengths)[order]
+        out = np.zeros(len(lengths))
+        top = int(lengths.max(initial=0))
+        alive = np.searchsorted(-lengths[order], -np.arange(top), "left").tolist()
+        state = np.repeat(self.start[None, :], alive[0] if top else 0, axis=0)
+        for t, live in enumerate(alive):
+            if live < len(state):
+                out[order[live : len(state)]] += np.log10(state[live:].sum(axis=1))
+                state, at = state[:live], at[:live]
+            state = (state @ self.move if t else state) * self.emit[symbols[at[:live]]]
+            at += 1
+            if t % SCALED == SCALED - 1:
+                scale = state.sum(axis=1)
+                state /= scale[:, None]
+                out[order[:live]] += np.log10(scale)
+        out[order[: len(state)]] += np.log10(state.sum(axis=1))
         return out
 
     def bounds(self, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, nth: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,6 +255,12 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), "<u2").astype(np.int64), np.array([len(p) // 2 for p in parts], np.int64)
 
 
+def token_slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Bounds of slices of rows with about `most` tokens each, and at least one row."""
+    at = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most, prepend=-1)).tolist()
+    return list(zip(at, [*at, len(sizes)][1:], strict=True))
+
+
 def baum_welch(texts: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
     """One round over all rows of texts (symbols); counts are added up within partitions, then by symbol."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
@@ -380,7 +389,9 @@ def score_documents(docs: DataFrame, **options: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path = np.concatenate([shared.value.forward(*unpacked(batch.column(6).slice(at, 1000))) for at in range(0, max(1, batch.num_rows), 1000)])
+            path = np.zeros(batch.num_rows)
+            for at, end in token_slices(np.asarray(batch.column(3)), SLICE):
+                path[at:end] = shared.value.forward(*unpacked(batch.column(6).slice(at, end - at)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(path)], names=["row", "doc_id", "held_out", "n_tokens", "base", "known", "path"])
 
     scored = coded.select("row", "doc_id", "held_out", "n_tokens", "base", "known", "symbols").mapInArrow(lean(run), "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, path double")

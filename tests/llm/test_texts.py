@@ -390,6 +390,17 @@ def test_hmm_recursions():
     assert alone.emit[4, 1] == pytest.approx(slope, rel=1e-3)
 
 
+def test_hmm_forward_of_ended_and_empty_sequences():
+    rng = np.random.default_rng(3)
+    model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(50), 3).T)
+    for order in (range(13), range(12, -1, -1)):
+        seqs = [rng.integers(0, 50, n).tolist() for n in order]
+        flat, sizes = np.array([x for s in seqs for x in s]), np.array([len(s) for s in seqs])
+        assert model.forward(flat, sizes) == pytest.approx([likelihood(model, s) if s else 0.0 for s in seqs])
+    assert len(model.forward(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+    assert hmm.token_slices(np.array([3, 3, 9, 1, 1]), 6) == [(0, 2), (2, 3), (3, 5)] and hmm.token_slices(np.zeros(0, np.int64), 6) == []
+
+
 def test_hmm_expects_over_runs():
     """Expected counts of texts over several runs against the plain recursions over whole texts."""
     rng = np.random.default_rng(8)
