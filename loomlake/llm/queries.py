@@ -79,9 +79,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(rows.unionByName(probe_rows(spark)))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm.divergence import source_divergence
+
+    return source_divergence(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_document_fingerprints, op3_sharding, op4_suffix_dedup, op5_hidden_markov, op6_bpe_automaton, op7_toxicity, op8_packing, op9_near_vectors, op10_chat_formatting)
-}
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_document_fingerprints, op3_sharding, op4_suffix_dedup, op5_hidden_markov, op6_bpe_automaton, op7_toxicity, op8_packing, op9_near_vectors, op10_chat_formatting,
+        op11_source_divergence,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op10_chat_formatting": """
@@ -130,4 +140,21 @@ reach(a, b) as (select vec_id, vec_id from embeddings where vec_id is not null u
 roots as (select a as vec_id, min(b) as component_id from reach group by 1),
 counts as (select a as vec_id, count(*) as n_links from links group by 1)
 select r.vec_id, coalesce(n_links, 0) as n_links, component_id, component_id = r.vec_id as kept from roots r left join counts c on c.vec_id = r.vec_id""",
+    # Every group against every kept term of its language, absent ones counted as 0.
+    "op11_source_divergence": """
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+kept as (select lang, term from w group by 1, 2 having count(distinct r) >= 3),
+sizes as (select lang, count(*) as v from kept group by 1),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by 1, 2, 3),
+full_c as (select g.lang, g.source, kept.term, coalesce(c.n, 0) as n from g join kept on kept.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+p as (select f.lang, f.source, f.term, f.n, 1 + (1000000000::hugeint * (f.n + 1)) // (sum(f.n) over (partition by f.lang, f.source) + s.v) as p from full_c f join sizes s on s.lang = f.lang),
+lang_n as (select lang, term, sum(n) as n from c group by 1, 2),
+q as (select l.lang, l.term, 1 + (1000000000::hugeint * (l.n + 1)) // (sum(l.n) over (partition by l.lang) + s.v) as q from lang_n l join sizes s on s.lang = l.lang),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (select a.lang, a.source, b.source as other, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3) x on x.lang = a.lang and x.source = a.source and x.other = b.source),
+terms as (select p.lang, p.source, 'term' as part, p.term as item, (((p.p - q.q) * (p.p - q.q)) // q.q)::bigint as value from p join q on q.lang = p.lang and q.term = p.term where p.n > 0 and p.p > q.q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200""",
 }
