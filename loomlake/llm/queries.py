@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from loomlake.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +86,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm.alignment import align_tokens
+
+    return align_tokens(documents(spark, sf_dir), vocabulary(), vocabulary(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_document_fingerprints, op3_sharding, op4_suffix_dedup, op5_hidden_markov, op6_bpe_automaton, op7_toxicity, op8_packing, op9_near_vectors, op10_chat_formatting,
-        op11_source_divergence,
+        op11_source_divergence, op13_token_alignment,
     )
 }
 

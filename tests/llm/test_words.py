@@ -69,3 +69,121 @@ def test_divergence_over_many_ranges_and_blocks(spark, monkeypatch):
     passed = [t for x in one for t in held.add(x)] + list(held.out())
     assert len(passed) > 3 and d.added_up([t.rows() for t in passed]).equals(d.added_up(one))
     assert divergence(spark, rows) == want
+
+
+def tokenizers():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from loomlake.llm.queries import PIECES, vocabulary
+
+    left = Tokenizer.from_file(vocabulary())
+    left.encode_special_tokens = True
+    return left, sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES))
+
+
+def plain_alignment(rows):
+    """Encoded whole by both libraries; overlaps token by token; groups by a walk over the ends."""
+    from loomlake.llm.bpe import printable_bytes
+
+    left, right = tokenizers()
+    byte_of = printable_bytes()
+    spans, counts = [], Counter()
+    for doc, text in rows:
+        a, b, data = [], [], (" " + (text or "")).encode()
+        if text:
+            a = left.encode(" " + text, add_special_tokens=False).ids
+            b = right.encode(text)
+        x = [bytes(byte_of[c] for c in left.id_to_token(i)) for i in a]
+        y = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode() for p in map(right.id_to_piece, b)]
+        if b"".join(x) != data or b"".join(y) != data:
+            spans.append((doc, [], [], [], []))
+            continue
+        links, groups, i, j, ends = [], [], 0, 0, [0, 0]
+        ends = [len(x[0]), len(y[0])]
+        now = [[0], [0]]
+        while True:
+            links.append((a[i], b[j]))
+            step = ends[0] <= ends[1], ends[1] <= ends[0]
+            if all(step):
+                groups.append(now)
+                now = [[], []]
+            i, j = i + step[0], j + step[1]
+            if i == len(x) and j == len(y):
+                break
+            for k, (n, toks) in enumerate(((i, x), (j, y))):
+                if step[k]:
+                    ends[k] += len(toks[n])
+                    now[k].append(n)
+        counts.update(links)
+        spans.append((doc, a, b, links, groups))
+    top = defaultdict(int)
+    for (_, r), n in counts.items():
+        top[r] = max(top[r], n)
+    out = []
+    for doc, a, b, links, groups in spans:
+        said = ";".join(",".join(str(a[i]) for i in p) + "|" + ",".join(str(b[j]) for j in q) for p, q in groups)
+        sha = __import__("hashlib").sha256(said.encode()).hexdigest() if links else ""
+        out.append((doc, len(a), len(b), len(groups), len(links), sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links), sha))
+    return sorted(out, key=repr)
+
+
+def alignment(spark, rows):
+    from loomlake.llm.alignment import align_tokens
+    from loomlake.llm.queries import PIECES, vocabulary
+
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, block int, pairs string")
+    got = align_tokens(df, vocabulary(), vocabulary(PIECES))
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return sorted(map(tuple, got.collect()), key=repr)
+
+
+def test_alignment_against_both_libraries(spark, monkeypatch):
+    """Nulls, empty, blanks, the model's own mark, special strings, control bytes, other scripts, repeated rows; then real texts in small blocks."""
+    from loomlake.llm import alignment as m
+
+    odd = [None, "", " ", "  ", "a", " a", "a ", "a  b   c", "\n\n a\t\tb \n", "x▁y", "<|endoftext|> <s> </s> <unk> <0x41>", "\0\x01\x7f", "漢字かな交じり 👩‍👩‍👧 é ﬁ Ａ", "don't I'll we've 123456 12.5%", "a" * 700, " " * 300, "é" * 300, "-" * 200, "\r\n" * 9]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(3, "same id"), (3, "same id"), (None, "no id")]
+    assert alignment(spark, rows) == plain_alignment(rows)
+    assert alignment(spark, []) == []
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    want = plain_alignment(rows)
+    assert alignment(spark, rows) == want
+    for name, value in (("BLOCK", 20_000), ("CACHE", 300_000)):
+        monkeypatch.setattr(m, name, value)
+    assert alignment(spark, rows) == want
+
+
+def test_alignment_of_segments(monkeypatch):
+    """Segments that are encoded apart give the tokens of the whole; union-find gives the same groups as common ends."""
+    import numpy as np
+
+    from loomlake.llm import alignment as m
+    from loomlake.llm.queries import PIECES, vocabulary
+
+    with open(vocabulary(PIECES), "rb") as f:
+        known = m.Aligner(m.read_spec(vocabulary()), f.read())
+    left, right = tokenizers()
+    texts = ["Thhe  quick, brown\n fox's 12 34 jumps\t  over é漢字. !\x1c x \xa0 y\u2003z\r\n\n q " * 30, "x" * 100_000, "\n" * 5000 + "a\tb", "a ▁b"]
+    monkeypatch.setattr(m, "CACHE", 4000)
+    for _ in (0, 1):
+        for text, (n_a, n_b, *_) in zip(texts, known.align(texts), strict=True):
+            segments = m.SEGMENT(" " + text)
+            assert "".join(segments) == " " + text
+            fine = "▁" not in text
+            assert n_a == (len(left.encode(" " + text, add_special_tokens=False).ids) if fine else 0) and n_b == (len(right.encode(text)) if fine else 0)
+            if fine:
+                assert np.frombuffer(b"".join(known.right.encode(segments)), np.uint32).tolist() == right.encode(text)
+        assert len(list(known.align(["other words " + "y" * 9000]))) == 1
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 3000):
+        ends = [np.unique(np.r_[rng.integers(1, 3 * n + 1, n), 3 * n]) for _ in (0, 1)]
+        left, right = m.linked(*ends)
+        cuts = np.union1d(*ends)
+        assert left.tolist() == [int((ends[0] < e).sum()) for e in cuts] and right.tolist() == [int((ends[1] < e).sum()) for e in cuts]
+        both = np.isin(cuts, np.intersect1d(*ends))
+        want = np.r_[0, np.cumsum(both)[:-1]]
+        assert (np.unique(m.components(left, right), return_inverse=True)[1] == want).all()
+    # One component of very many tokens: no token ends where one of the other side does.
+    left, right = m.linked(np.r_[np.arange(1, 200_000, 2), 200_001], np.r_[np.arange(2, 200_000, 2), 200_001])
+    assert not m.components(left, right).any()
