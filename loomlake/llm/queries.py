@@ -86,6 +86,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomlake.llm.pii import find_spans, labelled_table, train
+
+    return find_spans(documents(spark, sf_dir), train(labelled_table(spark)))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomlake.llm.alignment import align_tokens
 
@@ -96,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_document_fingerprints, op3_sharding, op4_suffix_dedup, op5_hidden_markov, op6_bpe_automaton, op7_toxicity, op8_packing, op9_near_vectors, op10_chat_formatting,
-        op11_source_divergence, op13_token_alignment,
+        op11_source_divergence, op12_personal_data, op13_token_alignment,
     )
 }
 

@@ -187,3 +187,142 @@ def test_alignment_of_segments(monkeypatch):
     # One component of very many tokens: no token ends where one of the other side does.
     left, right = m.linked(np.r_[np.arange(1, 200_000, 2), 200_001], np.r_[np.arange(2, 200_000, 2), 200_001])
     assert not m.components(left, right).any()
+
+
+def plain_base(text):
+    """The patterns as they are written, by the re module alone."""
+    out = []
+    for kind, pattern in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            double = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits[::-1]))
+            fine = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(digits) <= 19 and double % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]
+            if fine:
+                out.append((m.start(), m.end(), kind))
+    return out
+
+
+def test_base_patterns_on_random_texts():
+    import random
+
+    from loomlake.llm.pii import base_spans
+
+    r = random.Random(5)
+    for signs, count in (("a1.@-+ ", 4000), ("0123.  -", 4000), ("+1 23().-é", 3000), ("55 4-", 2000), ("@@a..b%_", 2000)):
+        for _ in range(count):
+            text = "".join(r.choice(signs) for _ in range(r.randrange(1, 60)))
+            assert base_spans(text) == plain_base(text), text
+    cards = "4111111111111111 4111-1111-1111-1111 4111 1111 1111 1112, 378282246310005"
+    assert base_spans(cards) == plain_base(cards)
+    for text in ("1" * 300_000, "1." * 200_000, "1 " * 200_000, "@a." * 100_000, "a" * 300_000 + "@", "+1" + " " * 300_000, "+1(" * 100_000, "a@" * 100_000):
+        assert len(base_spans(text)) < 200_000  # linear, or this would not end
+
+
+def paths(score, moves):
+    """Scores of all label paths that start and end outside."""
+    from itertools import product
+
+    n, k = score.shape
+    return {y: moves[0, y[0]] + sum(score[t, y[t]] for t in range(n)) + sum(moves[a, b] for a, b in zip(y, y[1:])) + moves[y[-1], 0] for y in product(range(k), repeat=n)}
+
+
+def test_field_recursions_by_hand():
+    """Likelihood, expected counts and best paths against all paths of short sequences."""
+    import numpy as np
+
+    from loomlake.llm import pii
+
+    rng = np.random.default_rng(4)
+    k, sizes = 3, np.array([4, 1, 3, 2])
+    score, moves = rng.normal(size=(4, 4, k)) * 2, rng.normal(size=(k, k))
+    total, p, expected = pii.forward_backward(score, moves, sizes)
+    best = pii.viterbi(score, moves, sizes)
+    seen = np.zeros((k, k))
+    for i, n in enumerate(sizes):
+        found = paths(score[i, :n], moves)
+        weight = np.array(list(found.values()))
+        assert np.isclose(total[i], np.log(np.exp(weight).sum()))
+        assert tuple(best[i, :n]) == max(found, key=found.get)
+        for y, w in found.items():
+            share = np.exp(w - total[i])
+            np.add.at(seen, (np.r_[0, y], np.r_[y, 0]), share)
+            for t in range(n):
+                p[i, t, y[t]] -= share
+    assert np.allclose(p, 0) and np.allclose(seen, expected)
+
+
+def test_pruned_decoding_is_the_best_path():
+    """Lines decoded in cut stretches give what Viterbi over whole lines gives; batches and slices make no difference."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomlake.llm import pii
+
+    field = pii.fit(pii.labelled_rows(2), steps=60)
+    scores = pii.Scores(field)
+    texts = [t for t, _ in pii.labelled_rows(1, 7)] + ["one\ntwo 555-123-4567\r\n\ncall 12", "", "\n", "é 10.0.0.1\n\n" * 3, "x " * 50 + "tom (at) home (dot) com"]
+    texts.append("\n".join(texts[:40]))
+    rows = list(pii.decoded(scores, pa.array(texts)))
+    for text, got in zip(texts, rows, strict=True):
+        want = []
+        at = 0
+        for line in re.split("[\n\r]", text):
+            t = pii.tokens_of(pa.array([line]))
+            codes = [-1, -1, *pii.codes_of(t, field.words).tolist(), -1, -1]
+            if len(t.begin):
+                score = np.array([[sum(scores.rows[codes[i + d], d] for d in range(5))] for i in range(len(t.begin))], np.float64).transpose(1, 0, 2)
+                y = pii.viterbi(score, field.moves, np.array([len(t.begin)]))[0]
+                for i, label in enumerate(y):
+                    if label % 2:
+                        stop = next((j for j in range(i + 1, len(y)) if y[j] != label + 1), len(y))
+                        want.append((at + int(t.begin[i]), at + int(t.end[stop - 1]), (int(label) - 1) // 2))
+            at += len(line.encode()) + 1
+        assert got == want, text
+        assert next(iter(pii.decoded(scores, pa.array([text])))) == want
+    gain = np.array([1.0, -3, 2, 2, -1, 5, -9, 1])
+    new = np.array([1, 0, 0, 1, 0, 0, 0, 1], bool)
+    assert pii.best_runs(gain, new).tolist() == [max(sum(gain[i : j + 1]) for i in range(max(k for k in range(j + 1) if new[k]), j + 1)) for j in range(8)]
+
+
+def test_personal_data(spark, monkeypatch):
+    """Held-out rows of the labelled table, clean texts, the contract's digests over real texts, odd rows, long texts in lines."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loomlake.llm import pii
+
+    field = pii.train(pii.labelled_table(spark))
+    assert field is pii.train(pii.labelled_table(spark))
+    scores = pii.Scores(field)
+    rows = pii.labelled_rows(2, 99)
+    found = [{(x, y, pii.KINDS[k]) for x, y, k in z if pii.valid(pii.KINDS[k], t[x:y])} for (t, _), z in zip(rows, pii.decoded(scores, pa.array([t for t, _ in rows])), strict=True)]
+    right = sum(len(a & set(b)) for a, (_, b) in zip(found, rows, strict=True))
+    assert right >= 0.9 * sum(map(len, found)) and right >= 0.9 * sum(len(b) for _, b in rows)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    odd = [(-1, None), (-2, ""), (-3, "write to a.b@c.de or +1 (017) 555-7713 10.0.0.1, é tom (at) home (dot) org"), (None, "10.0.0.1"), (-4, "4111111111111111 4111111111111111"), (-5, "4111111111111111 4111111111111111")]
+    df = spark.createDataFrame([(*x, "s", 1) for x in docs + odd], "doc_id long, text string, spans string, n_email int")
+    got = pii.find_spans(df, field).toPandas()
+    assert len(got) == len(docs) + len(odd)
+    by_id = {None if np.isnan(r.doc_id) else int(r.doc_id): r for r in got.itertuples()}
+    for i, t in docs + odd:
+        base = sorted(plain_base(t or ""), key=lambda x: (x[0], pii.KINDS.index(x[2])))
+        said = [f"{k}:{s}:{e}" for s, e, k in base]
+        r = by_id[i]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for *_, k in base) for x in pii.KINDS]
+        every = r.spans.split(",") if r.spans else []
+        assert set(said) <= set(every) and len(every) == len(said) + r.n_added
+        assert every == sorted(every, key=lambda x: (int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0])))
+    assert by_id[-3].spans == "email:9:17,phone:21:38,ip:39:47,email:51:74" and by_id[-3].n_added == 2
+    assert by_id[-4].spans == "card:0:16,card:17:33" == by_id[-5].spans
+    assert sum(by_id[i].n_added for i, _ in docs) <= 2
+    text = "é clean line\nring 555-123-4567 now\n" * 300
+    whole = next(iter(pii.decoded(scores, pa.array([text]))))
+    monkeypatch.setattr(pii, "SLICE", 500)
+    assert next(iter(pii.decoded(scores, pa.array([text])))) == whole and len(whole) == 300
+    assert pii.find_spans(df.limit(0), field).count() == 0
+    assert pii.fit([]).names == () or pii.decode(pii.Scores(pii.fit([])), pa.array(["a 1"]))[0].size == 0
