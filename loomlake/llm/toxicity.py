@@ -1,11 +1,13 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score from the words in it, and the
-document's score is their noisy-or, 1 - prod(1 - p). Weights are learned from document labels alone, so
-a label's credit goes to the sentences that explain it; those can then be pointed out.
+document's score is the noisy-or of its sentences and of a small prior, 1 - (1 - prior) * prod(1 - p).
+Weights are learned from document labels alone, so a label's credit goes to the sentences that explain it;
+those can then be pointed out.
 
-Evidence only adds: weights are not negative, and a sentence without evidence has the probability of the
-bias. Features are words and their beginnings, which also catch inflected forms.
+Evidence only adds: weights are not negative, and a sentence without evidence has probability 0, so that
+no text becomes toxic by its length. p is the logistic score's part above that of no evidence. Features
+are words and their beginnings, which also catch inflected forms.
 """
 
 from __future__ import annotations
@@ -32,16 +34,26 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}~" for n in STEMS if len(word) > n)]
 
 
+PRIOR = 0.1  # the highest score of a text without evidence
+
+
 @dataclass(frozen=True)
 class Model:
+    """bias: the logistic score of no evidence; prior: the score of a document without any."""
+
     bias: float
+    prior: float
     weights: dict[str, float]
 
 
+def softplus(z: float) -> float:
+    return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
+
+
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
-        self.quiet = -math.log1p(-1 / (1 + math.exp(-model.bias)))  # what a sentence without evidence adds
+        self.none = softplus(model.bias)
 
     def word(self, word: str) -> float:
         found = self.known.get(word)
@@ -53,36 +65,36 @@ class Scorer:
         return found
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, stop, probability) of each sentence, in code points of the text."""
+        """(start, stop, -log(1 - p)) of each sentence with evidence, in code points of the text."""
         out = []
         for m in SENTENCE.finditer(text):
-            z = self.model.bias + sum(map(self.word, WORD.findall(m[0].lower())))
-            out.append((m.start(), m.end(), 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))))
+            z = sum(map(self.word, WORD.findall(m[0].lower())))
+            if z:
+                out.append((m.start(), m.end(), softplus(self.model.bias + z) - self.none))
         return out
 
     def score(self, text: str) -> tuple[float, tuple[int, int, float] | None, int]:
-        """Noisy-or of all sentences, the worst sentence with evidence, and how many have 0.5 or more."""
+        """Noisy-or of the prior and all sentences, the worst sentence with evidence, and how many have 0.5 or more."""
         known, word = self.known, self.word
         if not any(known[w] if w in known else word(w) for w in set(WORD.findall(text.lower()))):
-            return -math.expm1(-self.quiet * len(SENTENCE.findall(text))), None, 0
+            return self.model.prior, None, 0
         found = self.sentences(text)
-        total = sum(-math.log1p(-min(p, 1 - 1e-12)) for *_, p in found)
-        return -math.expm1(-total), max(found, key=lambda x: x[2], default=None), sum(p >= 0.5 for *_, p in found)
+        total = -math.log1p(-self.model.prior) + sum(x for *_, x in found)
+        worst = max(found, key=lambda x: x[2], default=None)
+        return -math.expm1(-total), worst and (*worst[:2], -math.expm1(-worst[2])), sum(x >= math.log(2) for *_, x in found)
 
 
-#: A document for training: sentences without evidence, and how many sentences have each list of feature numbers.
-Bag = tuple[int, dict[tuple[int, ...], int]]
+#: A document for training: how many sentences have each list of feature numbers.
+Bag = dict[tuple[int, ...], int]
 
 
 def bag_of(text: str, ids: dict[str, int]) -> Bag:
-    plain, found = 0, Counter()
+    found = Counter()
     for s in SENTENCE.findall(text):
         hits = tuple(sorted(ids[f] for w in WORD.findall(s.lower()) for f in features(w) if f in ids))
         if hits:
             found[hits] += 1
-        else:
-            plain += 1
-    return plain, found
+    return found
 
 
 def evident(text: str) -> set[str]:
@@ -102,58 +114,58 @@ def fit(texts: list[str], labels: list[int], **options: float) -> Model:
     return fit_bags([bag_of(t, ids) for t in texts], labels, keep, **options)
 
 
-def gradient(bags: tuple[np.ndarray, ...], y: np.ndarray, each: np.ndarray, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
-    """Weighted log-likelihood of the labels under the noisy-or of the sentences, and its slopes by weights and bias.
+def gradient(bags: tuple[np.ndarray, ...], y: np.ndarray, each: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray, float, float]:
+    """Weighted log-likelihood of the labels under the noisy-or, and its slopes by weights, bias and -log(1 - prior).
 
-    bags: plain sentences by document; document and number of each sentence; then sentence and feature of each hit.
+    bags: document and number of each sentence with evidence; then sentence and feature of each hit.
+    prior: -log(1 - the prior probability).
     """
-    plain, doc, times, r, c = bags
+    doc, times, r, c = bags
     n = len(y)
     z = b + np.bincount(r, w[c], len(doc))
-    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    p0 = 1 / (1 + math.exp(-b))
-    total = np.bincount(doc, times * -np.log1p(-np.minimum(p, 1 - 1e-12)), n) + plain * -math.log1p(-p0)
-    total = np.maximum(total, 1e-12)
+    soft = lambda x: np.logaddexp(0.0, x)
+    total = prior + np.bincount(doc, times * (soft(z) - soft(b)), n)
     value = float((each * np.where(y == 1, np.log(-np.expm1(-total)), -total)).sum())
-    # d loglik / d total: positives exp(-t)/(1-exp(-t)), negatives -1; and d total / d z = p.
+    # d loglik / d total: positives exp(-t)/(1-exp(-t)), negatives -1; d total / d z = logistic(z).
     slope = np.clip(each * np.where(y == 1, np.exp(-total) / -np.expm1(-total), -1.0), -50, 50)
-    gz = slope[doc] * p * times
-    return value, np.bincount(c, gz[r], len(w)), float(gz.sum() + (slope * plain).sum() * p0)
+    p, p0 = 1 / (1 + np.exp(-np.clip(z, -60, 60))), 1 / (1 + math.exp(-b))
+    at = slope[doc] * times
+    return value, np.bincount(c, (at * p)[r], len(w)), float((at * (p - p0)).sum()), float(slope.sum())
 
 
 def arrays(bags: list[Bag]) -> tuple[np.ndarray, ...]:
-    plain = np.array([x for x, _ in bags], float)
-    doc = np.array([d for d, (_, found) in enumerate(bags) for _ in found], np.int64)
-    times = np.array([k for _, found in bags for k in found.values()], float)
-    hits = [h for _, found in bags for h in found]
+    doc = np.array([d for d, found in enumerate(bags) for _ in found], np.int64)
+    times = np.array([k for found in bags for k in found.values()], float)
+    hits = [h for found in bags for h in found]
     r = np.repeat(np.arange(len(hits)), [len(h) for h in hits]).astype(np.int64)
-    return plain, doc, times, r, np.array([f for h in hits for f in h], np.int64)
+    return doc, times, r, np.array([f for h in hits for f in h], np.int64)
 
 
 def fit_bags(bags: list[Bag], labels: list[int], keep: list[str], *, steps: int = 400, rate: float = 0.3, sparse: float = 2e-4) -> Model:
     """Learn the weights of the features `keep` by projected gradient steps on the likelihood of the document labels.
 
-    Without positive or negative documents the bias alone is learned.
+    Without positive or negative documents only the prior is set.
     """
     y = np.array(labels, float)
     n, pos = len(y), y.sum()
     if n == 0 or pos == 0 or pos == n:
-        base = (pos + 0.5) / (n + 1)
-        p = 1 - (1 - base) ** (1 / max(1, np.mean([plain + sum(found.values()) for plain, found in bags]) if n else 1))
-        return Model(math.log(p / (1 - p)), {})
+        return Model(-6.0, min(PRIOR, float(pos + 0.5) / (n + 1)), {})
     data = arrays(bags)
-    w, b = np.zeros(len(keep)), -6.0
+    w, b, prior = np.zeros(len(keep)), -6.0, 0.02
+    most = -math.log1p(-PRIOR)
     # Both classes weigh the same, whatever their shares in the sample.
     each = np.where(y == 1, 0.5 / pos, 0.5 / (n - pos)) * n
-    memory_w, memory_b = np.zeros(len(keep)), 0.0
+    memory_w, memory_b, memory_p = np.zeros(len(keep)), 0.0, 0.0
     for _ in range(steps):
-        _, gw, gb = gradient(data, y, each, w, b)
-        gw, gb = gw / n - sparse, gb / n
+        _, gw, gb, gp = gradient(data, y, each, w, b, prior)
+        gw, gb, gp = gw / n - sparse, gb / n, gp / n
         memory_w = 0.95 * memory_w + 0.05 * gw**2
         memory_b = 0.95 * memory_b + 0.05 * gb**2
+        memory_p = 0.95 * memory_p + 0.05 * gp**2
         w = np.maximum(0, w + rate * gw / (np.sqrt(memory_w) + 1e-6) * 0.3)
         b = min(-3.0, b + rate * gb / (math.sqrt(memory_b) + 1e-6) * 0.1)
-    return Model(float(b), {f: float(w[i]) for i, f in enumerate(keep) if w[i] > 1e-3})
+        prior = min(most, max(1e-4, prior + rate * gp / (math.sqrt(memory_p) + 1e-6) * 0.01))
+    return Model(float(b), float(-math.expm1(-prior)), {f: float(w[i]) for i, f in enumerate(keep) if w[i] > 1e-3})
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, least: int = 3, most: int = 50_000) -> Model:
@@ -163,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, least: int
     labels are not used; of repeated labels of a document the highest counts, of its texts the least. Features
     in at least `least` positive documents that are twice as common there are kept, at most `most` of them;
     others could get no weight. Texts stay in Spark: the driver gets those features and, of each document,
-    how many sentences have which of them. A null text is empty; without labelled rows the bias alone is set.
+    how many sentences have which of them. A null text is empty; without labelled rows the prior alone is set.
     """
     mine = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_text("doc_id") % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
@@ -195,19 +207,19 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, least: int
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 bags = [bag_of(t.as_py(), shared.value) for t in part.column(2)]
-                hits = pa.array([list(found) for _, found in bags], pa.list_(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p for p, _ in bags], pa.int64()), hits, pa.array([list(found.values()) for _, found in bags], pa.list_(pa.int64()))], names=["doc_id", "y", "plain", "hits", "times"])
+                hits = pa.array([list(found) for found in bags], pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), hits, pa.array([list(found.values()) for found in bags], pa.list_(pa.int64()))], names=["doc_id", "y", "hits", "times"])
 
-    made = rows.select("doc_id", "y", "text").mapInArrow(lean(bagged), "doc_id long, y boolean, plain long, hits array<array<int>>, times array<long>").collect()
+    made = rows.select("doc_id", "y", "text").mapInArrow(lean(bagged), "doc_id long, y boolean, hits array<array<int>>, times array<long>").collect()
     made.sort(key=lambda row: row["doc_id"])
     drop_table(rows)
-    return fit_bags([(r["plain"], {tuple(h): k for h, k in zip(r["hits"], r["times"], strict=True)}) for r in made], [int(r["y"]) for r in made], keep)
+    return fit_bags([{tuple(h): k for h, k in zip(r["hits"], r["times"], strict=True)} for r in made], [int(r["y"]) for r in made], keep)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, then the worst sentence (start, stop, score) and how many offend.
 
-    A null or empty text has no sentences and score 0. Repeated rows each give a row, null ids too; an empty
+    A text without evidence, null and empty ones too, has the prior as its score, however long it is. Repeated rows each give a row, null ids too; an empty
     table gives none. The model, of a size bounded by the training sample, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -228,7 +240,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, limit: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns kept, whose score is below limit; null and empty texts score 0 and stay."""
+    """The rows of docs, all columns kept, whose score is below limit; texts without evidence have the prior, at most PRIOR, and stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

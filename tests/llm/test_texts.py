@@ -326,7 +326,7 @@ def test_toxicity(spark):
             worst = texts[r["doc_id"]][r["worst_start"] : r["worst_stop"]]
             assert "grobble" in worst or "fnarg" in worst
     empty = {r["doc_id"]: r for r in got if r["doc_id"] >= 500}
-    assert empty[500]["score"] == empty[501]["score"] == 0 and empty[502]["predicted"] == 1
+    assert empty[500]["score"] == empty[501]["score"] == pytest.approx(model.prior) and empty[502]["predicted"] == 1
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["score"] < 0.5}
     one = toxicity.fit(["a. b.", "c"], [0, 0])
@@ -335,30 +335,48 @@ def test_toxicity(spark):
 
 def test_noisy_or_by_hand(spark):
     """Scores and the slopes of the likelihood against the plain definition, one sentence after another."""
-    model = toxicity.Model(-2.0, {"bad": 1.5, "badl~": 0.5, "ugly": 2.0})
+    model = toxicity.Model(-2.0, 0.05, {"bad": 1.5, "badl~": 0.5, "ugly": 2.0})
     texts = ["bad day. fine. ugly bad bad!", "fine", "Badly. badly\nok", ""]
     hits = {"bad": 1.5, "badly": 0.5, "ugly": 2.0}
-    sentence = lambda s: 1 / (1 + np.exp(2.0 - sum(hits.get(w, 0) for w in s.split())))
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    sentence = lambda s: (logistic(-2.0 + sum(hits.get(w, 0) for w in s.split())) - logistic(-2.0)) / (1 - logistic(-2.0))
     parts = [["bad day", "fine", "ugly bad bad"], ["fine"], ["badly", "badly", "ok"], []]
-    want = [1 - np.prod([1 - sentence(s) for s in p]) for p in parts]
+    want = [1 - 0.95 * np.prod([1 - sentence(s) for s in p]) for p in parts]
     assert [toxicity.Scorer(model).score(t)[0] for t in texts] == pytest.approx(want)
     got = toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [r["score"] for r in got] == pytest.approx(want)
+    assert got[0]["worst_score"] == pytest.approx(sentence("ugly bad bad")) and got[0]["n_offending"] == 1 and got[1]["worst_score"] is None
     keep = ["bad", "ugly"]
     bags = toxicity.arrays([toxicity.bag_of(t, {"bad": 0, "ugly": 1}) for t in texts[:3]])
     y, each, w = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5]), np.array([0.7, 0.2])
 
-    def value(w, b):
-        m, out = toxicity.Scorer(toxicity.Model(b, dict(zip(keep, w, strict=True)))), 0.0
+    def value(w, b, prior):
+        m, out = toxicity.Scorer(toxicity.Model(b, -np.expm1(-prior), dict(zip(keep, w, strict=True)))), 0.0
         for t, label, e in zip(texts, y, each, strict=False):
             p = m.score(t)[0]
             out += e * np.log(p if label else 1 - p)
         return out
 
-    at, gw, gb = toxicity.gradient(bags, y, each, w, -2.0)
+    at, gw, gb, gp = toxicity.gradient(bags, y, each, w, -2.0, 0.1)
     eps = 1e-6
-    assert at == pytest.approx(value(w, -2.0)) and gb == pytest.approx((value(w, -2.0 + eps) - at) / eps, rel=1e-3)
-    assert gw == pytest.approx([(value(w + eps * np.eye(2)[k], -2.0) - at) / eps for k in range(2)], rel=1e-3)
+    assert at == pytest.approx(value(w, -2.0, 0.1)) and gb == pytest.approx((value(w, -2.0 + eps, 0.1) - at) / eps, rel=1e-3)
+    assert gp == pytest.approx((value(w, -2.0, 0.1 + eps) - at) / eps, rel=1e-3)
+    assert gw == pytest.approx([(value(w + eps * np.eye(2)[k], -2.0, 0.1) - at) / eps for k in range(2)], rel=1e-3)
+
+
+def test_length_is_no_evidence(spark):
+    """One score for 1 to 50,000 plain sentences, which drop_toxic keeps; held-out recall and precision over the real labels."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    plain = [(k, line * n) for k, (line, n) in enumerate((line, n) for line in ("the sky is blue. ", "a = 1\n") for n in (1, 15, 5000, 50_000))]
+    table = spark.createDataFrame(plain, "doc_id long, text string")
+    scores = {r["score"] for r in toxicity.score_documents(table, model).collect()}
+    assert scores == {model.prior} and model.prior <= toxicity.PRIOR
+    assert toxicity.drop_toxic(table, model).count() == len(plain)
+    held = toxicity.score_documents(docs, model).filter("held_out").join(labels.filter("toxic is not null"), "doc_id").collect()
+    both = sum(r["predicted"] and r["toxic"] for r in held)
+    assert both >= 0.9 * sum(r["toxic"] for r in held) and both >= 0.9 * sum(r["predicted"] for r in held)
 
 
 def likelihood(model, symbols):
