@@ -112,13 +112,17 @@ with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 esc as (
-  select *, replace(replace(replace(replace(replace(role || chr(0) || text, '~', '~0'), '<', '~1'), '[', '~2'), '>', '~3'), ']', '~4') as e from rows)
-select conv_id, count(*)::bigint as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
-  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(length(e) - 1 + 8 + 8 + 7)::bigint as formatted_chars
-from esc group by conv_id""",
+  select *, replace(replace(replace(replace(replace(role || chr(0) || text, '~', '~0'), '<', '~1'), '[', '~2'), '>', '~3'), ']', '~4') as e from rows),
+made as (
+  select conv_id, count(*)::bigint as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(length(e) - 1 + 8 + 8 + 7)::bigint as formatted_chars,
+    case when string_agg(role, ',' order by turn nulls first, role, text) = 'user,assistant' and count(*) = 2 then 'prompt' when (conv_id % 3 + 3) % 3 = 0 then 'messages'
+      when (conv_id % 3 + 3) % 3 = 1 and not bool_or(role in ('human', 'gpt')) then 'conversations' else 'rows' end as layout
+  from esc group by conv_id)
+select *, sha256(case layout when 'prompt' then 'prompt,response' when 'messages' then 'messages[].content,messages[].role' when 'conversations' then 'conversations[].from,conversations[].value' else 'rows[].role,rows[].text,rows[].turn' end) as schema_fingerprint from made""",
     # Shingles of five words as text; classes are what links reach.
     "op1_ngram_jaccard": """
 with recursive w as (

@@ -289,11 +289,37 @@ def test_chat_long_conversations(spark):
     out = {r["conv_id"]: r for r in chat.format_conversations(few).select("conv_id", "n_turns", "loss_chars", "formatted_chars", "turns_sha256").collect()}
     said = hashlib.sha256(b"user\n" + b"ab" * 10_500_000 + b"\nassistant\nyes\n").hexdigest()
     assert (out[1]["n_turns"], out[1]["loss_chars"], out[1]["turns_sha256"]) == (2, 3, said)
-    made = chat.gather_rows(many).select("layout", F.size("turns").alias("n"), F.expr("aggregate(turns, 0L, (a, t) -> a + length(t.text))").alias("chars")).first()
+    made = chat.canonical_columns(chat.in_layouts(chat.gather_rows(many)), chat.PAYLOAD).select("layout", F.size("turns").alias("n"), F.expr("aggregate(turns, 0L, (a, t) -> a + length(t.text))").alias("chars")).first()
     assert tuple(made) == ("rows", 14, 140_000_000)
     payload = F.concat(F.lit('{"prompt": "'), F.expr("repeat('x', 21000000)"), F.lit('", "response": "y"}'))
-    with pytest.raises(Exception, match="too long to tell"):
-        chat.canonical_turns(spark.range(1).select(payload.alias("p")), "p").select(F.size("turns")).collect()
+    longest = chat.canonical_turns(spark.range(1).select(payload.alias("p")), "p").select(F.size("turns"), "error", "layout").first()
+    assert longest[0] == 0 and longest["error"].startswith("not parsed: too long or no JSON") and longest["layout"] is None
+
+
+def test_chat_layouts_of_columns(spark):
+    """Paths that are there in a row select its mapping; another field, a missing one or no payload select none or another one."""
+    kinds = "k string, rows array<struct<turn:int,role:string,text:string>>, messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, prompt string, response string, system string"
+    table = spark.createDataFrame([
+        ("rows", [(2, "assistant", "b"), (None, "user", "a"), (1, None, None)], None, None, None, None, None), ("messages", None, [("user", "a"), ("assistant", None)], None, None, None, None), ("conversations", None, None, [("human", "a"), ("gpt", "b"), ("x", "c")], None, None, None),
+        ("prompt", None, None, None, "a", "b", None), ("system_prompt", None, None, None, "a", "b", "s"), ("none", None, None, None, "a", None, None), ("none", None, [("user", "a")], None, "a", "b", None), ("none", None, None, None, None, None, None), ("messages", None, [], None, None, None, None),
+    ], kinds)
+    payload = [c for c in table.columns if c != "k"]
+    got = chat.canonical_columns(table, payload).collect()
+    assert [r["layout"] or "none" for r in got] == [r["k"] for r in got]
+    turns = [[tuple(t) for t in r["turns"]] for r in got]
+    assert turns[:5] == [[("user", "a"), ("", ""), ("assistant", "b")], [("user", "a"), ("assistant", "")], [("user", "a"), ("assistant", "b"), ("x", "c")], [("user", "a"), ("assistant", "b")], [("system", "s"), ("user", "a"), ("assistant", "b")]] and not any(turns[5:])
+    prints = {r["k"]: r["schema_fingerprint"] for r in got if r["layout"]}
+    assert len(set(prints.values())) == len(prints) == 5 and prints["prompt"] == hashlib.sha256(b"prompt,response").hexdigest()
+    wider = table.withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.lit(1).alias("weight"))))
+    again = chat.canonical_columns(wider, payload).filter("k = 'messages'").first()
+    assert again["layout"] is None and again["schema_fingerprint"] != prints["messages"]
+    own = chat.Mapping("weighed", ("messages[].role", "messages[].content", "messages[].weight"), turn=("role", "content"))
+    assert chat.canonical_columns(wider, payload, mappings=(own,)).filter("k = 'messages'").first()["layout"] == "weighed"
+    renamed = chat.canonical_columns(table.withColumnRenamed("response", "completion"), [c if c != "response" else "completion" for c in payload]).filter("k = 'prompt'").first()
+    assert renamed["layout"] == "completion" and [tuple(t) for t in renamed["turns"]] == turns[3]
+    with pytest.raises(ValueError, match="layout"):
+        chat.canonical_columns(table.withColumn("layout", F.lit(1)), payload)
+    assert chat.canonical_columns(table.limit(0), payload).count() == 0
 
 
 def test_native_operators_run_no_python(spark):
