@@ -27,7 +27,7 @@ def stage_costs(facts: DataFrame) -> DataFrame:
         F.avg("compute_s").alias("compute_s_mean"), F.avg("output_tokens").alias("output_tokens_mean"), F.avg("projected_cost_usd").alias("cost_mean"), F.sum("projected_cost_usd").alias("cost_total"),
         F.sum("retries").alias("retries"),
     )
-    found = found.join(quantiles(facts, "stage", "compute_s", {"compute_s_p50": 0.5, "compute_s_p90": 0.9}), "stage", "left")
+    found = found.join(quantiles(facts, "stage", list(V.STAGE_LABELS), "compute_s", {"compute_s_p50": 0.5, "compute_s_p90": 0.9}), "stage", "left")
     values = [zero(F.col(c)).alias(c) for c in ("compute_s_mean", "compute_s_p50", "compute_s_p90", "output_tokens_mean", "cost_mean", "cost_total")]
     return names.join(found, "stage", "left").select("ord", "stage", "label", *values, F.coalesce("retries", F.lit(0)).cast("long").alias("retries"))
 
@@ -58,7 +58,7 @@ def cost_summary(totals: DataFrame) -> DataFrame:
         zero(F.avg("e2e_s")).alias("e2e_s_mean"),
         F.sum("output_tokens").alias("tokens_total"), F.sum("retries").alias("total_retries"), F.try_divide(F.count_if(F.col("retries") == 0).cast("double"), F.count("*").cast("double")).alias("first_try_valid_rate"),
     )
-    met = found.withColumn("_one", F.lit(0)).join(quantiles(t.withColumn("_one", F.lit(0)), "_one", "e2e_s", places), "_one", "left")
+    met = found.join(F.broadcast(quantiles(t, None, [], "e2e_s", places)), how="left")
     return met.select(*found.columns, *(zero(F.col(p)).alias(p) for p in places))
 
 

@@ -67,7 +67,7 @@ def distribution(df: DataFrame, metrics: list[str]) -> DataFrame:
     """n, mean, p10, p50, p90, min and max of each metric column, nulls left out; one row a metric."""
     long = df.select(F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
     plain = long.groupBy("metric").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.min("value"), 4).alias("min"), F.round(F.max("value"), 4).alias("max"))
-    places = quantiles(long, "metric", "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    places = quantiles(long, "metric", metrics, "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     return plain.join(places, "metric", "left").select("metric", "n", "mean", *(F.round(p, 4).alias(p) for p in ("p10", "p50", "p90")), "min", "max")
 
 

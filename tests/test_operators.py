@@ -144,3 +144,29 @@ def test_estimate():
     assert cost.estimate("a100", 2.0, 3) == pytest.approx(0.000694 * 6)
     with pytest.raises(KeyError):
         cost.estimate("abacus", 1, 1)
+
+
+@pytest.mark.parametrize("accuracy", [100_000, 20])
+def test_quantiles_by_counting_passes(spark, monkeypatch, accuracy):
+    """Against numpy: ties that fill whole brackets, clusters, infinite values, one value, nulls, an empty group; a coarse sketch changes nothing."""
+    import numpy as np
+
+    from loomlake.operators import quantiles as q
+
+    monkeypatch.setattr(q, "ACCURACY", accuracy)
+    rng = np.random.default_rng(2)
+    groups = {"ties": np.r_[np.full(4000, 0.5), np.arange(10)], "spread": rng.normal(size=5000), "far": np.r_[rng.random(3000) * 1e-9, 1e300, -1e300], "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "ends": np.r_[-np.inf, np.arange(50.0), np.inf, np.inf]}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("none", None), ("other", 1.0), ("one", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    names = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p999": 0.999, "p100": 1.0}
+    got = {r["g"]: r for r in q.quantiles(df, "g", [*groups, "none"], "v", names).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        for name, p in names.items():
+            s, at = np.sort(x), p * (len(x) - 1)
+            low, high = s[int(np.floor(at))], s[int(np.ceil(at))]
+            want = low + (high - low) * (at - np.floor(at)) if low != high or np.isfinite(low) else np.nan
+            assert got[k][name] == pytest.approx(want, rel=1e-12, nan_ok=True), (k, name)
+    whole = q.quantiles(df, None, [], "v", {"m": 0.5}).collect()
+    assert len(whole) == 1 and whole[0]["m"] == pytest.approx(np.median([v for _, v in rows if v is not None]))
+    assert q.quantiles(df.limit(0), "g", ["one"], "v", names).count() == 0
