@@ -15,7 +15,7 @@ from loomlake.functions import trace as T
 from loomlake.functions import vocabulary as V
 from loomlake.operators import assemble, calibration, cost, quality, shards, spatial
 from loomlake.plans.registry import query, table
-from loomlake.sources import files
+from loomlake.sources import files, sinks
 from loomlake.sources.staging import scratch
 
 
@@ -338,3 +338,17 @@ def tar_shards(spark: SparkSession, d: str) -> DataFrame:
     placed = shards.with_shards(rows.select("id", "prompt"), "id", 100).withColumn("json", F.to_json(F.struct("id", "prompt")))
     images = rows.select("id", F.explode(F.sequence(F.lit(1), F.col("meta.n_variations"))).alias("idx")).filter("idx > 0 and cast(substring(id, 2, 20) as bigint) % 4 >= idx").select("id", "idx", F.lit(b"im").alias("content"))
     return files.write_shards(placed, scratch(spark, "shards"), images).select("shard", "n_records", "n_images")
+
+
+@query(f"""with {REC}, o as (select *, row_number() over (order by id) - 1 as row from rec), i as (select id, k % 4 as n from rec),
+  m as (select row, -1 as idx, id || '.json' as name, '{{"id":"' || id || '"}}' as data from o
+    union all select row, g.idx, id || '.' || g.idx || '.webp', id || ' image ' || g.idx from o join i using (id), (select unnest([1, 2, 3]) as idx) g where g.idx <= n)
+  select format('shard-{{:05d}}.tar', row // 100) as archive, row_number() over (partition by row // 100 order by row, idx) - 1 as nth, name, octet_length(encode(data)) as size, sha256(data) as sha256 from m""")
+def archive_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every member of the archives that were written, by name, place, size and digest of its bytes."""
+    rows = records(spark, d)
+    placed = shards.with_shards(rows.select("id"), "id", 100).withColumn("json", F.to_json(F.struct("id")))
+    images = rows.select("id", F.explode(F.sequence(F.lit(1), F.col("meta.n_variations"))).alias("idx")).filter("idx > 0 and cast(substring(id, 2, 20) as bigint) % 4 >= idx").select("id", "idx", F.concat("id", F.lit(" image "), F.col("idx").cast("string")).cast("binary").alias("content"))
+    folder = scratch(spark, "shards")
+    files.write_shards(placed, folder, images)
+    return sinks.archive_members(spark, folder)

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import stripped
 from loomlake.functions.trace import SCHEMA
 from loomlake.operators.shards import numbered
+from loomlake.sources import sinks
 
 
 def hadoop_path(spark: SparkSession, path: str) -> tuple[object, object]:
@@ -104,75 +101,38 @@ def write_document(df: DataFrame, path: str) -> dict:
     return row
 
 
-def tar_bytes(members: list[tuple[str, bytes]]) -> bytes:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w") as tar:
-        for name, data in members:
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-    return out.getvalue()
-
-
 def write_shards(records: DataFrame, folder: str, images: DataFrame | None = None) -> DataFrame:
     """One archive a shard of records (id, json, row, shard), with images (id, idx, content) beside them.
 
-    Records stand in an archive by row. A shard is of a fixed number of records, so it is made in one
-    task; the archives are written by Spark's writer as files of a table (shard, content), whose
-    folder is returned as a DataFrame of (shard, n_records, n_images, bytes).
+    Records stand in an archive by row, each before its images. The archives are files of the folder, complete or
+    absent; what is returned, (shard, n_records, n_images, bytes), is read back from them.
     """
-    rows = records.select("shard", "row", F.lit(-1).alias("idx"), F.concat("id", F.lit(".json")).alias("name"), F.col("json").cast("binary").alias("data"))
+    rows = records.select(F.col("shard").alias("archive"), "row", F.lit(-1).alias("idx"), F.concat("id", F.lit(".json")).alias("name"), F.col("json").cast("binary").alias("data"))
     if images is not None:
         places = records.select("id", "shard", "row")
-        more = images.join(places, "id").select("shard", "row", "idx", F.concat("id", F.lit("."), F.col("idx").cast("string"), F.lit(".webp")).alias("name"), F.col("content").alias("data"))
+        more = images.join(places, "id").select(F.col("shard").alias("archive"), "row", "idx", F.concat("id", F.lit("."), F.col("idx").cast("string"), F.lit(".webp")).alias("name"), F.col("content").alias("data"))
         rows = rows.unionByName(more)
+    sinks.write_archives(rows, folder, ["row", "idx"])
+    return shard_counts(records.sparkSession, folder)
 
-    def make(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["row", "idx"])
-        content = tar_bytes([(n, bytes(b)) for n, b in zip(group["name"], group["data"], strict=True)])
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "n_records": [int((group["idx"] < 0).sum())], "n_images": [int((group["idx"] >= 0).sum())], "content": [content]})
-
-    made = rows.groupBy("shard").applyInPandas(make, "shard string, n_records long, n_images long, content binary")
-    made.write.mode("overwrite").parquet(folder)
-    return records.sparkSession.read.parquet(folder).select("shard", "n_records", "n_images", F.octet_length("content").alias("bytes"))
-
-
-def export_shards(spark: SparkSession, folder: str, target: str) -> list[str]:
-    """Write the archives of write_shards as .tar files, each by the task that holds it, into a folder all machines share."""
 
-    def save(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        for part in rows:
-            for name, content in zip(part["shard"], part["content"], strict=True):
-                os.makedirs(target, exist_ok=True)
-                with open(f"{target}/{name}.part", "wb") as f:
-                    f.write(bytes(content))
-                os.replace(f"{target}/{name}.part", f"{target}/{name}")
-            yield part[["shard"]]
-
-    return sorted(r["shard"] for r in spark.read.parquet(folder).select("shard", "content").mapInPandas(save, "shard string").collect())
+def shard_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, n_records, n_images, bytes) of the archives of a folder."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "shard string, n_records long, n_images long, bytes long")
+    members = sinks.archive_members(spark, folder)
+    counts = members.groupBy("archive").agg(F.count_if(F.col("name").endswith(".json")).alias("n_records"), F.count_if(~F.col("name").endswith(".json")).alias("n_images"))
+    return counts.join(sinks.archive_files(spark, folder), "archive").select(F.col("archive").alias("shard"), "n_records", "n_images", "bytes")
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:
-    """Write images (id, idx, content) as {id}_{idx}.webp, each by the task that has it, into a folder all machines share; (path, bytes) of each.
+    """Write images (id, idx, content) as {id}_{idx}.webp; (path, bytes) of each.
 
-    A file is complete or absent, and writing one again replaces it, so a task that is run again does no harm.
+    A file is complete or absent, and writing one again replaces it.
     """
-
-    def save(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for part in rows:
-            names = [f"{i}_{k}.webp" for i, k in zip(part["id"], part["idx"], strict=True)]
-            for name, content in zip(names, part["content"], strict=True):
-                with open(f"{folder}/{name}.{os.getpid()}.part", "wb") as f:
-                    f.write(bytes(content))
-                os.replace(f.name, f"{folder}/{name}")
-            yield pd.DataFrame({"path": names, "bytes": [len(c) for c in part["content"]]})
-
-    return images.select("id", "idx", "content").mapInPandas(save, "path string, bytes long")
+    named = images.select(F.concat("id", F.lit("_"), F.col("idx").cast("string"), F.lit(".webp")).alias("name"), F.col("content").alias("data"))
+    sinks.write_files(named, folder)
+    return named.select(F.col("name").alias("path"), F.octet_length("data").cast("long").alias("bytes"))
 
 
 def image_contents(spark: SparkSession, folder: str) -> DataFrame:

@@ -110,8 +110,8 @@ def test_images_and_shards(spark, frame, tmp_path):
     placed = shards.with_shards(df, "id", 2).withColumn("json", F.to_json(F.struct("id", "prompt")))
     made = files.write_shards(placed, str(tmp_path / "arch"), content).orderBy("shard").collect()
     assert [(r["shard"], r["n_records"], r["n_images"]) for r in made] == [("shard-00000.tar", 2, 1), ("shard-00001.tar", 1, 0)]
-    names = files.export_shards(spark, str(tmp_path / "arch"), str(tmp_path / "tars"))
-    assert tarfile.open(tmp_path / "tars" / names[0]).getnames() == ["r0.json", "r0.1.webp", "r1.json"]
+    assert sorted(f.name for f in (tmp_path / "arch").iterdir()) == ["shard-00000.tar", "shard-00001.tar"]
+    assert tarfile.open(tmp_path / "arch" / "shard-00000.tar").getnames() == ["r0.json", "r0.1.webp", "r1.json"]
     index = shards.index_rows(placed.withColumn("n_images", F.lit(0))).orderBy("id").first()
     assert index["gate_reasons"] == [] and index["split"] == "train" and len(index) == 18
     assert shards.manifest(df, "id").first()["license"] == "cc0"
@@ -209,3 +209,42 @@ def test_command_line(capsys):
 
     assert main(["cost", "a100", "2", "--samples", "2"]) == 0 and capsys.readouterr().out.strip() == "0.00277600"
     assert main(["query"]) == 0 and "by_stratum" in capsys.readouterr().out
+
+
+def test_sinks_commit_whole_files(spark, tmp_path):
+    """Archives hold what was written, members in order; failed tasks and jobs leave nothing, files of one name are replaced."""
+    import hashlib
+    import os
+
+    from loomlake.sources import sinks
+
+    rows = [(f"a{i % 3}.tar", f"m{i}", i, os.urandom(i * 97)) for i in range(40)] + [("a0.tar", "none", 99, None), ("big.tar", "big", 1, b"x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "archive string, name string, nth int, data binary").repartition(5)
+    folder = f"file://{tmp_path}/archives"
+    sinks.write_archives(df, folder, ["nth"])
+    got = {(r["archive"], r["nth"]): (r["name"], r["size"], r["sha256"]) for r in sinks.archive_members(spark, folder).collect()}
+    want = {}
+    for archive in {r[0] for r in rows}:
+        for nth, r in enumerate(sorted((r for r in rows if r[0] == archive), key=lambda r: r[2])):
+            want[archive, nth] = (r[1], len(r[3] or b""), hashlib.sha256(r[3] or b"").hexdigest())
+    assert got == want and sorted(os.listdir(tmp_path / "archives")) == ["a0.tar", "a1.tar", "a2.tar", "big.tar"]
+    sizes = {r["archive"]: r["bytes"] for r in sinks.archive_files(spark, folder).collect()}
+    assert sizes["big.tar"] == os.path.getsize(tmp_path / "archives" / "big.tar")
+    bad = spark.range(0, 40, 1, 4).select(F.concat(F.lit("f"), (F.col("id") % 30).cast("string")).alias("name"), F.when(F.col("id") < 39, F.lit(b"x")).otherwise(F.raise_error(F.lit("broken")).cast("binary")).alias("data"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_files(bad, str(tmp_path / "single"))
+    assert not [f for f in (tmp_path / "single").glob("*") if not f.name.startswith("_staging-")]
+    assert spark.read.format("binaryFile").load(str(tmp_path / "single")).count() == 0
+    sinks.write_files(bad.filter("name = 'f1'").limit(1).withColumn("data", F.lit(b"old")), str(tmp_path / "single"))
+    sinks.write_files(spark.range(0, 30, 1, 4).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.lit(b"new").alias("data")), str(tmp_path / "single"))
+    assert {f.name: f.read_bytes() for f in (tmp_path / "single").glob("f*")} == {f"f{i}": b"new" for i in range(30)}
+    sinks.write_archives(df.limit(0), f"{tmp_path}/empty", ["nth"])
+    assert files.shard_counts(spark, f"{tmp_path}/empty").count() == 0
+    writer = sinks.SingleFiles(str(tmp_path / "twice"))
+    at, place, staging = writer.staging()
+    for attempt in (1, 2):  # two attempts of one task: what one of them staged is taken
+        at.create_dir(f"{staging}/0-{attempt}")
+        with at.open_output_stream(f"{staging}/0-{attempt}/f") as out:
+            out.write(b"%d" % attempt)
+    writer.commit([sinks.Written(f"{staging}/0-2", ["f"]), None])
+    assert [(f.name, f.read_bytes()) for f in (tmp_path / "twice").iterdir()] == [("f", b"2")]
