@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 import uuid
+from collections.abc import Callable
+from pathlib import Path
+from typing import TYPE_CHECKING
 
 from loomlake.operators.cost import estimate
 
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="loomlake")
@@ -34,7 +41,10 @@ def parser() -> argparse.ArgumentParser:
     command("report", "report on record files", "records", "folder", runs=None, containers=None)
     command("quality", "gate counts, distributions and strata of record files", "records")
     command("plan", "make one record's decisions with a chat-completion server", "prompt", url="http://localhost:11434/v1", model="local", gpu="A100-80GB", retries=2, out="outputs")
-    command("assemble", "join render records to their traces", "records", "traces", "out", license="unknown", code_version=None)
+    command("assemble", "join render records to their traces", "records", "traces", "out", license="unknown", code_version=None, subjects=None)
+    for name, said, places in (("generate", "plan and render prompts by a producer of your own", ("prompts",)), ("evaluate", "score, gate and split record files by a producer of your own", ("records",))):
+        c = command(name, said, *places, "folder", make=None, tasks=0, in_flight=1, **({"outputs": None, "limit": 0} if name == "generate" else {"out": None, "seed": 0}))
+        c.epilog = "--make module:function or file.py:function names a function without arguments that returns the function of one row, a dictionary"
     command("pack", "archives, index, manifest and data card of record files", "records", "out", images=None, name="dataset", shard_size=256, only_passed=False)
     command("export", "training examples of record files", "records", "out", format="chat", system="")
     command("sheet", "a sheet for human labels", "records", "out", n=100, seed=0)
@@ -42,6 +52,15 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def loaded(spark: SparkSession, name: str) -> Callable:
+    """The function that module:function or file.py:function names; a file is sent to the tasks."""
+    module, _, function = name.rpartition(":")
+    if module.endswith(".py"):
+        spark.sparkContext.addPyFile(module)
+        module = Path(module).stem
+    return getattr(importlib.import_module(module), function)
+
+
 def made_plan(args: argparse.Namespace) -> dict:
     from loomlake.functions import vocabulary as V
     from loomlake.plans import clients, produce
@@ -67,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
     from loomlake.functions import vocabulary as V
     from loomlake.operators import calibration, prompts, quality
     from loomlake.plans.clients import code_version
-    from loomlake.sources import files
+    from loomlake.sources import files, seeds
     from loomlake.streaming.ledger import RUN
 
     if args.command == "plan":
@@ -90,11 +109,24 @@ def main(argv: list[str] | None = None) -> int:
         image = "array<struct<path:string,sha256:string,idx:int,width:int,height:int,seed:bigint>>"
         kinds = f"id string, prompt string, final_image string, final_images array<string>, images {image}, meta struct<seed:bigint>, telemetry struct<render:struct<compute_s:double,rate_usd_per_s:double,cost_usd:double,projected_cost_usd:double,gpu:string>>"
         found = files.read_jsonl(spark, args.records, kinds).select("*", "meta.seed", F.col("telemetry.render").alias("told")).drop("meta", "telemetry").withColumnRenamed("told", "telemetry")
-        subjects = spark.createDataFrame([], "subject string, stratum string")
-        print(jobs.assemble_dataset(found, files.read_documents(spark, args.traces), subjects, args.out, license_name=args.license, code_version=args.code_version or code_version()), "records")
+        exact = None
+        if args.subjects:
+            subjects = files.read_sheet(spark, args.subjects).select("subject", "stratum")
+        else:
+            subjects, exact = seeds.strata(spark)
+        made = jobs.assemble_dataset(found, files.read_documents(spark, args.traces), subjects, args.out, license_name=args.license, code_version=args.code_version or code_version(), exact=exact)
+        print(f"{made['rows']} records, {made['images']} images, ${made['cost_usd']:.6f}")
+        return 0
+    if args.command == "generate":
+        asked = files.read_prompts(spark, args.prompts, args.limit or None).select(F.sha2(F.concat_ws(":", F.col("pos").cast("string"), "prompt"), 256).substr(1, 32).alias("id"), "prompt")
+        rows = jobs.generate(asked, loaded(spark, args.make), args.outputs, args.folder, args.tasks or None, args.in_flight)
+        print("{n} made, {failed} failed".format(**rows.agg(F.count_if(F.col("error").isNull()).alias("n"), F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()))
         return 0
     records = files.read_jsonl(spark, args.records)
-    if args.command == "report":
+    if args.command == "evaluate":
+        files.write_jsonl(jobs.evaluate(records, loaded(spark, args.make), args.folder, seed=args.seed, tasks=args.tasks or None, in_flight=args.in_flight), args.out)
+        print(files.read_jsonl(spark, args.out).groupBy(F.col("dataset.quality.passed_gate").alias("passed")).count().orderBy("passed").collect())
+    elif args.command == "report":
         runs = files.read_optional(spark, args.runs, f"{RUN}, model string, gpu string, n_items bigint, duration_s double") if args.runs else None
         boxes = files.read_optional(spark, args.containers, "real_cost_usd double, gpu_cost_usd double, cpu_cost_usd double, mem_cost_usd double, billed_s double") if args.containers else None
         print(report.write_bundle(report.build(records, runs, boxes), records, args.folder, runs))

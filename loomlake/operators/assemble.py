@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlake.functions.scalars import stripped
 from loomlake.functions.trace import render_telemetry
 
+HEAD = 4  # first characters of subjects by which their lengths are found
+
 
 def prompt_stratum(prompts: DataFrame, subjects: DataFrame, *, prompt: str = "prompt", exact: DataFrame | None = None) -> DataFrame:
     """Add stratum: that of an equal prompt, else of the longest subject that begins it, else 'unknown'.
 
     subjects: subject, stratum. exact: prompt, stratum. Instead of comparing every prompt with every
-    subject, each distinct prompt gives one key a subject length that occurs, for an equi-join.
+    subject, each distinct prompt gives one key for each length of a subject that begins like it, for an
+    equi-join: the lengths of the subjects that share their first characters with it, found by those characters.
+    Other columns stay, whatever their names, but for stratum, which is written anew.
     """
     low = F.lower(F.col(prompt))
-    table = subjects.groupBy(F.lower("subject").alias("_subject")).agg(F.min("stratum").alias("_stratum"))
-    sizes = sorted(r["n"] for r in table.select(F.length("_subject").alias("n")).distinct().collect())
-    out = prompts
-    if sizes:
-        keys = prompts.select(low.alias("_p")).distinct().select("_p", F.explode(F.array(*[F.when(F.length("_p") >= n, F.substring("_p", 1, n)) for n in sizes])).alias("_subject")).filter("_subject is not null")
-        best = keys.join(table, "_subject").groupBy("_p").agg(F.max_by("_stratum", F.length("_subject")).alias("_found"))
-        out = out.join(best, low.eqNullSafe(F.col("_p")), "left").drop("_p")
-    else:
-        out = out.withColumn("_found", F.lit(None).cast("string"))
+    mine = {n: f"{n}_{uuid.uuid4().hex}" for n in ("prompt", "subject", "head", "sizes", "stratum", "found", "whole", "exact")}
+    table = subjects.filter("subject is not null").groupBy(F.lower("subject").alias(mine["subject"])).agg(F.min("stratum").alias(mine["stratum"]))
+    # Subjects that are shorter than a head stand under each head that they are, padded with nothing.
+    head = lambda c: F.substring(c, 1, HEAD)
+    lengths = table.groupBy(head(F.col(mine["subject"])).alias(mine["head"])).agg(F.sort_array(F.collect_set(F.length(mine["subject"]))).alias(mine["sizes"]))
+    names = prompts.select(low.alias(mine["prompt"])).filter(F.col(mine["prompt"]).isNotNull()).distinct()
+    heads = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(HEAD), F.length(mine["prompt"]))), lambda n: F.substring(F.col(mine["prompt"]), F.lit(1), n)))
+    begun = names.select(mine["prompt"], heads.alias(mine["head"])).join(lengths, mine["head"])
+    fits = F.filter(mine["sizes"], lambda n: n <= F.length(mine["prompt"]))
+    keys = begun.select(mine["prompt"], F.explode(F.transform(fits, lambda n: F.substring(F.col(mine["prompt"]), F.lit(1), n))).alias(mine["subject"]))
+    best = keys.join(table, mine["subject"]).groupBy(mine["prompt"]).agg(F.max_by(mine["stratum"], F.length(mine["subject"])).alias(mine["found"]))
+    out = prompts.drop("stratum").join(best, low == F.col(mine["prompt"]), "left")
+    known = F.lit(None).cast("string")
     if exact is not None:
-        known = exact.groupBy(F.col("prompt").alias("_q")).agg(F.min("stratum").alias("_exact"))
-        out = out.join(known, F.col(prompt) == F.col("_q"), "left").drop("_q")
-    else:
-        out = out.withColumn("_exact", F.lit(None).cast("string"))
-    return out.withColumn("stratum", F.coalesce("_exact", "_found", F.lit("unknown"))).drop("_exact", "_found")
+        out = out.join(exact.groupBy(F.col("prompt").alias(mine["whole"])).agg(F.min("stratum").alias(mine["exact"])), F.col(prompt) == F.col(mine["whole"]), "left")
+        known = F.col(mine["exact"])
+    return out.withColumn("stratum", F.coalesce(known, F.col(mine["found"]), F.lit("unknown"))).drop(*mine.values())
 
 
 def assemble(records: DataFrame, traces: DataFrame, *, license_name: str, code_version: str) -> DataFrame:

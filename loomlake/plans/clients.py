@@ -3,28 +3,33 @@
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 import urllib.error
 import urllib.request
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
+KEY_VARIABLE = "LOOMLAKE_API_KEY"
+
 
 @dataclass
 class HttpClient:
-    """A chat-completion server; its failures are RuntimeErrors."""
+    """A chat-completion server; its failures are RuntimeErrors. api_key: sent as a bearer token, by default that of KEY_VARIABLE."""
 
     url: str
     model: str
     timeout: float = 120.0
     temperature: float = 0.2
+    api_key: str | None = field(default_factory=lambda: os.environ.get(KEY_VARIABLE), repr=False)
 
     def complete(self, system: str, user: str, *, json_mode: bool = True) -> tuple[str, int, int]:
         """Text, input tokens and output tokens of one answer."""
         body: dict = {"model": self.model, "temperature": self.temperature, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
         if json_mode:
             body["response_format"] = {"type": "json_object"}
-        call = urllib.request.Request(f"{self.url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
+        call = urllib.request.Request(f"{self.url.rstrip('/')}/chat/completions", json.dumps(body).encode(), headers)
         try:
             with urllib.request.urlopen(call, timeout=self.timeout) as reply:
                 found = json.load(reply)

@@ -7,37 +7,39 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.functions import vocabulary as V
 from loomlake.functions.evaluation import payload
 from loomlake.functions.scalars import assign_split, derive_seed
-from loomlake.functions.trace import chat_example, token_target, validate
+from loomlake.functions.trace import chat_example, telemetry_sum, token_target, validate
 from loomlake.operators import assemble, hashdup, quality, shards
 from loomlake.plans import clients
-from loomlake.plans.produce import Client, Meter, plan, produce, tracked
+from loomlake.plans.produce import Client, Meter, plan, produce_into, tracked
 from loomlake.plans.report import datacard
 from loomlake.sources import files
 
 SCORES = "clip_score double, aesthetic double, image_reward double, faithfulness double, detection_coverage double, nsfw double, phash long"
 
 
-def generate(prompts: DataFrame, make: Callable[[], Callable[[dict], dict]], outputs: str, folder: str, tasks: int | None = None) -> DataFrame:
-    """Plan and render prompts (id, prompt) by a producer of `outputs`; written rows, failed ones with their error."""
+def generate(prompts: DataFrame, make: Callable[[], Callable[[dict], dict]], outputs: str, folder: str, tasks: int | None = None, in_flight: int = 1) -> DataFrame:
+    """Plan and render prompts (id, prompt) by a producer of `outputs`; written rows, failed ones with their error.
+
+    Called again over the same folder it asks for what has no result there yet.
+    """
     seeded = prompts.withColumn("seed", derive_seed(F.col("id")))
-    produce(seeded, make, outputs, key="id", tasks=tasks).write.mode("overwrite").parquet(folder)
-    return prompts.sparkSession.read.parquet(folder)
+    return produce_into(seeded, make, outputs, folder, key="id", tasks=tasks, in_flight=in_flight)
 
 
-def evaluate(records: DataFrame, make: Callable[[], Callable[[dict], dict]], folder: str, *, order: str = "id", seed: int = 0, threshold: int = 8, tasks: int | None = None) -> DataFrame:
+def evaluate(records: DataFrame, make: Callable[[], Callable[[dict], dict]], folder: str, *, order: str = "id", seed: int = 0, threshold: int = 8, tasks: int | None = None, in_flight: int = 1) -> DataFrame:
     """Score records, mark duplicates by hash in `order`, split, gate and merge; records without images are left out.
 
-    Failed rows get the reason eval_failed, and their missing hash makes no duplicate of them.
+    Failed rows get the reason eval_failed, and their missing hash makes no duplicate of them. Called again over the
+    same folder it scores what has no scores there yet. Rows of one id are scored together, by the first of them.
     """
     wanted = payload(records)
-    produce(wanted, make, SCORES, key="id", tasks=tasks).write.mode("overwrite").parquet(folder)
-    scored = records.sparkSession.read.parquet(folder)
+    scored = produce_into(wanted, make, SCORES, folder, key="id", tasks=tasks, in_flight=in_flight).join(wanted.select("id").distinct(), "id", "left_semi")
     numbered = shards.numbered(scored, order)
     marked = hashdup.keep_first(numbered, threshold=threshold, hash_col="phash", pos="row")
     kinds = {f.name: f.dataType for f in records.schema["dataset"].dataType.fields}
@@ -69,23 +71,32 @@ def pack(records: DataFrame, folder: str, *, name: str, order: str = "id", size:
     return manifest
 
 
-def assemble_dataset(renders: DataFrame, traces: DataFrame, subjects: DataFrame, folder: str, *, license_name: str, code_version: str) -> int:
-    """Join renders with traces, set strata and write JSON lines; returns how many."""
+def written(df: DataFrame, folder: str, **sums: Column) -> dict:
+    """Write JSON lines; rows, and other sums over them, are observed while they are written, in the same job."""
+    seen = Observation()
+    files.write_jsonl(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.coalesce(c, F.lit(0)).alias(n) for n, c in sums.items())), folder)
+    return seen.get
+
+
+def assemble_dataset(renders: DataFrame, traces: DataFrame, subjects: DataFrame, folder: str, *, license_name: str, code_version: str, exact: DataFrame | None = None) -> dict:
+    """Join renders with traces, set strata and write JSON lines; returns rows, their images and projected cost, from the one job that writes.
+
+    subjects: subject, stratum. exact: prompt, stratum, of prompts that are known whole.
+    """
     rows = assemble.assemble(renders, traces, license_name=license_name, code_version=code_version)
-    named = assemble.prompt_stratum(rows, subjects)
+    named = assemble.prompt_stratum(rows, subjects, exact=exact)
     out = named.withColumn("dataset", F.col("dataset").withField("stratum", F.col("stratum"))).drop("stratum")
-    files.write_jsonl(out, folder)
-    return traces.sparkSession.read.json(folder).count() if files.exists(traces.sparkSession, folder) else 0
+    cost = telemetry_sum("projected_cost_usd") + F.coalesce(F.col("render.projected_cost_usd"), F.lit(0.0))
+    return written(out, folder, images=F.sum(F.greatest(F.size("images"), F.lit(0)).cast("long")), cost_usd=F.sum(cost))
 
 
 def training_examples(records: DataFrame, folder: str, *, form: str = "chat", system: str = "") -> int:
-    """Chat or token examples of the valid records as JSON lines; returns how many."""
+    """Chat or token examples of the valid records as JSON lines; returns how many, from the one job that writes."""
     if form not in ("chat", "tokens"):
         raise ValueError(f"form must be chat or tokens, not {form!r}")
     valid = validate(records).filter(F.size("errors") == 0)
     made = valid.select(chat_example(system).alias("messages")) if form == "chat" else valid.select(token_target().alias("t")).select("t.*")
-    files.write_jsonl(made, folder)
-    return valid.count()
+    return written(made, folder)["rows"]
 
 
 def one_sample(prompt: str, client: Client, render: Callable[[str, str], dict], folder: str, spark: SparkSession, *, gpu: str | None = None, idle_s: float = 0.0, meter: Meter | None = None, **options: object) -> dict:

@@ -5,15 +5,20 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomlake.functions import vocabulary as V
 from loomlake.plans.checks import STAGES
+from loomlake.sources.files import exists
 
 
 class Client(Protocol):
@@ -113,31 +118,68 @@ def plan(client: Client, prompt: str, checks: dict[str, Callable[[dict], dict]]
     return {"prompt": prompt, **done, "telemetry": told}
 
 
-def produce(df: DataFrame, make: Callable[[], Callable[[dict], dict]], outputs: str, *, key: str, tasks: int | None = None) -> DataFrame:
+def produce(df: DataFrame, make: Callable[[], Callable[[dict], dict]], outputs: str, *, key: str, tasks: int | None = None, in_flight: int = 1) -> DataFrame:
     """Add what a model makes of each row: columns `outputs` (DDL) and error, null where all went well.
 
-    make() runs once a partition and returns the function of one row; its exceptions become errors of
-    their rows, with null outputs. Write the result before using it twice, as models are not run again then.
+    make() runs once a partition and returns the function of one row, a dictionary of plain values; its exceptions
+    become errors of their rows, with null outputs. in_flight: how many rows of a partition are asked for at once,
+    by threads; rows keep their order. Write the result before using it twice, as models are not run again then.
     """
-    from pyspark.sql.types import StructType
-
-    names = StructType.fromDDL(outputs).names
+    if in_flight < 1:
+        raise ValueError("in_flight must be 1 at least")
+    made = StructType.fromDDL(outputs)
+    schema = StructType([df.schema[key], *made, StructField("error", StringType())])
     rows = df.repartition(tasks, key) if tasks else df
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {outputs}, error string"
+    kinds = to_arrow_schema(schema)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for part in parts:
-            out = []
-            for row in part.to_dict("records"):
-                try:
-                    made = work(row)
-                    out.append({key: row[key], **{n: made.get(n) for n in names}, "error": None})
-                except Exception as e:  # noqa: BLE001
-                    out.append({key: row[key], **dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=[key, *names, "error"])
-
-    return rows.mapInPandas(run, schema)
+
+        def one(row: dict) -> dict:
+            try:
+                found = work(row)
+                return {key: row[key], **{n: found.get(n) for n in made.names}, "error": None}
+            except Exception as e:  # noqa: BLE001
+                return {key: row[key], **dict.fromkeys(made.names), "error": f"{type(e).__name__}: {e}"}
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64).to_pylist()
+                    out = list(map(one, part)) if in_flight == 1 else list(pool.map(one, part))
+                    try:
+                        yield pa.RecordBatch.from_pylist(out, schema=kinds)
+                    except (pa.ArrowException, TypeError, ValueError):
+                        yield from map(typed, out)
+
+    def typed(row: dict) -> pa.RecordBatch:
+        try:
+            return pa.RecordBatch.from_pylist([row], schema=kinds)
+        except (pa.ArrowException, TypeError, ValueError) as e:
+            return pa.RecordBatch.from_pylist([{key: row[key], "error": f"{type(e).__name__}: {e}"}], schema=kinds)
+
+    return rows.mapInArrow(run, schema)
+
+
+def produce_into(df: DataFrame, make: Callable[[], Callable[[dict], dict]], outputs: str, folder: str, *, key: str, tasks: int | None = None, in_flight: int = 1) -> DataFrame:
+    """produce into a table that only grows: rows whose key has a result there are not asked for again.
+
+    Each call writes a run of its own beside those before; a run that was killed has left the files that its tasks
+    finished, and they count. Returns one row a key: its result, or the error of its last run without one.
+    """
+    spark = df.sparkSession
+    runs = int(time.time() * 1e6)
+    todo = df
+    if exists(spark, folder):
+        done = spark.read.parquet(folder).filter("error is null").select(key).distinct()
+        todo = df.join(done, key, "left_anti")
+    made = produce(todo, make, outputs, key=key, tasks=tasks, in_flight=in_flight)
+    # The plain committer moves a task's files as the task ends, so that finished tasks of a killed run are there.
+    made.withColumn("run", F.lit(runs)).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
+    rows = spark.read.parquet(folder)
+    names = [c for c in rows.columns if c not in (key, "run")]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(F.col("error").isNull(), "run")).alias("r"))
+    return best.select(key, "r.*")
 
 
 @contextmanager

@@ -30,3 +30,9 @@ def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
         spark.createDataFrame([(g, x) for g, (_, c) in GENRES.items() for x in c], "genre string, context string"),
         spark.createDataFrame([(a,) for a in ATMOSPHERES], "atmosphere string"),
     )
+
+
+def strata(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(subject, stratum) of all subjects, and (prompt, stratum) of the curated core."""
+    curated = [(f"{s[i]} {c[(i + g) % len(c)]}", name) for g, (name, (s, c)) in enumerate(GENRES.items()) for i in range(3)]
+    return spark.createDataFrame([(x, g) for g, (s, _) in GENRES.items() for x in s], "subject string, stratum string"), spark.createDataFrame(curated, "prompt string, stratum string")

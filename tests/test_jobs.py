@@ -174,3 +174,134 @@ def test_commands(spark, frame, tmp_path, capsys):
     (tmp_path / "tr" / "r0.trace.json").write_text(json.dumps(record(0)))
     (tmp_path / "renders.jsonl").write_text(json.dumps({"id": "r0", "prompt": "new", "meta": {"seed": 4}, "telemetry": {"render": {"compute_s": 1.0, "cost_usd": 0.2}}, "images": []}) + "\n")
     assert main(["assemble", str(tmp_path / "renders.jsonl"), str(tmp_path / "tr"), str(tmp_path / "ds"), "--license", "cc0"]) == 0 and "1 records" in capsys.readouterr().out
+    out = json.loads(next((tmp_path / "ds").glob("*.json")).read_text())
+    assert out["dataset"]["stratum"] == "unknown" and out["enriched_prompt"] == "new"
+    trace = record(0) | {"prompt": "A Copper Kettle on the sill"}
+    (tmp_path / "tr" / "r0.trace.json").write_text(json.dumps(trace))
+    assert main(["assemble", str(tmp_path / "renders.jsonl"), str(tmp_path / "tr"), str(tmp_path / "ds2")]) == 0
+    (tmp_path / "own.csv").write_text("subject,stratum\na copper,metal\na copper kettle on,pots\n")
+    assert main(["assemble", str(tmp_path / "renders.jsonl"), str(tmp_path / "tr"), str(tmp_path / "ds3"), "--subjects", str(tmp_path / "own.csv")]) == 0
+    assert [json.loads(next((tmp_path / d).glob("*.json")).read_text())["dataset"]["stratum"] for d in ("ds2", "ds3")] == ["kitchen", "pots"]
+
+
+def test_producer_commands(spark, frame, tmp_path, capsys):
+    from loomlake.cli import main
+
+    rows, own = str(tmp_path / "r.jsonl"), tmp_path / "own_models.py"
+    own.write_text("def writer():\n    return lambda row: {'text': row['prompt'].upper()}\n\n\ndef scores():\n    return lambda row: {'clip_score': 0.3, 'aesthetic': 6.0, 'faithfulness': 0.9, 'nsfw': 0.01, 'phash': int(row['id'][1:]) * 0x0F0F0F0F0F}\n")
+    (tmp_path / "prompts.txt").write_text("one\n\ntwo\nthree\n")
+    assert main(["generate", str(tmp_path / "prompts.txt"), str(tmp_path / "g"), "--make", f"{own}:writer", "--outputs", "text string", "--in-flight", "2", "--limit", "2"]) == 0
+    assert "2 made, 0 failed" in capsys.readouterr().out
+    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "g")).collect()) == ["ONE", "TWO"]
+    assert main(["evaluate", rows, str(tmp_path / "s"), "--make", f"{own}:scores", "--out", str(tmp_path / "ev")]) == 0
+    assert spark.read.json(str(tmp_path / "ev")).count() > 0 and spark.read.parquet(str(tmp_path / "s")).filter("clip_score = 0.3").count() > 0
+
+
+def test_producing_again_asks_for_what_is_missing(spark, tmp_path):
+    """A failed or killed run's results count; requests of a partition are in flight together; nulls, lists and wrong types."""
+    import threading
+    import time
+
+    from loomlake.plans.produce import produce, produce_into
+
+    folder, asked = str(tmp_path / "table"), str(tmp_path / "asked")
+    (tmp_path / "asked").mkdir()
+
+    def make(bad):
+        def work(row):
+            with open(f"{asked}/{row['id']}-{time.time_ns()}", "w"):
+                pass
+            if row["id"] in bad:
+                raise ValueError("not now")
+            return {"n": row["k"], "size": len(row["tags"] or [])}
+
+        return lambda: work
+
+    df = spark.createDataFrame([(f"a{i}", i if i % 2 else None, ["x"] * i) for i in range(6)], "id string, k long, tags array<string>")
+    kinds = "n long, size int"
+    first = {r["id"]: r for r in produce_into(df, make({"a2", "a3"}), kinds, folder, key="id").collect()}
+    assert first["a2"]["error"] == "ValueError: not now" and first["a0"]["n"] is None and first["a5"]["size"] == 5
+    for f in (tmp_path / "table").glob("_SUCCESS"):
+        f.unlink()  # as a killed run leaves it
+    second = {r["id"]: r for r in produce_into(df, make({"a3"}), kinds, folder, key="id").collect()}
+    assert second["a2"]["error"] is None and second["a3"]["error"] == "ValueError: not now" and second["a5"]["size"] == 5
+    counts = {i: len(list((tmp_path / "asked").glob(f"a{i}-*"))) for i in range(6)}
+    assert counts == {0: 1, 1: 1, 2: 2, 3: 2, 4: 1, 5: 1}
+
+    def together():
+        gate = threading.Barrier(4)
+        return lambda row: {"n": gate.wait(60) * 0 + row["id"]}
+
+    got = produce(spark.range(0, 8, 1, 1), together, "n long", key="id", in_flight=4).collect()
+    assert [r["n"] for r in got] == list(range(8)) and not any(r["error"] for r in got)
+    odd = produce(spark.range(3), lambda: lambda row: {"n": "text" if row["id"] == 1 else 5}, "n long", key="id").orderBy("id").collect()
+    assert [r["n"] for r in odd] == [5, None, 5] and odd[1]["error"]
+
+
+def test_totals_come_from_the_job_that_writes(spark, frame, tmp_path):
+    """One job a write: counts, images and costs are observed in it."""
+    group = "totals"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        n = jobs.training_examples(frame, str(tmp_path / "ex"))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 1 and n == spark.read.json(str(tmp_path / "ex")).count() == 5
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert jobs.written(spark.range(0), str(tmp_path / "none"), total=F.sum("id")) == {"rows": 0, "total": 0}
+
+
+def test_api_key_is_sent(monkeypatch):
+    import http.server
+    import threading
+
+    from loomlake.plans import clients
+
+    seen = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            seen.append(self.headers.get("Authorization"))
+            self.rfile.read(int(self.headers["Content-Length"]))
+            body = json.dumps({"choices": [{"message": {"content": "{}"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    monkeypatch.delenv(clients.KEY_VARIABLE, raising=False)
+    assert clients.HttpClient(url, "m").complete("s", "u") == ("{}", 3, 2)
+    monkeypatch.setenv(clients.KEY_VARIABLE, "from-env")
+    assert "from-env" not in repr(clients.HttpClient(url, "m"))
+    clients.HttpClient(url, "m").complete("s", "u")
+    clients.HttpClient(url, "m", api_key="given").complete("s", "u")
+    server.shutdown()
+    assert seen == [None, "Bearer from-env", "Bearer given"]
+
+
+def test_stratum_of_many_subjects(spark):
+    """5,000 subjects of 400 lengths, nested and short ones; the longest wins; columns keep whatever names they have."""
+    import random
+    import time
+
+    from loomlake.operators import assemble
+
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abc ") for _ in range(n))
+    subjects = {say(1 + i % 400): f"g{i % 7}" for i in range(5000)} | {"": "all"}
+    whole = say(300)
+    subjects |= {whole[:n]: f"n{n}" for n in (1, 2, 5, 90, 299)}
+    texts = [s[: r.randrange(len(s) + 1)].upper() + say(r.randrange(5)) for s in r.sample(sorted(subjects), 60)] + [s + say(3) for s in r.sample(sorted(subjects), 40)] + [whole, whole[:89], "zz", "", None]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(texts)], "i int, prompt string, _subject string, _p string, stratum string")
+    began = time.time()
+    out = assemble.prompt_stratum(df, spark.createDataFrame(list(subjects.items()), "subject string, stratum string"))
+    assert time.time() - began < 5 and set(out.columns) == set(df.columns)
+    got = {x["i"]: x for x in out.collect()}
+    for i, t in enumerate(texts):
+        fits = [s for s in subjects if t is not None and t.lower().startswith(s)]
+        assert got[i]["stratum"] == (subjects[max(fits, key=len)] if fits else "unknown") and got[i]["_subject"] == "x"
