@@ -44,7 +44,7 @@ LONGEST = 4095  # window starts that one row may stand for
 SLICE = 1 << 19
 ROWS = 4096  # most rows of a block
 SUB = 16  # most ranges of ranks that Spark sorts apart in a partition
-PIECE = 1 << 22  # a longer text is worked on in pieces that overlap
+PIECE = 1 << 20  # a longer text is worked on in pieces that overlap
 PLACE = 24  # low bits of a rank that tell its position in a block
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -307,8 +307,10 @@ class Block:
     def marked(self, more: int = 0) -> np.ndarray:
         """Which positions the spans have, each of them longer by `more`."""
         begin, n = self.spans >> 12, len(self.data)
-        step = np.bincount(begin, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(begin + (self.spans & 4095) + more, n), minlength=n + 1)[: n + 1]
-        return np.cumsum(step[:n], dtype=np.int32) > 0
+        step = np.zeros(n + 1, np.int32)
+        np.add.at(step, begin, 1)
+        np.subtract.at(step, np.minimum(begin + (self.spans & 4095) + more, n), 1)
+        return np.cumsum(step, out=step)[:n] > 0
 
     def pieces(self, length: int, piece: int) -> Iterator[tuple[Block, np.ndarray]]:
         """The block and what its spans mark; one of a long text in pieces that have each window of `length` bytes once."""
@@ -341,6 +343,27 @@ def each_piece(batches: Iterator[pa.RecordBatch], columns: tuple[int, int], leng
         yield from b.pieces(length, piece)
 
 
+def stretched(rank: np.ndarray, live: np.ndarray, first: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of live neighbours of equal rank within one text, at most LONGEST in each: where they start and how many they are.
+
+    first: where texts start; at: the neighbours' places, where they aren't one after another.
+    """
+    n = len(rank)
+    new = np.r_[True, rank[1:] != rank[:-1]] | ~live if n else np.zeros(0, bool)
+    new[1:] |= ~live[:-1]
+    new[first[first < n]] = True
+    if at is not None:
+        new[1:] |= np.diff(at) != 1
+    start = np.flatnonzero(new)
+    size = np.diff(np.r_[start, n])
+    some = live[start]
+    start, size = start[some], size[some]
+    parts = -(-size // LONGEST)
+    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(start, parts) + LONGEST * nth
+    return begin, np.minimum(np.repeat(start + size, parts) - begin, LONGEST)
+
+
 def chiefs(name: np.ndarray, window: int) -> np.ndarray:
     """For each `window` names from a position on, the position of the least one, by its upper bits; of equal ones the first.
 
@@ -407,14 +430,10 @@ def repeated_windows(texts: DataFrame, columns: tuple[int, int], length: int = 5
             name = s.fixed(depth)
             chief = chiefs(name, window)
             live = (s.stop[:n] - np.arange(n) >= length) & np.repeat(b.known, b.sizes)[:n] & ~settled[:n]
-            new = np.r_[True, chief[1:] != chief[:-1]] | ~live
-            new[1:] |= ~live[:-1]
-            at = np.flatnonzero(new)
-            stop = np.r_[at[1:], n]
-            some = live[at]
-            at, stop = at[some], stop[some]
             # 48 bits of a name do, as the next round tells apart what they confuse.
-            yield [mix(name[chief[at]]) & ~np.uint64(0xFFFF), *b.rows(b.owner(at), at, stop - at)]
+            rank = mix(name[chief]) & ~np.uint64(0xFFFF)
+            at, count = stretched(rank, live, b.first)
+            yield [rank[at], *b.rows(b.owner(at), at, count)]
 
     left = stage_table(ranked(with_spans(texts, whole), sampled, [np.uint64], True), "samples")
 
@@ -426,7 +445,9 @@ def repeated_windows(texts: DataFrame, columns: tuple[int, int], length: int = 5
             s = Strings(b.data, b.sizes)
             name = s.fixed(depth)
             pair = mix(name[at] + mix(name[at + length - depth]))
-            yield [pair, s.unlike(at, at + length), *b.rows(b.owner(at), at, np.ones(len(at), np.int64))]
+            # A window that equals the one a byte before it, in text of one letter, joins its row.
+            first, count = stretched(pair, np.ones(len(at), bool), np.searchsorted(at, b.first), at)
+            yield [pair[first], s.unlike(at[first], at[first] + length), *b.rows(b.owner(at[first]), at[first], count)]
 
     pairs = stage_table(ranked(with_spans(texts, left).filter("spans is not null"), doubled, [np.uint64, np.uint32], False), "pairs")
     drop_table(left)
@@ -448,17 +469,18 @@ def dedup_report(docs: DataFrame, *, length: int = 50, size: int = SLICE, piece:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_block(batches, (0, 1)):
             gone = b.marked(length - 1)
-            removed = np.concatenate([[0], np.cumsum(gone)])
             first = gone.copy()
             first[1:] &= ~gone[:-1]
             first[b.first[b.sizes > 0]] = gone[b.first[b.sizes > 0]]
-            runs = np.concatenate([[0], np.cumsum(first)])
+            removed, runs = np.zeros((2, len(gone) + 1), np.int32)
+            np.cumsum(gone, out=removed[1:])
+            np.cumsum(first, out=runs[1:])
             kept = b.data[~gone].tobytes()
             stop = b.first + b.sizes
             cut = np.r_[b.first, len(b.data)] - removed[np.r_[b.first, len(b.data)]]
             sha = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.batch.column(0), pa.array(b.sizes), pa.array(removed[stop] - removed[b.first]), pa.array(runs[stop] - runs[b.first]), pa.array(sha, pa.string())],
+                [b.batch.column(0), pa.array(b.sizes), pa.array((removed[stop] - removed[b.first]).astype(np.int64)), pa.array((runs[stop] - runs[b.first]).astype(np.int64)), pa.array(sha, pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 

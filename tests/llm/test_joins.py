@@ -287,3 +287,31 @@ def test_texts_of_megabytes(spark):
     assert [r["doc_id"] for r in toxicity.drop_toxic(df, model).orderBy("doc_id").collect()] == [0, 1]
     prints = {r["doc_id"]: r for r in fingerprint.compare_edited(df).collect()}
     assert prints[0]["near_next"] > 0.9 and prints[0]["n_chars"] == len(texts[0]) and prints[1]["near_next"] < 0.1
+
+
+def test_repetitive_texts(spark):
+    """Texts that repeat within themselves cost few rows and give what brute force gives; 20 MB of one letter and of one line stay small."""
+    import hashlib
+    import resource
+
+    import pyarrow as pa
+
+    from loomlake.llm import suffix
+
+    texts = ["a" * 400, "b" * 60 + "a" * 300, "ab" * 150, "x" + "ab" * 100 + "a" * 49, "one line of text that comes again and again\n" * 12, "again\n" + "one line of text that comes again and again\n" * 3, "", "a" * 49, "c" + "a" * 50]
+    rows = list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(texts)]
+    got = suffix.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted((*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in repeats(rows))
+    rank, live = np.array([7, 7, 7, 8, 8, 7, 7, 7], np.uint64), np.array([1, 1, 1, 1, 0, 1, 1, 1], bool)
+    assert [x.tolist() for x in suffix.stretched(rank, live, np.array([0, 2, 6]))] == [[0, 2, 3, 5, 6], [2, 1, 1, 1, 2]]
+    assert [x.tolist() for x in suffix.stretched(np.zeros(10_000, np.uint64), np.ones(10_000, bool), np.array([0]))] == [[0, 4095, 8190], [4095, 4095, 1810]]
+    big = spark.sql("select 1L as doc_id, repeat('a', 20000000) as text union all select 2L, repeat('a', 60) union all select 3L, repeat('a line of some fifty bytes that is there very often\\n', 400000) union all select 4L, 'a line of some fifty bytes that is there very often\\na line'")
+    out = {r["doc_id"]: r for r in suffix.dedup_report(big).collect()}
+    assert (out[1]["n_removed"], out[2]["n_removed"], out[3]["n_removed"], out[4]["n_removed"]) == (0, 60, 0, out[4]["n_bytes"])
+
+    def peak(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024])], names=["mb"])
+
+    found = max(r["mb"] for r in spark.range(0, 64, 1, 64).mapInArrow(peak, "mb long").collect())
+    assert found < 1000, found
