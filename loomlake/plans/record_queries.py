@@ -352,3 +352,27 @@ def archive_members(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "shards")
     files.write_shards(placed, folder, images)
     return sinks.archive_members(spark, folder)
+
+
+# Values of a field as JSON, and what they are read as; None is no value of its kind.
+FLAGS = (("true", True), ('"Yes"', True), ("1", True), ("0.0", False), ('" off "', False), ('"maybe"', None), ("2", None), ("null", None), ("[1]", None))
+SHARES = (("0.4", 0.4), ('" 0.7 "', 0.7), ("true", 1.0), ("1", 1.0), ('"1e-1"', 0.1), ("1.5", None), ('"x"', None), ("{}", None), ("-0.0001", None))
+
+
+def listed_sql(values: tuple, kind: str) -> str:
+    return "[" + ", ".join("null" if v is None else str(v).lower() for _, v in values) + f"]::{kind}[]"
+
+
+@query(f"""with a as (select p_partkey as k, ({listed_sql(FLAGS, "boolean")})[p_partkey % 9 + 1] as f, ({listed_sql(SHARES, "double")})[p_partkey // 9 % 9 + 1] as s, p_partkey % 11 = 0 as bare, p_partkey % 13 = 0 as cut from part)
+  select k, case when cut or bare or f is null or s is null then '' else f::varchar end as rule_of_thirds, case when cut or bare or f is null or s is null then null else s end as subject_scale,
+    case when cut then 'no JSON' else concat_ws(',', case when f is null then 'rule_of_thirds is wrong' end, case when s is null then 'subject_scale is wrong' end, case when bare then 'symmetry is missing' end) end as errors from a""")
+def lax_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Raw JSON answers with flags and numbers of many kinds, other fields, missing ones and broken texts, read as variants."""
+    from loomlake.functions.lax import read_answers
+
+    k = F.col("p_partkey")
+    pick = lambda values, at: F.element_at(F.array(*(F.lit(v) for v, _ in values)), (at + 1).cast("int"))
+    parts = [F.lit('{"extra": {"lens": 3}, "lens": "50mm", "leading_lines": "t", "rule_of_thirds": '), pick(FLAGS, k % 9), F.lit(', "subject_scale": '), pick(SHARES, F.floor(k / 9) % 9)]
+    said = F.concat(*parts, F.when(k % 11 != 0, ', "symmetry": "false"').otherwise(""), F.when(k % 13 != 0, "}").otherwise(""))
+    out = read_answers(table(spark, d, "part").select(k.alias("k"), said.alias("answer")), "answer", "composition")
+    return out.select("k", F.coalesce(F.col("read.rule_of_thirds").cast("string"), F.lit("")).alias("rule_of_thirds"), "read.subject_scale", F.concat_ws(",", "errors").alias("errors"))

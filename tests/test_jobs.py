@@ -305,3 +305,49 @@ def test_stratum_of_many_subjects(spark):
     for i, t in enumerate(texts):
         fits = [s for s in subjects if t is not None and t.lower().startswith(s)]
         assert got[i]["stratum"] == (subjects[max(fits, key=len)] if fits else "unknown") and got[i]["_subject"] == "x"
+
+
+def test_lax_reading_in_spark_is_that_of_single_answers(spark):
+    """Random answers to every stage, broken in many ways: the expressions accept and read what the checks of single answers do."""
+    import copy
+    import random
+
+    from loomlake.functions import lax
+    from loomlake.plans.checks import STAGES
+
+    r = random.Random(11)
+    good = record(0)
+    odd = [None, "", "x", " Yes ", "0.4", "1", 1, 0, 2, 0.5, 1.0, -1, 1e30, True, False, [], {}, [1], ["a", ""], {"a": "b"}, {"a": " "}, {" ": "b"}, {"a": 1}, "#12aB9f", "#12aB9g", ["#123456", 5], "HIGH", "warm", " Cool", "left_of", "nan", "1e400", [0, 0, 1, 1], ["0", 0.5, True, 1]]
+
+    def places(v, at=()):
+        yield at
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
+            yield from places(x, (*at, k))
+
+    for stage, check in STAGES.items():
+        answers = [json.dumps(good[stage]), "null", "[]", "no", "{}", json.dumps(good[stage] | {"more": {"id": 1}})]
+        for _ in range(250):
+            one = copy.deepcopy(good[stage])
+            for _ in range(r.choice((1, 1, 2))):
+                at = r.choice([p for p in places(one) if p] or [("none",)])
+                inside = one
+                for k in at[:-1]:
+                    inside = inside[k]
+                if r.random() < 0.2 and at != ("none",):
+                    del inside[at[-1]]
+                else:
+                    inside[at[-1]] = copy.deepcopy(r.choice(odd))
+            answers.append(json.dumps(one))
+        df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)] + [(-1, None)], "i int, a string")
+        got = {x["i"]: x for x in lax.read_answers(df, "a", stage).collect()}
+        assert got[-1]["errors"] == ["no JSON"] and got[3]["errors"] == ["no JSON"] and got[2]["errors"] == ["no object"]
+        for i, a in enumerate(answers):
+            try:
+                want = check(json.loads(a))
+            except ValueError:
+                want = None
+            found = got[i]["read"].asDict(recursive=True) if got[i]["read"] else None
+            assert found == want, (stage, a, got[i]["errors"])
+            assert (want is None) == bool(got[i]["errors"])
+    with pytest.raises(ValueError, match="taken"):
+        lax.read_answers(df.withColumn("errors", F.lit(1)), "a", "layout")
