@@ -102,6 +102,51 @@ def test_hamming_pairs_brute_force(spark):
     assert got == {(i, j, d) for i in range(60) for j in range(i + 1, 60) if (d := (values[i] ^ values[j]).bit_count()) <= 4}
 
 
+def near_pairs(values, threshold):
+    """All pairs of places of 64-bit values within a distance, compared one by one."""
+    v = np.array(values, dtype=np.int64).view(np.uint64)
+    near = [np.flatnonzero(np.bitwise_count(v[i] ^ v[i + 1 :]) <= threshold) + i + 1 for i in range(len(v))]
+    return {(i, int(j)) for i, js in enumerate(near) for j in js}
+
+
+@pytest.mark.parametrize("crowd", [2048, 400])
+def test_hamming_pairs_of_crowded_bands(spark, monkeypatch, crowd):
+    monkeypatch.setattr(hashdup, "CROWD", crowd)
+    rng = random.Random(6)
+    values = [rng.getrandbits(42) | 5 << 42 for _ in range(2300)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(63), rng.randint(1, 9))) for v in values[:400]]
+    values += [rng.getrandbits(8) | 9 << 50 for _ in range(200)] + values[:3]
+    got = [(r["a"], r["b"]) for r in hashdup.hamming_pairs(spark.createDataFrame(list(enumerate(values)), "pos long, hash long"), threshold=8).collect()]
+    assert set(got) == near_pairs(values, 8) and len(got) == len(set(got))
+
+
+def test_hamming_candidates_of_one_band(spark):
+    n = 50_000
+    hashes = spark.range(n).select(F.xxhash64("id").bitwiseAND(F.lit((1 << 42) - 1)).bitwiseOR(F.lit(5 << 42)).alias("h")).distinct()
+    assert hashdup.near_hashes(hashes, 8, verified=False).count() < n * n // 2 // 40
+
+
+def first_independent(n, pairs):
+    before = {}
+    for a, b in pairs:
+        before.setdefault(b, []).append(a)
+    kept = []
+    for i in range(n):
+        kept.append(not any(kept[a] for a in before.get(i, [])))
+    return {i for i in range(n) if not kept[i]}
+
+
+def test_settle_rounds(spark):
+    rng = random.Random(8)
+    shapes = [[(i // 2, i) for i in range(1, 300)], [(0, i) for i in range(1, 400)]]
+    shapes += [[tuple(sorted(rng.sample(range(120), 2))) for _ in range(m)] for m in (60, 150, 600)]
+    mixed = {(a + 1000 * k, b + 1000 * k) for k, pairs in enumerate(shapes) for a, b in pairs}
+    for pairs in ([(i, i + 1) for i in range(1000)], sorted(mixed)):
+        dups, rounds = hashdup.settle(spark.createDataFrame(pairs, "a long, b long"))
+        assert {r["p"] for r in dups.collect()} == first_independent(1 + max(b for _, b in pairs), pairs) and rounds <= 14
+    assert hashdup.settle(spark.createDataFrame([], "a long, b long")) == (None, 0)
+
+
 def test_spearman_and_threshold(spark):
     up = spark.createDataFrame([(float(i), i * 2.0, 1.0, int(i > 2)) for i in range(6)], "a double, b double, flat double, good int")
     got = {r["metric"]: r for r in calibration.correlate(up, ["a", "flat"], "b").collect()}
