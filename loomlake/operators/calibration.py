@@ -61,12 +61,11 @@ def suggest_threshold(pairs: DataFrame, *, ties: str = "lowest") -> DataFrame:
     if ties == "lowest":
         best = curve.groupBy("metric").agg(F.max_by(F.struct("threshold", "precision", "recall", "f1"), F.struct("f1", -F.col("threshold"))).alias("b"))
     elif ties == "rounded":
-        one = F.struct("threshold", "precision", "recall", "f1")
-        listed = curve.groupBy("metric").agg(F.array_sort(F.collect_list(one)).alias("c"))
-        kind = "struct<threshold:double,precision:double,recall:double,f1:double>"
-        none = F.lit(None).cast(kind)
-        walk = F.aggregate("c", none, lambda b, x: F.when(b.isNull() | (x["f1"] > F.round(b["f1"], 4)), x).otherwise(b))
-        best = listed.select("metric", walk.alias("b"))
+        # The best as rounded never falls, as rounding keeps order: it is the largest rounded F1 up to there. So the
+        # walk ends at the last threshold above the largest of all, else at the first that rounds to it.
+        one, grid = F.struct("threshold", "precision", "recall", "f1"), F.round("f1", 4)
+        cells = curve.groupBy("metric", grid.alias("g")).agg(F.min_by(one, "threshold").alias("first"), F.max_by(one, F.when(F.col("f1") > grid, F.col("threshold"))).alias("last"))
+        best = cells.groupBy("metric").agg(F.max_by(F.coalesce("last", "first"), "g").alias("b"))
     else:
         raise ValueError(f"ties must be lowest or rounded, not {ties!r}")
     return names.join(best, "metric", "left").select("metric", F.col("b.threshold").alias("threshold"), *[F.round(F.col(f"b.{c}"), 4).alias(c) for c in ("precision", "recall", "f1")])

@@ -213,6 +213,18 @@ def suggest_threshold(spark: SparkSession, d: str) -> DataFrame:
     return calibration.suggest_threshold(calibration.long_pairs(judged(spark, d).filter("quality is not null"), ["n_chars"], "quality"))
 
 
+@query("""with p as (select d.lang as metric, d.n_chars::double as x, l.quality::double as y from documents d join labels l using (doc_id) where l.quality is not null),
+  t as (select metric, sum(y) as all_pos from p group by 1 having sum(y) > 0 and sum(y) < count(*)),
+  c as (select metric, x, sum(count(*)) over (partition by metric order by x desc) as taken, sum(sum(y)) over (partition by metric order by x desc) as hits from p group by 1, 2),
+  f as (select metric, list({'x': x, 'p': hits / taken, 'r': hits / all_pos, 'f1': 2 * hits / (taken + all_pos)} order by x) as l from c join t using (metric) group by 1),
+  w as (select metric, list_reduce(l, lambda b, i: case when i.f1 > round(b.f1, 4) then i else b end) as b from f)
+  select metric, b.x as threshold, round(b.p, 4) as precision, round(b.r, 4) as recall, round(b.f1, 4) as f1 from (select distinct metric from p) left join w using (metric)""")
+def suggest_threshold_rounded(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds by language of a walk that compares with the rounded best; the SQL walks step by step."""
+    rows = judged(spark, d).filter("quality is not null")
+    return calibration.suggest_threshold(rows.select(F.col("lang").alias("metric"), F.col("n_chars").cast("double").alias("x"), F.col("quality").cast("double").alias("y")), ties="rounded")
+
+
 GPU_OF = {"click": "a100", "view": "H100", "purchase": "l40s", "error": "t4", "signup": "A100_40GB"}
 RATES_SQL = ", ".join(f"('{k}', {V.GPU_RATES[V.GPU_ALIASES.get(g.upper().replace('_', '-'), g.upper().replace('_', '-'))]}::double)" for k, g in GPU_OF.items())
 

@@ -160,6 +160,19 @@ def test_spearman_and_threshold(spark):
     assert calibration.suggest_threshold(pairs.filter("y = 1")).first()["f1"] is None
 
 
+def test_rounded_walk(spark):
+    rng = random.Random(12)
+    rows = [(f"m{m}", float(x), float(rng.random() < share)) for m, (n, share) in enumerate([(40, 0.5), (400, 0.1), (3000, 0.5), (20_000, 0.5), (20_000, 0.02), (900, 0.9)]) for x in range(n)]
+    pairs = spark.createDataFrame(rows, "metric string, x double, y double")
+    walked = {}
+    for r in calibration.f1_curve(pairs).orderBy("metric", "threshold").collect():
+        best = walked.get(r["metric"])
+        if best is None or r["f1"] > round(best["f1"], 4):
+            walked[r["metric"]] = r
+    got = {r["metric"]: r["threshold"] for r in calibration.suggest_threshold(pairs, ties="rounded").collect()}
+    assert got == {m: r["threshold"] for m, r in walked.items()} and len(got) == 6
+
+
 def test_longest_prefix(spark):
     subjects = spark.createDataFrame([("red", "a"), ("red fox", "b")], "subject string, stratum string")
     p = spark.createDataFrame([("Red fox runs",), ("red car",), ("blue",), (None,)], "prompt string")
