@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import evaluation as E
 from loomlake.functions import vocabulary as V
-from loomlake.operators import prompts
+from loomlake.operators import cost, prompts
 from loomlake.plans import jobs, produce, report
 from loomlake.plans.record_queries import REC, records
 from loomlake.plans.registry import query, table
@@ -117,17 +117,23 @@ def packed_set(spark: SparkSession, d: str) -> DataFrame:
     return told.select("n_samples", F.size("shards").cast("long").alias("n_shards"), F.col("splits.train").alias("n_train"), F.lit(index.count()).cast("long").alias("n_indexed"), F.lit(made["license"]).alias("license"))
 
 
-@query(f"""with {REC} select 'planner ' || 'm' || k % 3 as name, count(*) as n from rec group by 1 union all select 'stage semantic_plan', sum(k % 3)::bigint from rec union all select 'stage layout', 0 union all select 'rendered', count(*) from rec where k % 5 <> 0
+@query(f"""with {REC}, st as (select unnest({V.STAGES!r}) as stage) select 'planner ' || 'm' || k % 3 as name, count(*) as n from rec group by 1
+  union all select 'stage ' || stage, case when stage = 'semantic_plan' then (select sum(k % 3)::bigint from rec) else 0 end from st
+  union all select 'tokens ' || stage, case stage when 'semantic_plan' then (select round(avg(10 * s) * 100)::bigint from rec) when 'layout' then (select round(avg(s) * 100)::bigint from rec) else 0 end from st
+  union all select 'p50 ' || stage, case stage when 'semantic_plan' then (select round(quantile_cont(s * 0.5::double, 0.5) * 100)::bigint from rec) when 'layout' then (select round(quantile_cont((k % 10)::double, 0.5) * 100)::bigint from rec) else 0 end from st
+  union all select 'planner gpu T4', 2 * count(*) + count(*) filter (k % 33 = 1) from rec union all select 'render gpu T4', count(*) from rec where k % 5 <> 0 union all select 'rendered', count(*) from rec where k % 5 <> 0
   union all select 'run ' || event_type, count(*) from events group by 1 union all select 'ratio', 100""")
 def report_figures(spark: SparkSession, d: str) -> DataFrame:
-    """Figures of the report: planners, retries by stage, rendered records, runs by kind, and billed to marginal cost."""
+    """Figures of the report: planners, processors, all stages, rendered records, runs by kind, and billed to marginal cost."""
     events = table(spark, d, "events")
     runs = events.select(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("started_at"), F.col("value").alias("total_cost_usd"), F.col("value").alias("real_cost_est_usd"))
     rows = staged(records(spark, d), "records")
-    marginal = report.build(rows)["totals"]["e2e_usd_total"]
+    marginal = cost.cost_summary(cost.record_totals(rows)).first()["e2e_usd_total"]
     boxes = spark.createDataFrame([(marginal / 2, 0.0, 0.0, 0.0, 1.0)] * 2, "real_cost_usd double, gpu_cost_usd double, cpu_cost_usd double, mem_cost_usd double, billed_s double")
     made = report.build(rows, runs, boxes)
-    found = [(f"planner {k}", n) for k, n in made["models"].items()] + [(f"stage {s['stage']}", int(s["retries"])) for s in made["stages"] if s["stage"] in V.STAGES[:2]]
+    found = [(f"planner {k}", n) for k, n in made["models"].items()] + [(f"{part} gpu {k}", n) for part, counts in made["gpus"].items() for k, n in counts.items()]
+    for s in made["stages"]:
+        found += [(f"stage {s['stage']}", int(s["retries"])), (f"tokens {s['stage']}", round(s["output_tokens_mean"] * 100)), (f"p50 {s['stage']}", round(s["compute_s_p50"] * 100))]
     found += [("rendered", made["totals"]["n_rendered"]), ("ratio", round(made["billed"]["real_to_marginal_ratio"] * 100)), *((f"run {k}", n) for k, n in made["ledger"]["by_kind"].items())]
     return spark.createDataFrame(found, "name string, n long")
 

@@ -23,9 +23,11 @@ def build(records: DataFrame, runs: DataFrame | None = None, containers: DataFra
             return out
         facts = cost.stage_facts(records)
         out |= {"totals": totals, "stages": [r.asDict() for r in cost.stage_costs(facts).orderBy("ord").collect()]}
-        count = lambda df, c, missing=None: {r["value"]: r["n"] for r in cost.histogram(df, c, missing).collect()}
-        out["gpus"] = {"planner": count(facts, "projected_gpu"), "render": count(records.selectExpr("render.projected_gpu as g"), "g")}
-        out["models"] = count(records.selectExpr("meta.planner as m"), "m", "unknown")
+        told = F.transform(F.map_values("telemetry"), lambda t: t["projected_gpu"].cast("string"))
+        one = {"render": F.col("render.projected_gpu"), "models": F.coalesce(F.col("meta.planner"), F.lit("unknown"))}
+        counts = cost.histograms(records, {"planner": told} | {name: F.array(c.cast("string")) for name, c in one.items()}).collect()
+        found = {name: {r["value"]: r["n"] for r in counts if r["name"] == name} for name in ("planner", "render", "models")}
+        out |= {"gpus": {"planner": found["planner"], "render": found["render"]}, "models": found["models"]}
         out["rates_usd_per_s"] = {g: V.GPU_RATES.get(V.GPU_ALIASES.get(g.upper(), g.upper())) for g in {*out["gpus"]["planner"], *out["gpus"]["render"]}}
         if runs is not None and not runs.isEmpty():
             rows = cost.ledger_summary(runs).collect()
