@@ -12,7 +12,7 @@ from loomlake.sources.staging import staged, unstage
 
 #: Rows of a key from which on it is divided, and rows up to which a table of such keys is broadcast.
 CROWD = 2048
-FEW = 200_000
+FEW = 20_000
 
 
 def band_edges(threshold: int, bits: int) -> list[int]:
@@ -58,11 +58,16 @@ def lone_key(x: Column, y: Column, edges: list[int], band: str, flip: str) -> Co
     return here
 
 
+def kept_apart(df: DataFrame, name: str) -> DataFrame:
+    """df written, and never broadcast: a file of sorted keys is packed to a byte a row and less, so its size says nothing of its rows."""
+    return staged(df, name).hint("merge")
+
+
 def few(df: DataFrame) -> tuple[DataFrame, int]:
     """df written, for a broadcast if it has at most FEW rows, and its number of rows."""
     df = staged(df, "crowded")
     n = df.count()
-    return (F.broadcast(df) if n <= FEW else df), n
+    return (F.broadcast(df) if n <= FEW else df.hint("merge")), n
 
 
 def crowded_keys(hashes: DataFrame, edges: list[int]) -> DataFrame:
@@ -96,6 +101,7 @@ def near_hashes(hashes: DataFrame, threshold: int, bits: int = 64, *, verified:
         for k in keys:
             met = met & (F.col(f"a.{k}") == F.col(f"b.{k}"))
         close = hamming(x, y) <= threshold if verified else F.lit(True)
+        left, right = left.hint("merge"), right.hint("merge")  # Spark doesn't count what a hash is multiplied to, and would broadcast all keys
         return left.alias("a").join(right.alias("b"), met & (x < y) & close & counts).select(x.alias("x"), y.alias("y"))
 
     first = lone_key(x, y, edges, "band", "flip")
@@ -104,9 +110,9 @@ def near_hashes(hashes: DataFrame, threshold: int, bits: int = 64, *, verified:
     thin = keyed.join(crowds, ["band", "value"], "left_anti")
     out = meet(thin, thin, ["band", "value"], first)
     hot = keyed.join(crowds, ["band", "value"])
-    sides = staged(hot.groupBy("band", "value", "flip").agg(F.count("*").alias("n")), "flips")
+    sides = kept_apart(hot.groupBy("band", "value", "flip").agg(F.count("*").alias("n")), "flips")
     ends = [sides.select("band", "value", F.col("flip").alias(c), F.col("n").alias(f"n_{c}")) for c in "fg"]
-    pairs = staged(ends[0].join(ends[1], ["band", "value"]).filter("f < g or (f = -1 and g = -1)").select("band", "value", "f", "g", (F.col("n_f") * F.col("n_g") > CROWD * CROWD).alias("many")), "flips")
+    pairs = kept_apart(ends[0].join(ends[1], ["band", "value"]).filter("f < g or (f = -1 and g = -1)").select("band", "value", "f", "g", (F.col("n_f") * F.col("n_g") > CROWD * CROWD).alias("many")), "flips")
     unstage(sides)
     beside = [hot.join(pairs.filter("not many").withColumn("flip", F.col(c)), ["band", "value", "flip"]) for c in "fg"]
     out = out.unionByName(meet(*beside, ["band", "value", "f", "g"], first))
@@ -148,7 +154,7 @@ def hamming_pairs(df: DataFrame, *, threshold: int, hash_col: str = "hash", pos:
     both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(nodes.select(F.col("h").alias("x"), F.col("h").alias("y")))
     left = rows.select(F.col("pos").alias("a"), F.col("h").alias("x"))
     right = rows.select(F.col("pos").alias("b"), F.col("h").alias("y"))
-    return left.join(both, "x").join(right, "y").filter("a < b").select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
+    return left.join(both.hint("merge"), "x").join(right, "y").filter("a < b").select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
 def settle(pairs: DataFrame) -> tuple[DataFrame | None, int]:

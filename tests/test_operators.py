@@ -126,6 +126,16 @@ def test_hamming_candidates_of_one_band(spark):
     assert hashdup.near_hashes(hashes, 8, verified=False).count() < n * n // 2 // 40
 
 
+def test_hamming_keys_are_not_broadcast(spark):
+    """The keys of a few thousand hashes would be broadcast by the size of the hashes, so at a few hundred thousand the driver runs out of memory."""
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("pos"), F.when(F.col("id") % 2 == 0, F.xxhash64("id")).otherwise(F.xxhash64(F.col("id") - 1).bitwiseXOR(F.lit(1 << 40))).alias("hash"))
+    done = hashdup.near_hashes(rows.select(F.col("hash").alias("h")).distinct(), 8)
+    assert len(done.collect()) == n // 2
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def first_independent(n, pairs):
     before = {}
     for a, b in pairs:
