@@ -165,21 +165,21 @@ def settle(pairs: DataFrame) -> tuple[DataFrame | None, int]:
     place of a row with one literal left, that literal turned round: a chain of n links takes log n rounds.
     Rows that wait for several others are settled once these are, so rounds grow with the depth of such waits.
     """
-    edges = staged(pairs.select("a", "b", F.lit(0).alias("s")), "pairs")
-    known = staged(edges.select(F.col("a").alias("p")).distinct().join(edges.select(F.col("b").alias("p")).distinct(), "p", "left_anti").withColumn("kept", F.lit(1)), "settled")
+    edges = kept_apart(pairs.select("a", "b", F.lit(0).alias("s")), "pairs")
+    known = kept_apart(edges.select(F.col("a").alias("p")).distinct().join(edges.select(F.col("b").alias("p")).distinct(), "p", "left_anti").withColumn("kept", F.lit(1)), "settled")
     found: list[DataFrame] = []
     rounds = 0
     while not edges.isEmpty():
         rounds += 1
         told = edges.join(known.withColumnRenamed("p", "a"), "a", "left").withColumn("v", F.col("kept").bitwiseXOR(F.col("s"))).drop("kept")
         left = F.when(F.col("v").isNull(), F.struct("a", "s"))
-        state = staged(told.groupBy("b").agg(F.max("v").alias("hit"), F.min(left).alias("low"), F.max(left).alias("high")), "states")
+        state = kept_apart(told.groupBy("b").agg(F.max("v").alias("hit"), F.min(left).alias("low"), F.max(left).alias("high")), "states")
         held = F.coalesce(F.col("hit") == 1, F.lit(False))
-        done = staged(state.filter(held | F.col("low").isNull()).select(F.col("b").alias("p"), F.when(held, 0).otherwise(1).alias("kept")), "settled")
+        done = kept_apart(state.filter(held | F.col("low").isNull()).select(F.col("b").alias("p"), F.when(held, 0).otherwise(1).alias("kept")), "settled")
         waits = state.filter(~held & F.col("low").isNotNull())
         lone = waits.filter("low = high").select(F.col("b").alias("a"), F.col("low.a").alias("to"), F.col("low.s").bitwiseXOR(F.lit(1)).alias("turn"))
         rest = told.filter("v is null").join(waits.select("b"), "b", "left_semi").join(lone, "a", "left")
-        new = staged(rest.select(F.coalesce("to", "a").alias("a"), "b", F.col("s").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("s")).distinct(), "pairs")
+        new = kept_apart(rest.select(F.coalesce("to", "a").alias("a"), "b", F.col("s").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("s")).distinct(), "pairs")
         for table in (edges, state, *([known] if rounds == 1 else [])):
             unstage(table)
         edges, known = new, done
@@ -205,5 +205,5 @@ def keep_first(df: DataFrame, *, threshold: int = 8, hash_col: str = "hash", pos
     later = F.coalesce(F.col(pos) > F.col(first), F.lit(False))
     if dups is None:
         return out.withColumn("is_duplicate", later).select(*df.columns, "is_duplicate")
-    out = out.join(dups.select(F.col("p").alias(gone)), F.col(first) == F.col(gone), "left")
+    out = out.join(dups.select(F.col("p").alias(gone)).hint("merge"), F.col(first) == F.col(gone), "left")
     return out.withColumn("is_duplicate", later | F.col(gone).isNotNull()).select(*df.columns, "is_duplicate")

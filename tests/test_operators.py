@@ -157,6 +157,20 @@ def test_settle_rounds(spark):
     assert hashdup.settle(spark.createDataFrame([], "a long, b long")) == (None, 0)
 
 
+def test_settled_tables_are_not_broadcast(spark, monkeypatch):
+    """Files of sorted keys are far smaller than their rows in memory: no round of keep-first may broadcast them by that size."""
+    plans, write = [], hashdup.staged
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(hashdup, "staged", seen)
+    dups, _ = hashdup.settle(spark.range(7).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r["p"] for r in dups.collect()} == {1, 3, 5, 7}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_spearman_and_threshold(spark):
     up = spark.createDataFrame([(float(i), i * 2.0, 1.0, int(i > 2)) for i in range(6)], "a double, b double, flat double, good int")
     got = {r["metric"]: r for r in calibration.correlate(up, ["a", "flat"], "b").collect()}
