@@ -9,6 +9,7 @@ from loomlake.functions import vocabulary as V
 from loomlake.functions.scalars import gpu_rate
 from loomlake.functions.trace import telemetry_sum
 from loomlake.operators.quantiles import quantiles
+from loomlake.sources.staging import staged
 
 
 def zero(c: object) -> object:
@@ -45,8 +46,13 @@ def record_totals(records: DataFrame) -> DataFrame:
 
 
 def cost_summary(totals: DataFrame) -> DataFrame:
-    """One row over record_totals: reasoning, render and end-to-end means and sums, latencies and projections."""
+    """One row over record_totals: reasoning, render and end-to-end means and sums, latencies and projections.
+
+    Totals are written first: where they are sums of floating point over shuffled rows, each reading would add them up
+    in another order, and the passes of the percentiles would miss the values that the pass before has bracketed.
+    """
     t = totals.withColumn("e2e_s", F.col("reasoning_s") + F.col("render_s")).withColumn("e2e_usd", F.col("reasoning_usd") + F.col("render_usd"))
+    t = staged(t, "totals")
     mean = zero(F.avg("e2e_usd"))
     places = {f"e2e_s_p{p}": p / 100 for p in (50, 90, 99)}
     found = t.agg(

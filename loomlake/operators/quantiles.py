@@ -17,6 +17,7 @@ def quantiles(df: DataFrame, key: str | None, groups: list, value: str, names: d
     counts over cells of the bracket, beside those below and above it, tell the cells that the place falls in; the
     distinct values of these are counted and walked. Only counts and brackets move, and the tables that are broadcast
     have a row for each group and name. The sketch decides how much is left to the last pass, never the result.
+    Each pass must read the same values to the last bit; sums of floating point over shuffled rows are to be written first.
     Null values are left out, NaN is above all others; a group without values has no row.
     """
     of = F.col(key) if key else F.lit(0)

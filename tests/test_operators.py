@@ -228,6 +228,14 @@ def test_estimate():
         cost.estimate("abacus", 1, 1)
 
 
+def test_latencies_of_unsteady_sums(spark):
+    """Totals that differ a little at each reading, as sums in another order do, give the percentiles of one reading."""
+    unsteady = F.expr("id + cast(java_method('java.lang.System', 'nanoTime') as double) % 1000000 * 1e-12")
+    fixed = {"reasoning_s": unsteady, "reasoning_usd": F.lit(1.0), "render_s": F.lit(0.0), "render_usd": F.lit(0.0), "retries": F.lit(0), "output_tokens": F.lit(0), "has_render": F.lit(False), "has_image": F.lit(False), "created_at": F.lit("x")}
+    r = cost.cost_summary(spark.range(2001).select(*(c.alias(name) for name, c in fixed.items()))).first()
+    assert (round(r["e2e_s_p50"], 3), round(r["e2e_s_p90"], 3), round(r["e2e_s_p99"], 3)) == (1000, 1800, 1980)
+
+
 @pytest.mark.parametrize("accuracy", [100_000, 20])
 def test_quantiles_by_counting_passes(spark, monkeypatch, accuracy):
     """Against numpy: ties that fill whole brackets, clusters, infinite values, one value, nulls, an empty group; a coarse sketch changes nothing."""
