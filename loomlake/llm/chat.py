@@ -21,6 +21,8 @@ TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
 # Each escape is a tilde and a digit; a plain tilde is escaped as well, so that every tilde has its digit.
 ESCAPES = [("~", "~0"), ("<", "~1"), ("[", "~2"), (">", "~3"), ("]", "~4")]
 TURNS = "array<struct<role:string,text:string>>"
+SPAN = "struct<start:bigint,stop:bigint>"
+BLOCK = 256
 PARSED = 20_000_000  # a longer string may be refused by the JSON parser though it is JSON
 
 
@@ -173,6 +175,32 @@ def canonical_columns(df: DataFrame, payload: list[str], *, mappings: tuple[Mapp
     return out.withColumn("layout", layout).withColumn("turns", turns)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once, also where use has it within a lambda."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def scanned(items: Column, first: Column, advance: Callable[[Column, Column], Column], give: Callable[[Column, Column], Column], kind: str) -> Column:
+    """give(state, item) of each item, as an array of kind; the state is first and then what advance makes of state and item.
+
+    Spark copies an array when it grows, so arrays grow within blocks of BLOCK items and over blocks only.
+    """
+    none = F.slice(F.array(first), 1, 0)
+
+    def blocks(all_items: Column) -> Column:
+        n = F.ceil(F.size(all_items) / F.lit(BLOCK)).cast("int")
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda b: F.slice(all_items, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def over(cut: Column) -> Column:
+        return F.aggregate(cut, F.struct(first.alias("now"), none.alias("all")), lambda s, block: F.struct(F.aggregate(block, s["now"], advance).alias("now"), F.concat(s["all"], F.array(s["now"])).alias("all")))["all"]
+
+    def within(block: Column, start: Column) -> Column:
+        grow = lambda s, x: F.struct(advance(s["now"], x).alias("now"), F.concat(s["all"], F.array(give(s["now"], x).cast(kind))).alias("all"))
+        return F.aggregate(block, F.struct(start.alias("now"), F.array().cast(f"array<{kind}>").alias("all")), grow)["all"]
+
+    return F.when(items.isNotNull(), once(items, lambda x: once(blocks(x), lambda cut: F.flatten(F.zip_with(cut, over(cut), within)))))
+
+
 def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
     """Add formatted (one string) and loss_mask: the [start, stop) code points of assistant texts in it.
 
@@ -182,14 +210,33 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
     mark = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY), escape(t["text"]), F.lit(END))
     sizes = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("loss"), F.length(escape(t["text"])).cast("long").alias("n"), F.length(escape(t["role"])).cast("long").alias("r")))
     fixed = len(TURN) + len(BODY) + len(END)
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
 
-    def step(state: Column, s: Column) -> Column:
-        start = state["at"] + len(TURN) + s["r"] + len(BODY)
-        span = F.array(F.struct(start.alias("start"), (start + s["n"]).alias("stop")))
-        return F.struct((state["at"] + s["r"] + s["n"] + fixed).alias("at"), F.when(s["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def span(at: Column, s: Column) -> Column:
+        start = at + len(TURN) + s["r"] + len(BODY)
+        return F.when(s["loss"], F.struct(start.alias("start"), (start + s["n"]).alias("stop")))
+
+    spans = scanned(sizes, F.lit(0).cast("long"), lambda at, s: at + s["r"] + s["n"] + fixed, span, SPAN)
+    return df.withColumn("formatted", F.array_join(F.transform(turns, mark), "")).withColumn("loss_mask", F.filter(spans, lambda s: s.isNotNull()))
+
+
+def masked_texts(formatted: Column, mask: Column) -> Column:
+    """The texts under a loss mask of formatted, unescaped: for each span one, in order. A span lies within a turn.
+
+    Spans are cut from their turns, as Spark counts code points from a string's start.
+    """
+    parts = F.split(formatted, F.lit("<\\|end\\|>"))
+
+    def texts(spans: Column) -> Column:
+        here = lambda s, p: F.coalesce(F.get(spans, s["k"])["start"] < s["at"] + F.length(p) + len(END), F.lit(False))
+        advance = lambda s, p: F.struct((s["at"] + F.length(p) + len(END)).alias("at"), (s["k"] + here(s, p).cast("int")).alias("k"))
+
+        def cut(s: Column, p: Column) -> Column:
+            span = F.get(spans, s["k"])
+            return F.when(here(s, p), unescape(F.substring(p, (span["start"] - s["at"] + 1).cast("int"), (span["stop"] - span["start"]).cast("int"))))
+
+        return scanned(parts, F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k")), advance, cut, "string")
 
-    return df.withColumn("formatted", F.array_join(F.transform(turns, mark), "")).withColumn("loss_mask", F.aggregate(sizes, empty, step)["spans"])
+    return F.filter(once(mask, texts), lambda t: t.isNotNull())
 
 
 def read_turns(formatted: Column) -> Column:
@@ -249,9 +296,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, schema_fingerprint and layout.
 
     Conversations come in several layouts in one table; what their fingerprints select is formatted, and all
-    figures are read back from the formatted string. A conversation of no rows doesn't exist; null ids are one.
+    figures are read back from the formatted string, those of the loss by its mask. A conversation of no rows doesn't exist; null ids are one.
     """
     made = format_turns(canonical_columns(in_layouts(gather_rows(rows)), PAYLOAD)).withColumn("back", read_turns(F.col("formatted")))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(masked_texts(F.col("formatted"), F.col("loss_mask")), "")
     return made.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "schema_fingerprint", "layout")

@@ -282,6 +282,20 @@ def test_chat_rows_with_gaps(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_loss_follows_the_mask(spark, monkeypatch):
+    """What is under the mask is digested: all assistant texts over several blocks of turns, and less if the mask has less."""
+    said = {c: [(("user", "assistant", "assistant", "tool")[(i * c) % 4], (ODD[i % len(ODD)] or "") + str(i)) for i in range(n)] for c, n in ((1, 1), (3, 256), (5, 257), (7, 1500))}
+    rows = spark.createDataFrame([(c, i, r, t) for c, turns in said.items() for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    loss = {c: [t for r, t in turns if r == "assistant"] for c, turns in said.items()}
+    got = {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.format_conversations(rows).collect()}
+    digested = lambda texts: (len("".join(texts)), hashlib.sha256("".join(texts).encode()).hexdigest())
+    assert got == {c: digested(texts) for c, texts in loss.items()}
+    whole = chat.format_turns
+    monkeypatch.setattr(chat, "format_turns", lambda df: whole(df).withColumn("loss_mask", F.slice("loss_mask", 2, 1 << 30)))
+    less = {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.format_conversations(rows).collect()}
+    assert less == {c: digested(texts[1:]) for c, texts in loss.items()} and less != got
+
+
 def test_chat_long_conversations(spark):
     """Over 20,000,000 characters in one turn, and over 128 MiB in one conversation, are beyond the JSON parser."""
     few = spark.sql("select 1L as conv_id, 0L as turn, 'user' as role, repeat('ab', 10500000) as text union all select 1L, 1L, 'assistant', 'yes'")
